@@ -82,11 +82,11 @@ def slope_aspect(cells: DataFrame, dx: float, dy: float) -> DataFrame:
 
     msgs = cells.select(F.inline(F.array(
         sent(0, 0, 0.0, 0.0, True), sent(0, -1, 1.0, 0.0), sent(0, 1, -1.0, 0.0),
-        sent(-1, 0, 0.0, -1.0), sent(1, 0, 0.0, 1.0))))
+        sent(-1, 0, 0.0, 1.0), sent(1, 0, 0.0, -1.0))))
     g = msgs.groupBy("row", "col").agg(F.max("value").alias("value"), F.sum("gx").alias("gx"), F.sum("gy").alias("gy"),
                                       F.sum("nx").alias("nx"), F.sum("ny").alias("ny")).where("value is not null")
     zx = F.when(F.col("nx") == 2, F.col("gx") / (2 * dx)).otherwise(0.0)
-    zy = F.when(F.col("ny") == 2, F.col("gy") / (2 * dy) * -1.0).otherwise(0.0)
+    zy = F.when(F.col("ny") == 2, F.col("gy") / (2 * dy)).otherwise(0.0)
     g = g.withColumns({"_zx": zx, "_zy": zy})
     slope = F.degrees(F.atan(F.sqrt(F.col("_zx") * F.col("_zx") + F.col("_zy") * F.col("_zy"))))
     turn = F.degrees(F.atan2(-F.col("_zy"), F.col("_zx")))

@@ -97,7 +97,10 @@ def _horner(x: Column, coefs: Sequence[float]) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal CDF; Spark has no erf. Absolute error below 1e-14."""
+    """Standard normal CDF; Spark has no erf. Absolute error below 1e-14.
+
+    Pass a plain column: the argument is repeated in the formula.
+    """
     x = F.abs(z)
     e = F.exp(-x * x / 2)
     body = e * _horner(x, _CDF_NUM) / _horner(x, _CDF_DEN)

@@ -21,11 +21,16 @@ def range_count(spark: SparkSession) -> int:
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str,
-                 measures: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row per distinct value with its row count ``n`` and summed ``measures``."""
+                 measures: Mapping[str, Column] | None = None, complete: bool = False) -> DataFrame:
+    """One row per distinct value with its row count ``n`` and summed ``measures``.
+
+    NULL values are dropped unless the caller knows there are none (``complete``); for a long
+    computed value that saves pushing a copy of its formula down as a filter.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(c).alias(name) for name, c in (measures or {}).items()]
-    return df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*aggs)
+    rows = df if complete else df.where(F.col(value).isNotNull())
+    return rows.groupBy(*groups, value).agg(*aggs)
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str], *,
@@ -111,7 +116,7 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 
 def order_statistics(df: DataFrame, groups: Sequence[str], score: str, alphas: Sequence[float]) -> DataFrame:
     """Finite-sample conformal quantile of ``score``: one row per group and alpha."""
-    ranked = running_totals(value_counts(df, groups, score), groups, score, ["n"])
+    ranked = running_totals(value_counts(df, groups, score, complete=True), groups, score, ["n"])
     picks = [_at(conformal_rank(F.col("tot_n"), a), score).alias(f"_q{i}") for i, a in enumerate(alphas)]
     wide = ranked.groupBy(*groups).agg(F.max("tot_n").alias("n_cal"), *picks)
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_q{i}").alias("q"))

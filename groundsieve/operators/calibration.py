@@ -105,7 +105,7 @@ def interval_coverage(df: DataFrame, alphas: Sequence[float], by: Sequence[str],
 
 def weighted_quantile(df: DataFrame, by: Sequence[str], value: str, weight: str, alpha: float) -> DataFrame:
     """Smallest value whose cumulative weight share reaches alpha; the maximum if all weights are 0 (Q9)."""
-    ranked = running_totals(value_counts(df, by, value, {"w": F.col(weight)}), by, value, ["w"])
+    ranked = running_totals(value_counts(df, by, value, {"w": F.col(weight)}, complete=True), by, value, ["w"])
     share = F.when(F.col("tot_w") > 0, F.col("cum_w") / F.col("tot_w"))
     return ranked.groupBy(*by).agg(
         F.coalesce(F.min(F.when(share >= F.lit(float(alpha)), F.col(value))), F.max(value)).alias("q"))
@@ -149,12 +149,13 @@ def isotonic_grid(cal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Recalibration curve on 2001 grid probabilities (Q11): by, i, p, emp.
 
     The target of the fit is the mid-rank of the sorted probabilities, which already rises with
-    them, so pooling only averages ties: the fit is the tie-group mid-rank, interpolated. Points
+    them, so pooling only averages ties (probabilities equal to 12 decimals): the fit is the tie-group mid-rank, interpolated. Points
     are reduced to the last and first one inside each grid step before any window.
     """
     step = (1 - 2 * ISO_EDGE) / (ISO_GRID - 1)
-    scored = cal.withColumn("_p", normal_cdf((F.col("y_true") - F.col("y_pred")) / positive_std()))
-    ranked = running_totals(value_counts(scored, by, "_p"), by, "_p", ["n"])
+    scored = cal.select(*by, ((F.col("y_true") - F.col("y_pred")) / positive_std()).alias("_z"))
+    scored = scored.select(*by, F.round(normal_cdf(F.col("_z")), 12).alias("_p"))
+    ranked = running_totals(value_counts(scored, by, "_p", complete=True), by, "_p", ["n"])
     pts = ranked.select(*by, "_p", ((F.col("cum_n") - F.col("n") / 2) / F.col("tot_n")).alias("_e"))
     # i = number of grid points strictly below p, so grid points i.. lie at or above it
     i = F.least(F.greatest(F.ceil((F.col("_p") - ISO_EDGE) / step), F.lit(0)), F.lit(ISO_GRID))
@@ -185,8 +186,9 @@ def isotonic_z(grid: DataFrame, alphas: Sequence[float], by: Sequence[str] = ())
             aggs.append(F.coalesce(F.min(F.when(F.col("emp") >= F.lit(target), F.col("p"))), top).alias(f"_{side}{j}"))
     wide = grid.groupBy(*by).agg(*aggs)
     return wide.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(float(a)).alias("alpha"), normal_quantile_col(F.col(f"_lo{j}")).alias("z_lo"),
-                 normal_quantile_col(F.col(f"_hi{j}")).alias("z_hi")) for j, a in enumerate(alphas)])))
+        F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_lo{j}").alias("_pl"), F.col(f"_hi{j}").alias("_ph"))
+        for j, a in enumerate(alphas)]))).select(
+        *by, "alpha", normal_quantile_col(F.col("_pl")).alias("z_lo"), normal_quantile_col(F.col("_ph")).alias("z_hi"))
 
 
 def locally_weighted_radii(cal: DataFrame, tests: DataFrame, features: Sequence[str], alpha: float,

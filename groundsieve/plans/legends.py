@@ -138,7 +138,7 @@ def s9_distinct_codes(spark, sf):
 
 
 CACHE_CTE = """
-fx_cache as (select round(latitude_deg, 4) as lat, round(longitude_deg, 4) as lon, min_by(symbol, boring_key) as symbol,
+fx_cache as (select round_even(latitude_deg * 1e4, 0) / 1e4 as lat, round_even(longitude_deg * 1e4, 0) / 1e4 as lon, min_by(symbol, boring_key) as symbol,
   min_by(formation_age_ja, boring_key) as formation_age_ja, min_by(group_ja, boring_key) as group_ja, min_by(lithology_ja, boring_key) as lithology_ja
   from (select boring_key, latitude_deg, longitude_deg, coalesce(symbol, '') as symbol, coalesce(formation_age_ja, '') as formation_age_ja,
     coalesce(group_ja, '') as group_ja, coalesce(lithology_ja, '') as lithology_ja from fx_legend) where boring_key % 5 <> 1 group by 1, 2)"""
@@ -146,21 +146,21 @@ fx_cache as (select round(latitude_deg, 4) as lat, round(longitude_deg, 4) as lo
 
 def legend_cache(spark, sf, where="boring_key % 5 <> 1"):
     rows = legend_rows(spark, sf).where(where)
-    return rows.groupBy(F.bround("latitude_deg", 4).alias("lat"), F.bround("longitude_deg", 4).alias("lon")).agg(
+    return rows.groupBy(src.rounded_key("latitude_deg").alias("lat"), src.rounded_key("longitude_deg").alias("lon")).agg(
         *[F.min_by(F.coalesce(f, F.lit("")), "boring_key").alias(f) for f in src.LEGEND_FIELDS])
 
 
 @query("j2_rounded_lookup_join", check_sql("""
 select l.boring_key, c.symbol, c.lithology_ja from fx_loc l
-left join fx_cache c on c.lat = round(l.latitude_deg, 4) and c.lon = round(l.longitude_deg, 4)""", LOC_CTE, SAMPLES_CTE, CACHE_CTE))
+left join fx_cache c on c.lat = round_even(l.latitude_deg * 1e4, 0) / 1e4 and c.lon = round_even(l.longitude_deg * 1e4, 0) / 1e4""", LOC_CTE, SAMPLES_CTE, CACHE_CTE))
 def j2_rounded_lookup_join(spark, sf):
     return src.with_legend(locations(spark, sf), legend_cache(spark, sf)).select("boring_key", "symbol", "lithology_ja")
 
 
 @query("j11_cache_upsert", check_sql("""
 select round(lat, 4) as lat, round(lon, 4) as lon, symbol from fx_cache union all
-select round(latitude_deg, 4), round(longitude_deg, 4), min(case when boring_key % 10 = 1 then coalesce(symbol, '') else '' end) from fx_legend l
-where not exists (select 1 from fx_cache c where c.lat = round(l.latitude_deg, 4) and c.lon = round(l.longitude_deg, 4)) group by 1, 2""",
+select round_even(latitude_deg * 1e4, 0) / 1e4, round_even(longitude_deg * 1e4, 0) / 1e4, min(case when boring_key % 10 = 1 then coalesce(symbol, '') else '' end) from fx_legend l
+where not exists (select 1 from fx_cache c where c.lat = round_even(l.latitude_deg * 1e4, 0) / 1e4 and c.lon = round_even(l.longitude_deg * 1e4, 0) / 1e4) group by 1, 2""",
                                        LOC_CTE, SAMPLES_CTE, CACHE_CTE))
 def j11_cache_upsert(spark, sf):
     known = legend_cache(spark, sf, "boring_key % 10 = 1")

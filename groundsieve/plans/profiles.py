@@ -68,7 +68,7 @@ def a5_a6_endpoints(spark, sf):
 
 
 @query("a7_location_summary", check_sql(f"""
-select {LOC}, round(river, 6) as river_distance_km, round(coast, 6) as coast_distance_km, round(elev, 6) as absolute_elevation,
+select {LOC}, round(river, 6) as river_distance_km, round(coast, 6) as coast_distance_km, round(elev, 9) as absolute_elevation,
   litho_macro_code from (
   select {LOC}, avg(river_distance_km) as river, avg(coast_distance_km) as coast, avg(absolute_elevation) as elev from fx_raw group by {LOC})
 join (select {LOC}, code as litho_macro_code from (select {LOC}, cast((row_key // 100) % 5 as int) as code, row_number() over (
@@ -76,7 +76,8 @@ join (select {LOC}, code as litho_macro_code from (select {LOC}, cast((row_key /
 def a7_location_summary(spark, sf):
     m = inputs.measurements(spark, sf).withColumn("litho_macro_code", (F.floor(F.col("row_key") / 100) % 5).cast("int"))
     cols = ["river_distance_km", "coast_distance_km", "absolute_elevation"]
-    return rounded(pr.location_summary(m, cols, "litho_macro_code"), *cols)
+    out = rounded(pr.location_summary(m, cols, "litho_macro_code"), *cols[:2])
+    return out.withColumn("absolute_elevation", F.round("absolute_elevation", 9))
 
 
 @query("a8_target_histogram", check_sql("select least(cast(floor(n_value / 2) as int), 49) as bin, count(*) as n_rows from fx_raw group by 1"))

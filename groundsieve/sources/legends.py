@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.operators.small import checked_broadcast
 
@@ -10,6 +10,11 @@ LEGEND_FIELDS = ("symbol", "formation_age_ja", "group_ja", "lithology_ja")
 MAX_CODES = 100_000
 
 
+def rounded_key(c: str) -> Column:
+    """Coordinate at 4 decimals, half to even on the scaled value."""
+    return F.rint(F.col(c) * 1e4) / 1e4
+
+
 def parse_legend(df: DataFrame, payload: str) -> DataFrame:
     """Legend JSON to its four fields, null to '' (S6)."""
     schema = ", ".join(f"{f} string" for f in LEGEND_FIELDS)
@@ -37,7 +42,7 @@ def distinct_codes(df: DataFrame, code: str) -> DataFrame:
 def upsert_cache(cache: DataFrame, points: DataFrame, legend: DataFrame) -> DataFrame:
     """Add rounded coordinates not yet cached; a miss in the legend is stored as empty."""
     key = ["lat", "lon"]
-    wanted = points.select(F.bround("latitude_deg", 4).alias("lat"), F.bround("longitude_deg", 4).alias("lon")).distinct()
+    wanted = points.select(rounded_key("latitude_deg").alias("lat"), rounded_key("longitude_deg").alias("lon")).distinct()
     fresh = wanted.join(cache, key, "left_anti").join(legend.select(*key, *LEGEND_FIELDS).dropDuplicates(key), key, "left")
     return cache.select(*key, *LEGEND_FIELDS).unionByName(
         fresh.select(*key, *[F.coalesce(f, F.lit("")).alias(f) for f in LEGEND_FIELDS]))
@@ -45,6 +50,6 @@ def upsert_cache(cache: DataFrame, points: DataFrame, legend: DataFrame) -> Data
 
 def with_legend(points: DataFrame, cache: DataFrame) -> DataFrame:
     """Left join on 4-decimal coordinates, same rounding on both sides."""
-    c = cache.select(F.bround("lat", 4).alias("_lat"), F.bround("lon", 4).alias("_lon"), *LEGEND_FIELDS)
-    p = points.withColumns({"_lat": F.bround("latitude_deg", 4), "_lon": F.bround("longitude_deg", 4)})
+    c = cache.select(rounded_key("lat").alias("_lat"), rounded_key("lon").alias("_lon"), *LEGEND_FIELDS)
+    p = points.withColumns({"_lat": rounded_key("latitude_deg"), "_lon": rounded_key("longitude_deg")})
     return p.join(c, ["_lat", "_lon"], "left").drop("_lat", "_lon")

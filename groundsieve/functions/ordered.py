@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-_ALL = "_all"
+_ALL = "__all"
 
 
 def range_count(spark: SparkSession) -> int:
@@ -43,49 +43,49 @@ def running_totals(df: DataFrame, groups: Sequence[str], value: str, measures: S
     """
     n = ranges or range_count(df.sparkSession)
     g = list(groups)
-    base = df.withColumn("_v", -F.col(value) if descending else F.col(value))
+    base = df.withColumn("__v", -F.col(value) if descending else F.col(value))
     if not g:
         base = base.withColumn(_ALL, F.lit(0))
         g = [_ALL]
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cut_aggs = [F.array_distinct(F.percentile_approx("_v", probs, F.lit(20 * n))).alias("_cuts")]
+    cut_aggs = [F.array_distinct(F.percentile_approx("__v", probs, F.lit(20 * n))).alias("__cuts")]
     if tiebreak:
-        cut_aggs.append(F.array_distinct(F.percentile_approx(tiebreak, probs, F.lit(20 * n))).alias("_tcuts"))
+        cut_aggs.append(F.array_distinct(F.percentile_approx(tiebreak, probs, F.lit(20 * n))).alias("__tcuts"))
     # The totals keep every measure in this branch, so its shuffle is the one the ranks reuse.
     cut_aggs += [F.sum(m).alias(f"tot_{m}") for m in measures]
     cuts = base.groupBy(*g).agg(*cut_aggs)
     if g == [_ALL]:
         cuts = F.broadcast(cuts)  # one row
-    tagged = base.join(cuts, g).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    order = [F.col("_v")]
+    tagged = base.join(cuts, g).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+    order = [F.col("__v")]
     if tiebreak:
         order.append(F.col(tiebreak))
         tagged = tagged.withColumn(
-            "_s",
-            F.when(F.array_contains("_cuts", F.col("_v")),
-                   F.size(F.filter("_tcuts", lambda c: c < F.col(tiebreak))) + 1).otherwise(0))
+            "__sub",
+            F.when(F.array_contains("__cuts", F.col("__v")),
+                   F.size(F.filter("__tcuts", lambda c: c < F.col(tiebreak))) + 1).otherwise(0))
     else:
-        tagged = tagged.withColumn("_s", F.lit(0))
-    tagged = tagged.drop("_cuts", "_tcuts")
-    key = g + ["_r", "_s"]
-    before = W.partitionBy(*g).orderBy("_r", "_s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*key).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+        tagged = tagged.withColumn("__sub", F.lit(0))
+    tagged = tagged.drop("__cuts", "__tcuts")
+    key = g + ["__range", "__sub"]
+    before = W.partitionBy(*g).orderBy("__range", "__sub").rowsBetween(W.unboundedPreceding, -1)
+    offsets = tagged.groupBy(*key).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     offsets = offsets.select(
         *key,
-        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
+        *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures])
     inside = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = tagged.join(offsets, key)
-    out = out.withColumns({f"cum_{m}": F.col(f"_o_{m}") + F.sum(m).over(inside) for m in measures})
-    return out.drop(_ALL, "_v", "_r", "_s", *[f"_o_{m}" for m in measures])
+    out = out.withColumns({f"cum_{m}": F.col(f"__o_{m}") + F.sum(m).over(inside) for m in measures})
+    return out.drop(_ALL, "__v", "__range", "__sub", *[f"__o_{m}" for m in measures])
 
 
 def row_numbers(df: DataFrame, groups: Sequence[str], value: str, tiebreak: str, *,
                 descending: bool = False, name: str = "rn", total: str | None = None) -> DataFrame:
     """Exact 1-based position of every row by ``value`` then ``tiebreak``, per group."""
-    out = running_totals(df.withColumn("_one", F.lit(1).cast("long")), groups, value, ["_one"],
+    out = running_totals(df.withColumn("__one", F.lit(1).cast("long")), groups, value, ["__one"],
                          tiebreak=tiebreak, descending=descending)
-    out = out.withColumnRenamed("cum__one", name).drop("_one")
-    return out.withColumnRenamed("tot__one", total) if total else out.drop("tot__one")
+    out = out.withColumnRenamed("cum___one", name).drop("__one")
+    return out.withColumnRenamed("tot___one", total) if total else out.drop("tot___one")
 
 
 def _at(pos: Column, value: str) -> Column:

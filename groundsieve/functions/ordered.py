@@ -88,18 +88,68 @@ def row_numbers(df: DataFrame, groups: Sequence[str], value: str, tiebreak: str,
     return out.withColumnRenamed("tot___one", total) if total else out.drop("tot___one")
 
 
-def _at(pos: Column, value: str) -> Column:
-    """Value at 1-based position ``pos`` of a counted, ranked frame."""
-    return F.min(F.when(F.col("cum_n") >= pos, F.col(value)))
+SKETCH = 2_000
+
+
+def _selected(df: DataFrame, groups: Sequence[str], value: str, targets: Mapping[str, float]) -> DataFrame:
+    """Ranked candidates around each target share: groups, target, value, n, cum_n, tot_n.
+
+    Selection, not sorting. A quantile sketch per group brackets the wanted rank (groups of up to
+    ``SKETCH`` rows are bracketed by their extremes). A second pass counts what lies below the
+    bracket as one key and keeps single values inside it, so the shuffle carries about
+    8 / SKETCH of the rows. Ranks among those are then exact; ``cum_n`` counts from the
+    smallest value of the group, and the caller checks that its rank is inside.
+    """
+    g = list(groups)
+    margin = 4.0 / SKETCH
+    probs = []
+    for p in targets.values():
+        probs += [max(0.0, p - margin), min(1.0, p + margin)]
+    stats = df.groupBy(*g).agg(
+        F.count(value).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
+        F.percentile_approx(value, F.array(*[F.lit(x) for x in probs]), F.lit(5 * SKETCH)).alias("__pct"))
+    whole = F.col("__n") <= SKETCH
+    boxes = []
+    for i, (name, p) in enumerate(targets.items()):
+        lo = F.when(whole | F.lit(probs[2 * i] <= 0.0), F.col("__min")).otherwise(F.col("__pct")[2 * i])
+        hi = F.when(whole | F.lit(probs[2 * i + 1] >= 1.0), F.col("__max")).otherwise(F.col("__pct")[2 * i + 1])
+        boxes.append(F.struct(F.lit(name).alias("target"), lo.alias("lo"), hi.alias("hi")))
+    boxes = F.array(*boxes)
+    if g:
+        rows = df.select(*g, value).join(stats.select(*g, F.col("__n").alias("tot_n"), boxes.alias("__boxes")), g)
+    else:
+        rows = df.select(value).withColumn("__b", stats.select(F.struct(F.col("__n").alias("n"), boxes.alias("boxes"))).scalar())
+        rows = rows.select(value, F.col("__b.n").alias("tot_n"), F.col("__b.boxes").alias("__boxes"))
+    v = F.col(value)
+    rows = rows.select(*g, value, "tot_n", F.inline("__boxes")).where(v <= F.col("hi"))
+    kept = rows.groupBy(*g, "target", "tot_n", F.when(v >= F.col("lo"), v).alias("__k")).agg(F.count(F.lit(1)).alias("n"))
+    key = [*g, "target"]
+    below = kept.where("__k is null").select(*key, F.col("n").alias("__below"))
+    single = kept.where("__k is not null").withColumnsRenamed({"__k": value, "tot_n": "__tot"})
+    inside = running_totals(single, key, value, ["n"]).drop("tot_n").withColumnRenamed("__tot", "tot_n")
+    if g:
+        inside = inside.join(below, key, "left")
+    else:
+        inside = inside.join(F.broadcast(below), key, "left")  # one row per target
+    return inside.withColumn("cum_n", F.col("cum_n") + F.coalesce("__below", F.lit(0))).drop("__below")
+
+
+def _at(pos: Column, value: str, target: str) -> Column:
+    """Value at 1-based position ``pos`` of a selected frame; an error if the bracket missed it."""
+    here = F.col("target") == target
+    hit = F.min(F.when(here & (F.col("cum_n") >= pos), F.col(value)))
+    first = F.min(F.when(here, F.col("cum_n") - F.col("n")))
+    inside = (F.max(F.when(here, pos)) > first) & hit.isNotNull()
+    return F.when(inside, hit).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one column per name, plus the row count ``n``."""
-    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"])
+    ranked = _selected(df.where(F.col(value).isNotNull()), groups, value, probs)
     aggs = [F.max("tot_n").alias("n")]
     for name, p in probs.items():
         h = (F.col("tot_n") - 1) * F.lit(float(p))
-        aggs += [_at(F.floor(h) + 1, value).alias(f"_lo_{name}"), _at(F.ceil(h) + 1, value).alias(f"_hi_{name}")]
+        aggs += [_at(F.floor(h) + 1, value, name).alias(f"_lo_{name}"), _at(F.ceil(h) + 1, value, name).alias(f"_hi_{name}")]
     out = ranked.groupBy(*groups).agg(*aggs)
     cols = []
     for name, p in probs.items():
@@ -116,8 +166,8 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 
 def order_statistics(df: DataFrame, groups: Sequence[str], score: str, alphas: Sequence[float]) -> DataFrame:
     """Finite-sample conformal quantile of ``score``: one row per group and alpha."""
-    ranked = running_totals(value_counts(df, groups, score, complete=True), groups, score, ["n"])
-    picks = [_at(conformal_rank(F.col("tot_n"), a), score).alias(f"_q{i}") for i, a in enumerate(alphas)]
+    ranked = _selected(df, groups, score, {f"a{i}": a for i, a in enumerate(alphas)})
+    picks = [_at(conformal_rank(F.col("tot_n"), a), score, f"a{i}").alias(f"_q{i}") for i, a in enumerate(alphas)]
     wide = ranked.groupBy(*groups).agg(F.max("tot_n").alias("n_cal"), *picks)
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_q{i}").alias("q"))
                       for i, a in enumerate(alphas)])

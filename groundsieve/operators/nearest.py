@@ -30,37 +30,43 @@ LEAF = 64
 BLOCK = 32
 
 
+class Cuts(NamedTuple):
+    """Nested cuts, widest axis first; numbers of all levels together stay near MAX_TILES."""
+
+    order: list[int]
+    levels: list[dict[int, np.ndarray]]  # per level: strip -> cut positions
+    widths: list[int]
+
+
 class Tiling(NamedTuple):
-    """Cuts per axis (nested lists, at most MAX_TILES numbers) and the tile table."""
+    """The cuts and the tile table (bounds and counts)."""
 
-    cuts: list
+    cuts: Cuts
     lo: np.ndarray
     hi: np.ndarray
     n: np.ndarray
     ids: np.ndarray
 
 
-def _percentiles(n: int):
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    return lambda c: F.array_distinct(F.percentile_approx(c, probs, F.lit(20 * n)))
+def _percentiles(c: str, n: int):
+    return F.percentile_approx(c, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))
 
 
-def _tile_of(x: np.ndarray, cuts: list) -> np.ndarray:
+def _tile_of(x: np.ndarray, cuts: Cuts) -> np.ndarray:
     """Tile number of each row of coordinates: nested searches, one axis after the other."""
-    per = cuts[0]
-    strip = np.searchsorted(per, x[:, 0], side="left")
-    width = cuts[1]
-    out = strip.astype(np.int64)
-    for axis, table in enumerate(cuts[2:], start=1):
+    out = np.zeros(len(x), dtype=np.int64)
+    for axis, table, width in zip(cuts.order, cuts.levels, cuts.widths):
         nxt = np.zeros(len(x), dtype=np.int64)
         for s in np.unique(out):
-            rows = out == s
-            nxt[rows] = np.searchsorted(table.get(int(s), np.empty(0)), x[rows, axis], side="left")
+            at = table.get(int(s))
+            if at is not None and len(at):
+                rows = out == s
+                nxt[rows] = np.searchsorted(at, x[rows, axis], side="left")
         out = out * width + nxt
     return out
 
 
-def _tag(df: DataFrame, coords: Sequence[str], cuts: list, name: str) -> DataFrame:
+def _tag(df: DataFrame, coords: Sequence[str], cuts: Cuts, name: str) -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType())])
     cols = list(coords)
 
@@ -72,20 +78,35 @@ def _tag(df: DataFrame, coords: Sequence[str], cuts: list, name: str) -> DataFra
     return df.mapInPandas(run, schema)
 
 
+def _thin(values, pieces: int) -> np.ndarray:
+    """Cut positions for ``pieces`` parts out of a finer list of percentiles."""
+    v = np.asarray(values or [], float)
+    take = np.unique(np.round(np.arange(1, pieces) * (len(v) + 1) / pieces).astype(int) - 1)
+    return np.unique(v[take[(take >= 0) & (take < len(v))]])
+
+
 def tile_points(points: DataFrame, coords: Sequence[str], bounds: Sequence[tuple[str, str]],
                 rows_per_tile: int) -> tuple[DataFrame, Tiling]:
-    """Tag ``points`` with ``_tile`` and describe the tiles."""
-    n = points.count()
-    per_axis = max(1, min(int(np.ceil((n / rows_per_tile) ** (1 / len(coords)))), int(MAX_TILES ** (1 / len(coords)))))
-    cuts: list = [np.empty(0), per_axis]
-    if per_axis > 1:
-        pct = _percentiles(per_axis)
-        first = points.agg(pct(coords[0]).alias("c")).first()["c"]
-        cuts = [np.asarray(first or [], float), per_axis]
-        for axis in range(1, len(coords)):
+    """Tag ``points`` with ``_tile`` and describe the tiles.
+
+    The widest axis is cut into about sqrt(rows / rows_per_tile) strips. Every strip is then cut
+    along the next axis into as many parts as its own row count asks for, so a crowded strip gets
+    more and thinner tiles and a narrow axis (depth) is only cut where places are crowded.
+    """
+    spread = points.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(coords)]).first()
+    size = max(rows_per_tile, int(np.ceil(spread["n"] / (MAX_TILES / 2))))
+    order = sorted(range(len(coords)), key=lambda i: -(spread[f"s{i}"] or 0.0))
+    wanted = spread["n"] / size
+    strips = max(1, int(np.ceil(np.sqrt(wanted) if len(coords) > 1 else wanted)))
+    cuts = Cuts(order, [], [])
+    if wanted > 1:
+        for level, axis in enumerate(order):
+            fine = max(2, strips if level == 0 else min(512, 8 * strips))
             tagged = _tag(points.select(*coords), coords, cuts, "_s")
-            rows = tagged.groupBy("_s").agg(pct(coords[axis]).alias("c")).collect()  # one row per strip
-            cuts = [*cuts, {int(r["_s"]): np.asarray(r["c"] or [], float) for r in rows}]
+            rows = tagged.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), _percentiles(coords[axis], fine).alias("c")).collect()  # one row per strip
+            pieces = {int(r["_s"]): (strips if level == 0 else int(np.ceil(r["n"] / size))) for r in rows}
+            table = {int(r["_s"]): _thin(r["c"], min(fine, pieces[int(r["_s"])])) for r in rows if pieces[int(r["_s"])] > 1}
+            cuts = Cuts(order, [*cuts.levels, table], [*cuts.widths, fine + 1])
     tagged = _tag(points, coords, cuts, "_tile")
     stats = tagged.groupBy("_tile").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, (a, _) in enumerate(bounds)],
@@ -216,7 +237,6 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
     p, tiles = tile_points(cut_lineage(p), axes, bounds, rows_per_tile)
     q = _tag(q, axes, tiles.cuts, "_tile")
     salts_p = np.maximum(1, -(-tiles.n // rows_per_group))
-    order = {int(t): i for i, t in enumerate(tiles.ids)}
     reach = min(k, int(tiles.n.sum()))
 
     # One row per query tile: its box and how many ways its rows are split.
@@ -243,7 +263,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
 
     pairs = cut_lineage(boxes.repartition("_tile").mapInPandas(
         match, "_qt long, _salts int, _group int, _tile long, _ps int, _psalts int"))
-    merged = (pairs.agg(F.max("_group")).first()[0] or 0) > 0
+    shape_of = pairs.agg(F.max("_group").alias("g"), F.sum("_salts").alias("n")).first()
+    merged = (shape_of["g"] or 0) > 0
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(width, min(4 * width, int(shape_of["n"] or 1)))  # the solve is heavy per row: keep small tasks
     fan = pairs.withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     left = q.withColumnRenamed("_tile", "_qt").join(pairs.select("_qt", "_salts", "_group").distinct(), "_qt").withColumn(
         "_qs", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int")).select("_qt", "_qs", "_group", "_q", *axes)
@@ -268,6 +291,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
             data[f"_v{i}"] = [v[idx[r, :hit[r]]] for r in rows]
         return pd.DataFrame(data)
 
+    left = left.repartition(parts, "_qt", "_qs", "_group")
+    right = right.repartition(parts, "_rt", "_rs", "_rg")
     found = (left.groupBy("_qt", "_qs", "_group").cogroup(right.groupBy("_rt", "_rs", "_rg"))
              .applyInPandas(solve, out_schema))
     names = ["distances", "neighbours"] + [f"_v{i}" for i in range(len(payload))]

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.ordered import row_numbers, running_totals, value_counts
+from groundsieve.operators.small import checked_broadcast
 
 # Threshold labels on N.
 LABELS = {"lt5": ("below", 5.0), "lt10": ("below", 10.0), "lt15": ("below", 15.0), "ge30": ("above", 30.0)}
@@ -77,13 +78,23 @@ def rank_metrics(df: DataFrame, by: Sequence[str], fpr_targets: Sequence[float]
 
 
 def top_k_precision(df: DataFrame, by: Sequence[str], fractions: Sequence[float], key: str, p: str = "p") -> DataFrame:
-    """Precision of the k = max(1, round-half-even(n * f)) highest scores, ties by key."""
-    r = row_numbers(df.select(*by, key, p, "y"), by, p, key, descending=True, total="_n")
-    aggs = []
-    for f in fractions:
-        k = F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(f)))
-        aggs.append((F.sum(F.when(F.col("rn") <= k, F.col("y")).otherwise(0)) / F.max(k)).alias(f"precision_top_{int(round(f * 100))}"))
-    return r.groupBy(*by).agg(*aggs)
+    """Precision of the k = max(1, round-half-even(n * f)) highest scores, ties by key.
+
+    Scores above the k-th are counted by value; only rows tied at the k-th score are ranked by key.
+    """
+    counts = ranked_scores(df, by, p, descending=True)
+    names = {f"precision_top_{int(round(f * 100))}": f for f in fractions}
+    k = {n: F.greatest(F.lit(1), F.rint(F.col("tot_n") * F.lit(f)).cast("long")) for n, f in names.items()}
+    edge = counts.groupBy(*by).agg(*[
+        F.min_by(F.struct(F.col(p).alias("v"), (F.col("cum_pos") - F.col("pos")).alias("above"),
+                          (k[n] - F.col("cum_n") + F.col("n")).alias("need"), k[n].alias("_size")),
+                 F.when(F.col("cum_n") >= k[n], F.col("cum_n"))).alias(n) for n in names])
+    edge = edge.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}.v").alias("v"), F.col(f"{n}.above").alias("above"),
+                                                        F.col(f"{n}.need").alias("need"), F.col(f"{n}._size").alias("_size")) for n in names])))
+    tied = df.select(*by, F.col(p).alias("v"), key, "y").join(checked_broadcast(edge), [*by, "v"])
+    ranked = row_numbers(tied, [*by, "name"], key, key)
+    out = ranked.groupBy(*by, "name").agg(F.max("_size").alias("_size"), (F.max("above") + F.sum(F.when(F.col("rn") <= F.col("need"), F.col("y")).otherwise(0))).alias("hits"))
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("hits") / F.col("_size"))).alias(n) for n in names])
 
 
 def net_benefit(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], p: str = "p") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundsieve.functions.numeric import bin_index
 from groundsieve.functions.ordered import quantiles
 from groundsieve.operators import calibration as cal
 from groundsieve.operators.quality import exact_sample
@@ -119,13 +120,13 @@ def q8_mondrian_groupings(spark, sf):
     p = inputs.predictions(spark, sf)
     fit = p.where("role = 'cal'")
     probs = {f"q{i}": i / 5 for i in range(1, 5)}
-    edges = {c: quantiles(fit, [], c, probs).select(F.array(*probs)).scalar() for c in ("y_pred", "y_std")}
-    p = p.withColumns({"_m": edges["y_pred"], "_s": edges["y_std"]})
-    label = lambda e, c: F.size(F.filter(e, lambda x: x <= F.col(c)))
+    # eight numbers: read once, then part of the plan as constants
+    edges = {c: [0.0, *quantiles(fit, [], c, probs).select(*probs).first()] for c in ("y_pred", "y_std")}
+    label = lambda c: bin_index(F.col(c), edges[c])
     stacked = p.select("role", "y_true", "y_pred", "y_std", F.inline(F.array(*[
         F.struct(F.lit(n).alias("grouping"), v.cast("int").alias("value")) for n, v in (
-            ("regime", F.col("regime_code")), ("depth", F.col("depth_bin")), ("mu", label("_m", "y_pred")),
-            ("sigma", label("_s", "y_std")), ("regime_depth", F.col("regime_code") * 6 + F.col("depth_bin")))])))
+            ("regime", F.col("regime_code")), ("depth", F.col("depth_bin")), ("mu", label("y_pred")),
+            ("sigma", label("y_std")), ("regime_depth", F.col("regime_code") * 6 + F.col("depth_bin")))])))
     radii = cal.mondrian_radii(cal.with_score(stacked.where("role = 'cal'")), "value", ALPHAS, ["grouping"])
     test = cal.with_group_radius(stacked.where("role = 'test'"), radii, "value", ["grouping"])
     return rounded(cal.interval_coverage(test, ALPHAS, ["grouping"]), "coverage", "mean_width")

@@ -167,11 +167,6 @@ def with_roles(df: DataFrame, roles: DataFrame, keep: Sequence[str] = ("test", "
             .select("*", F.inline("_roles")).drop("_roles"))
 
 
-def leave_group_out(df: DataFrame, groups: DataFrame, key: Sequence[str], name: str) -> DataFrame:
-    """Long fold table (fold name, row, role): test where the row belongs to the group (K5-K7)."""
-    return df.join(groups, list(key)).withColumn("role", F.when(F.col(name), "test").otherwise("train"))
-
-
 def fold_report(df: DataFrame, depth: str = "depth_from_surface", value: str = "n_value") -> DataFrame:
     """Rows, boreholes, cells, depth and N statistics per fold."""
     from groundsieve.functions.ordered import quantiles

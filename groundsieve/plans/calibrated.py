@@ -120,8 +120,9 @@ def q8_mondrian_groupings(spark, sf):
     p = inputs.predictions(spark, sf)
     fit = p.where("role = 'cal'")
     probs = {f"q{i}": i / 5 for i in range(1, 5)}
+    both = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("y_pred", "y_std")])))
     # eight numbers: read once, then part of the plan as constants
-    edges = {c: [0.0, *quantiles(fit, [], c, probs).select(*probs).first()] for c in ("y_pred", "y_std")}
+    edges = {r["name"]: [0.0, *(r[q] for q in probs)] for r in quantiles(both, ["name"], "value", probs).collect()}
     label = lambda c: bin_index(F.col(c), edges[c])
     stacked = p.select("role", "y_true", "y_pred", "y_std", F.inline(F.array(*[
         F.struct(F.lit(n).alias("grouping"), v.cast("int").alias("value")) for n, v in (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.numeric import normal_cdf, normal_quantile, normal_quantile_col
-from groundsieve.functions.ordered import order_statistics, quantiles, running_totals, value_counts
+from groundsieve.functions.ordered import order_statistics, running_totals, value_counts
 from groundsieve.operators.small import checked_broadcast
 
 MIN_GROUP = 30

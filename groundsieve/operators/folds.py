@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from groundsieve.functions.mesh import MAX_LEVEL2_CELLS, pack, ring, with_bounds
+from groundsieve.functions.mesh import MAX_LEVEL2_CELLS, pack, with_bounds
 from groundsieve.operators.small import checked_broadcast
 
 CELL = ["mesh_row", "mesh_col"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from groundsieve.operators import grids as gr, layers as lay
 from groundsieve.operators.profiles import location_summary
 from groundsieve.plans import inputs
-from groundsieve.plans.ingest import POLYGON_CTE, SEGMENTS_CTE, line_features, region_polygons, scratch
+from groundsieve.plans.ingest import POLYGON_CTE, line_features, region_polygons, scratch
 from groundsieve.plans.inputs import check_sql
 from groundsieve.plans.keys import cdf_sql
 from groundsieve.plans.nearby import GRID_CTE, RASTER, raster_grid

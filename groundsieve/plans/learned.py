@@ -12,7 +12,6 @@ from groundsieve.functions.ordered import order_statistics
 from groundsieve.operators import calibration as cal, errors, folds, kriging, learn, profiles as pr, thresholds as th
 from groundsieve.plans import inputs
 from groundsieve.plans.flagship import cell_folds
-from groundsieve.plans.inputs import check_sql
 from groundsieve.plans.keys import qcut_edges
 from groundsieve.plans.nearby import holes
 from groundsieve.plans.registry import query, rounded

@@ -1,6 +1,5 @@
 """Fold guarantees."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

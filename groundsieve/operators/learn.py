@@ -120,23 +120,36 @@ def boosted_quantiles(rows: DataFrame, label: str, taus: dict[str, float], stage
                       fit: Column | None = None, seed: int = 42) -> DataFrame:
     """Quantile regression by boosting on the pinball gradient (M5).
 
-    Each stage fits one tree to the gradient and sets its leaves to the exact residual quantile of
-    their rows. All rows are moved along; only rows where ``fit`` holds are learned from. Lineage
-    is cut once per stage so the plan does not grow.
+    Each stage fits one tree per quantile to its gradient and sets its leaves to the exact residual
+    quantile of their rows; all leaves of a stage come from one grouped pass. All rows are moved
+    along; only rows where ``fit`` holds are learned from. Lineage is cut once per stage.
     """
     fit = fit if fit is not None else F.lit(True)
-    df = rows.withColumn("_fit", fit)
-    start = quantiles(df.where("_fit"), [], label, taus)
-    df = df.withColumn("_s", start.select(F.struct(*taus)).scalar()).select("*", "_s.*").drop("_s")
-    for s in range(stages):
-        for name, tau in taus.items():
-            df = df.withColumn("_g", F.when(F.col(label) > F.col(name), tau).otherwise(tau - 1.0))
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", predictionCol="_p", leafCol="_leaf", maxDepth=depth, seed=seed + s)
-            df = tree.fit(df.where("_fit")).transform(df).withColumn("_r", F.col(label) - F.col(name))
-            leaves = quantiles(df.where("_fit"), ["_leaf"], "_r", {"_q": tau}).select("_leaf", "_q")
-            df = df.join(checked_broadcast(leaves, 2 ** (depth + 1)), "_leaf", "left")
-            df = df.withColumn(name, F.col(name) + rate * F.coalesce("_q", F.lit(0.0))).drop("_g", "_p", "_leaf", "_r", "_q")
-            df = cut_lineage(df)
+    names = list(taus)
+    start = quantiles(rows.where(fit), [], label, taus)
+    df = rows.withColumns({"_fit": fit, "_start": start.select(F.struct(*names)).scalar()}).select("*", "_start.*").drop("_start")
+    df = cut_lineage(df)
+    kept = df.columns
+    for stage in range(stages):
+        def grow(i: int, df: DataFrame = df, stage: int = stage):
+            tau = taus[names[i]]
+            gradient = F.when(F.col(label) > F.col(names[i]), tau).otherwise(tau - 1.0)
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", predictionCol=f"_p{i}", leafCol=f"_leaf{i}", maxDepth=depth, seed=seed + stage)
+            return tree.fit(df.where("_fit").withColumn("_g", gradient))
+
+        with ThreadPoolExecutor(max_workers=FOLD_THREADS) as pool:
+            trees = list(pool.map(grow, range(len(names))))
+        out = reduce(lambda d, tree: tree.transform(d), trees, df)
+        stacked = out.where("_fit").select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("_name"), F.col(f"_leaf{i}").alias("_leaf"), (F.col(label) - F.col(n)).alias("_r")) for i, n in enumerate(names)])))
+        leaves = quantiles(stacked, ["_name", "_leaf"], "_r", taus)
+        own = reduce(lambda c, n: c.when(F.col("_name") == n, F.col(n)), names[1:], F.when(F.col("_name") == names[0], F.col(names[0])))
+        spot = lambda n, leaf: F.concat_ws(":", n, leaf.cast("int").cast("string"))
+        # at most quantiles x leaves entries
+        steps = leaves.agg(F.map_from_entries(F.collect_list(F.struct(spot(F.col("_name"), F.col("_leaf")), own)))).scalar()
+        out = out.withColumn("_steps", steps)
+        moved = {n: F.col(n) + rate * F.coalesce(F.try_element_at("_steps", spot(F.lit(n), F.col(f"_leaf{i}"))), F.lit(0.0)) for i, n in enumerate(names)}
+        df = cut_lineage(out.withColumns(moved).select(*kept))
     return df.drop("_fit")
 
 

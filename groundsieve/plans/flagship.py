@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from groundsieve.operators import calibration as cal, folds
 from groundsieve.plans import inputs
 from groundsieve.plans.registry import query, rounded
+from groundsieve.session import cut_lineage
 
 ALPHAS = (0.5, 0.8, 0.95)
 
@@ -66,7 +67,8 @@ tests as (
   join radii m on m.fold = t.fold and m.g = '*' and m.alpha = a.alpha
   where t.role = 'test')""", recursive=True))
 def fold_conformal_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    roles = folds.fold_roles(cell_folds(spark, sf), 3, fraction=0.2, seed=142)
+    # The cell layout is small and used by every later pass over the rows: work it out once.
+    roles = cut_lineage(folds.fold_roles(cell_folds(spark, sf), 3, fraction=0.2, seed=142))
     rows = folds.with_roles(inputs.predictions(spark, sf), roles, keep=("test", "cal"))
     radii = cal.mondrian_radii(cal.with_score(rows.where("role = 'cal'")), "regime_code", ALPHAS, by=["fold"])
     tests = cal.with_group_radius(rows.where("role = 'test'"), radii, "regime_code", by=["fold"])

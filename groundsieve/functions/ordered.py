@@ -16,8 +16,8 @@ _ALL = "__all"
 
 
 def range_count(spark: SparkSession) -> int:
-    """Ranges per group: twice the shuffle width, at most 512."""
-    return max(16, min(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """Ranges per group: the shuffle width, within 16 and 256."""
+    return max(16, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundsieve.llm import packing, quality, token_counts
+from groundsieve.llm import language, packing, quality, token_counts
 from groundsieve.llm.common import documents, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.select("doc_id", "lang", "text"))
+    named = language.with_language(docs.select("doc_id", "text"), model, F.col("text"))
+    return named.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "language.lang_pred", "language.score")
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", whole().alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundsieve.llm import fingerprints, jaccard, language, packing, quality, secrets, token_counts
+from groundsieve.llm import fingerprints, jaccard, language, lm, packing, quality, secrets, token_counts
 from groundsieve.llm.common import documents, remainder, whole, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (n > 2048).alias("over_limit"), F.col("tokens.limit_chars").alias("limit_chars"))
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return lm.scored(docs, "held_out")
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(documents(spark, sf_dir).select("doc_id", "text"))

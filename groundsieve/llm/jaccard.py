@@ -125,15 +125,18 @@ def described(docs: DataFrame) -> DataFrame:
         of = Shingles()
         for b in batches:
             sets = [of(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
+            yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
                                 "bits": [bitmap(s) for s in sets], "token": pd.array([None] * len(b), "Int64"), "times": pd.array([None] * len(b), "Int64")})
             classes = list({(len(s), signature(s)): s for s in sets}.values())
             tokens, times = np.unique(np.concatenate([np.empty(0, np.uint64), *classes]), return_counts=True)
             tokens, times = tokens[times > 3].view(np.int64), times[times > 3]
             nothing = pd.array([None] * len(tokens), "Int64")
-            yield pd.DataFrame({"doc_id": nothing, "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
+            yield pd.DataFrame({"doc_id": [None] * len(tokens), "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
 
-    return written(docs.select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, sig long, bits binary, token long, times long"))
+    # ids go through pandas as text: a null must not turn the others into doubles
+    named = docs.select(F.col("doc_id").cast("string"), "text")
+    made = named.mapInPandas(describe, "doc_id string, n long, sig long, bits binary, token long, times long")
+    return written(made.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def frequent(rows: DataFrame) -> np.ndarray:

@@ -267,13 +267,14 @@ def scored(docs: DataFrame, held_out: str) -> DataFrame:
                     else:
                         base, lp, seen = base + k * hit[0], lp + k * hit[1], seen + k * hit[2]
                 sums.append((found.total(), seen, base, lp))
-            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"]).assign(row=b.row.to_numpy(), doc_id=b.doc_id.astype("Int64").array, held=b[held_out].to_numpy(), word=None)
+            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"]).assign(row=b.row.to_numpy(), doc_id=b.doc_id.array, held=b[held_out].to_numpy(), word=None)
             yield done[["row", "doc_id", "held", "word", "k", "known", "base", "lp"]]
-            tail = pd.DataFrame({"row": tail_row, "doc_id": pd.array([None] * len(tail_row), "Int64"), "held": False, "word": tail_word, "k": tail_k})
+            tail = pd.DataFrame({"row": tail_row, "doc_id": None, "held": False, "word": tail_word, "k": tail_k})
             yield tail.assign(known=0, base=0.0, lp=0.0)
 
-    schema = "row long, doc_id long, held boolean, word binary, k long, known long, base double, lp double"
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out)
+    schema = "row long, doc_id string, held boolean, word binary, k long, known long, base double, lp double"
+    # ids go through pandas as text: a null must not turn the others into doubles
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text", held_out)
     made = written(numbered.mapInPandas(score, schema))
     found = made.where("word is not null").select("row", "word", "k").join(table, "word", "left")
     times = F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
@@ -285,6 +286,6 @@ def scored(docs: DataFrame, held_out: str) -> DataFrame:
                                     F.sum("open").alias("tail_open"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return heads.join(sums, "row", "left").select(
-        "doc_id", F.col("held").alias(held_out), F.col("k").alias("n_tokens"), plus("known", "tail_known").cast("long").alias("n_known"),
+        F.col("doc_id").cast("long"), F.col("held").alias(held_out), F.col("k").alias("n_tokens"), plus("known", "tail_known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), plus("base", "tail_base").alias("base_score"), plus("lp", "tail_lp").alias("score"),
         plus("lp", "tail_open").alias("open_score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundsieve.llm import fingerprints, jaccard, language, lm, packing, quality, secrets, token_counts
+from groundsieve.llm import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, quality, secrets, token_counts
 from groundsieve.llm.common import documents, remainder, whole, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,21 +24,19 @@ def query(plan):
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts meet their successors' heads by two joins on the row's number; ids, not texts, are sorted."""
     docs = documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), "doc_id", whole().alias("text"))
-    ids = docs.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"))
-    links = written(fingerprints.successors(ids, "row", "doc_id", "n_chars"))
-    need = F.floor(F.col("n_chars") / 3).cast("int")
-    wanted = links.select(F.col("next_row").alias("row"), F.col("row").alias("for"), need.alias("need"))
-    heads = docs.join(wanted.hint("shuffle_hash"), "row").select(F.col("for").alias("row"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "need")
-    both = docs.join(heads.hint("shuffle_hash"), "row").withColumn("n_chars", F.length("text").cast("long"))
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("need")).cast("int")), "head"))
-    texts = both.select("row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "text"))
-    votes = texts.select("row", "kind", "doc_id", "n_chars", "edited_sha256", F.explode_outer(fingerprints.terms(F.col("text"))).alias("term"))
-    prints = fingerprints.voted(votes, ["row", "kind"], "term", ["doc_id", "n_chars", "edited_sha256"])
+    links = written(fingerprints.successors(docs.select("row", "doc_id", F.length("text").cast("long").alias("n_chars")), "row", "doc_id"))
+    wanted = links.select(F.col("next_row").alias("row"), F.col("row").alias("for"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
+    texts = docs.select("row", "text")  # both joins read this one exchange
+    heads = texts.join(wanted.hint("shuffle_hash"), "row").select(F.col("for").alias("row"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "need")
+    both = texts.join(heads.hint("shuffle_hash"), "row")
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.length("text") - F.col("need")).cast("int")), "head"))
+    both = both.select("row", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "text"))
+    votes = both.select("row", "kind", "edited_sha256", F.explode_outer(fingerprints.terms(F.col("text"))).alias("term"))
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("bits")))
-    prints = written(prints.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"),
-                                               F.first("edited_sha256").alias("edited_sha256"), of(0).alias("own"), of(1).alias("changed")))
+    prints = fingerprints.voted(votes, ["row", "kind", "edited_sha256"], "term").groupBy("row", "edited_sha256")
+    prints = written(prints.agg(of(0).alias("own"), of(1).alias("changed")))
     following = prints.select(F.col("row").alias("next_row"), F.col("own").alias("next"))
-    done = prints.join(links.select("row", "next_row"), "row").join(following, "next_row")
+    done = prints.join(links, "row").join(following, "next_row")
     return done.select("doc_id", "n_chars", "edited_sha256", fingerprints.as_hex(F.col("own")).alias("fingerprint"),
                        fingerprints.as_hex(F.col("changed")).alias("edited_fingerprint"),
                        fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
@@ -52,6 +50,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every whole text: doc_id, paragraph, family, probability, likeness."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs), keep=["doc_id"])
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every whole text, within 8 % edits."""
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")

@@ -18,6 +18,7 @@ Null texts and texts without words have an empty set, link with nothing and are
 exact copies. A null id never names a component unless every id in it is null. An empty table gives an empty table.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +26,72 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundsieve.llm.bpe import Cache
 from groundsieve.llm.common import written
 from groundsieve.llm.components import components
 
-WIDTH, HOT, SALTS, BLOCK, MEMBERS = 5, 1 << 17, 32, 1024, 256
+WIDTH, HOT, SALTS, BLOCK, MEMBERS, GROUP = 5, 1 << 17, 32, 1024, 256, 512
 BITS = 2048  # of a parity bitmap
 KEEP = 2_000_000  # class signatures that are broadcast at most (16 MB); beyond, sets are picked by a join
 _MULTIPLIERS = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-class Shingles:
-    """Text to the ascending array of its distinct shingle hashes."""
-
-    def __init__(self):
-        self.known = Cache(xxhash.xxh64_intdigest, most=400_000)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII white-space bytes only
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        n, width = max(1, len(h) - WIDTH + 1), min(WIDTH, len(h))
-        s = np.full(n, width, np.uint64)
-        for k in range(width):
-            s = (s ^ h[k : k + n]) * _MULTIPLIERS[k]
-            s ^= s >> np.uint64(31)
-        return np.unique(s)
+_BASE, _CHUNK = 0x5851F42D4C957F2D, 1 << 20
+_BLANK = bytes(k in (9, 10, 11, 12, 13, 32) for k in range(256))
+_powers = np.ones(0, np.uint64), np.ones(0, np.uint64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^64, grown when a longer chunk comes."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = max(1 << 14, 2 * n)
+        inverse = pow(_BASE, -1, 1 << 64)
+        _powers = tuple(np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, x))) for x in (np.uint64(_BASE), np.uint64(inverse)))
+    return _powers
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def _chunk_hashes(data: bytes) -> np.ndarray:
+    b, blank = np.frombuffer(data, np.uint8), np.frombuffer(b"\x01" + data.translate(_BLANK) + b"\x01", np.uint8)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    power, inverse = _power_tables(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(b * power[: len(b)], out=total[1:])
+    first, after = edges[::2], edges[1::2]
+    return _mixed((total[after] - total[first]) * inverse[first] + (after - first).astype(np.uint64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of every word, from all bytes at once: a polynomial in the place inside the word, then mixed."""
+    data = text.encode().lower()  # on bytes: A-Z only, and the six ASCII white-space bytes part words
+    if len(data) <= _CHUNK:
+        return _chunk_hashes(data)
+    parts, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > _CHUNK and (cut := re.compile(rb"[\t-\r ]").search(data, at + _CHUNK)):
+            end = cut.end()
+        parts.append(_chunk_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The ascending array of a text's distinct shingle hashes."""
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
+    n, width = max(1, len(h) - WIDTH + 1), min(WIDTH, len(h))
+    s = np.full(n, width, np.uint64)
+    for k in range(width):
+        s = (s + h[k : k + n]) * _MULTIPLIERS[k]
+        s ^= s >> np.uint64(31)
+    s.sort()
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def signature(s: np.ndarray) -> int:
@@ -119,23 +159,22 @@ def _bits(column: pd.Series) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n, sig, bits; besides, rows (token, times) of each batch's frequent shingles."""
+    """Per row of ``docs`` (row, doc_id, text): row, doc_id, n, sig, bits; besides, rows (token, times) of each batch's frequent shingles."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Shingles()
         for b in batches:
-            sets = [of(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
+            sets = [shingles(t) for t in b.text]
+            yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id, "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
                                 "bits": [bitmap(s) for s in sets], "token": pd.array([None] * len(b), "Int64"), "times": pd.array([None] * len(b), "Int64")})
             classes = list({(len(s), signature(s)): s for s in sets}.values())
             tokens, times = np.unique(np.concatenate([np.empty(0, np.uint64), *classes]), return_counts=True)
             tokens, times = tokens[times > 3].view(np.int64), times[times > 3]
             nothing = pd.array([None] * len(tokens), "Int64")
-            yield pd.DataFrame({"doc_id": [None] * len(tokens), "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
+            yield pd.DataFrame({"row": nothing, "doc_id": [None] * len(tokens), "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
 
     # ids go through pandas as text: a null must not turn the others into doubles
-    named = docs.select(F.col("doc_id").cast("string"), "text")
-    made = named.mapInPandas(describe, "doc_id string, n long, sig long, bits binary, token long, times long")
+    named = docs.select("row", F.col("doc_id").cast("string"), "text")
+    made = named.mapInPandas(describe, "row long, doc_id string, n long, sig long, bits binary, token long, times long")
     return written(made.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -163,11 +202,11 @@ def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, hot, seen = Shingles(), shared.value, set()
+        hot, seen = shared.value, set()
         for b in batches:
             tokens, sigs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for t in b.text:
-                s = of(t)
+                s = shingles(t)
                 sig = signature(s)
                 if len(s) and sig not in seen:
                     if len(seen) < 1_000_000:
@@ -217,11 +256,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sigs)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, sigs, seen = Shingles(), shared.value, set()
+        sigs, seen = shared.value, set()
         for b in batches:
             rows = []
             for t in b.text:
-                s = of(t)
+                s = shingles(t)
                 sig = signature(s)
                 at = 0 if sigs is None or not len(sigs) else min(int(np.searchsorted(sigs, sig)), len(sigs) - 1)
                 if sig not in seen and (sigs is None or (len(sigs) and sigs[at] == sig)):
@@ -237,58 +276,71 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Pairs that link, by prefix trees of at most about ``MEMBERS`` sets; a large star is cut by salt."""
+    """Pairs that link, by prefix trees of about ``MEMBERS`` sets; a larger star is cut by salt, small ones share a group."""
+    groups = max(1, -(-pairs.count() // GROUP))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("sig"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("sig"))
-    rows = members.union(heads).join(sets, "sig")
+    rows = members.union(heads).join(sets, "sig").withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
     shared = pairs.sparkSession.sparkContext.broadcast(hot)
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        a, items = g.a.iloc[0], {s: np.frombuffer(i, np.uint64) for s, i in zip(g.sig, g["items"])}
-        probe = items.pop(a, None)
-        if probe is None or not items:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ok = tree_links(probe, list(items.values()), shared.value)
-        return pd.DataFrame({"a": a, "b": np.fromiter(items, np.int64)[ok]})
+        stars: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+        for a, part, sig, items in zip(g.a, g.part, g.sig, g["items"]):
+            stars.setdefault((a, part), {})[sig] = np.frombuffer(items, np.uint64)
+        a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for (a, _), found in stars.items():
+            probe = found.pop(a)
+            if found:
+                ok = np.fromiter(found, np.int64)[tree_links(probe, list(found.values()), shared.value)]
+                a_out.append(np.full(len(ok), a))
+                b_out.append(ok)
+        return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
-    return rows.groupBy("a", "part").applyInPandas(walk, "a long, b long")
+    return rows.groupBy("g").applyInPandas(walk, "a long, b long")
 
 
 def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Open pairs between components inside posting lists, in blocks of about ``BLOCK`` members."""
     named = shared.select("token", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lists = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"),
-                                       F.bit_xor(F.xxhash64("sig")).alias("members")).where("low <> high")
+                                       F.bit_xor(F.xxhash64("sig")).alias("members")).where("low <> high and m > 2")  # a pair has met as a star
     lists = lists.groupBy("m", "members").agg(F.min("token").alias("token"))  # lists of the same classes are compared once
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     placed = named.join(lists.select("token", blocks.alias("blocks")), "token").withColumn("own", own)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "label").join(classes, "sig")
+    groups = max(1, -(-int(lists.agg(F.sum(F.col("m") * blocks).alias("n")).first().n or 0) // (8 * BLOCK)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+
+    def open_pairs(bits, n, label, sig, own, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        kinds, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort([of, -sizes[of]])  # the largest component first: only the rest starts comparisons
+        bits, n, of, sig, own = bits[order], n[order], of[order], sig[order], own[order]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(int(sizes.max()), len(of)):
+            before = np.flatnonzero((of[:k] != of[k]) & (5 * n[:k] >= 4 * n[k]) & (5 * n[k] >= 4 * n[:k]))
+            if apart:
+                before = before[own[before] != own[k]]
+            hit = sig[before[_may_link(n[before], n[k], bits[before], bits[k])]]
+            a.append(np.minimum(sig[k], hit))
+            b.append(np.maximum(sig[k], hit))
+        return np.concatenate(a), np.concatenate(b)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g.i.iloc[0], g.j.iloc[0]
-        bits, n, label, sig, own = _bits(g["bits"]), g.n.to_numpy(), g.label.to_numpy(), g.sig.to_numpy(), g.own.to_numpy()
-        sizes = pd.Series(label).map(pd.Series(label).value_counts()).to_numpy()
-        order = np.lexsort([label, -sizes])  # the largest component first: only the rest starts comparisons
-        bits, n, label, sig, own = bits[order], n[order], label[order], sig[order], own[order]
-        a, b = [], []
-        for k in np.flatnonzero(label != label[0]):
-            before = np.flatnonzero(label[:k] != label[k])
-            if i != j:
-                before = before[own[before] != own[k]]
-            before = before[(5 * n[before] >= 4 * n[k]) & (5 * n[k] >= 4 * n[before])]
-            hit = before[_may_link(n[before], n[k], bits[before], bits[k])]
-            a += [min(sig[k], sig[h]) for h in hit]
-            b += [max(sig[k], sig[h]) for h in hit]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        g = g.sort_values(["token", "i", "j"], kind="stable")
+        at = np.flatnonzero(np.append(True, (np.diff(g[["token", "i", "j"]].to_numpy(), axis=0) != 0).any(1)))
+        bits, columns = _bits(g["bits"]), [g[c].to_numpy() for c in ("n", "label", "sig", "own")]
+        apart = g.i.to_numpy() != g.j.to_numpy()
+        found = [open_pairs(bits[x:y], *[c[x:y] for c in columns], bool(apart[x])) for x, y in zip(at, np.append(at[1:], len(g)))]
+        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
-    return rows.select("token", "i", "j", "own", "sig", "label", "n", "bits").groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.select("g", "token", "i", "j", "own", "sig", "label", "n", "bits").groupBy("g").applyInPandas(compare, "a long, b long").distinct()
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (columns doc_id, text)."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n and label of every row of ``docs`` (row, doc_id, text): equal labels are linked, null ones are empty."""
     rows = described(docs)
     hot = frequent(rows)
     per_row = rows.where("token is null")
@@ -303,7 +355,26 @@ def join_components(docs: DataFrame) -> DataFrame:
         links = written(links.union(verified(more, sets_of(docs, ends(more)), hot)))
         labels = components(links)
     named = per_row.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
+    return named.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
+
+
+def _numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows numbered by their place in storage: ``docs`` must come straight from files, so that a repeated read agrees."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), *columns)
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (columns doc_id, text)."""
+    named = labelled(_numbered(docs, "doc_id", "text"))
     first = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
     linked = named.join(first, "label", "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest id stays (nulls last, ties by place)."""
+    named = written(labelled(_numbered(docs, "doc_id", "text")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = named.where("label is not null").groupBy("label").agg(F.min(order).alias("best"))
+    kept = best.select(F.col("best.row").alias("row")).union(named.where("label is null").select("row"))
+    return _numbered(docs, *docs.columns).join(kept, "row", "left_semi").select(*docs.columns)

@@ -92,18 +92,18 @@ def battery(run: Column, kind: Column) -> Column:
     return F.element_at(F.transform(F.array(chars), lambda c: tests(c, size, alphabet)), 1)
 
 
-def candidates(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """``keep`` columns, base spans and tested candidate runs of every text, as a table in the shared folder."""
+def tested(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``base`` spans and ``runs``, the candidates with stratum and p-value, of every text."""
     base = F.concat(_spans(text, ASSIGN, 0, lambda s: F.length(s["found"]) >= 6, group=2), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
     runs = _spans(text, RUN, 3, lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]"))
     found = df.select(*keep, base.alias("base"), runs.alias("runs"))
     apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     found = found.withColumn("runs", F.filter("runs", apart))
-    tested = F.transform("runs", lambda r: F.struct(r["start"], r["end"], r["found"], encoding(r["found"]).alias("encoding"),
+    coded = F.transform("runs", lambda r: F.struct(r["start"], r["end"], r["found"], encoding(r["found"]).alias("encoding"),
                                                     F.floor(F.log2(r["end"] - r["start"])).cast("int").alias("octave")))
-    scored = F.transform(tested, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), (r["encoding"] * 100 + r["octave"]).alias("stratum"),
+    scored = F.transform(coded, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), (r["encoding"] * 100 + r["octave"]).alias("stratum"),
                                                     battery(r["found"], r["encoding"]).alias("p")))
-    return written(found.select(*keep, "base", scored.alias("runs")))
+    return found.select(*keep, "base", scored.alias("runs"))
 
 
 def thresholds(found: DataFrame) -> dict[int, float]:
@@ -118,10 +118,8 @@ def thresholds(found: DataFrame) -> dict[int, float]:
     return {r.stratum: r.p for r in passed.collect()}
 
 
-def find(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+def decided(found: DataFrame, keep: list[str], cut: dict[int, float]) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans``: arrays of (start, kind, end) in order of start, then kind."""
-    found = candidates(df, text, keep)
-    cut = thresholds(found)
     table = F.create_map(*[F.lit(x) for k, p in sorted(cut.items()) for x in (k, p)]) if cut else F.create_map().cast("map<int,double>")
     random = F.transform(F.filter("runs", lambda r: r["p"] > F.coalesce(table[r["stratum"]], F.lit(0.0))),
                          lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
@@ -129,6 +127,18 @@ def find(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     return found.select(*keep, F.array_sort(plain).alias("base"), F.array_sort(F.concat(plain, random)).alias("spans"))
 
 
+def find(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """``decided`` over one pass of the texts; ``keep`` should be narrow, since it is written with the candidates."""
+    found = written(tested(df, text, keep))
+    return decided(found, keep, thresholds(found))
+
+
+def find_wide(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """``decided`` over two passes, for wide ``keep``: only the candidates of the first are written."""
+    cut = thresholds(written(tested(df, text, []).select("runs").where(F.size("runs") > 0)))
+    return decided(tested(df, text, keep), keep, cut)
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -61,8 +61,12 @@ LITHO_RULES = (
 )
 
 
+#: White space that is stripped from legend text: the ASCII kinds and the Unicode blanks.
+BLANK = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
 def _clean(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit("")))
+    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
 
 
 def _first_match(text: Column, rules: Sequence[tuple[str, Sequence[str]]], names: Sequence[str], start=None):

@@ -109,8 +109,15 @@ def usable_folds(cell_folds: DataFrame, k: int, radius: int) -> DataFrame:
 
 
 def buffered_train(df: DataFrame, cell_folds: DataFrame, k: int, radius: int) -> DataFrame:
-    """Train rows per fold, without rows within ``radius`` cells of a test cell."""
+    """Train rows per fold, without rows within ``radius`` cells of a test cell.
+
+    A fold whose test cells leave no train cell is an error: one bounded look at the cell table.
+    """
     usable = usable_folds(cell_folds, k, radius).select(*CELL, "usable")
+    left = {r.fold for r in usable.select(F.explode("usable").alias("fold")).distinct().collect()}
+    tested = {r.fold for r in cell_folds.select("fold").distinct().collect()}
+    if empty := sorted(tested - left):
+        raise ValueError(f"no train cell is left for folds {empty} at radius {radius}")
     return (df.drop("fold").join(checked_broadcast(usable, MAX_LEVEL2_CELLS), CELL)
             .withColumn("fold", F.explode("usable")).drop("usable"))
 

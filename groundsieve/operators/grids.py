@@ -49,11 +49,14 @@ def halo(t: DataFrame, halo_km: float) -> DataFrame:
                           "lon_min": F.col("lon_min") - dlon, "lon_max": F.col("lon_max") + dlon})
 
 
-def halo_rows(df: DataFrame, widened: DataFrame, reach: int, level: int = 2) -> DataFrame:
-    """Rows inside each widened tile (P2): rows look up the tiles of the ``reach`` cells around
-    their own by equi-join, then the bounds decide."""
-    r, c = mesh.mesh_row(F.col("latitude_deg"), level), mesh.mesh_col(F.col("longitude_deg"), level)
-    near = mesh.ring(widened.select("mesh_row", "mesh_col", "tile_id"), reach, keep=["tile_id"]) if reach else widened.select("tile_id", "mesh_row", "mesh_col")
+def halo_rows(df: DataFrame, widened: DataFrame, level: int = 2) -> DataFrame:
+    """Rows inside each widened tile (P2): a tile is listed under every cell that its widened
+    bounds touch, however wide, rows look up their own cell by equi-join, then the bounds decide."""
+    row, col = (lambda v: mesh.mesh_row(F.col(v), level)), (lambda v: mesh.mesh_col(F.col(v), level))
+    r, c = row("latitude_deg"), col("longitude_deg")
+    span = lambda f, lo, hi: F.explode(F.sequence(f(lo), f(hi)))
+    near = widened.select("tile_id", "lon_min", "lon_max", span(row, "lat_min", "lat_max").alias("mesh_row")).select(
+        "tile_id", "mesh_row", span(col, "lon_min", "lon_max").alias("mesh_col"))
     looked = df.withColumns({"mesh_row": r, "mesh_col": c}).join(near, ["mesh_row", "mesh_col"])
     b = widened.select("tile_id", "lat_min", "lat_max", "lon_min", "lon_max")
     return (looked.join(b, "tile_id").where(F.col("latitude_deg").between(F.col("lat_min"), F.col("lat_max"))

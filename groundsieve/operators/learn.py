@@ -28,11 +28,14 @@ FOLD_THREADS = 3
 
 
 def assemble(df: DataFrame, numeric: Sequence[str] = NUMERIC, extra: Sequence[str] = ()) -> DataFrame:
-    """Fixed-order feature vector: numeric columns, extras, regime one-hot."""
+    """Fixed-order feature vector: numeric columns, extras, regime one-hot.
+
+    A NULL or NaN feature fails the fit: drop such rows first, behind ``require_complete`` (F8).
+    """
     hot = one_hot(F.col("regime_code"), 8, "_hot")
     wide = df.select("*", *hot)
     names = [*numeric, *extra, *[f"_hot_{i}" for i in range(8)]]
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(wide).drop(*[f"_hot_{i}" for i in range(8)])
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(wide).drop(*[f"_hot_{i}" for i in range(8)])
 
 
 def boosted(label: str, iterations: int = 20, depth: int = 5, seed: int = 42, weight: str | None = None, prediction: str = "prediction") -> GBTRegressor:
@@ -110,9 +113,9 @@ def out_of_bag(df: DataFrame, estimator: Callable[[], object], k: int, seed: int
         return model.transform(rows.where(F.col("_inner") == i)).withColumnRenamed("prediction", name)
 
     out = each_fold(k, run).drop("_inner")
-    missing = out.where(F.col(name).isNull()).limit(1).count()
-    if missing:
-        raise ValueError("some rows have no out-of-bag prediction")
+    given, predicted = df.count(), out.where(F.col(name).isNotNull()).count()
+    if given != predicted:
+        raise ValueError(f"{given - predicted} of {given} rows have no out-of-bag prediction")
     return out
 
 

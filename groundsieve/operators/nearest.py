@@ -206,6 +206,13 @@ def nearest_in_memory(q: np.ndarray, p: np.ndarray, keys: np.ndarray, k: int, ma
     return idx, d2
 
 
+def located(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows whose coordinates are all numbers."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return df
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, point_key: str,
              coords: Sequence[str], payload: Sequence[str] = (), max_distance: float | None = None,
              segments: Sequence[str] | None = None, rows_per_tile: int = ROWS_PER_TILE,
@@ -215,7 +222,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
 
     ``coords`` are Euclidean columns of both sides. With ``segments`` = (x1, y1, x2, y2) the
     points are segments and ``coords`` the two axes of the queries (J3). Queries with no
-    neighbour within ``max_distance`` are left out.
+    neighbour within ``max_distance`` are left out, and so are rows of either side with a NULL or
+    NaN coordinate.
     """
     spark = queries.sparkSession
     coords, payload = list(coords), list(payload)
@@ -226,6 +234,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
                       *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(payload)])
     axes = [f"_c{i}" for i in range(len(coords))]
     shape = [f"_s{i}" for i in range(len(shape))]
+    q, p = located(q, axes), located(p, shape)
     if segments:
         p = p.withColumns({"_c0": (F.col("_s0") + F.col("_s2")) / 2, "_c1": (F.col("_s1") + F.col("_s3")) / 2,
                            "_l0": F.least("_s0", "_s2"), "_h0": F.greatest("_s0", "_s2"),
@@ -285,10 +294,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
         dist = np.sqrt(d2)
         vals = [b[f"_v{i}"].to_numpy(float) for i in range(len(payload))]
         rows = np.flatnonzero(hit)
-        data = {"_q": a["_q"].to_numpy()[rows] if len(a) else [], "distances": [dist[r, :hit[r]] for r in rows],
-                "neighbours": [keys[idx[r, :hit[r]]] for r in rows]}
-        for i, v in enumerate(vals):
-            data[f"_v{i}"] = [v[idx[r, :hit[r]]] for r in rows]
+        lists = {"distances": [dist[r, :hit[r]] for r in rows], "neighbours": [keys[idx[r, :hit[r]]] for r in rows]}
+        lists |= {f"_v{i}": [v[idx[r, :hit[r]]] for r in rows] for i, v in enumerate(vals)}
+        # a group without any hit still needs list-typed columns
+        data = {"_q": a["_q"].to_numpy()[rows] if len(a) else []} | {c: pd.Series(v, dtype=object) for c, v in lists.items()}
         return pd.DataFrame(data)
 
     left = left.repartition(parts, "_qt", "_qs", "_group")

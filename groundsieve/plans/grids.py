@@ -50,7 +50,7 @@ def p2_halo_bounds(spark, sf):
 @query("p2_halo_rows", check_sql("""
 select tile_id, count(*) as n_rows, round(sum(n_value), 6) as n_sum from fx_halo join fx_raw on latitude_deg between lat_min and lat_max and longitude_deg between lon_min and lon_max group by tile_id""", TILES_CTE, HALO_CTE))
 def p2_halo_rows(spark, sf):
-    rows = gr.halo_rows(inputs.measurements(spark, sf).drop("mesh_row", "mesh_col"), gr.halo(study_tiles(spark, sf), 2.0), reach=1)
+    rows = gr.halo_rows(inputs.measurements(spark, sf).drop("mesh_row", "mesh_col"), gr.halo(study_tiles(spark, sf), 2.0))
     return rows.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.sum("n_value")).alias("n_sum"))
 
 

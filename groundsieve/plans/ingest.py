@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,17 +10,18 @@ from groundsieve.operators import quality
 from groundsieve.plans import inputs
 from groundsieve.plans.inputs import check_sql
 from groundsieve.plans.registry import query, rounded
+from groundsieve.session import local_folder
 from groundsieve.sources import layers, measurements, summaries
 
 
 def scratch(spark, name: str) -> str:
     """A new folder for a written layer: beside the shared checkpoints if the session names a
-    folder, else a temporary one."""
+    folder, else a temporary one on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         stamp = spark.sql("select uuid()").first()[0]
         return f"{shared.rstrip('/')}/{name}-{stamp}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)
+    return os.path.join(local_folder(spark), name)
 
 
 RAW_COLS = ["latitude_deg", "longitude_deg", "spt_start_depth", "n_value", "mouth_elevation"]

@@ -29,6 +29,8 @@ SAMPLES = [
     ("", " ", "", ""),
     ("X", "時代未詳", "その他", "その他の岩石"),
     ("S", "中生代", "大陸地殻深部", "礫岩・チャート"),
+    ("W", "　中生代 三畳紀　", "　変成岩　", "\u2003結晶片岩\u00a0"),
+    ("U", "　", "　", "\u3000\u2009"),
 ]
 
 
@@ -39,13 +41,13 @@ def _q(v):
 SAMPLES_CTE = ("samples(i, symbol, formation_age_ja, group_ja, lithology_ja) as (values "
                + ", ".join(f"({i}, {', '.join(_q(v) for v in s)})" for i, s in enumerate(SAMPLES)) + "),\n"
                "fx_legend as (select boring_key, latitude_deg, longitude_deg, symbol, formation_age_ja, group_ja, lithology_ja "
-               "from fx_loc join samples on i = boring_key % 16)")
+               "from fx_loc join samples on i = boring_key % 18)")
 
 
 def legend_rows(spark, sf):
     fields = [f.name for f in legend_struct()]
     pick = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(fields, s)]) for s in SAMPLES])
-    return locations(spark, sf).select("boring_key", "latitude_deg", "longitude_deg", F.get(pick, (F.col("boring_key") % 16).cast("int")).alias("_s")).select(
+    return locations(spark, sf).select("boring_key", "latitude_deg", "longitude_deg", F.get(pick, (F.col("boring_key") % 18).cast("int")).alias("_s")).select(
         "boring_key", "latitude_deg", "longitude_deg", "_s.*")
 
 
@@ -63,7 +65,8 @@ def _rule_sql(text: str, rules, names) -> str:
 
 
 def _clean(c):
-    return f"trim(coalesce({c}, ''))"
+    blank = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    return f"regexp_replace(coalesce({c}, ''), '^{blank}+|{blank}+$', '', 'g')"
 
 
 REGIME_SQL = ("case " + _rule_sql(_clean("lithology_ja"), legend.REGIME_LITHOLOGY, legend.REGIMES) + " "

@@ -116,13 +116,13 @@ def j14_paired_models(spark, sf):
 
 @query("e11_paired_bca", check_sql(f"""
 select round(theta, 6) as difference, round(z0, 6) as bias_correction, round(acc, 6) as acceleration,
-  round(ts[cast(floor(p_lo * 199) as int) + 1] + (ts[cast(ceil(p_lo * 199) as int) + 1] - ts[cast(floor(p_lo * 199) as int) + 1]) * (p_lo * 199 - floor(p_lo * 199)), 6) as ci_lo,
-  round(ts[cast(floor(p_hi * 199) as int) + 1] + (ts[cast(ceil(p_hi * 199) as int) + 1] - ts[cast(floor(p_hi * 199) as int) + 1]) * (p_hi * 199 - floor(p_hi * 199)), 6) as ci_hi
+  round(ts[cast(floor(p_lo * 499) as int) + 1] + (ts[cast(ceil(p_lo * 499) as int) + 1] - ts[cast(floor(p_lo * 499) as int) + 1]) * (p_lo * 499 - floor(p_lo * 499)), 6) as ci_lo,
+  round(ts[cast(floor(p_hi * 499) as int) + 1] + (ts[cast(ceil(p_hi * 499) as int) + 1] - ts[cast(floor(p_hi * 499) as int) + 1]) * (p_hi * 499 - floor(p_hi * 499)), 6) as ci_hi
 from (select *, {cdf_sql('w_lo')} as p_lo, {cdf_sql('w_hi')} as p_hi from (
   select *, z0 + (z0 - 1.959963984540054e0) / (1 - acc * (z0 - 1.959963984540054e0)) as w_lo,
     z0 + (z0 + 1.959963984540054e0) / (1 - acc * (z0 + 1.959963984540054e0)) as w_hi from (
   select *, {quantile_sql('share')} as z0 from (
-    select theta, acc, ts, least(greatest(cast(len(list_filter(ts, lambda x: x < theta)) as double) / 200, 1e-6), 1 - 1e-6) as share
+    select theta, acc, ts, least(greatest(cast(len(list_filter(ts, lambda x: x < theta)) as double) / 500, 1e-6), 1 - 1e-6) as share
     from theta_row, acc_row, boot_row))))""", f"""
 cells as (select mesh_code, row_number() over (order by mesh_code) - 1 as i, n, a, b from (
   select ((mesh_row // 8) * 100 + (mesh_col // 8)) * 100 + (mesh_row % 8) * 10 + (mesh_col % 8) as mesh_code, count(*) as n,
@@ -130,7 +130,7 @@ cells as (select mesh_code, row_number() over (order by mesh_code) - 1 as i, n,
 tot as (select count(*) as c, sum(n) as n, sum(a) as a, sum(b) as b from cells),
 theta_row as (select sqrt(a / n) - sqrt(b / n) as theta from tot),
 picks as (select draw, cast('0x' || substr(md5('11:' || cast(draw as varchar) || ':' || cast(j as varchar)), 1, 12) as bigint) % c as i
-  from tot, (select unnest(range(1, 201)) as draw) d, (select unnest(range(1, (select c + 1 from tot))) as j) jj),
+  from tot, (select unnest(range(1, 501)) as draw) d, (select unnest(range(1, (select c + 1 from tot))) as j) jj),
 boot_row as (select list_sort(list(t)) as ts from (
   select draw, sqrt(sum(a) / sum(n)) - sqrt(sum(b) / sum(n)) as t from picks join cells using (i) group by draw)),
 jack as (select sqrt((t.a - c.a) / (t.n - c.n)) - sqrt((t.b - c.b) / (t.n - c.n)) as t from cells c, tot t),
@@ -138,5 +138,5 @@ acc_row as (select sum(pow(m - t, 3)) / (6 * pow(sum(pow(m - t, 2)), 1.5e0)) as
 def e11_paired_bca(spark, sf):
     p = inputs.predictions(spark, sf).withColumns({
         "mesh_code": pack(F.col("mesh_row"), F.col("mesh_col")), "pred_b": 0.9 * F.col("y_pred") + 1})
-    out = errors.paired_bca(p, "y_pred", "pred_b", "mesh_code", draws=200, seed=11)
+    out = errors.paired_bca(p, "y_pred", "pred_b", "mesh_code", draws=500, seed=11)
     return rounded(out, "difference", "bias_correction", "acceleration", "ci_lo", "ci_hi")

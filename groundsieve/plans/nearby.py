@@ -8,7 +8,6 @@ from groundsieve.functions import geo
 from groundsieve.operators import layers as lay, nearest, pairs
 from groundsieve.operators.errors import residual
 from groundsieve.operators.profiles import LOC
-from groundsieve.operators.quality import exact_sample
 from groundsieve.plans import inputs
 from groundsieve.plans.ingest import POLYGON_CTE, SEGMENTS_CTE, line_features, region_polygons
 from groundsieve.plans.inputs import check_sql
@@ -130,32 +129,28 @@ def j7_knn_join(spark, sf):
 
 @query("j8_radius_join", check_sql("""
 select boring_key, round(latitude_deg, 6) as latitude_deg from fx_loc p where exists (select 1 from fx_loc q where q.regime_code = 6 and
-  2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(p.latitude_deg - q.latitude_deg) / 2), 2) + cos(radians(q.latitude_deg)) * cos(radians(p.latitude_deg)) * pow(sin(radians(p.longitude_deg - q.longitude_deg) / 2), 2))) <= 8)
-order by md5('1:' || cast(boring_key as varchar)), boring_key limit 400""", LOC_CTE))
+  2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(p.latitude_deg - q.latitude_deg) / 2), 2) + cos(radians(q.latitude_deg)) * cos(radians(p.latitude_deg)) * pow(sin(radians(p.longitude_deg - q.longitude_deg) / 2), 2))) <= 8)""", LOC_CTE))
 def j8_radius_join(spark, sf):
-    """At most 400 boreholes within 8 km of a limestone borehole: the local update's data cap."""
+    """All boreholes within 8 km of a limestone borehole."""
     x, y, z = geo.sphere_xyz(F.col("latitude_deg"), F.col("longitude_deg"))
     p = locations(spark, sf).withColumns({"x": x, "y": y, "z": z})
     near = nearest.within_radius(p, p.where("regime_code = 6"), geo.arc_to_chord_km(8.0), point_key="boring_key", coords=["x", "y", "z"])
-    return rounded(exact_sample(near, 400, "boring_key", 1).select("boring_key", "latitude_deg"), "latitude_deg")
+    return rounded(near.select("boring_key", "latitude_deg"), "latitude_deg")
 
 
 LAG_CTE = HOLES_CTE + """,
-smp as (select * from fx_holes order by md5('9:' || cast(boring_key as varchar)), boring_key limit 800),
 lags as (select cast(floor(d / 5) as int) as lag, count(*) as n_pairs, avg(e * e) / 2 as gamma from (
-  select sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, a.err - b.err as e from smp a join smp b on a.boring_key < b.boring_key) where d < 100 group by 1)"""
+  select sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, a.err - b.err as e from fx_holes a join fx_holes b on a.boring_key < b.boring_key) where d < 100 group by 1)"""
 
 
 @query("j12_e13_variogram", check_sql("select lag, n_pairs, round(gamma, 6) as gamma from lags", LAG_CTE))
 def j12_e13_variogram(spark, sf):
-    s = exact_sample(holes(spark, sf), 800, "boring_key", 9)
-    return rounded(pairs.lag_pairs(s, "boring_key", "x", "y", "err"), "gamma")
+    return rounded(pairs.lag_pairs(holes(spark, sf), "boring_key", "x", "y", "err"), "gamma")
 
 
 @query("e13_sill", check_sql("select round(avg(gamma) filter ((lag + 0.5e0) * 5 > 50), 6) as sill from lags", LAG_CTE))
 def e13_sill(spark, sf):
-    s = exact_sample(holes(spark, sf), 800, "boring_key", 9)
-    return rounded(pairs.sill(pairs.lag_pairs(s, "boring_key", "x", "y", "err")), "sill")
+    return rounded(pairs.sill(pairs.lag_pairs(holes(spark, sf), "boring_key", "x", "y", "err")), "sill")
 
 
 @query("e14_morans_i", check_sql("""

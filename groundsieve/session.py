@@ -26,11 +26,18 @@ def build_session(app: str = "groundsieve", master: str | None = None, partition
     return b.getOrCreate()
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A new temporary folder, on a local master only."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is used only where
-    neither that setting nor an earlier call has named one (local tests).
+    The folder is the session's ``spark.checkpoint.dir``. Without one, a local master gets a
+    temporary folder; a cluster is refused, since its executors do not share one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -39,5 +46,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if shared and not current:
         sc.setCheckpointDir(shared)
     elif not current:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(local_folder(spark))
     return df.checkpoint(eager=True)

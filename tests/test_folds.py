@@ -65,3 +65,10 @@ def test_broadcast_size_is_checked(spark):
     with pytest.raises(Exception, match="more than 5 rows"):
         spark.range(3).join(checked_broadcast(spark.range(10), 5), "id").collect()
     assert spark.range(3).join(checked_broadcast(spark.range(10), 10), "id").count() == 3
+
+
+def test_buffer_that_empties_a_fold_is_an_error(spark):
+    tiny = spark.createDataFrame([(424, c, 10, f) for c, f in ((311, 0), (312, 1), (313, 2))], "mesh_row int, mesh_col int, n_rows long, fold int")
+    rows = tiny.select("mesh_row", "mesh_col", "fold")
+    with pytest.raises(ValueError, match="no train cell"):
+        folds.buffered_train(rows, tiny, 3, 2)

@@ -115,3 +115,11 @@ def test_shuffled_columns_is_a_permutation(spark):
     df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b"), F.lit(1).alias("c"))
     pdf = errors.shuffled_columns(df, ["a", "b"], "k", 1).toPandas()
     assert sorted(pdf["a"]) == [2 * i for i in range(200)] and (pdf["a"] * 3 == pdf["b"] * 2).all() and (pdf["a"] != pdf["k"] * 2).sum() > 150
+
+
+def test_legend_text_is_stripped_of_unicode_blanks(spark):
+    got = spark.range(1).select(legend.regime_code(F.lit("x"), F.lit(""), F.lit("　付加体 "), F.lit("")).alias("wide"),
+                                legend.regime_code(F.lit("x"), F.lit(""), F.lit("付加体"), F.lit("")).alias("plain"),
+                                legend.regime_code(F.lit("　"), F.lit("　"), F.lit("　"), F.lit(" ")).alias("blank"),
+                                legend.regime_code(F.lit(None).cast("string"), F.lit(""), F.lit(""), F.lit("")).alias("none")).first()
+    assert got.wide == got.plain and got.blank == got.none

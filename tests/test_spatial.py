@@ -129,3 +129,41 @@ def test_registry_rejects_duplicates(spark):
     c = lay.Covariate("a", lambda df, n: df)
     with pytest.raises(ValueError):
         lay.apply_registry(spark.range(1), [c, c])
+
+
+def test_knn_without_any_hit_and_without_coordinates(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, None, 0.0), (4, float("nan"), 1.0)], "k long, x double, y double")
+    far = spark.createDataFrame([(9, 500.0, 500.0), (8, None, None)], "q long, x double, y double")
+    args = dict(query_key="q", point_key="k", coords=["x", "y"])
+    assert nearest.knn_join(far, points, 2, max_distance=1.0, **args).count() == 0
+    got = nearest.knn_join(far, points, 3, **args).collect()
+    assert [(r.q, r.neighbours) for r in got] == [(9, [2, 1])]
+
+
+def test_lag_pairs_equal_brute_force_in_crowded_blocks(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, r.uniform(0, 30) if k % 2 else r.uniform(0, 250), r.uniform(0, 250), r.random()) for k in range(120)]
+    got = {g.lag: (g.n_pairs, round(g.gamma, 9)) for g in pairs.lag_pairs(spark.createDataFrame(rows, "k long, x double, y double, v double"), "k", "x", "y", "v", rows_per_part=7).collect()}
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            d = ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+            if d < 100:
+                n, s = want.get(int(d // 5), (0, 0.0))
+                want[int(d // 5)] = (n + 1, s + (a[3] - b[3]) ** 2)
+    assert got == {k: (n, round(s / n / 2, 9)) for k, (n, s) in want.items()}
+
+
+def test_halo_of_several_cells_keeps_every_row(spark):
+    from groundsieve.functions import mesh
+    from groundsieve.operators import grids
+
+    row, col = mesh.mesh_row(F.lit(36.02), 2), mesh.mesh_col(F.lit(139.5), 2)
+    tile = mesh.with_bounds(spark.range(1).select(row.alias("mesh_row"), col.alias("mesh_col"), F.lit(1).cast("long").alias("tile_id")), 2).drop("lat_mid", "lon_mid")
+    rows = spark.range(400).select("id", (F.lit(35.5) + F.col("id") / 400).alias("latitude_deg"), F.lit(139.5).alias("longitude_deg"))
+    wide = grids.halo(tile, 30.0)
+    b = wide.first()
+    want = rows.where(F.col("latitude_deg").between(b.lat_min, b.lat_max)).count()
+    assert grids.halo_rows(rows, wide).count() == want > 150

@@ -45,11 +45,12 @@ def risk_sets(df: DataFrame, risk: str, moments: dict[str, Column], time: str =
     return r.select(time, "d", *[F.col(f"cum_w_{n}").alias(f"s_{n}") for n in items], *[f"e_{n}" for n in items])
 
 
-def cox(df: DataFrame, columns: Sequence[str] = COVARIATES, penalty: float = PENALTY, steps: int = 6, tol: float = 1e-6) -> Cox:
+def cox(df: DataFrame, columns: Sequence[str] = COVARIATES, penalty: float = PENALTY, steps: int = 25, tol: float = 1e-6) -> Cox:
     """Cox proportional hazards with a ridge penalty, ties by Efron.
 
     Newton steps on the driver over a p x p system; the sums behind each step are one Spark
-    aggregation by distinct time and running totals over times.
+    aggregation by distinct time and running totals over times. No convergence within ``steps`` is
+    an error.
     """
     p = len(columns)
     stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -82,6 +83,8 @@ def cox(df: DataFrame, columns: Sequence[str] = COVARIATES, penalty: float = PEN
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the Cox model has not converged after {steps} Newton steps")
     rows.unpersist()
     return Cox(tuple(columns), centre, scale, beta)
 

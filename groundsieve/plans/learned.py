@@ -17,7 +17,8 @@ from groundsieve.plans.nearby import holes
 from groundsieve.plans.registry import query, rounded
 from groundsieve.session import cut_lineage
 
-ITERATIONS = 5  # tree stages of the registered queries; a parameter of every operator
+ITERATIONS = 10  # tree stages of the registered queries; a parameter of every operator
+FOLDS = 3
 COLS = ["row_key", "latitude_deg", "longitude_deg", "depth_from_surface", "absolute_elevation", "river_distance_km", "coast_distance_km",
         "regime_code", "n_value", "fold", "role", "mesh_row", "mesh_col"]
 
@@ -35,37 +36,57 @@ def fold_layout(rows, k: int = 3):
     return out.withColumn("role", role).drop("_own", "_role")
 
 
-def one_fold(spark, sf):
-    return fold_layout(feature_rows(spark, sf), 1).persist()
+def all_folds(spark, sf):
+    return fold_layout(feature_rows(spark, sf), FOLDS).persist()
+
+
+def held_out(run):
+    """``run(i)`` for every fold i; its rows get the fold's number."""
+    return learn.each_fold(FOLDS, lambda i: run(i).withColumn("fold", F.lit(i)))
 
 
 @query("m2_boosted_regressor")
 def m2_boosted_regressor(spark, sf):
-    out = learn.cross_predict(one_fold(spark, sf), 1, lambda: learn.boosted("n_value", ITERATIONS))
+    out = learn.cross_predict(all_folds(spark, sf), FOLDS, lambda: learn.boosted("n_value", ITERATIONS))
     return rounded(out.where("role = 'test'").select("row_key", "y_pred"), "y_pred")
 
 
 @query("m3_forest_with_spread")
 def m3_forest_with_spread(spark, sf):
-    rows = one_fold(spark, sf)
-    model = learn.forest("n_value", trees=8, depth=6).fit(rows.where("role = 'fit'"))
-    out = learn.forest_with_spread(model, rows.where("role = 'test'"))
-    return rounded(out.select("row_key", "y_pred", "y_std"), "y_pred", "y_std")
+    rows = all_folds(spark, sf)
+
+    def run(i: int):
+        here = rows.where(F.col("fold") == i)
+        model = learn.forest("n_value", trees=ITERATIONS, depth=6).fit(here.where("role = 'fit'"))
+        return learn.forest_with_spread(model, here.where("role = 'test'")).select("row_key", "y_pred", "y_std")
+
+    return rounded(held_out(run).drop("fold"), "y_pred", "y_std")
 
 
 @query("m4_t11_classifier_isotonic")
 def m4_t11_classifier_isotonic(spark, sf):
-    """P(N >= 30): boosted classifier, class weight, isotonic on calibration cells; raw and recalibrated scores."""
-    rows = one_fold(spark, sf).withColumn("y", (F.col("n_value") >= 30).cast("int"))
-    fit = rows.where("role = 'fit'")
-    weights = th.class_weights(fit, []).select("weight_positive").scalar()
-    fit = fit.withColumn("_w", F.when(F.col("y") == 1, weights).otherwise(1.0))
-    model = learn.classifier("y", ITERATIONS, weight="_w").fit(fit)
-    scored = learn.with_probability(model, rows.where("role <> 'fit'")).persist()
-    iso = learn.isotonic(scored.where("role = 'cal'"), "p_raw", "y")
-    test = learn.apply_isotonic(iso, scored.where("role = 'test'"), "p_raw", "p_iso")
-    both = test.select("y", F.inline(F.array(F.struct(F.lit("raw").alias("score"), F.col("p_raw").alias("p")), F.struct(F.lit("isotonic").alias("score"), F.col("p_iso").alias("p")))))
-    out = th.brier_and_log_loss(both, ["score"]).join(th.ece(both, ["score"]), "score").join(th.roc_auc(both, ["score"]), "score")
+    """P(N < 5), P(N < 10), P(N >= 30), P(N >= 50) on every fold: boosted classifier, class weight, isotonic on calibration cells; raw and
+    recalibrated scores."""
+    n = F.col("n_value")
+    labels = {"lt5": n < 5, "lt10": n < 10, "ge30": n >= 30, "ge50": n >= 50}
+    jobs = [(name, i) for name in labels for i in range(FOLDS)]
+    rows = all_folds(spark, sf)
+
+    def run(j: int):
+        name, i = jobs[j]
+        here = rows.where(F.col("fold") == i).withColumn("y", labels[name].cast("int"))
+        fit = here.where("role = 'fit'")
+        weights = th.class_weights(fit, []).select("weight_positive").scalar()
+        fit = fit.withColumn("_w", F.when(F.col("y") == 1, weights).otherwise(1.0))
+        model = learn.classifier("y", ITERATIONS, weight="_w").fit(fit)
+        scored = learn.with_probability(model, here.where("role <> 'fit'"))
+        iso = learn.isotonic(scored.where("role = 'cal'"), "p_raw", "y")
+        test = learn.apply_isotonic(iso, scored.where("role = 'test'"), "p_raw", "p_iso")
+        return test.select(F.lit(name).alias("label"), "y", F.inline(F.array(F.struct(F.lit("raw").alias("score"), F.col("p_raw").alias("p")),
+                                                                             F.struct(F.lit("isotonic").alias("score"), F.col("p_iso").alias("p")))))
+
+    both, by = cut_lineage(learn.each_fold(len(jobs), run)), ["label", "score"]
+    out = th.brier_and_log_loss(both, by).join(th.ece(both, by), by).join(th.roc_auc(both, by), by)
     return rounded(out, "brier", "log_loss", "brier_skill", "ece", "auc")
 
 
@@ -75,13 +96,16 @@ TAUS = {"q025": 0.025, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q975": 0.975}
 @query("m5_quantile_boosting")
 def m5_quantile_boosting(spark, sf):
     """Five quantiles, conformalised on calibration rows: coverage and width before and after."""
-    rows = one_fold(spark, sf)
-    q = learn.boosted_quantiles(rows, "n_value", TAUS, stages=1, fit=F.col("role") == "fit")
-    q = q.withColumn("score", cal.cqr_score(F.col("y_true"), F.col("q025"), F.col("q975")))
-    r = cal.conformal_radii(q.where("role = 'cal'"), [0.95]).select("q").scalar()
-    t = q.where("role = 'test'").withColumn("_r", r)
-    y = F.col("y_true")
-    return rounded(t.groupBy("role").agg(
+    rows = all_folds(spark, sf)
+
+    def run(i: int):
+        q = learn.boosted_quantiles(rows.where(F.col("fold") == i), "n_value", TAUS, stages=1, fit=F.col("role") == "fit")
+        q = q.withColumn("score", cal.cqr_score(F.col("y_true"), F.col("q025"), F.col("q975")))
+        r = cal.conformal_radii(q.where("role = 'cal'"), [0.95]).select("q").scalar()
+        return q.where("role = 'test'").withColumn("_r", r)
+
+    t, y = held_out(run), F.col("y_true")
+    return rounded(t.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - F.col("q50"))).alias("mae_median"),
         F.avg(F.when(y.between(F.col("q025"), F.col("q975")), 1.0).otherwise(0.0)).alias("coverage_raw"),
         F.avg(F.when(y.between(F.col("q025") - F.col("_r"), F.col("q975") + F.col("_r")), 1.0).otherwise(0.0)).alias("coverage_cqr"),
@@ -90,47 +114,47 @@ def m5_quantile_boosting(spark, sf):
 
 @query("m6_local_kriging")
 def m6_local_kriging(spark, sf):
-    """Mean N of held-out boreholes from their 32 nearest training boreholes."""
+    """Mean N of every borehole from its 100 nearest boreholes of the other folds."""
     h = holes(spark, sf)
-    out = kriging.local_kriging(h.where("fold = 0"), h.where("fold <> 0"), 32, key="boring_key", point_key="boring_key", coords=["x", "y"], value="v")
-    return rounded(out, "mean", "std")
+    out = held_out(lambda i: kriging.local_kriging(h.where(F.col("fold") == i), h.where(F.col("fold") != i), 100, key="boring_key", point_key="boring_key",
+                                                   coords=["x", "y"], value="v"))
+    return rounded(out.drop("fold"), "mean", "std")
 
 
 @query("m7_trees_plus_spatial_residual")
 def m7_trees_plus_spatial_residual(spark, sf):
     """Boosted mean plus kriged out-of-bag residuals (20 neighbouring boreholes)."""
     rows = feature_rows(spark, sf).persist()
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    oob = learn.out_of_bag(train, lambda: learn.boosted("n_value", ITERATIONS, 4), 2, seed=5)
     x, y = geo.local_km(F.col("latitude_deg"), F.col("longitude_deg"), 36.0, 139.7)
     site = lambda df, v: df.groupBy("latitude_deg", "longitude_deg").agg(F.avg(v).alias("res")).withColumns(
         {"x": x, "y": y, "site": F.xxhash64("latitude_deg", "longitude_deg")})
-    points = site(oob, F.col("n_value") - F.col("base_pred"))
-    queries = site(test, F.lit(0.0))
-    k = kriging.local_kriging(queries, points, 20, key="site", point_key="site", coords=["x", "y"], value="res")
-    model = learn.boosted("n_value", ITERATIONS, 4).fit(train)
-    out = model.transform(test).withColumn("site", F.xxhash64("latitude_deg", "longitude_deg")).join(k, "site")
-    return rounded(out.select("row_key", (F.col("prediction") + F.col("mean")).alias("y_pred"), F.col("std").alias("y_std")), "y_pred", "y_std")
+
+    def run(i: int):
+        train, test = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
+        oob = learn.out_of_bag(train, lambda: learn.boosted("n_value", ITERATIONS, 4), 2, seed=5)
+        k = kriging.local_kriging(site(test, F.lit(0.0)), site(oob, F.col("n_value") - F.col("base_pred")), 20, key="site", point_key="site",
+                                  coords=["x", "y"], value="res")
+        model = learn.boosted("n_value", ITERATIONS, 4).fit(train)
+        out = model.transform(test).withColumn("site", F.xxhash64("latitude_deg", "longitude_deg")).join(k, "site")
+        return out.select("row_key", (F.col("prediction") + F.col("mean")).alias("y_pred"), F.col("std").alias("y_std"))
+
+    return rounded(held_out(run).drop("fold"), "y_pred", "y_std")
 
 
 @query("m8_residual_hybrid")
 def m8_residual_hybrid(spark, sf):
     """Teacher out-of-bag predictions, a second model on what they miss, re-added by row key."""
     rows = feature_rows(spark, sf).persist()
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    teacher = lambda: learn.forest("n_value", trees=6, depth=5)
-    oob = learn.out_of_bag(train, teacher, 2, seed=9).withColumn("_res", F.col("n_value") - F.col("base_pred"))
-    student = learn.boosted("_res", ITERATIONS, 4).fit(oob)
-    base = teacher().fit(train).transform(test).withColumnRenamed("prediction", "base_pred").select("row_key", "base_pred")
-    extra = student.transform(test).select("row_key", "y_true", F.col("prediction").alias("residual_pred"))
-    out = base.join(extra, "row_key").withColumn("y_pred", F.col("base_pred") + F.col("residual_pred"))
-    return rounded(out.select("row_key", "base_pred", "y_pred"), "base_pred", "y_pred")
+    hybrid = lambda i: learn.residual_hybrid(
+        rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), lambda: learn.forest("n_value", trees=ITERATIONS, depth=5),
+        lambda: learn.boosted("_res", ITERATIONS, 4), target="n_value", key="row_key", seed=9)
+    return rounded(held_out(hybrid).drop("fold"), "base_pred", "y_pred")
 
 
 @query("m9_hurdle")
 def m9_hurdle(spark, sf):
     """Hurdle against single regressor on one fold, with marginal and bucketed radii."""
-    rows = one_fold(spark, sf)
+    rows = fold_layout(feature_rows(spark, sf), 1).persist()
     cells = folds.cell_counts(rows.where("role <> 'test'"))
     parts = folds.split_cells_by_share(cells, {"iso": 0.15, "conf": 0.15}, seed=1042).select("mesh_row", "mesh_col", "part")
     rows = rows.drop("part").join(folds.checked_broadcast(parts, folds.MAX_LEVEL2_CELLS), ["mesh_row", "mesh_col"], "left").withColumn("part", F.coalesce("part", F.lit("test")))
@@ -256,9 +280,10 @@ def m21_buffer_sweep(spark, sf):
 
 @query("m22_local_update")
 def m22_local_update(spark, sf):
-    """Prior predictions at held-out rows, shifted by observations within 3 km."""
+    """Prior predictions of every row, shifted by the other folds' observations within 3 km."""
     p = inputs.predictions(spark, sf)
     x, y = geo.local_km(F.col("latitude_deg"), F.col("longitude_deg"), 36.0, 139.7)
     p = p.select("row_key", "fold", "y_true", "y_pred", "y_std", x.alias("x"), y.alias("y"), (F.col("depth_from_surface") / 10).alias("z"))
-    out = kriging.residual_update(p.where("fold = 0"), p.where("fold <> 0"), key="row_key", point_key="row_key", coords=["x", "y", "z"], radius=3.0, max_points=16)
-    return rounded(out, "mean", "std")
+    out = held_out(lambda i: kriging.residual_update(p.where(F.col("fold") == i), p.where(F.col("fold") != i), key="row_key", point_key="row_key",
+                                                     coords=["x", "y", "z"], radius=3.0, max_points=16))
+    return rounded(out.drop("fold"), "mean", "std")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from groundsieve.functions import geo
@@ -166,13 +168,20 @@ def e14_morans_i(spark, sf):
     return rounded(pairs.morans_i(joined, "err", "errs"), "morans_i")
 
 
+def across_folds(df, k: int, key: str, coords, payload=(), n_folds: int = 3):
+    """The k nearest rows of the other folds, for the rows of every fold."""
+    parts = [nearest.knn_join(df.where(F.col("fold") == i), df.where(F.col("fold") != i), k, query_key=key, point_key=key, coords=coords, payload=payload)
+             for i in range(n_folds)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("e10_distance_cohorts", check_sql("""
 select cohort, count(*) as n_rows, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 6) as rmse from fx_pred join (
   select qk as boring_key, case when d2 < 1 then 0 when d2 < 4 then 1 when d2 < 25 then 2 when d2 < 100 then 3 else 4 end as cohort from nn) using (boring_key) group by cohort""",
-    HOLES_CTE, "te as (select * from fx_holes where fold = 0)", "tr as (select * from fx_holes where fold <> 0)", _knn_sql("te", "tr", 1)))
+    HOLES_CTE, _knn_sql("fx_holes", "fx_holes", 1, "q.fold <> p.fold")))
 def e10_distance_cohorts(spark, sf):
     h = holes(spark, sf)
-    near = nearest.knn_join(h.where("fold = 0"), h.where("fold <> 0"), 1, query_key="boring_key", point_key="boring_key", coords=["x", "y"])
+    near = across_folds(h, 1, "boring_key", ["x", "y"])
     d = F.col("distances")[0]
     c = near.select("boring_key", F.when(d < 1, 0).when(d < 2, 1).when(d < 5, 2).when(d < 10, 3).otherwise(4).alias("cohort"))
     r = residual()
@@ -182,19 +191,19 @@ def e10_distance_cohorts(spark, sf):
 
 @query("m1_idw_boreholes", check_sql("""
 select qk as boring_key, round(sum(pv / pow(greatest(sqrt(d2), 1e-12), 2)) / sum(1 / pow(greatest(sqrt(d2), 1e-12), 2)), 5) as idw from nn group by qk""",
-    HOLES_CTE, "te as (select * from fx_holes where fold = 0)", "tr as (select * from fx_holes where fold <> 0)", _knn_sql("te", "tr", 16)))
+    HOLES_CTE, _knn_sql("fx_holes", "fx_holes", 16, "q.fold <> p.fold")))
 def m1_idw_boreholes(spark, sf):
     h = holes(spark, sf)
-    near = nearest.knn_join(h.where("fold = 0"), h.where("fold <> 0"), 16, query_key="boring_key", point_key="boring_key", coords=["x", "y"], payload=["v"])
+    near = across_folds(h, 16, "boring_key", ["x", "y"], ["v"])
     return near.select("boring_key", F.round(nearest.weighted_mean("v"), 5).alias("idw"))
 
 
 def idw_rows(spark, sf, z_scale: float = 0.001, k: int = 16):
-    """IDW of every test row (fold 0) from all other rows in (x, y, depth)."""
+    """IDW of every row from all rows of the other folds in (x, y, depth)."""
     p = inputs.predictions(spark, sf)
     x, y = geo.local_km(F.col("latitude_deg"), F.col("longitude_deg"), 36.0, 139.7)
     p = p.select("row_key", "fold", "n_value", x.alias("x"), y.alias("y"), (F.col("depth_from_surface") * z_scale).alias("z"))
-    near = nearest.knn_join(p.where("fold = 0"), p.where("fold <> 0"), k, query_key="row_key", point_key="row_key", coords=["x", "y", "z"], payload=["n_value"])
+    near = across_folds(p, k, "row_key", ["x", "y", "z"], ["n_value"])
     return near.select("row_key", nearest.weighted_mean("n_value").alias("y_pred"))
 
 

@@ -78,28 +78,32 @@ def m17_proportional_hazards_test(spark, sf):
 
 @query("m12_cox")
 def m12_cox(spark, sf):
-    """Ridge Cox model on two folds: concordance, and P(stiff within 30 m) scores on the third."""
+    """Ridge Cox model of each fold's complement: concordance, and P(stiff within 30 m) scores on the fold."""
     from groundsieve.functions.mesh import with_mesh
     from groundsieve.session import cut_lineage
 
     rows = cut_lineage(with_mesh(survival_rows(spark, sf)).withColumn("fold", (F.col("mesh_row") + 2 * F.col("mesh_col")) % 3))
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    model = sv.cox(train, steps=4)
-    train, test = train.withColumn("_risk", model.risk()), test.withColumn("_risk", model.risk())
-    c = pairs.concordance(test, [], "surv_time", "surv_event", "_risk")
-    s = sv.survival_at(test, sv.baseline_hazard(train, "_risk"), "_risk", [30.0])
-    s = s.select(F.lit(0).alias("g"), (1 - F.col("surv_30")).alias("p"), ((F.col("surv_event") == 1) & (F.col("surv_time") <= 30)).cast("int").alias("y"))
-    out = th.brier_and_log_loss(s, ["g"]).join(th.roc_auc(s, ["g"]), "g").withColumn("c_index", c.select("c_index").scalar())
-    return rounded(out.select("n", "brier", "auc", "c_index"), "brier", "auc", "c_index")
+
+    def run(i: int):
+        train, test = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
+        model = sv.cox(train)
+        train, test = train.withColumn("_risk", model.risk()), test.withColumn("_risk", model.risk())
+        c = pairs.concordance(test, [], "surv_time", "surv_event", "_risk")
+        s = sv.survival_at(test, sv.baseline_hazard(train, "_risk"), "_risk", [30.0])
+        s = s.select(F.lit(i).alias("fold"), (1 - F.col("surv_30")).alias("p"), ((F.col("surv_event") == 1) & (F.col("surv_time") <= 30)).cast("int").alias("y"))
+        out = th.brier_and_log_loss(s, ["fold"]).join(th.roc_auc(s, ["fold"]), "fold").withColumn("c_index", c.select("c_index").scalar())
+        return out.select("fold", "n", "brier", "auc", "c_index")
+
+    return rounded(learn.each_fold(3, run), "brier", "auc", "c_index")
 
 
 @query("m13_weibull_aft")
 def m13_weibull_aft(spark, sf):
     rows = borehole_rows(spark, sf).persist()
-    model = sv.weibull(rows.where("fold <> 0"))
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(rows.where("fold = 0")).withColumn("_q", vector_to_array("quantiles"))
+    fit = lambda i: sv.weibull(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
+    out = learn.each_fold(3, fit).withColumn("_q", vector_to_array("quantiles"))
     return rounded(out.select("latitude_deg", "longitude_deg", F.col("_q")[1].alias("median_depth")), "median_depth")
 
 
@@ -107,6 +111,9 @@ def m13_weibull_aft(spark, sf):
 def m14_forest_survival(spark, sf):
     rows = borehole_rows(spark, sf).drop("features").persist()
     features = lambda df: learn.assemble(df, learn.BOREHOLE, extra=["interval_mid"])
-    model = sv.forest_survival(rows.where("fold <> 0"), features, width=4.0, trees=8, depth=5)
-    out = sv.forest_survival_at(model, rows.where("fold = 0"), features, ["latitude_deg", "longitude_deg"], 30.0, width=4.0)
-    return rounded(out, "survival")
+
+    def run(i: int):
+        model = sv.forest_survival(rows.where(F.col("fold") != i), features, width=4.0, trees=10, depth=5)
+        return sv.forest_survival_at(model, rows.where(F.col("fold") == i), features, ["latitude_deg", "longitude_deg"], 30.0, width=4.0)
+
+    return rounded(learn.each_fold(3, run), "survival")

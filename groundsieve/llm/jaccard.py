@@ -11,8 +11,9 @@ A text's set holds the hashes of its distinct five-word shingles. Equal sets for
 3. Pairs whose sizes or bitmaps rule a link out go: sets differ in at least as many shingles as their bitmaps in bits.
 4. The rest is verified by a prefix tree: a leader's members are stored as a tree over the global order, the leader's set
    walks it, siblings share the overlap of their common prefix, and branches that cannot reach the threshold are cut.
-5. Lists whose classes are not all in one component by then are compared in full, in blocks of bounded size and across
-   components only, again by bitmap first. So no link that joins two components is lost, whatever a list's size.
+5. Lists whose classes are not all in one component by then are compared in full, by bitmap, in blocks of bounded size
+   and across components only. Classes with pairs still open form neighbourhoods, and each of these is settled once by
+   prefix trees, block against block. So no link that joins two components is lost, whatever a list's size.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component. Repeated rows are
 exact copies. A null id never names a component unless every id in it is null. An empty table gives an empty table.
@@ -120,32 +121,74 @@ def _ordered(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~common], s[common][np.argsort(hot[1][at[common]], kind="stable")]])
 
 
+class PrefixTree:
+    """Sets as paths over the global order, sorted: neighbours share the path of their common prefix, as in a tree."""
+
+    def __init__(self, sets: list[np.ndarray], hot: np.ndarray):
+        self.alphabet = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
+        rank = np.empty(len(self.alphabet), np.int64)
+        rank[np.searchsorted(self.alphabet, _ordered(self.alphabet, hot))] = np.arange(len(self.alphabet))
+        self.rank = rank
+        paths = [np.sort(rank[np.searchsorted(self.alphabet, s)]) for s in sets]
+        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
+        self.paths = [paths[i] for i in self.order]
+
+    def walk(self, probe: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Which of the sets that are ``asked`` for link with ``probe``.
+
+        The overlap of a shared prefix is carried from path to path, and a branch is left as soon as what remains of
+        path and probe cannot lift it to the threshold.
+        """
+        size, alphabet = len(probe), self.alphabet
+        in_probe = np.zeros(len(alphabet), np.int64)
+        if len(alphabet):
+            at = np.minimum(np.searchsorted(alphabet, probe), len(alphabet) - 1)
+            in_probe[self.rank[at[alphabet[at] == probe]]] = 1
+        below = np.append(0, np.cumsum(in_probe))  # probe shingles before a rank
+        out, path, overlap = np.zeros(len(self.paths), bool), np.empty(0, np.int64), np.zeros(1, np.int64)
+        for i, p in zip(self.order, self.paths):
+            if not asked[i]:
+                continue
+            m = min(len(p), len(path))
+            same = p[:m] == path[:m]
+            shared = m if same.all() else int(same.argmin())
+            carried = overlap[shared]
+            left = below[-1] - (below[p[shared - 1] + 1] if shared else 0)
+            if not _links(carried + min(len(p) - shared, left), size, len(p)):
+                path, overlap = p[:shared], overlap[: shared + 1]
+                continue
+            overlap = np.concatenate([overlap[: shared + 1], carried + np.cumsum(in_probe[p[shared:]])])
+            path = p
+            out[i] = _links(overlap[-1], size, len(p))
+        return out
+
+
 def tree_links(probe: np.ndarray, sets: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
-    """Which of ``sets`` link with ``probe``. The sets, in global order and sorted, are a prefix tree: neighbours share the
-    path of their common prefix, whose overlap is carried over instead of counted again."""
-    alphabet = np.unique(np.concatenate([probe, *sets]))
-    rank = np.empty(len(alphabet), np.int64)
-    rank[np.searchsorted(alphabet, _ordered(alphabet, hot))] = np.arange(len(alphabet))
-    in_probe = np.zeros(len(alphabet), np.int64)
-    in_probe[rank[np.searchsorted(alphabet, probe)]] = 1
-    below = np.append(0, np.cumsum(in_probe))  # probe shingles before a rank
-    paths = [np.sort(rank[np.searchsorted(alphabet, s)]) for s in sets]
-    out = np.zeros(len(sets), bool)
-    path, overlap = np.empty(0, np.int64), np.zeros(1, np.int64)
-    for i in sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes()):
-        p = paths[i]
-        m = min(len(p), len(path), len(overlap) - 1)
-        same = p[:m] == path[:m]
-        shared = m if same.all() else int(same.argmin())
-        carried = overlap[shared]
-        left = len(probe) - (below[p[shared - 1] + 1] if shared else 0)
-        path, overlap = p[:shared], overlap[: shared + 1]
-        if not _links(carried + min(len(p) - shared, left), len(probe), len(p)):
-            continue  # the branch below the shared path cannot reach the threshold
-        overlap = np.concatenate([overlap, carried + np.cumsum(in_probe[p[shared:]])])
-        path = p
-        out[i] = _links(overlap[-1], len(probe), len(p))
-    return out
+    """Which of ``sets`` link with ``probe``."""
+    return PrefixTree(sets, hot).walk(probe, np.ones(len(sets), bool))
+
+
+class Merged:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def roots(self) -> np.ndarray:
+        while (self.up != (further := self.up[self.up])).any():
+            self.up = further
+        return self.up
 
 
 def _may_link(a_n, b_n, a_bits, b_bits) -> np.ndarray:
@@ -164,13 +207,14 @@ def described(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t) for t in b.text]
-            yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id, "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
+            yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id.to_numpy(object, na_value=None), "n": [len(s) for s in sets], "sig": [signature(s) for s in sets],
                                 "bits": [bitmap(s) for s in sets], "token": pd.array([None] * len(b), "Int64"), "times": pd.array([None] * len(b), "Int64")})
             classes = list({(len(s), signature(s)): s for s in sets}.values())
             tokens, times = np.unique(np.concatenate([np.empty(0, np.uint64), *classes]), return_counts=True)
             tokens, times = tokens[times > 3].view(np.int64), times[times > 3]
             nothing = pd.array([None] * len(tokens), "Int64")
-            yield pd.DataFrame({"row": nothing, "doc_id": [None] * len(tokens), "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
+            if len(tokens):
+                yield pd.DataFrame({"row": nothing, "doc_id": [None] * len(tokens), "n": nothing, "sig": nothing, "bits": [None] * len(tokens), "token": tokens, "times": times})
 
     # ids go through pandas as text: a null must not turn the others into doubles
     named = docs.select("row", F.col("doc_id").cast("string"), "text")
@@ -301,7 +345,10 @@ def verified(pairs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Open pairs between components inside posting lists, in blocks of about ``BLOCK`` members."""
+    """(a, b): members of posting lists with an open pair across components, and whom they hang together with by such pairs.
+
+    Lists are compared in blocks of about ``BLOCK`` members by bitmap; a list gives at most one row per member and block.
+    """
     named = shared.select("token", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lists = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"),
                                        F.bit_xor(F.xxhash64("sig")).alias("members")).where("low <> high and m > 2")  # a pair has met as a star
@@ -314,31 +361,81 @@ def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     groups = max(1, -(-int(lists.agg(F.sum(F.col("m") * blocks).alias("n")).first().n or 0) // (8 * BLOCK)))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
 
-    def open_pairs(bits, n, label, sig, own, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-        kinds, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    def neighbourhoods(bits, n, label, sig, own, apart: bool) -> list[tuple[int, int]]:
+        """Members that have an open pair, each with the first member it hangs together with through open pairs."""
+        _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
         order = np.lexsort([of, -sizes[of]])  # the largest component first: only the rest starts comparisons
         bits, n, of, sig, own = bits[order], n[order], of[order], sig[order], own[order]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        merged, touched = Merged(len(sig)), np.zeros(len(sig), bool)
         for k in range(int(sizes.max()), len(of)):
             before = np.flatnonzero((of[:k] != of[k]) & (5 * n[:k] >= 4 * n[k]) & (5 * n[k] >= 4 * n[:k]))
             if apart:
                 before = before[own[before] != own[k]]
-            hit = sig[before[_may_link(n[before], n[k], bits[before], bits[k])]]
-            a.append(np.minimum(sig[k], hit))
-            b.append(np.maximum(sig[k], hit))
-        return np.concatenate(a), np.concatenate(b)
+            hit = before[_may_link(n[before], n[k], bits[before], bits[k])]
+            touched[hit], touched[k] = True, touched[k] or len(hit) > 0
+            for h in hit:
+                merged.join(k, h)
+        roots = merged.roots()
+        return [(sig[roots[k]], sig[k]) for k in np.flatnonzero(touched)]
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["token", "i", "j"], kind="stable")
-        at = np.flatnonzero(np.append(True, (np.diff(g[["token", "i", "j"]].to_numpy(), axis=0) != 0).any(1)))
+        at, g = _segments(g, ["token", "i", "j"])
         bits, columns = _bits(g["bits"]), [g[c].to_numpy() for c in ("n", "label", "sig", "own")]
         apart = g.i.to_numpy() != g.j.to_numpy()
-        found = [open_pairs(bits[x:y], *[c[x:y] for c in columns], bool(apart[x])) for x, y in zip(at, np.append(at[1:], len(g)))]
-        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+        found = [e for x, y in at for e in neighbourhoods(bits[x:y], *[c[x:y] for c in columns], bool(apart[x]))]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.select("g", "token", "i", "j", "own", "sig", "label", "n", "bits").groupBy("g").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _segments(g: pd.DataFrame, keys: list[str]) -> tuple[list[tuple[int, int]], pd.DataFrame]:
+    """``g`` in order of ``keys`` and the row ranges of equal keys."""
+    g = g.sort_values(keys, kind="stable")
+    at = np.flatnonzero(np.append(True, (np.diff(g[keys].to_numpy(), axis=0) != 0).any(1)))
+    return list(zip(at, np.append(at[1:], len(g)))), g
+
+
+def settled(docs: DataFrame, neighbours: DataFrame, labels: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Links (a, b) that join two components, from ``neighbours``: members that hang together through open pairs.
+
+    Each neighbourhood is compared once, in blocks of about ``BLOCK`` sets; a walk asks only for sets that its own
+    block has not joined yet, so a neighbourhood of m members yields at most m - 1 links a block.
+    """
+    near = components(neighbours).withColumnRenamed("node", "sig").withColumnRenamed("label", "near")
+    known = near.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("near", "sig", F.coalesce("label", "sig").alias("label"))
+    blocks = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = known.join(blocks, "near").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "label")
+    groups = max(1, -(-placed.count() // GROUP))  # a few megabytes of sets each
+    rows = placed.join(sets_of(docs, near.select("sig")), "sig").withColumn("g", F.pmod(F.xxhash64("near", "i", "j"), F.lit(groups)))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def join(sets, label, sig, own, apart: bool) -> list[tuple[int, int]]:
+        _, of = np.unique(label, return_inverse=True)
+        merged, links = Merged(int(of.max()) + 1), []
+        n, bits = np.array([len(s) for s in sets]), np.stack([np.frombuffer(bitmap(s), np.uint64) for s in sets])
+        tree = PrefixTree(sets, shared.value)
+        for k in range(1, len(sets)):
+            roots = merged.roots()[of]
+            asked = np.zeros(len(sets), bool)
+            asked[:k] = (roots[:k] != roots[k]) & _may_link(n[:k], n[k], bits[:k], bits[k])
+            if apart:
+                asked &= own != own[k]
+            if asked.any():
+                links += [(sig[h], sig[k]) for h in np.flatnonzero(tree.walk(sets[k], asked)) if merged.join(of[h], of[k])]
+        return links
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        at, g = _segments(g, ["near", "i", "j"])
+        sets, columns = [np.frombuffer(x, np.uint64) for x in g["items"]], [g[c].to_numpy() for c in ("label", "sig", "own")]
+        apart = g.i.to_numpy() != g.j.to_numpy()
+        found = [e for x, y in at for e in join(sets[x:y], *[c[x:y] for c in columns], bool(apart[x]))]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.select("g", "near", "i", "j", "own", "sig", "label", "items").groupBy("g").applyInPandas(solve, "a long, b long")
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """row, doc_id, n and label of every row of ``docs`` (row, doc_id, text): equal labels are linked, null ones are empty."""
     rows = described(docs)
@@ -352,7 +449,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     labels = components(links)
     more = written(residual(shared, labels, classes))
     if more.limit(1).count():
-        links = written(links.union(verified(more, sets_of(docs, ends(more)), hot)))
+        links = written(links.union(settled(docs, more, labels, hot)))
         labels = components(links)
     named = per_row.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     return named.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))

@@ -267,7 +267,7 @@ def scored(docs: DataFrame, held_out: str) -> DataFrame:
                     else:
                         base, lp, seen = base + k * hit[0], lp + k * hit[1], seen + k * hit[2]
                 sums.append((found.total(), seen, base, lp))
-            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"]).assign(row=b.row.to_numpy(), doc_id=b.doc_id.array, held=b[held_out].to_numpy(), word=None)
+            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"]).assign(row=b.row.to_numpy(), doc_id=b.doc_id.to_numpy(object, na_value=None), held=b[held_out].to_numpy(), word=None)
             yield done[["row", "doc_id", "held", "word", "k", "known", "base", "lp"]]
             tail = pd.DataFrame({"row": tail_row, "doc_id": None, "held": False, "word": tail_word, "k": tail_k})
             yield tail.assign(known=0, base=0.0, lp=0.0)

@@ -21,7 +21,7 @@ from groundsieve.llm.bpe import Cache
 from groundsieve.llm.common import remainder, whole
 
 BITS = 20
-MOST = 8_000
+MOST = 4_000
 EPOCHS = 4
 _TOKENS = regex.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,8 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
                                 "value": [v.astype(np.float32) for _, v in made]})
 
     rows = texts.mapInPandas(features, "doc_id long, label int, index array<int>, value array<float>").toPandas()
-    rows = rows.assign(at=[_hash(str(d)) for d in rows.doc_id]).sort_values(["at", "doc_id", "label"], kind="stable")
-    return fit_ftrl([(np.asarray(i, np.int64), np.asarray(v, np.float64), int(y)) for i, v, y in zip(rows["index"], rows["value"], rows["label"])])
+    order = sorted(range(len(rows)), key=lambda k: (_hash(str(rows.doc_id[k])), rows.doc_id[k], rows.label[k]))
+    return fit_ftrl([(rows["index"][k], rows["value"][k], int(rows.label[k])) for k in order])
 
 
 def with_score(df: DataFrame, weights: np.ndarray, text: Column, name: str = "score") -> DataFrame:

@@ -1,0 +1,108 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from groundsieve.llm import language, lm, quality
+from groundsieve.llm.common import remainder, whole
+from tests.llm.conftest import prose
+
+
+def test_quality_learns_and_keeps_odd_rows(put, odd):
+    good = [(k, prose(k, 40), "en", "a", 0) for k in range(100, 220)]
+    bad = [(k, " ".join(w.upper() + "!!" for w in prose(k, 30).split()), "en", "a", 0) for k in range(300, 420)]
+    docs = put(good + bad + odd)
+    labels = put([(k, int(k < 300)) for k, *_ in good + bad] + [(None, 1), (1, None)], "doc_id long, quality int", "labels")
+    weights = quality.train(docs, labels)
+    rows = quality.with_score(docs, weights, whole()).select("doc_id", "text", "score").collect()
+    assert len(rows) == len(good + bad + odd) and all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.doc_id and r.doc_id >= 100 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert held and all((r.score > 0.5) == (r.doc_id < 300) for r in held)
+    same = {r.text: r.score for r in rows}
+    assert all(same[r.text] == r.score for r in rows)
+
+
+def test_quality_without_labels(put, odd):
+    weights = quality.train(put(odd), put([], "doc_id long, quality int", "labels"))
+    assert {r.score for r in quality.with_score(put(odd), weights, whole()).collect()} == {0.5}
+
+
+def test_gru_gradients_are_right():
+    rng = np.random.default_rng(1)
+    x, u, target = rng.normal(size=(4, 3, 6)), rng.normal(size=(2, 6)), rng.normal(size=(4, 3, 2))
+    loss = lambda x, u: (language._states(x, u) * target).sum()
+    kept = []
+    language._states(x, u, kept)
+    dx, du = language._back(target, u, kept)
+    for a, d in ((x, dx), (u, du)):
+        for at in [(0,) * a.ndim, tuple(n - 1 for n in a.shape)]:
+            step = np.zeros_like(a)
+            step[at] = 1e-6
+            args = lambda s: (x + s, u) if a is x else (x, u + s)
+            assert math.isclose((loss(*args(step)) - loss(*args(-step))) / 2e-6, d[at], rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_language(put, odd):
+    import random
+
+    def text(k, syllables):
+        r = random.Random(k)
+        return " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(30))
+
+    a = [(k, text(k, ["the", "ing", "er", "wh"]), "en", "s", 0) for k in range(100, 160)]
+    b = [(k, text(k, ["sch", "ung", "keit", "ö"]), "de", "s", 0) for k in range(200, 260)]
+    docs = put(a + b + odd)
+    model = language.train(docs)
+    got = {(r.doc_id, r.text): r.language for r in language.with_language(docs, model, F.col("text")).collect()}
+    assert sum(got[(k, t)].lang_pred == lang for k, t, lang, *_ in a + b) >= 118
+    assert got[(1, None)].lang_pred == got[(2, "")].lang_pred == "und" and got[(2, "")].score == 0
+    assert all(0 <= v.score <= 1 for v in got.values())
+    nothing = language.train(put([(1, "abc", None, None, 3)]))
+    assert language.with_language(put([(1, "abc", None, None, 3)]), nothing, F.col("text")).first().language.lang_pred == "und"
+
+
+def test_lm_against_a_count(put, odd):
+    rows = odd + [(k, prose(k, 50), "en", "a", 0) for k in range(20, 60)]
+    docs = put(rows).select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    got = lm.scored(docs, "held_out").collect()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    tokens = lambda t: [*lm.words(t), lm.END]
+    c = Counter(w for d, t, *_ in rows if not held(d) for w in tokens(t))
+    total, kinds = sum(c.values()), len(c)
+    want = sorted((str(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in tokens(t)), 6))
+                  for d, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} == {total} and all(r.score < 0 and math.isfinite(r.open_score) for r in got)
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(0)
+    cells, _ = lm.grams([b"abab", b"ba", b"abc"])
+    found, n = np.unique(cells, return_counts=True)
+    model, tables = lm.seat_bytes(found, n, None, None, rng)
+    model, _ = lm.seat_bytes(found, n, model, tables, rng)
+    assert np.allclose(model.parent.sum(1), 1)
+    context = (found >> np.uint32(8)).astype(np.int64)
+    for k in np.unique(context):
+        assert math.isclose(model.direct[context == k].sum() + model.back[k], 1.0, rel_tol=1e-9)
+
+
+def test_seating_follows_the_restaurant():
+    rng = np.random.default_rng(3)
+    t = lm.seated(np.full(4000, 12), np.full(4000, 2.0), 0.4, rng)
+    exact = []
+    for _ in range(4000):
+        k = 1
+        for n in range(1, 12):
+            k += rng.random() < 2.0 / (2.0 + n - 0.4 * k)
+        exact.append(k)
+    assert abs(t.mean() - np.mean(exact)) < 0.1
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)]])
+def test_lm_on_next_to_nothing(put, rows):
+    docs = put(rows).select("doc_id", "text", F.lit(True).alias("held_out"))
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, "held_out").collect()] == [(1, 0, 0, 0.0)] * len(rows)

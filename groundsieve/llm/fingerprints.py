@@ -27,23 +27,26 @@ def terms(text: Column, width: int = WORDS) -> Column:
     return F.when(text.rlike(f"[^{SPACE}]"), shingles).otherwise(F.array().cast("array<bigint>"))
 
 
-def voted(df: DataFrame, keys: list[str], term: str, firsts: list[str]) -> DataFrame:
-    """``keys``, the first of each of ``firsts`` and ``bits``, the fingerprint as a long: one row per key from rows of term hashes."""
+def voted(df: DataFrame, keys: list[str], term: str) -> DataFrame:
+    """``keys`` and ``bits``, the fingerprint as a long: one row per key from rows of term hashes.
+
+    All sums are longs, so this stays a hash aggregate; what depends on a key may be listed as another key.
+    """
     t = F.col(term)
     sums = [F.sum(F.shiftrightunsigned(t, b).bitwiseAND(F.lit(_PAIR))).alias(f"v{b}") for b in range(BITS // 2)]
-    counted = df.groupBy(*keys).agg(F.count(t).alias("votes"), *sums, *[F.first(c).alias(c) for c in firsts])
+    counted = df.groupBy(*keys).agg(F.count(t).alias("votes"), *sums)
     out = F.lit(0).cast("long")
     for b in range(BITS // 2):
         v = F.coalesce(F.col(f"v{b}"), F.lit(0).cast("long"))
         for lane, shift in ((v.bitwiseAND(F.lit((1 << 32) - 1)), b), (F.shiftrightunsigned(v, 32), b + 32)):
             bit = (1 << shift) - (1 << 64) * (shift == 63)
             out = out.bitwiseOR(F.when(lane * 2 > F.col("votes"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, *firsts, out.alias("bits"))
+    return counted.select(*keys, out.alias("bits"))
 
 
 def fingerprints(df: DataFrame, key: str, text: Column) -> DataFrame:
     """``key`` and ``bits`` of every row; ``key`` must be unique."""
-    return voted(df.select(key, F.explode_outer(terms(text)).alias("term")), [key], "term", [])
+    return voted(df.select(key, F.explode_outer(terms(text)).alias("term")), [key], "term")
 
 
 def as_hex(bits: Column) -> Column:
@@ -73,8 +76,8 @@ def within(prints: DataFrame, radius: int = 3, extra: int = 2) -> DataFrame:
     return a.join(b, ["table", "block"]).where(near).select("a", "b").distinct()
 
 
-def successors(ids: DataFrame, row: str, key: str, size: str) -> DataFrame:
-    """(``row``, ``size``, ``next_row``): the next row in descending ``key`` order (nulls last, ties by row), the first after the last.
+def successors(ids: DataFrame, row: str, key: str) -> DataFrame:
+    """``ids`` with ``next_row``: the next row in descending ``key`` order (nulls last, ties by row), the first after the last.
 
     Ids only: a range sort numbers the rows, then places meet place + 1. No window over the whole table.
     """
@@ -90,4 +93,4 @@ def successors(ids: DataFrame, row: str, key: str, size: str) -> DataFrame:
     place = F.element_at(F.lit(firsts).cast("array<bigint>"), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND(F.lit(_INDEX))
     numbered = ranged.withColumn("place", place)
     follows = numbered.select(F.pmod(F.col("place") - 1, F.lit(max(total, 1))).alias("place"), F.col(row).alias("next_row"))
-    return numbered.select("place", row, size).join(follows, "place").select(row, size, "next_row")
+    return numbered.select("place", *ids.columns).join(follows, "place").select(*ids.columns, "next_row")

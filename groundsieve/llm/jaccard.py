@@ -12,7 +12,7 @@ A text's set holds the hashes of its distinct five-word shingles. Equal sets for
 4. The rest is verified by a prefix tree: a leader's members are stored as a tree over the global order, the leader's set
    walks it, siblings share the overlap of their common prefix, and branches that cannot reach the threshold are cut.
 5. Lists whose classes are not all in one component by then are compared in full, by bitmap, in blocks of bounded size
-   and across components only. Classes with pairs still open form neighbourhoods, and each of these is settled once by
+   and across components only. Each class's likeliest pairs are verified first, which joins most of what belongs together. Classes with pairs still open form neighbourhoods, and each of these is settled once by
    prefix trees, block against block. So no link that joins two components is lost, whatever a list's size.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component. Repeated rows are
@@ -31,6 +31,7 @@ from groundsieve.llm.common import written
 from groundsieve.llm.components import components
 
 WIDTH, HOT, SALTS, BLOCK, MEMBERS, GROUP = 5, 1 << 17, 32, 1024, 256, 512
+LIKELY, ROUNDS = 3, 2  # likeliest pairs that are verified before whole lists are settled: speed only
 BITS = 2048  # of a parity bitmap
 KEEP = 2_000_000  # class signatures that are broadcast at most (16 MB); beyond, sets are picked by a join
 _MULTIPLIERS = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -344,10 +345,12 @@ def verified(pairs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
     return rows.groupBy("g").applyInPandas(walk, "a long, b long")
 
 
-def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): members of posting lists with an open pair across components, and whom they hang together with by such pairs.
+def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame, best: int = 0) -> DataFrame:
+    """Pairs (a, b) of posting lists whose classes are in different components and not ruled out by bitmap.
 
-    Lists are compared in blocks of about ``BLOCK`` members by bitmap; a list gives at most one row per member and block.
+    With ``best``, each member outside a list's largest component gives its ``best`` likeliest pairs. Without, members
+    that have an open pair are given with whom they hang together by such pairs: every such member is named.
+    Lists are compared in blocks of about ``BLOCK`` members and give a number of rows linear in them.
     """
     named = shared.select("token", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lists = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"),
@@ -362,21 +365,24 @@ def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
 
     def neighbourhoods(bits, n, label, sig, own, apart: bool) -> list[tuple[int, int]]:
-        """Members that have an open pair, each with the first member it hangs together with through open pairs."""
         _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
         order = np.lexsort([of, -sizes[of]])  # the largest component first: only the rest starts comparisons
         bits, n, of, sig, own = bits[order], n[order], of[order], sig[order], own[order]
-        merged, touched = Merged(len(sig)), np.zeros(len(sig), bool)
+        merged, touched, likely = Merged(len(sig)), np.zeros(len(sig), bool), []
         for k in range(int(sizes.max()), len(of)):
             before = np.flatnonzero((of[:k] != of[k]) & (5 * n[:k] >= 4 * n[k]) & (5 * n[k] >= 4 * n[:k]))
             if apart:
                 before = before[own[before] != own[k]]
             hit = before[_may_link(n[before], n[k], bits[before], bits[k])]
+            if best:
+                apart_bits = np.bitwise_count(bits[hit] ^ bits[k]).sum(1) / (n[hit] + n[k])
+                likely += [(min(sig[h], sig[k]), max(sig[h], sig[k])) for h in hit[np.argsort(apart_bits, kind="stable")[:best]]]
+                continue
             touched[hit], touched[k] = True, touched[k] or len(hit) > 0
             for h in hit:
                 merged.join(k, h)
         roots = merged.roots()
-        return [(sig[roots[k]], sig[k]) for k in np.flatnonzero(touched)]
+        return likely or [(sig[roots[k]], sig[k]) for k in np.flatnonzero(touched)]
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         at, g = _segments(g, ["token", "i", "j"])
@@ -447,6 +453,10 @@ def labelled(docs: DataFrame) -> DataFrame:
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     links = written(verified(open_pairs, sets_of(docs, ends(open_pairs)), hot))
     labels = components(links)
+    for _ in range(ROUNDS):
+        likely = written(residual(shared, labels, classes, best=LIKELY))
+        links = written(links.union(verified(likely, sets_of(docs, ends(likely)), hot)))
+        labels = components(links)
     more = written(residual(shared, labels, classes))
     if more.limit(1).count():
         links = written(links.union(settled(docs, more, labels, hot)))

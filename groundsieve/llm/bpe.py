@@ -48,6 +48,7 @@ class WordBpe:
         self._whole = {b: i for b, i in ranks.items() if self._bpe.encode_single_piece(b) == [i]}  # tokens that the merges reach
         self._longest = max(map(len, ranks))
         self._fits: dict[tuple[int, int], bool] = {}
+        self._totals = Cache(self._total)  # words share pre-tokens: "The", "the" and "the," have one
 
     def _normal(self, s: str) -> str:
         s = unicodedata.normalize("NFC", s)
@@ -113,11 +114,13 @@ class WordBpe:
             if special:
                 total += 1
             else:
-                for piece in self._pieces.findall(self._normal(part)):
-                    data = piece.encode()
-                    total += self.piece_counts(data, [len(data)])[0]
+                total += sum(map(self._totals.__getitem__, self._pieces.findall(self._normal(part))))
         return total
 
+    def _total(self, piece: str) -> int:
+        data = piece.encode()
+        return self.piece_counts(data, [len(data)])[0]
+
     def prefix_counts(self, word: str) -> np.ndarray:
         """Token count of every code-point prefix of a word: position k holds the count of word[:k].
 
@@ -154,6 +157,12 @@ def encoder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(maxsize=4)
+def word_counts(path: str) -> "Cache":
+    """Token counts by word, kept from task to task of a worker process."""
+    return Cache(encoder(path).count)
+
+
 class Cache(dict):
     """Word -> value by ``make``; forgets everything beyond ``most`` words. Words above ``longest`` are not kept."""
 

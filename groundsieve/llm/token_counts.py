@@ -15,7 +15,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundsieve.llm.bpe import WORDS, Cache, encoder
+from groundsieve.llm.bpe import WORDS, Cache, encoder, word_counts
 
 
 class PrefixTable:
@@ -24,7 +24,7 @@ class PrefixTable:
     def __init__(self, text: str, path: str, counts: Cache | None = None):
         self.bpe, self.spans = encoder(path), [m.span() for m in WORDS.finditer(text)]
         self.text = text
-        counts = Cache(self.bpe.count) if counts is None else counts
+        counts = word_counts(path) if counts is None else counts
         self.totals = [0, *accumulate(counts[text[a:b]] for a, b in self.spans)]
 
     def tokens(self, k: int) -> int:
@@ -48,7 +48,7 @@ class PrefixTable:
 def _counter(path: str, limit: int):
     @F.pandas_udf("n_tokens long, limit_chars long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Cache(encoder(path).count)
+        known = word_counts(path)
         of = known.__getitem__
         for texts in batches:
             rows = []

@@ -36,6 +36,11 @@ def fold_layout(rows, k: int = 3):
     return out.withColumn("role", role).drop("_own", "_role")
 
 
+def one_fold(spark, sf):
+    """Roles of fold 0 only: a single fit, for protocols that split its rows further."""
+    return fold_layout(feature_rows(spark, sf), 1).persist()
+
+
 def all_folds(spark, sf):
     return fold_layout(feature_rows(spark, sf), FOLDS).persist()
 
@@ -154,7 +159,7 @@ def m8_residual_hybrid(spark, sf):
 @query("m9_hurdle")
 def m9_hurdle(spark, sf):
     """Hurdle against single regressor on one fold, with marginal and bucketed radii."""
-    rows = fold_layout(feature_rows(spark, sf), 1).persist()
+    rows = one_fold(spark, sf)
     cells = folds.cell_counts(rows.where("role <> 'test'"))
     parts = folds.split_cells_by_share(cells, {"iso": 0.15, "conf": 0.15}, seed=1042).select("mesh_row", "mesh_col", "part")
     rows = rows.drop("part").join(folds.checked_broadcast(parts, folds.MAX_LEVEL2_CELLS), ["mesh_row", "mesh_col"], "left").withColumn("part", F.coalesce("part", F.lit("test")))

@@ -101,8 +101,17 @@ def signature(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    at = ((s * _MULTIPLIERS[1]) >> np.uint64(53)).astype(np.int64)  # 11 bits
-    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the set's hashes by bucket: ``BITS`` buckets, for sets above half as many at least two a shingle."""
+    size = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    at = ((s * _MULTIPLIERS[1]) >> np.uint64(16)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A longer bitmap as one of ``words`` longs: buckets are taken modulo the size, so halves are added up."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _links(overlap, a, b):
@@ -198,8 +207,21 @@ def _may_link(a_n, b_n, a_bits, b_bits) -> np.ndarray:
     return _links(np.minimum(np.minimum(a_n, b_n), (a_n + b_n - apart) // 2), a_n, b_n)
 
 
-def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+class Bitmaps:
+    """Bitmaps of many sets: all folded to the common size, and the long ones as they are."""
+
+    def __init__(self, column):
+        self.full = [np.frombuffer(b, np.uint64) for b in column]
+        self.base = np.stack([folded(b, BITS // 64) for b in self.full]) if self.full else np.empty((0, BITS // 64), np.uint64)
+
+    def may_link(self, n: np.ndarray, rows: np.ndarray, other: "Bitmaps", m: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """For pairs of a row here and a row of ``other``, whether sizes and bitmaps leave a link open; n and m are set sizes."""
+        ok = _may_link(n[rows], m[others], self.base[rows], other.base[others])
+        for k in np.flatnonzero(ok & (np.maximum(n[rows], m[others]) > BITS // 2)):
+            a, b = self.full[rows[k]], other.full[others[k]]
+            words = min(len(a), len(b))
+            ok[k] = _may_link(n[rows[k]], m[others[k]], folded(a, words), folded(b, words))
+        return ok
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -288,7 +310,8 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = _may_link(p.a_n.to_numpy(), p.b_n.to_numpy(), _bits(p.a_bits), _bits(p.b_bits)) if len(p) else []
+            every = np.arange(len(p))
+            ok = Bitmaps(p.a_bits).may_link(p.a_n.to_numpy(), every, Bitmaps(p.b_bits), p.b_n.to_numpy(), every)
             yield p.loc[ok, ["a", "b"]]
 
     return wide.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInPandas(check, "a long, b long")
@@ -364,18 +387,20 @@ def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame, best: int
     groups = max(1, -(-int(lists.agg(F.sum(F.col("m") * blocks).alias("n")).first().n or 0) // (8 * BLOCK)))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
 
-    def neighbourhoods(bits, n, label, sig, own, apart: bool) -> list[tuple[int, int]]:
+    def neighbourhoods(maps, n, label, sig, own, apart: bool) -> list[tuple[int, int]]:
         _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
         order = np.lexsort([of, -sizes[of]])  # the largest component first: only the rest starts comparisons
-        bits, n, of, sig, own = bits[order], n[order], of[order], sig[order], own[order]
+        place, n, of, sig, own = order, n[order], of[order], sig[order], own[order]
+        size = np.empty(len(n), np.int64)
+        size[place] = n
         merged, touched, likely = Merged(len(sig)), np.zeros(len(sig), bool), []
         for k in range(int(sizes.max()), len(of)):
             before = np.flatnonzero((of[:k] != of[k]) & (5 * n[:k] >= 4 * n[k]) & (5 * n[k] >= 4 * n[:k]))
             if apart:
                 before = before[own[before] != own[k]]
-            hit = before[_may_link(n[before], n[k], bits[before], bits[k])]
+            hit = before[maps.may_link(size, place[before], maps, size, np.full(len(before), place[k]))]
             if best:
-                apart_bits = np.bitwise_count(bits[hit] ^ bits[k]).sum(1) / (n[hit] + n[k])
+                apart_bits = np.bitwise_count(maps.base[place[hit]] ^ maps.base[place[k]]).sum(1) / (n[hit] + n[k])
                 likely += [(min(sig[h], sig[k]), max(sig[h], sig[k])) for h in hit[np.argsort(apart_bits, kind="stable")[:best]]]
                 continue
             touched[hit], touched[k] = True, touched[k] or len(hit) > 0
@@ -386,9 +411,9 @@ def residual(shared: DataFrame, labels: DataFrame, classes: DataFrame, best: int
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         at, g = _segments(g, ["token", "i", "j"])
-        bits, columns = _bits(g["bits"]), [g[c].to_numpy() for c in ("n", "label", "sig", "own")]
+        maps, columns = list(g["bits"]), [g[c].to_numpy() for c in ("n", "label", "sig", "own")]
         apart = g.i.to_numpy() != g.j.to_numpy()
-        found = [e for x, y in at for e in neighbourhoods(bits[x:y], *[c[x:y] for c in columns], bool(apart[x]))]
+        found = [e for x, y in at for e in neighbourhoods(Bitmaps(maps[x:y]), *[c[x:y] for c in columns], bool(apart[x]))]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.select("g", "token", "i", "j", "own", "sig", "label", "n", "bits").groupBy("g").applyInPandas(compare, "a long, b long").distinct()
@@ -420,14 +445,13 @@ def settled(docs: DataFrame, neighbours: DataFrame, labels: DataFrame, hot: np.n
     def join(sets, label, sig, own, apart: bool) -> list[tuple[int, int]]:
         _, of = np.unique(label, return_inverse=True)
         merged, links = Merged(int(of.max()) + 1), []
-        n, bits = np.array([len(s) for s in sets]), np.stack([np.frombuffer(bitmap(s), np.uint64) for s in sets])
+        n, maps = np.array([len(s) for s in sets]), Bitmaps([bitmap(s) for s in sets])
         tree = PrefixTree(sets, shared.value)
         for k in range(1, len(sets)):
             roots = merged.roots()[of]
             asked = np.zeros(len(sets), bool)
-            asked[:k] = (roots[:k] != roots[k]) & _may_link(n[:k], n[k], bits[:k], bits[k])
-            if apart:
-                asked &= own != own[k]
+            before = np.flatnonzero((roots[:k] != roots[k]) & ((own[:k] != own[k]) | (not apart)))
+            asked[before] = maps.may_link(n, before, maps, n, np.full(len(before), k))
             if asked.any():
                 links += [(sig[h], sig[k]) for h in np.flatnonzero(tree.walk(sets[k], asked)) if merged.join(of[h], of[k])]
         return links

@@ -68,7 +68,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 0.3,
             g = (_sigmoid(float(w @ x)) - label) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
-    return weights(np.arange(1 << BITS)).astype(np.float32)
+    blocks = range(0, 1 << BITS, 1 << 16)  # small temporary arrays
+    return np.concatenate([weights(np.arange(b, b + (1 << 16))).astype(np.float32) for b in blocks])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, most: int = MOST) -> np.ndarray:

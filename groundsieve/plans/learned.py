@@ -70,10 +70,10 @@ def m3_forest_with_spread(spark, sf):
 
 @query("m4_t11_classifier_isotonic")
 def m4_t11_classifier_isotonic(spark, sf):
-    """P(N < 5), P(N < 10), P(N >= 30), P(N >= 50) on every fold: boosted classifier, class weight, isotonic on calibration cells; raw and
+    """The four threshold labels on every fold: boosted classifier, class weight, isotonic on calibration cells; raw and
     recalibrated scores."""
     n = F.col("n_value")
-    labels = {"lt5": n < 5, "lt10": n < 10, "ge30": n >= 30, "ge50": n >= 50}
+    labels = {name: n < cut if side == "below" else n >= cut for name, (side, cut) in th.LABELS.items()}
     jobs = [(name, i) for name in labels for i in range(FOLDS)]
     rows = all_folds(spark, sf)
 

@@ -1,14 +1,18 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are white-space separated words (A-Z lower-cased) and one end token a text. Words sit in one restaurant. Its base
-distribution spells a word byte by byte with a byte model of its own: restaurants for contexts of three bytes share the
-parent of their last byte, those share the empty context, and that one a uniform base. Every table of the word restaurant
-sends one spelling to the byte restaurants, so any word, seen or not, has a probability and all of them add up to 1.
+Tokens are white-space separated words (A-Z lower-cased) and one end token a text. Every word that was followed by another in
+training has a restaurant of its own for the word after it; the end token is the context of a text's first word. Contexts are
+exact words, never hashed. They share one context-free word restaurant, whose customers are their tables. Its base distribution
+spells a word byte by byte with a byte model of its own: restaurants for contexts of three bytes share the parent of their last
+byte, those share the empty context, and that one a uniform base. Every table of the word restaurant sends one spelling to the
+byte restaurants, so any word, seen or not, has a probability after any other and all of them add up to 1.
 
 Seating is sampled by Gibbs sweeps. In each, every dish's tables are drawn anew from the Chinese-restaurant process given
 its parent's probabilities and the restaurants' totals of the sweep before; ``SAMPLES`` states after ``BURN_IN`` sweeps are
-kept and their predictive probabilities averaged. Discounts come from counts of counts. Every distinct word is a row of a
-table; only byte contexts, at most 2^18 restaurants, and ``HOT`` frequent words are held in memory.
+kept and their predictive probabilities averaged. The first sweep seats one table a word pair. A pair met once has one table
+whatever the draw, so only pairs met more often are drawn. Discounts come from counts of counts. Every distinct word and word
+pair is a row of a table; only the spelling's byte contexts, at most 2^18 restaurants, the words with over a thousandth of all
+pairs, and ``HOT`` frequent pairs are held in memory.
 
 Null texts count as empty: one end token. Held-out rows are scored and never counted. Without training rows the words'
 probability is their spelling's. Repeated rows count and score each. An empty table gives an empty table.
@@ -35,31 +39,63 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII white-space bytes only
 
 
-def word_counts(docs: DataFrame, held_out: str) -> DataFrame:
-    """(word, c): counts in rows that are not held out; words of held-out rows only have c = 0."""
+def pairs_of(text: str | None) -> Counter:
+    """Counts of (word before, word); the end token stands before the first word and after the last."""
+    found = words(text)
+    return Counter(zip([END, *found], [*found, END]))
+
+
+def pair_counts(docs: DataFrame, held_out: str) -> DataFrame:
+    """(prev, word, c): counts in rows that are not held out; pairs of held-out rows only have c = 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         train, other = Counter(), set()
 
         def flush():
-            rows = [*train.items(), *((w, 0) for w in other if w not in train)]
+            rows = [*((u, w, n) for (u, w), n in train.items()), *((u, w, 0) for u, w in other if (u, w) not in train)]
             train.clear()
             other.clear()
-            return pd.DataFrame(rows, columns=["word", "c"])
+            return pd.DataFrame(rows, columns=["prev", "word", "c"])
 
         for b in batches:
             for t, out in zip(b.text, b[held_out]):
                 if out:
-                    other.update(words(t))
+                    other.update(pairs_of(t))
                 else:
-                    train.update(words(t))
-                    train[END] += 1
+                    train.update(pairs_of(t))
                 if len(train) + len(other) > _FLUSH:
                     yield flush()
         yield flush()
 
-    partial = docs.select("text", held_out).mapInPandas(count, "word binary, c long")
-    return written(partial.groupBy("word").agg(F.sum("c").alias("c")))
+    partial = docs.select("text", held_out).mapInPandas(count, "prev binary, word binary, c long")
+    return written(partial.groupBy("prev", "word").agg(F.sum("c").alias("c")))
+
+
+def vocabulary(pairs: DataFrame) -> DataFrame:
+    """Of every word: c, its count; as_word and as_prev, its pairs with c > 0 by either side, of which once_word and once_prev
+    with c = 1; pairs, the larger number of its pairs with any c."""
+
+    def side(name: str) -> DataFrame:
+        return pairs.groupBy(F.col(name).alias("word")).agg(
+            F.sum("c").alias(f"c_{name}"), F.count(F.when(F.col("c") > 0, 1)).alias(f"as_{name}"),
+            F.count(F.when(F.col("c") == 1, 1)).alias(f"once_{name}"), F.count(F.lit(1)).alias(f"all_{name}"))
+
+    # every word stands before another, and the end token before a text's first, so both sides have the same words and counts
+    both = side("word").join(side("prev"), "word")
+    return written(both.select("word", F.col("c_word").alias("c"), "as_word", "as_prev", "once_word", "once_prev", F.greatest("all_word", "all_prev").alias("pairs")))
+
+
+def meet(rows: DataFrame, side: str, table: DataFrame, values: list[str], least: int) -> DataFrame:
+    """``values`` of the word in column ``side`` of each pair; words with ``least`` or more pairs come from a broadcast.
+
+    Pairs that found their word there get a key of their own in the second join: no word holds a blank.
+    """
+    slim = lambda at, v: table.where(at).select(F.col("word").alias(f"_{v}"), F.struct(*values).alias(v))
+    out = rows.join(F.broadcast(slim(F.col("pairs") >= least, "hot")), F.col(side) == F.col("_hot"), "left")
+    key = F.when(F.col("hot").isNull(), F.col(side)).otherwise(F.concat("prev", F.lit(b" "), "word"))
+    out = out.join(slim(F.col("pairs") < least, "cold"), key == F.col("_cold"), "left")
+    found = F.coalesce("hot", "cold")
+    return out.select(*[rows[c] for c in rows.columns], *[found[v].alias(f"{side}_{v}") for v in values])
 
 
 def seated(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -171,58 +207,125 @@ def sweep(counts: DataFrame, state: State, d: float, seed: int) -> DataFrame:
                 continue
             spelled = list(b.word)
             weight = (STRENGTH + d * state.tables) * np.exp(spelling(state.model, spelled))
-            t = seated(b.c.to_numpy(np.int64), weight, d, _rng(seed, spelled))
+            t = seated(b.n.to_numpy(np.int64), weight, d, _rng(seed, spelled))
             cell, starts = grams(spelled)
             n = np.repeat(t, np.diff(np.append(starts, len(cell))))
             found, at = np.unique(cell, return_inverse=True)
             yield pd.DataFrame({"cell": np.append(found.astype(np.int64), -1), "n": np.append(np.bincount(at, n, len(found)), t.sum())})
 
-    return counts.where("c > 0").mapInPandas(draw, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    return counts.select("word", "n").where("n > 0").mapInPandas(draw, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def fit(counts: DataFrame, total: int, seed: int = 11) -> tuple[list[State], float]:
-    """Retained states and the word restaurant's discount."""
-    few = {r.c: r.n for r in counts.where("c in (1, 2)").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d = discount(few.get(1, 0), few.get(2, 0))
-    state, tables, kept = State(None, 0.0), None, []
-    rng = np.random.default_rng(seed)
-    for k in range(BURN_IN + SAMPLES if total else 0):
-        drawn = sweep(counts, state, d, seed + k).toPandas().sort_values("cell")  # at most 2^26 cells, whatever the corpus
-        words_tables = float(drawn.n[drawn.cell < 0].sum())
-        drawn = drawn[drawn.cell >= 0]
-        model, tables = seat_bytes(drawn.cell.to_numpy(np.int64).astype(np.uint32), drawn.n.to_numpy(), state.model, tables, rng)
-        state = State(model, words_tables)
-        if k >= BURN_IN:
-            kept.append(state)
-    return kept or [state], d
-
-
-def probabilities(counts: DataFrame, states: list[State], d: float, total: int, seed: int = 23) -> DataFrame:
-    """(word, c, lp, base): log10 of the predictive probability averaged over the retained states, and its spelling's share."""
-    shared = counts.sparkSession.sparkContext.broadcast(states)
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def probabilities(counts: DataFrame, state: State, d: float, customers: float, seed: int) -> tuple[DataFrame, float]:
+    """``counts`` with lp, the natural log of each word's probability without context, and base, its spelling's share of it;
+    and the probability of a new table."""
+    shared = counts.sparkSession.sparkContext.broadcast(state)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = shared.value
         for b in batches:
             if not len(b):
                 continue
-            spelled, c = list(b.word), b.c.to_numpy(np.int64)
-            p, base = np.full(len(b), -np.inf), np.zeros(len(b))
-            for k, state in enumerate(shared.value):
-                log_base = spelling(state.model, spelled)
-                new = STRENGTH + d * state.tables
-                t = seated(c, new * np.exp(log_base), d, _rng(seed + k, spelled))
-                direct = np.log(np.where(c > 0, c - d * t, 1.0)) + np.where(c > 0, 0.0, -np.inf)
-                # in logs, for spellings whose probability is too small for a double
-                p = np.logaddexp(p, np.logaddexp(direct, math.log(new) + log_base))
-                base += new * np.exp(log_base)
-            share = len(shared.value) * (STRENGTH + total)
-            yield b[["word", "c"]].assign(lp=(p - math.log(share)) / math.log(10), base=base / share)
-
-    return written(counts.mapInPandas(predict, "word binary, c long, lp double, base double"))
+            spelled = list(b.word)
+            log_base = spelling(state.model, spelled)
+            t = seated(b.n.to_numpy(np.int64), (STRENGTH + d * state.tables) * np.exp(log_base), d, _rng(seed, spelled))
+            yield b.assign(t=t.astype(np.int64), spelt=log_base)
+
+    drawn = written(counts.mapInPandas(draw, "word binary, c long, pairs long, n long, tables long, t long, spelt double"))
+    new = STRENGTH + d * (drawn.agg(F.sum("t")).first()[0] or 0)  # of this very draw, so that all probabilities add up to 1
+    # in logs, for spellings whose probability is too small for a double
+    lp = F.when(F.col("n") > 0, F.log(F.col("n") - d * F.col("t") + new * F.exp("spelt"))).otherwise(math.log(new) + F.col("spelt"))
+    return drawn.select("word", "c", "pairs", "n", "tables", (lp - math.log(STRENGTH + customers)).alias("lp"),
+                        (new / (STRENGTH + customers) * F.exp("spelt")).alias("base")), new / (STRENGTH + customers)
+
+
+def seat_pairs(met: DataFrame, d: float, name: str, seed: int) -> DataFrame:
+    """Draw the tables of every pair into column ``name``: ``met`` has word_lp and prev_tables of the sweep before."""
+    kept = [c for c in met.columns if c not in ("word_lp", "prev_tables")]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            weight = (STRENGTH + d * b.prev_tables.to_numpy(float)) * np.exp(b.word_lp.to_numpy(float))
+            t = seated(b.c.to_numpy(np.int64), weight, d, _rng(seed, [u + b" " + w for u, w in zip(b.prev, b.word)]))
+            yield b[kept].assign(**{name: t.astype(np.int64)})
+
+    schema = "prev binary, word binary, c long" + "".join(f", {c} long" for c in [*kept[3:], name])
+    return written(met.mapInPandas(draw, schema))
+
+
+def counts_of_counts(table: DataFrame, c: str) -> float:
+    few = {r.c: r.n for r in table.where(F.col(c).isin(1, 2)).groupBy(F.col(c).alias("c")).agg(F.count("*").alias("n")).collect()}
+    return discount(few.get(1, 0), few.get(2, 0))
+
+
+class Sample(NamedTuple):
+    """A retained state: its word table (word, c, pairs, n, tables, lp, base), the column with its pairs' tables, and the
+    probability without context of any word that training lacks."""
+
+    table: DataFrame
+    column: str
+    unknown: float
+
+
+def fit(pairs: DataFrame, words_: DataFrame, total: int, least: int, seed: int = 11) -> tuple[list[Sample], DataFrame, float]:
+    """Retained states, the pairs with their tables in each, and the pair restaurants' discount."""
+    d2, d1 = counts_of_counts(pairs, "c"), counts_of_counts(words_, "as_word")
+    many, table, state, byte_tables, kept = pairs.where("c > 1"), None, State(None, 0.0), None, []
+    rng = np.random.default_rng(seed)
+    counts = words_.select("word", "c", "pairs", F.col("as_word").alias("n"), F.col("as_prev").alias("tables"))
+    for k in range(BURN_IN + SAMPLES if total else 1):
+        if k:
+            met = meet(meet(many, "word", table, ["lp"], least), "prev", table, ["tables"], least)
+            many = seat_pairs(met, d2, f"t{k}", seed + 100 + k)
+            drawn = {side: many.groupBy(F.col(side).alias("word")).agg(F.sum(f"t{k}").alias(f"t_{side}")) for side in ("word", "prev")}
+            counts = written(words_.join(drawn["word"], "word", "left").join(drawn["prev"], "word", "left").select(
+                "word", "c", "pairs", (F.col("once_word") + F.coalesce("t_word", F.lit(0))).alias("n"),
+                (F.col("once_prev") + F.coalesce("t_prev", F.lit(0))).alias("tables")))
+        customers = float(counts.agg(F.sum("n")).first()[0] or 0)
+        if total:
+            cells = sweep(counts, state, d1, seed + k).toPandas().sort_values("cell")  # at most 2^26 cells, whatever the corpus
+            word_tables = float(cells.n[cells.cell < 0].sum())
+            cells = cells[cells.cell >= 0]
+            model, byte_tables = seat_bytes(cells.cell.to_numpy(np.int64).astype(np.uint32), cells.n.to_numpy(), state.model, byte_tables, rng)
+            state = State(model, word_tables)
+        table, fresh = probabilities(counts, state, d1, customers, seed + 200 + k)
+        if k >= BURN_IN or not total:
+            spelt = table.where("c > 0").agg(F.sum("base")).first()[0] or 0.0
+            kept.append(Sample(table, f"t{k}", max(fresh - spelt, 1e-300)))
+    few = pairs.where("c < 2" if total else "true").withColumns({s.column: F.col("c") for s in kept})
+    return kept, few.unionByName(many) if total else few, d2
+
+
+def pair_probabilities(seats: DataFrame, samples: list[Sample], d: float, denominator: int, least: int) -> DataFrame:
+    """(prev, word, c, known, base, lp, open) of every pair: whether training has the word, and log10 of the add-one count's and
+    of the model's probability after ``prev``, averaged over the states; ``open`` gives an unknown word its spelling's."""
+    table = samples[0].table.select("word", "c", "pairs", F.col("lp").alias("lp0"), F.col("tables").alias("tables0"))
+    for i, s in enumerate(samples[1:], 1):
+        table = table.join(s.table.select("word", F.col("lp").alias(f"lp{i}"), F.col("tables").alias(f"tables{i}")), "word")
+    table = written(table)
+    n = range(len(samples))
+    met = meet(meet(seats, "word", table, ["c", *[f"lp{i}" for i in n]], least), "prev", table, ["c", *[f"tables{i}" for i in n]], least)
+    share = STRENGTH + F.col("prev_c")
+    back = [(STRENGTH + d * F.col(f"prev_tables{i}")) / share for i in n]
+    add = lambda cols: sum(cols[1:], cols[0])
+
+    def mean_log(logs):
+        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+        return (top + F.log(add([F.exp(x - top) for x in logs])) - math.log(len(logs))) / math.log(10)
+
+    spelled = mean_log([F.log(back[i]) + F.col(f"word_lp{i}") for i in n])
+    seen = F.log10(add([(F.col("c") - d * F.col(s.column)) / share + back[i] * F.exp(f"word_lp{i}") for i, s in enumerate(samples)]) / len(samples))
+    unknown = mean_log([F.log(back[i]) + math.log(s.unknown) for i, s in enumerate(samples)])
+    known = F.col("word_c") > 0
+    open_ = F.when(F.col("c") > 0, seen).otherwise(spelled)
+    return written(met.select("prev", "word", "c", known.cast("int").alias("known"), F.log10((F.col("word_c") + 1) / F.lit(float(denominator))).alias("base"),
+                              F.when(known, open_).otherwise(unknown).alias("lp"), open_.alias("open")))
 
 
 def _frequent(table: DataFrame) -> pd.DataFrame:
-    """At most ``HOT`` of the most frequent words."""
+    """At most ``HOT`` of the most frequent pairs."""
     octaves = {r.o: r.n for r in table.where("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("o")).agg(F.count("*").alias("n")).collect()}
     least, room = 0, HOT
     for o in sorted(octaves, reverse=True):
@@ -239,51 +342,44 @@ def scored(docs: DataFrame, held_out: str) -> DataFrame:
     ``docs`` has doc_id, text and ``held_out``. In ``score`` a word that training lacks counts as one more type, as in the base
     score: its probability is that of meeting any such word. ``open_score`` gives it the probability of its spelling.
     """
-    counts = word_counts(docs, held_out)
-    whole = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    pairs = pair_counts(docs, held_out)
+    words_ = vocabulary(pairs)
+    whole = words_.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, kinds = int(whole.n or 0), int(whole.v or 0)
-    states, d = fit(counts, total)
-    table = probabilities(counts, states, d, total)
-    spelt = table.where("c > 0").agg(F.sum("base").alias("s")).first().s or 0.0
-    fresh = sum(STRENGTH + d * s.tables for s in states) / len(states) / (STRENGTH + total)
-    unknown = math.log10(max(fresh - spelt, 1e-300))  # of the next word being one not seen in training
-    denominator = total + 1 * (kinds + 1)
-    frequent = {bytes(w): (math.log10((c + 1) / denominator), lp, int(c > 0)) for w, c, lp, _ in _frequent(table).itertuples(index=False)}
+    least = pairs.count() // 1000 + 1  # at most 2,000 words have so many pairs
+    samples, seats, d = fit(pairs, words_, total, least)
+    table = pair_probabilities(seats, samples, d, total + 1 * (kinds + 1), least)
+    frequent = {(bytes(r.prev), bytes(r.word)): (r.base, r.lp, r.known) for r in _frequent(table).itertuples(index=False)}
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for b in batches:
-            tail_row, tail_word, tail_k, sums = [], [], [], []
+            tail_row, tail_pair, tail_k, sums = [], [], [], []
             for row, text in zip(b.row, b.text):
-                found, base, lp, seen = Counter(words(text)), 0.0, 0.0, 0
-                found[END] += 1
-                for w, k in found.items():
-                    hit = known.get(w)
+                found, base, lp, seen = pairs_of(text), 0.0, 0.0, 0
+                for pair, k in found.items():
+                    hit = known.get(pair)
                     if hit is None:
                         tail_row.append(row)
-                        tail_word.append(w)
+                        tail_pair.append(pair)
                         tail_k.append(k)
                     else:
                         base, lp, seen = base + k * hit[0], lp + k * hit[1], seen + k * hit[2]
                 sums.append((found.total(), seen, base, lp))
-            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"]).assign(row=b.row.to_numpy(), doc_id=b.doc_id.to_numpy(object, na_value=None), held=b[held_out].to_numpy(), word=None)
-            yield done[["row", "doc_id", "held", "word", "k", "known", "base", "lp"]]
-            tail = pd.DataFrame({"row": tail_row, "doc_id": None, "held": False, "word": tail_word, "k": tail_k})
+            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"])
+            done = done.assign(row=b.row.to_numpy(), doc_id=b.doc_id.to_numpy(object, na_value=None), held=b[held_out].to_numpy(), prev=None, word=None)
+            yield done[["row", "doc_id", "held", "prev", "word", "k", "known", "base", "lp"]]
+            tail = pd.DataFrame({"row": tail_row, "doc_id": None, "held": False, "prev": [u for u, _ in tail_pair], "word": [w for _, w in tail_pair], "k": tail_k})
             yield tail.assign(known=0, base=0.0, lp=0.0)
 
-    schema = "row long, doc_id string, held boolean, word binary, k long, known long, base double, lp double"
+    schema = "row long, doc_id string, held boolean, prev binary, word binary, k long, known long, base double, lp double"
     # ids go through pandas as text: a null must not turn the others into doubles
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text", held_out)
     made = written(numbered.mapInPandas(score, schema))
-    found = made.where("word is not null").select("row", "word", "k").join(table, "word", "left")
-    times = F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
-    zero = F.lit(0).cast("long")
-    tails = found.select("row", F.when(F.col("c") > 0, F.col("k")).otherwise(zero).alias("known"), times.alias("base"), 
-                         (F.col("k") * F.when(F.col("c") > 0, F.col("lp")).otherwise(F.lit(unknown))).alias("lp"), (F.col("k") * F.col("lp")).alias("open"))
+    tails = made.where("word is not null").select("row", "prev", "word", "k").join(table, ["prev", "word"])
     heads = made.where("word is null")
-    sums = tails.groupBy("row").agg(F.sum("known").alias("tail_known"), F.sum("base").alias("tail_base"), F.sum("lp").alias("tail_lp"),
-                                    F.sum("open").alias("tail_open"))
+    sums = tails.groupBy("row").agg(*[F.sum(F.col("k") * F.col(c)).alias(f"tail_{c}") for c in ("known", "base", "lp", "open")])
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return heads.join(sums, "row", "left").select(
         F.col("doc_id").cast("long"), F.col("held").alias(held_out), F.col("k").alias("n_tokens"), plus("known", "tail_known").cast("long").alias("n_known"),

@@ -106,3 +106,27 @@ def test_seating_follows_the_restaurant():
 def test_lm_on_next_to_nothing(put, rows):
     docs = put(rows).select("doc_id", "text", F.lit(True).alias("held_out"))
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, "held_out").collect()] == [(1, 0, 0, 0.0)] * len(rows)
+
+
+def test_lm_scores_depend_on_word_order(put):
+    """Words in their usual order are likelier than the same words turned round; after any context all words add up to 1."""
+    text = "red fox runs over blue hill near old mill"
+    turned = " ".join(text.split()[::-1])
+    docs = put([(k, text, "en", "a", 0) for k in range(40)] + [(100, text, "en", "a", 0), (101, turned, "en", "a", 0), (102, "", "en", "a", 0)])
+    got = {r.doc_id: r for r in lm.scored(docs.select("doc_id", "text", (F.col("doc_id") >= 100).alias("held_out")), "held_out").collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].n_known == got[101].n_known == 10
+    assert got[100].score > got[101].score + 5
+
+
+def test_lm_context_probabilities_add_up(put):
+    """After a context, the seen words and that of meeting any word training lacks add up to 1."""
+    texts = ["a b c a b", "b c c a", "c a b b", "a a b c"] * 5
+    # held-out texts of one pair each: all words after b, and one word that training lacks
+    held = [f"b {w}" for w in ("a", "b", "c", "zzz")] + ["b"]
+    docs = put([(k, t, "en", "a", 0) for k, t in enumerate(texts)] + [(100 + k, t, "en", "a", 0) for k, t in enumerate(held)])
+    docs = docs.select("doc_id", "text", (F.col("doc_id") >= 100).alias("held_out"))
+    pairs = lm.pair_counts(docs, "held_out")
+    words = lm.vocabulary(pairs)
+    samples, seats, d = lm.fit(pairs, words, 1, 1000)
+    p = {(bytes(r.prev), bytes(r.word)): 10**r.lp for r in lm.pair_probabilities(seats, samples, d, 1, 1000).collect()}
+    assert math.isclose(sum(p[b"b", w] for w in (b"a", b"b", b"c", b"zzz", lm.END)), 1.0, rel_tol=1e-6)

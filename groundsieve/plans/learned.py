@@ -158,26 +158,33 @@ def m8_residual_hybrid(spark, sf):
 
 @query("m9_hurdle")
 def m9_hurdle(spark, sf):
-    """Hurdle against single regressor on one fold, with marginal and bucketed radii."""
-    rows = one_fold(spark, sf)
-    cells = folds.cell_counts(rows.where("role <> 'test'"))
-    parts = folds.split_cells_by_share(cells, {"iso": 0.15, "conf": 0.15}, seed=1042).select("mesh_row", "mesh_col", "part")
-    rows = rows.drop("part").join(folds.checked_broadcast(parts, folds.MAX_LEVEL2_CELLS), ["mesh_row", "mesh_col"], "left").withColumn("part", F.coalesce("part", F.lit("test")))
-    out = cut_lineage(learn.hurdle(rows, iterations=ITERATIONS).select("row_key", "part", "p_stiff", "y_true", "y_pred", "y_std", "y_single"))
-    conf = cal.with_score(out.where("part = 'conf'"), relative=False)
-    out = out.withColumn("_e", qcut_edges(conf, "p_stiff", 5).scalar()).withColumn("bucket", F.size(F.filter("_e", lambda e: e <= F.col("p_stiff"))))
-    conf = cal.with_score(out.where("part = 'conf'"), relative=False)
-    radii = cal.mondrian_radii(conf, "bucket", [0.95], min_group=50)
-    test = cal.with_group_radius(out.where("part = 'test'"), radii, "bucket")
-    test = test.withColumn("_m", order_statistics(conf, [], "score", [0.95]).select("q").scalar())
-    r, stiff = F.abs(errors.residual()), F.col("y_true") >= 30
+    """Hurdle against single regressor on every fold, with marginal and bucketed radii."""
+    layout = all_folds(spark, sf)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    out = test.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n_test"), errors.rmse(errors.residual()).alias("rmse_hurdle"), errors.rmse(F.col("y_true") - F.col("y_single")).alias("rmse_single"),
-        errors.rmse(F.when(stiff, errors.residual())).alias("rmse_stiff_hurdle"), share(r <= F.col("_m")).alias("coverage_marginal"),
-        share(r <= F.col("radii")[0]["q"]).alias("coverage_bucket"), F.avg(F.when(stiff, F.when(r <= F.col("radii")[0]["q"], 1.0).otherwise(0.0))).alias("coverage_bucket_stiff"),
-        F.avg("y_std").alias("std_mean"))
-    return rounded(out, *[c for c in out.columns if c not in ("part", "n_test")])
+
+    def run(i: int):
+        rows = layout.where(F.col("fold") == i)
+        cells = folds.cell_counts(rows.where("role <> 'test'"))
+        parts = folds.split_cells_by_share(cells, {"iso": 0.15, "conf": 0.15}, seed=1042).select("mesh_row", "mesh_col", "part")
+        rows = rows.drop("part").join(folds.checked_broadcast(parts, folds.MAX_LEVEL2_CELLS), ["mesh_row", "mesh_col"], "left")
+        # a cell may hold test rows of the fold next to others: the role decides, not the cell
+        rows = rows.withColumn("part", F.when(F.col("role") == "test", "test").otherwise(F.col("part")))
+        out = cut_lineage(learn.hurdle(rows, iterations=ITERATIONS).select("row_key", "part", "p_stiff", "y_true", "y_pred", "y_std", "y_single"))
+        conf = cal.with_score(out.where("part = 'conf'"), relative=False)
+        out = out.withColumn("_e", qcut_edges(conf, "p_stiff", 5).scalar()).withColumn("bucket", F.size(F.filter("_e", lambda e: e <= F.col("p_stiff"))))
+        conf = cal.with_score(out.where("part = 'conf'"), relative=False)
+        radii = cal.mondrian_radii(conf, "bucket", [0.95], min_group=50)
+        test = cal.with_group_radius(out.where("part = 'test'"), radii, "bucket")
+        test = test.withColumn("_m", order_statistics(conf, [], "score", [0.95]).select("q").scalar())
+        r, stiff = F.abs(errors.residual()), F.col("y_true") >= 30
+        return test.groupBy("part").agg(
+            F.count(F.lit(1)).alias("n_test"), errors.rmse(errors.residual()).alias("rmse_hurdle"), errors.rmse(F.col("y_true") - F.col("y_single")).alias("rmse_single"),
+            errors.rmse(F.when(stiff, errors.residual())).alias("rmse_stiff_hurdle"), share(r <= F.col("_m")).alias("coverage_marginal"),
+            share(r <= F.col("radii")[0]["q"]).alias("coverage_bucket"), F.avg(F.when(stiff, F.when(r <= F.col("radii")[0]["q"], 1.0).otherwise(0.0))).alias("coverage_bucket_stiff"),
+            F.avg("y_std").alias("std_mean"))
+
+    out = held_out(run)
+    return rounded(out, *[c for c in out.columns if c not in ("part", "n_test", "fold")])
 
 
 def borehole_rows(spark, sf):
@@ -187,22 +194,29 @@ def borehole_rows(spark, sf):
     return learn.assemble(cut_lineage(ep.withColumn("hole", F.xxhash64(*pr.LOC))).repartition(n, "hole"), learn.BOREHOLE)
 
 
+ENDPOINTS = ("depth_to_first_n30", "soft_thickness_lt5_0_to_10m", "mean_n_upper_10m", "min_n_upper_10m")
+
+
 @query("m10_endpoint_models")
 def m10_endpoint_models(spark, sf):
-    """Depth-to-stiff and upper-10 m mean N: censored rows excluded, P10/P50/P90 envelope, AUC of -prediction."""
+    """Depth to stiff, soft thickness, upper-10 m mean and minimum N on every fold: censored rows excluded, P10/P50/P90
+    envelope, AUC of -prediction."""
     rows = borehole_rows(spark, sf).persist()
-    outs = []
-    for target in ("depth_to_first_n30", "mean_n_upper_10m"):
-        known = rows.where(F.col(target).isNotNull()).withColumn("_y", F.col(target))
-        model = learn.boosted("_y", ITERATIONS, 3).fit(known.where("fold <> 0"))
-        env = learn.boosted_quantiles(known, "_y", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, stages=1, depth=3, fit=F.col("fold") != 0)
-        test = model.transform(env.where("fold = 0"))
+    jobs = [(target, i) for target in ENDPOINTS for i in range(FOLDS)]
+
+    def run(j: int):
+        target, i = jobs[j]
+        known, held = rows.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double")), F.col("fold") == i
+        model = learn.boosted("_y", ITERATIONS, 3).fit(known.where(~held))
+        env = learn.boosted_quantiles(known, "_y", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, stages=1, depth=3, fit=~held)
+        test = model.transform(env.where(held))
         r = F.col("_y") - F.col("prediction")
         m = test.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(r)).alias("mae"), errors.rmse(r).alias("rmse"),
                      F.avg(F.when(F.col("_y").between(F.col("p10"), F.col("p90")), 1.0).otherwise(0.0)).alias("coverage_80"))
-        reach = model.transform(rows.where("fold = 0")).select(F.lit(0).alias("g"), (-F.col("prediction")).alias("p"), F.col("has_n30_within_30m").alias("y"))
-        outs.append(m.withColumn("target", F.lit(target)).withColumn("auc_within_30m", th.roc_auc(reach, ["g"]).select("auc").scalar()))
-    return rounded(outs[0].unionByName(outs[1]), "mae", "rmse", "coverage_80", "auc_within_30m")
+        reach = model.transform(rows.where(held)).select(F.lit(0).alias("g"), (-F.col("prediction")).alias("p"), F.col("has_n30_within_30m").alias("y"))
+        return m.withColumns({"target": F.lit(target), "fold": F.lit(i), "auc_within_30m": th.roc_auc(reach, ["g"]).select("auc").scalar()})
+
+    return rounded(learn.each_fold(len(jobs), run), "mae", "rmse", "coverage_80", "auc_within_30m")
 
 
 @query("k11_out_of_bag")
@@ -213,10 +227,15 @@ def k11_out_of_bag(spark, sf):
 
 @query("e12_permutation_importance")
 def e12_permutation_importance(spark, sf):
+    """Every fold's rows permuted under the model of the other folds."""
     rows = feature_rows(spark, sf).persist()
-    model = learn.boosted("n_value", ITERATIONS, 4).fit(rows.where("fold <> 0"))
     groups = [["depth_from_surface"], ["regime_code"], ["river_distance_km"], ["latitude_deg", "longitude_deg"]]
-    return rounded(learn.permutation_importance(model, rows.where("fold = 0"), groups, "row_key", learn.assemble), "rmse", "rise")
+
+    def run(i: int):
+        model = learn.boosted("n_value", ITERATIONS, 4).fit(rows.where(F.col("fold") != i))
+        return learn.permutation_importance(model, rows.where(F.col("fold") == i), groups, "row_key", learn.assemble)
+
+    return rounded(held_out(run), "rmse", "rise")
 
 
 @query("m18_leave_group_out")
@@ -243,7 +262,7 @@ def m19_region_transfer(spark, sf):
 
 @query("m20_correction_sensitivity")
 def m20_correction_sensitivity(spark, sf):
-    """Raw, overburden- and rod-corrected N; boosted trees and forest; dispersed and contiguous folds."""
+    """Raw, overburden- and rod-corrected N; boosted trees and forest; every dispersed fold and contiguous block held out once."""
     p = inputs.predictions(spark, sf).where("groundwater_depth_m is not null")
     s = numeric.effective_overburden(F.col("depth_from_surface"), F.col("groundwater_depth_m"))
     cn = numeric.overburden_factor(s)
@@ -251,15 +270,16 @@ def m20_correction_sensitivity(spark, sf):
     rows = p.withColumns({"n_cn": F.col("n_value") * cn, "n_cn_cr": F.col("n_value") * cn * numeric.rod_factor(F.col("depth_from_surface")),
                           "block": (F.col("longitude_deg") > 139.7).cast("int")}).repartition(n, "row_key")
     rows = learn.assemble(rows, learn.NUMERIC).persist()
-    jobs = [(m, t, g) for m in ("boosted", "forest") for t in ("n_value", "n_cn", "n_cn_cr") for g in ("dispersed", "contiguous")]
+    parts = [("dispersed", "fold", i) for i in range(FOLDS)] + [("contiguous", "block", i) for i in range(2)]
+    jobs = [(m, t, *part) for m in ("boosted", "forest") for t in ("n_value", "n_cn", "n_cn_cr") for part in parts]
 
     def run(i: int):
-        model, target, geometry = jobs[i]
-        held = F.col("fold") == 0 if geometry == "dispersed" else F.col("block") == 1
+        model, target, geometry, column, part = jobs[i]
+        held = F.col(column) == part
         make = learn.boosted(target, 3, 4) if model == "boosted" else learn.forest(target, trees=5, depth=5)
         out = make.fit(rows.where(~held)).transform(rows.where(held))
         e = errors.normalised_rmse(out.select(F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")))
-        return e.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(geometry).alias("geometry"), "*")
+        return e.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(geometry).alias("geometry"), F.lit(part).alias("fold"), "*")
 
     return rounded(learn.each_fold(len(jobs), run), "rmse", "target_sd", "nrmse")
 

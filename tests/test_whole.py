@@ -14,3 +14,17 @@ def test_coast_distance_is_that_of_the_nearest_line_of_any_group(spark, small):
     per = [{r["node"]: r["km"] for r in lay.line_distance(nodes, src.segments_from_lines(lines.where(F.col("pref") == g)), "node", "km").collect()} for g in groups]
     got = {r["node"]: r["coast_distance_km"] for r in grids.p12_coast_distance_grid(spark, small).collect()}
     assert len(groups) == 5 and got == {n: round(float(min(p[n] for p in per)), 3) for n in per[0]}
+
+
+def test_every_fold_and_target_is_reported(spark, small, monkeypatch):
+    from groundsieve.plans import learned
+
+    monkeypatch.setattr(learned, "ITERATIONS", 1)
+    n = inputs.predictions(spark, small).count()
+    hurdle = learned.m9_hurdle(spark, small).collect()
+    assert sorted(r.fold for r in hurdle) == [0, 1, 2] and sum(r.n_test for r in hurdle) == n
+    assert {r.fold for r in learned.e12_permutation_importance(spark, small).select("fold").collect()} == {0, 1, 2}
+    ends = {(r.target, r.fold) for r in learned.m10_endpoint_models(spark, small).select("target", "fold").collect()}
+    assert ends == {(t, i) for t in ("depth_to_first_n30", "soft_thickness_lt5_0_to_10m", "mean_n_upper_10m", "min_n_upper_10m") for i in range(3)}
+    parts = {(r.geometry, r.fold) for r in learned.m20_correction_sensitivity(spark, small).select("geometry", "fold").collect()}
+    assert parts == {("dispersed", 0), ("dispersed", 1), ("dispersed", 2), ("contiguous", 0), ("contiguous", 1)}

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.mesh import MAX_LEVEL2_CELLS, pack, with_bounds
 from groundsieve.operators.small import checked_broadcast
+from groundsieve.session import cut_lineage
 
 CELL = ["mesh_row", "mesh_col"]
-MAX_FOLDS = 100
+MAX_FOLDS, MAX_LLOYD_STEPS = 100, 1000
 
 
 def shuffle_key(seed: int | Column, code: Column) -> Column:
@@ -57,21 +58,32 @@ def balanced_folds(cells: DataFrame, k: int, seed: int = 42) -> DataFrame:
                 assign, "mesh_row long, mesh_col long, mesh_code long, n_rows long, fold int"))
 
 
-def contiguous_folds(cells: DataFrame, k: int, seed: int = 42, iterations: int = 10) -> DataFrame:
+def contiguous_folds(cells: DataFrame, k: int, seed: int = 42, iterations: int | None = 10) -> DataFrame:
     """Compact folds by weighted-free Lloyd steps on cell midpoints (K2).
 
     Start centres are the first ``k`` cells in shuffled order; every step is a fold-sized
-    aggregate over the cell table. Ties go to the lowest fold.
+    aggregate over the cell table. Ties go to the lowest fold. Without ``iterations``, steps go on
+    until no cell moves: each cuts the lineage of the cell table and looks for a moved cell.
     """
     if k < 2:
         raise ValueError(f"need at least 2 folds, got {k}")
     pts = with_bounds(cells).select(*CELL, "mesh_code", "n_rows", "lat_mid", "lon_mid")
+    pts = cut_lineage(pts) if iterations is None else pts
     order = W.orderBy(shuffle_key(seed, F.col("mesh_code")), "mesh_code")
     centres = (pts.withColumn("fold", F.row_number().over(order) - 1).where(F.col("fold") < k)
                .agg(F.sort_array(F.collect_list(F.struct("fold", F.col("lat_mid").alias("y"), F.col("lon_mid").alias("x")))).alias("centres")))
-    for _ in range(iterations):
-        moved = _nearest_centre(pts, centres).groupBy("fold").agg(F.avg("lat_mid").alias("y"), F.avg("lon_mid").alias("x"))
+    before = None
+    for _ in range(MAX_LLOYD_STEPS if iterations is None else iterations):
+        placed = _nearest_centre(pts, centres)
+        if iterations is None:
+            placed = cut_lineage(placed)
+            if before is not None and not placed.join(before, CELL).where(F.col("fold") != F.col("_before")).limit(1).count():
+                return placed.select(*CELL, "mesh_code", "n_rows", "fold")
+            before = placed.select(*CELL, F.col("fold").alias("_before"))
+        moved = placed.groupBy("fold").agg(F.avg("lat_mid").alias("y"), F.avg("lon_mid").alias("x"))
         centres = moved.agg(F.sort_array(F.collect_list(F.struct("fold", "y", "x"))).alias("centres"))
+    if iterations is None:
+        raise ValueError(f"cells still move after {MAX_LLOYD_STEPS} steps")
     return _nearest_centre(pts, centres).select(*CELL, "mesh_code", "n_rows", "fold")
 
 

@@ -17,7 +17,7 @@ from groundsieve.plans.nearby import holes
 from groundsieve.plans.registry import query, rounded
 from groundsieve.session import cut_lineage
 
-ITERATIONS = 10  # tree stages of the registered queries; a parameter of every operator
+ITERATIONS, QUANTILE_STAGES = 20, 3  # tree stages (or trees) of the registered queries: the operators' defaults
 FOLDS = 3
 COLS = ["row_key", "latitude_deg", "longitude_deg", "depth_from_surface", "absolute_elevation", "river_distance_km", "coast_distance_km",
         "regime_code", "n_value", "fold", "role", "mesh_row", "mesh_col"]
@@ -83,7 +83,7 @@ def m4_t11_classifier_isotonic(spark, sf):
         fit = here.where("role = 'fit'")
         weights = th.class_weights(fit, []).select("weight_positive").scalar()
         fit = fit.withColumn("_w", F.when(F.col("y") == 1, weights).otherwise(1.0))
-        model = learn.classifier("y", ITERATIONS, weight="_w").fit(fit)
+        model = learn.classifier("y", weight="_w").fit(fit)
         scored = learn.with_probability(model, here.where("role <> 'fit'"))
         iso = learn.isotonic(scored.where("role = 'cal'"), "p_raw", "y")
         test = learn.apply_isotonic(iso, scored.where("role = 'test'"), "p_raw", "p_iso")
@@ -104,7 +104,7 @@ def m5_quantile_boosting(spark, sf):
     rows = all_folds(spark, sf)
 
     def run(i: int):
-        q = learn.boosted_quantiles(rows.where(F.col("fold") == i), "n_value", TAUS, stages=1, fit=F.col("role") == "fit")
+        q = learn.boosted_quantiles(rows.where(F.col("fold") == i), "n_value", TAUS, stages=QUANTILE_STAGES, fit=F.col("role") == "fit")
         q = q.withColumn("score", cal.cqr_score(F.col("y_true"), F.col("q025"), F.col("q975")))
         r = cal.conformal_radii(q.where("role = 'cal'"), [0.95]).select("q").scalar()
         return q.where("role = 'test'").withColumn("_r", r)
@@ -208,7 +208,7 @@ def m10_endpoint_models(spark, sf):
         target, i = jobs[j]
         known, held = rows.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double")), F.col("fold") == i
         model = learn.boosted("_y", ITERATIONS, 3).fit(known.where(~held))
-        env = learn.boosted_quantiles(known, "_y", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, stages=1, depth=3, fit=~held)
+        env = learn.boosted_quantiles(known, "_y", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, stages=QUANTILE_STAGES, depth=3, fit=~held)
         test = model.transform(env.where(held))
         r = F.col("_y") - F.col("prediction")
         m = test.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(r)).alias("mae"), errors.rmse(r).alias("rmse"),
@@ -221,7 +221,7 @@ def m10_endpoint_models(spark, sf):
 
 @query("k11_out_of_bag")
 def k11_out_of_bag(spark, sf):
-    oob = learn.out_of_bag(feature_rows(spark, sf), lambda: learn.boosted("n_value", 3, 4), 3, seed=42)
+    oob = learn.out_of_bag(feature_rows(spark, sf), lambda: learn.boosted("n_value", ITERATIONS, 4), 3, seed=42)
     return rounded(oob.select("row_key", "base_pred"), "base_pred")
 
 
@@ -276,7 +276,7 @@ def m20_correction_sensitivity(spark, sf):
     def run(i: int):
         model, target, geometry, column, part = jobs[i]
         held = F.col(column) == part
-        make = learn.boosted(target, 3, 4) if model == "boosted" else learn.forest(target, trees=5, depth=5)
+        make = learn.boosted(target, ITERATIONS, 4) if model == "boosted" else learn.forest(target, trees=ITERATIONS, depth=5)
         out = make.fit(rows.where(~held)).transform(rows.where(held))
         e = errors.normalised_rmse(out.select(F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")))
         return e.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(geometry).alias("geometry"), F.lit(part).alias("fold"), "*")
@@ -287,7 +287,7 @@ def m20_correction_sensitivity(spark, sf):
 @query("m21_buffer_sweep")
 def m21_buffer_sweep(spark, sf):
     """Contiguous folds without and with a one-cell ring: shrinkage, error, coverage."""
-    cells = cut_lineage(folds.contiguous_folds(folds.cell_counts(inputs.measurements(spark, sf)), 2, iterations=5))
+    cells = cut_lineage(folds.contiguous_folds(folds.cell_counts(inputs.measurements(spark, sf)), 2, iterations=None))
     rows = feature_rows(spark, sf).drop("fold", "role").persist()
     outs = []
     for ring in (0, 1):
@@ -297,7 +297,7 @@ def m21_buffer_sweep(spark, sf):
         role = (F.when(F.col("_own") == F.col("fold"), "test").when(~F.array_contains("usable", F.col("fold")), "buffer")
                 .when((F.col("mesh_row") * 3 + F.col("mesh_col") * 7) % 5 == 0, "cal").otherwise("fit"))
         r = r.withColumn("role", role).where("role <> 'buffer'").drop("_own", "usable").persist()
-        pred = learn.cross_predict(r, 2, lambda: learn.boosted("n_value", 3, 4))
+        pred = learn.cross_predict(r, 2, lambda: learn.boosted("n_value", ITERATIONS, 4))
         shrink = folds.train_shrinkage(cells, 2, ring).select("fold", "n_train", "shrinkage_pct")
         outs.append(learn.evaluate(pred.withColumn("y_std", F.lit(1.0))).join(shrink, "fold").withColumn("ring", F.lit(ring)))
     return rounded(reduce(lambda a, b: a.unionByName(b), outs), "rmse", "mae", "target_sd", "coverage", "coverage_stiff")

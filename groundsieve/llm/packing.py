@@ -1,8 +1,8 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps.
+"""Best-fit packing of token sequences: Spark ranks and places the pieces, the driver matches length classes.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are range-sorted once by (length, row), which gives every
-piece a rank inside its length class without a window over a hot class. Best fit then runs on the class table, which has at
-most ``capacity`` rows whatever the number of documents: in each step the longest class left is matched to its successor,
+piece a rank inside its length class without a window over a hot class. Best fit then runs in a sequential loop on the
+driver over the class table, which has at most ``capacity`` rows whatever the number of documents: in each step the longest class left is matched to its successor,
 the smallest gap that is large enough; ranks settle who gets which sequence; the gaps are updated; and so on until the
 class is placed, what finds no gap opening new sequences. A step yields intervals of ranks, so placing the pieces is one
 narrow look-up over the sorted table: no piece, sequence or gap is collected, and no further shuffle takes place.

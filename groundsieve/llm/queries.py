@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundsieve.llm import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, quality, secrets, token_counts
+from groundsieve.llm import (alignment, conversations, decontaminate, fingerprints, jaccard, language, licenses, lm, packing, quality, secrets,
+                             token_counts, token_files)
 from groundsieve.llm.common import documents, remainder, whole, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    path = public_tokenizers.path
+    return alignment.aligned(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    planned, repaired = conversations.repair(rows)
+    hashed = conversations.digests(repaired)
+    return planned.join(hashed, planned["conv_id"].eqNullSafe(hashed["conv_id"])).select(planned["*"], "repaired_sha256")
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.texts(token_files.write(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY)))

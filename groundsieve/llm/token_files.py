@@ -20,6 +20,7 @@ an empty table back. Where one id holds many rows, the text's digest and the row
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from typing import NamedTuple
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from groundsieve.llm.bpe import Cache, _byte_of, encoder
 from groundsieve.llm.common import shared_folder, written
 
 MAGIC = b"WAVELET1"
@@ -108,12 +110,12 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens: planes undone from the lowest up, one stable merge each."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
             bit = np.unpackbits(np.frombuffer(self._section(3 + k), np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[~bit] = out[: self.zeros[k]]
-            above[bit] = out[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            above[bit] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
             out = above
         return out
 
@@ -155,7 +157,7 @@ def shard(ids: list[int | None], lengths: list[int], tokens: np.ndarray, part: i
     n, bits = len(tokens), max(1, int(tokens.max(initial=0)).bit_length())
     known = np.array([i is not None for i in ids], np.uint8)
     sections = [np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), np.array(lengths, "<i8").tobytes()]
-    zeros, now = [], tokens
+    zeros, now = [], tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     for k in reversed(range(bits)):
         bit = (now >> now.dtype.type(k) & now.dtype.type(1)).astype(bool)
         sections.append(np.packbits(bit, bitorder="little").tobytes())
@@ -169,26 +171,38 @@ def shard(ids: list[int | None], lengths: list[int], tokens: np.ndarray, part: i
 
 
 class WordIds(dict):
-    """Little-endian 32-bit token ids by word, from the library; forgets everything beyond ``most`` words."""
+    """Little-endian 32-bit token ids by word; words beyond ``most`` are encoded anew each time.
 
-    def __init__(self, path: str, most: int = 500_000):
+    The library's model encodes every distinct pre-token once. A word with ``<|`` in it, which may hold a special string, goes
+    through the library's whole encoder.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.encoder, self.most = Tokenizer.from_file(path), most
+        self.library, self.own, self.most = Tokenizer.from_file(path), encoder(path), most
+        self.model = self.library.model
+        shown = {b: c for c, b in _byte_of().items()}
+        self.shown = str.maketrans({chr(b): c for b, c in shown.items()})
+        self.pieces = Cache(self._piece)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if "<|" in text:
+            value = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            value = b"".join(map(self.pieces.__getitem__, self.own._pieces.findall(self.own._normal(text))))
+        if len(self) < self.most and len(word) <= 64:
+            self[word] = value
+        return value
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown))
+        return array("I", [t.id for t in found]).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """A text's ids. No token, composition or special string of the vocabulary spans ASCII white space."""
-        found = text.split()
-        try:
-            return b"".join(map(self.__getitem__, found))
-        except KeyError:
-            fresh = [w for w in dict.fromkeys(found) if w not in self]
-            if len(self) + len(fresh) > self.most:
-                self.clear()
-                fresh = list(dict.fromkeys(found))
-            encoded = self.encoder.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            self.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoded)})
-            return b"".join(map(self.__getitem__, found))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

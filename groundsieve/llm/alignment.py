@@ -21,87 +21,123 @@ an empty table gives an empty table.
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.bpe import _byte_of
+from groundsieve.llm.bpe import Cache, _byte_of
 from groundsieve.llm.common import written
 
 SLOTS = 1 << 16  # texts of a block; a slot fits in 16 bits
 DENSE = 1 << 12  # slots from which a plane is a bitset of SLOTS bits
-LINKS = 1 << 22  # link occurrences after which a block is closed
+WORDS = 1 << 20  # chunk occurrences after which a block is closed
 _CHUNKS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _B = 15  # bits of a B id inside a pair code
 
 
+#: Fixed value: how vocabulary A cuts a text into pre-tokens.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+
+
 class Encoders:
-    """Both encoders of a process, and what they found for every chunk so far."""
+    """Both encoders of a process, and what they found for every chunk so far.
+
+    A chunk is named by itself, or without its leading space where no other white space is in it. Per chunk: whether both spell it,
+    counts, the groups as text, and its link codes at ``links[ends[k]:ends[k + 1]]``.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        library = Tokenizer.from_file(path_a)
+        self.model = library.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = _byte_of()
-        special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.bytes_a = {i: t.encode() if i in special else bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab().items()}
+        special = {i for i, t in library.get_added_tokens_decoder().items() if t.special}
+        self.bytes_a = {i: t.encode() if i in special else bytes(byte_of[c] for c in t) for t, i in library.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if len(pieces) > 1 << _B or max(self.bytes_a) >= 1 << 31 - _B:
             raise ValueError("a vocabulary is too large for 31-bit pair codes")
+        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, list(map(len, self.bytes_b))
+        self.said_a, self.said_b = {i: str(i) for i in self.bytes_a}, list(map(str, range(len(pieces))))
         self.splits = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
+        self.shown = str.maketrans({chr(b): c for c, b in byte_of.items()})
+        self.pre_tokens = Cache(self._pre_token)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.good, self.n_a, self.n_b, self.n_groups, self.said = [], [], [], [], []
-        self.links: list[np.ndarray] = []
+        self.good, self.n_a, self.n_b, self.n_groups, self.ends = array("b"), array("i"), array("i"), array("i"), array("q", [0])
+        self.links, self.said = array("i"), []
+
+    def _pre_token(self, piece: str) -> list[int]:
+        """A's ids of a pre-token, by the library's own model."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
 
     def chunks(self, text: str) -> list[str]:
-        """The text with its leading space, cut where both encoders always cut."""
-        return _CHUNKS.split(" " + text) if self.splits else [" " + text]
+        """The names of the text's chunks: it and its leading space, cut where both encoders always cut."""
+        if not self.splits:
+            return [" " + text]
+        words, n = text.split(), text.count(" ") + text.count("\n")
+        if len(words) == n + 1 and len("".join(words)) == len(text) - n:  # no white space but single spaces and line feeds
+            return text.replace("\n", " \n").split(" ")
+        return _CHUNKS.split(" " + text)
 
     def learn(self, fresh: list[str]) -> None:
         """Encode chunks met for the first time."""
-        ids_a = [e.ids for e in self.a.encode_batch(fresh, add_special_tokens=False)]
         # B adds the space itself; before a line feed it stays a token of its own, which is none of the text's
         ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in fresh], num_threads=1)
-        for chunk, a, b in zip(fresh, ids_a, ids_b):
-            if chunk[0] != " ":
+        for name, b in zip(fresh, ids_b):
+            chunk = name
+            if name[0] == "\n":
                 if not b or self.bytes_b[b[0]] != b" ":
                     raise ValueError("vocabulary B does not keep a line feed apart")
                 b = b[1:]
-            self.known[chunk] = len(self.good)
+            elif name[0] != " ":
+                chunk = " " + name
+            self.known[name] = len(self.good)
+            a: list[int] = []
+            for piece in PIECES.findall(chunk):
+                a += self.pre_tokens[piece]
             self._keep(chunk.encode(), a, b)
 
     def _keep(self, data: bytes, a: list[int], b: list[int]) -> None:
         good = b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-        groups, codes = [], []
+        groups, add = [], self.links.append
         if good:
+            size_a, size_b, said_a, said_b = self.size_a, self.size_b, self.said_a, self.said_b
             i = j = at_a = at_b = from_a = from_b = 0
-            while i < len(a):
-                at_a += len(self.bytes_a[a[i]])
+            for x in a:
+                at_a += size_a[x]
                 i += 1
                 while at_b < at_a:
-                    at_b += len(self.bytes_b[b[j]])
+                    at_b += size_b[b[j]]
                     j += 1
                 if at_a == at_b:
-                    left, right = a[from_a:i], b[from_b:j]
-                    groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                    codes += [x << _B | y for x in left for y in right]
+                    if i - from_a == 1 == j - from_b:
+                        y = b[from_b]
+                        groups.append(f"{said_a[x]}|{said_b[y]}")
+                        add(x << _B | y)
+                    else:
+                        left, right = a[from_a:i], b[from_b:j]
+                        groups.append(",".join(map(said_a.__getitem__, left)) + "|" + ",".join(map(said_b.__getitem__, right)))
+                        for u in left:
+                            for y in right:
+                                add(u << _B | y)
                     from_a, from_b = i, j
         self.good.append(good)
         self.n_a.append(len(a))
         self.n_b.append(len(b))
         self.n_groups.append(len(groups))
         self.said.append(";".join(groups))
-        self.links.append(np.array(codes, np.int32))
+        self.ends.append(len(self.links))
 
 
 @lru_cache(maxsize=2)
@@ -187,63 +223,61 @@ def _table(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
 
 
-def index(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", chunks: int = 300_000) -> DataFrame:
+def index(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", chunks: int = 400_000) -> DataFrame:
     """The written index: a row per (pair, block), and a row per text (pair null) with its place and own counts."""
     numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoders(path_a, path_b)
-        block, slot, codes, slots, held = 0, 0, [], [], 0
-
-        def close(part: int) -> Iterator[pa.RecordBatch]:
-            flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (codes, slots))
-            rows = pair_rows(*flat)
-            n = len(rows["pair"])
-            if n:
-                whole = _table(n, block=pa.array(np.full(n, part << 32 | block)), **rows)
-                yield from (whole.slice(at, 50_000) for at in range(0, n, 50_000))
+        ids: list[int | None] = []  # the block's texts
+        said: list[str] = []
+        at: list[int] = []  # their chunks, one after the other
+        ends: list[int] = []
+        part, block, held = 0, 0, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, said, at, ends, block, held
+            if not ids:
+                return
+            n, chunk, cuts = len(ids), np.array(at, np.int64), np.array([0, *ends])
+            slot = np.repeat(np.arange(n), np.diff(cuts))
+            total = lambda of: np.bincount(slot, np.frombuffer(of, of.typecode)[chunk], n).astype(np.int64)
+            stops = np.frombuffer(own.ends, "q")
+            sizes = (stops[1:] - stops[:-1])[chunk]
+            where = np.arange(sizes.sum()) + np.repeat(stops[chunk] - np.cumsum(sizes) + sizes, sizes)
+            codes = np.frombuffer(own.links, "i")[where] if len(where) else np.zeros(0, np.int32)
+            rows = pair_rows(codes, np.repeat(slot, sizes))
+            name = part << 32 | block
+            known = {"n_a": total(own.n_a), "n_b": total(own.n_b), "n_groups": total(own.n_groups), "doc_links": np.bincount(slot, sizes, n).astype(np.int64)}
+            pairs = len(rows["pair"])
+            made = [_table(n, block=pa.array(np.full(n, name)), slot=pa.array(np.arange(n)), doc_id=pa.array(ids, pa.int64()),
+                           groups_sha256=pa.array(said, pa.string()), **{c: pa.array(x) for c, x in known.items()})]
+            if pairs:
+                made.append(_table(pairs, block=pa.array(np.full(pairs, name)), **rows))
+            ids, said, at, ends, block, held = [], [], [], [], block + 1, 0
+            if len(own.good) > chunks:
+                own.clear()
+            for whole in made:
+                yield from (whole.slice(k, 50_000) for k in range(0, whole.num_rows, 50_000))
 
-        part = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part, done = batch["part"][0].as_py(), []
-
-            def texts_so_far():
-                ids = pa.array([d[0] for d in done], pa.int64())
-                names = ["slot", "n_a", "n_b", "n_groups", "doc_links"]
-                out = {n: pa.array([d[k] for d in done], pa.int64()) for k, n in enumerate(names, 1)}
-                return _table(len(done), block=pa.array(np.full(len(done), part << 32 | block)), doc_id=ids, **out,
-                              groups_sha256=pa.array([d[6] for d in done], pa.string()))
-
-            for ident, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if slot == SLOTS or held >= LINKS:
-                    if done:
-                        yield texts_so_far()
-                    yield from close(part)
-                    block, slot, codes, slots, held, done = block + 1, 0, [], [], 0, []
-                    if len(own.good) > chunks:
-                        own.clear()
-                row = (ident, slot, 0, 0, 0, 0, "")
-                if t:
-                    cut = own.chunks(t)
-                    fresh = [c for c in dict.fromkeys(cut) if c not in own.known]
-                    if fresh:
-                        own.learn(fresh)
-                    at = list(map(own.known.__getitem__, cut))
-                    if all(map(own.good.__getitem__, at)):
-                        links = np.concatenate(list(map(own.links.__getitem__, at)))
-                        codes.append(links)
-                        slots.append(np.full(len(links), slot, np.int32))
-                        held += len(links)
-                        said = ";".join(map(own.said.__getitem__, at))
-                        total = lambda of: sum(map(of.__getitem__, at))
-                        row = (ident, slot, total(own.n_a), total(own.n_b), total(own.n_groups), len(links), hashlib.sha256(said.encode()).hexdigest())
-                done.append(row)
-                slot += 1
-            if done:
-                yield texts_so_far()
-        yield from close(part)
+            for lo in range(0, batch.num_rows, 500):
+                few = batch.slice(lo, 500)
+                part = few["part"][0].as_py()
+                cut = [own.chunks(t) if t else [] for t in few["text"].to_pylist()]
+                if fresh := set().union(*cut).difference(own.known):
+                    own.learn(sorted(fresh))
+                for ident, names in zip(few["doc_id"].to_pylist(), cut):
+                    found = list(map(own.known.__getitem__, names))
+                    if not all(map(own.good.__getitem__, found)):
+                        found = []
+                    ids.append(ident)
+                    said.append(hashlib.sha256(";".join(map(own.said.__getitem__, found)).encode()).hexdigest() if found else "")
+                    at += found
+                    ends.append(len(at))
+                if len(ids) > SLOTS - 500 or len(at) >= WORDS:
+                    yield from close()
+        yield from close()
 
     return written(numbered.mapInArrow(build, _INDEX))
 

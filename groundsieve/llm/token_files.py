@@ -197,7 +197,7 @@ class WordIds(dict):
         return value
 
     def _piece(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown))
+        found = self.model.tokenize(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown))
         return array("I", [t.id for t in found]).tobytes()
 
     def ids(self, text: bytes) -> bytes:

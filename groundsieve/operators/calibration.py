@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.numeric import normal_cdf, normal_quantile, normal_quantile_col
 from groundsieve.functions.ordered import order_statistics, running_totals, value_counts
+from groundsieve.operators.nearest import kernel_quantiles
 from groundsieve.operators.small import checked_broadcast
 
 MIN_GROUP = 30
@@ -65,8 +64,9 @@ def conformal_radii(cal: DataFrame, alphas: Sequence[float], by: Sequence[str] =
 def mondrian_radii(cal: DataFrame, group: str, alphas: Sequence[float], by: Sequence[str] = (),
                    min_group: int = MIN_GROUP) -> DataFrame:
     """Radius per group with at least ``min_group`` rows, plus the marginal one as group '*' (Q6)."""
-    both = cal.withColumn("stratum", F.explode(F.array(F.lit(ALL), F.col(group).cast("string"))))
-    radii = conformal_radii(both, alphas, [*by, "stratum"])
+    for a in alphas:
+        _check_alpha(a)
+    radii = order_statistics(cal, by, "score", alphas, rollup=group, whole=ALL)
     return radii.where((F.col("stratum") == ALL) | (F.col("n_cal") >= min_group))
 
 
@@ -74,17 +74,16 @@ def with_group_radius(test: DataFrame, radii: DataFrame, group: str, by: Sequenc
                       max_groups: int = MAX_GROUPS) -> DataFrame:
     """Add ``radii``: array of (alpha, q) of the row's group, or the marginal ones (Q7).
 
-    Group codes come from code lists (regimes, depth bins, quintiles), so the radius table is
+    Group codes come from code lists (regimes, depth bins, quintiles), so the radius table, a row per group and stratum, is
     bounded and broadcast behind a check.
     """
     packed = radii.groupBy(*by, "stratum").agg(F.sort_array(F.collect_list(F.struct("alpha", "q"))).alias("_q"))
-    lookup = packed.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "_q"))).alias("_map"))
-    if by:
-        out = test.join(checked_broadcast(lookup, max_groups), list(by))
-    else:
-        out = test.withColumn("_map", lookup.scalar())
-    own, marginal = F.try_element_at("_map", F.col(group).cast("string")), F.try_element_at("_map", F.lit(ALL))
-    return out.withColumn("radii", F.coalesce(own, marginal)).drop("_map")
+    own = packed.where(F.col("stratum") != ALL).select(*by, F.col("stratum").alias("_s"), F.col("_q").alias("_own"))
+    marginal = packed.where(F.col("stratum") == ALL).select(*by, F.col("_q").alias("_all"))
+    out = test.withColumn("_s", F.col(group).cast("string"))
+    out = out.join(checked_broadcast(marginal, max_groups), list(by)) if by else out.withColumn("_all", marginal.select("_all").scalar())
+    out = out.join(checked_broadcast(own, max_groups), [*by, "_s"], "left")
+    return out.withColumn("radii", F.coalesce("_own", "_all")).drop("_s", "_own", "_all")
 
 
 def interval_coverage(df: DataFrame, alphas: Sequence[float], by: Sequence[str], relative: bool = True) -> DataFrame:
@@ -190,76 +189,21 @@ def isotonic_z(grid: DataFrame, alphas: Sequence[float], by: Sequence[str] = ())
         *by, "alpha", normal_quantile_col(F.col("_pl")).alias("z_lo"), normal_quantile_col(F.col("_ph")).alias("z_hi"))
 
 
-def locally_weighted_radii(cal: DataFrame, tests: DataFrame, features: Sequence[str], alpha: float,
-                           bandwidth: float, key: str, max_tests: int) -> DataFrame:
-    """Kernel-weighted conformal radius of each test row (Q10): key, q.
+def standardised(df: DataFrame, fit: DataFrame, features: Mapping[str, Column]) -> DataFrame:
+    """``df`` with the features in units of their spread over ``fit`` (population, plus 1e-9)."""
+    stats = fit.select([c.alias(n) for n, c in features.items()]).agg(
+        *[F.avg(n).alias(f"m_{n}") for n in features], *[F.stddev_pop(n).alias(f"s_{n}") for n in features]).first()
+    return df.withColumns({n: (c - F.lit(stats[f"m_{n}"])) / F.lit((stats[f"s_{n}"] or 0.0) + 1e-9) for n, c in features.items()})
+
 
-    ``tests`` is the capped evaluation sample, so it is bounded and goes to every task;
-    calibration rows stay where they are. Pass one sums each test row's kernel weights into score
-    ranges per partition; pass two lists single scores only for the one range in which a test
-    row's share crosses alpha. No frame of all pairs exists at any point.
+def locally_weighted_radii(cal: DataFrame, tests: DataFrame, features: Sequence[str], alpha: float, key: str, bandwidth: float = 0.1,
+                           cutoff: float = 4.0, **sizes: int) -> DataFrame:
+    """Kernel-weighted conformal radius of every test row (Q10): key, q.
+
+    The kernel is Gaussian up to ``cutoff`` bandwidths, where a weight is exp(-8) of the highest, and 0 beyond: calibration
+    and test rows meet tile by tile. A test row with no calibration row in reach has all weights zero and takes the largest score.
     """
     _check_alpha(alpha)
-    spark = cal.sparkSession
-    ranges = 256
-    rows = tests.select(key, *features).limit(max_tests + 1).toPandas()
-    if len(rows) > max_tests:
-        raise ValueError(f"evaluation sample has more than {max_tests} rows")
-    keys, ref = rows[key].to_numpy(), rows[list(features)].to_numpy(float)
-    h2 = 2.0 * bandwidth * bandwidth
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cut_row = cal.agg(F.array_distinct(F.percentile_approx("score", probs, F.lit(20 * ranges)))).first()
-    cuts = np.asarray(cut_row[0] or [], float)
-    names = list(features)
-
-    def weights(pdf: pd.DataFrame) -> np.ndarray:
-        x = pdf[names].to_numpy(float)
-        d2 = np.zeros((len(pdf), len(ref)))
-        for j in range(x.shape[1]):
-            d = x[:, j][:, None] - ref[:, j][None, :]
-            d2 += d * d
-        return np.exp(-d2 / h2)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((len(cuts) + 1, len(ref)))
-        for pdf in batches:
-            r = np.searchsorted(cuts, pdf["score"].to_numpy(), side="left")
-            w = weights(pdf)
-            for b in np.unique(r):
-                acc[b] += w[r == b].sum(axis=0)
-        b, t = np.nonzero(acc)
-        yield pd.DataFrame({"t": t, "r": b, "w": acc[b, t]})
-
-    slim = cal.select("score", *features)
-    parts = slim.mapInPandas(sums, "t int, r int, w double").groupBy("t", "r").agg(F.sum("w").alias("w"))
-    w_t = W.partitionBy("t").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = parts.withColumns({"cum": F.sum("w").over(w_t), "tot": F.sum("w").over(W.partitionBy("t"))})
-    hit = (cum.where(F.col("cum") / F.col("tot") >= F.lit(alpha))
-           .groupBy("t").agg(F.min_by(F.struct("r", (F.col("cum") - F.col("w")).alias("before"), "tot"), "r").alias("h"))
-           .select("t", "h.*"))
-    crossing = hit.toPandas()  # one row per test row
-    by_range = {int(r): g["t"].to_numpy(int) for r, g in crossing.groupby("r")}
-
-    def detail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            r = np.searchsorted(cuts, pdf["score"].to_numpy(), side="left")
-            for b in np.unique(r):
-                t = by_range.get(int(b))
-                if t is None:
-                    continue
-                sub = pdf[r == b]
-                w = weights(sub)[:, t]
-                yield pd.DataFrame({"t": np.tile(t, len(sub)), "score": np.repeat(sub["score"].to_numpy(), len(t)),
-                                    "w": w.ravel()})
-
-    detail_rows = (slim.mapInPandas(detail, "t int, score double, w double")
-                   .groupBy("t", "score").agg(F.sum("w").alias("w")))
-    marks = spark.createDataFrame(crossing, "t int, r int, before double, tot double")
-    w_s = W.partitionBy("t").orderBy("score").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = detail_rows.join(checked_broadcast(marks, max_tests), "t").withColumn(
-        "share", (F.col("before") + F.sum("w").over(w_s)) / F.col("tot"))
-    q = inside.groupBy("t").agg(F.coalesce(F.min(F.when(F.col("share") >= F.lit(alpha), F.col("score"))), F.max("score")).alias("q"))
-    names_of = spark.createDataFrame(pd.DataFrame({"t": np.arange(len(keys), dtype="int32"), key: keys}))
-    top = cal.agg(F.max("score")).scalar()  # all weights zero
-    return (names_of.join(checked_broadcast(q, max_tests), "t", "left")
-            .select(key, F.coalesce("q", top).alias("q")))
+    near = kernel_quantiles(tests, cal, "score", alpha, bandwidth=bandwidth, cutoff=cutoff, query_key=key, point_key=key, coords=features, **sizes)
+    top = cal.agg(F.max("score")).scalar()
+    return tests.select(key).join(near, key, "left").select(key, F.coalesce("q", top).alias("q"))

@@ -1,15 +1,22 @@
-"""Exact nearest neighbours as a tiled Spark join.
+"""Exact nearest neighbours and kernel sums as a tiled Spark join.
 
 Points are cut into tiles of roughly equal row count at percentiles of each axis in turn, so
 crowded areas get small tiles. The tile table (bounds and counts) has at most ``MAX_TILES`` rows
 whatever the data size; it is the only thing broadcast. For each tile of queries it gives
 
 * an upper bound on the k-th distance: the nearest tiles that together hold k points,
-* the candidate tiles: those not farther than that bound.
+* the candidate tiles: those not farther than that bound, or than a given radius.
+
+Where such a coarse tile has more than ``rows_per_tile`` rows, a grid over its box cuts it into fine ones. Their table grows with
+the data and stays a DataFrame: fine tiles are matched to fine tiles in tasks of their own, one per coarse tile of queries, among
+the fine tiles of its coarse candidates. So the copies of a row do not grow with the number of rows.
 
 Query and candidate rows then meet by equi-join on the pair of tiles. Crowded tiles are split by a
 hash of the row key, and long candidate lists into several groups whose partial results are
 merged, so no task sees an unbounded group. Inside a task numpy compares small blocks.
+
+With ``exclude``, a column of both sides with few values (a fold), a query meets only points whose value differs: one tiling
+serves all folds. Tiling and matching run jobs while a plan is built.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from groundsieve.session import cut_lineage
 
@@ -28,6 +35,8 @@ ROWS_PER_TILE = 4_000
 ROWS_PER_GROUP = 200_000
 LEAF = 64
 BLOCK = 32
+MAX_CLASSES = 64
+MAX_SIDE = 1 << 10  # cells of a coarse tile along an axis
 
 
 class Cuts(NamedTuple):
@@ -39,13 +48,31 @@ class Cuts(NamedTuple):
 
 
 class Tiling(NamedTuple):
-    """The cuts and the tile table (bounds and counts)."""
+    """The cuts and the coarse tile table: bounds, counts, counts by class, and cells along each of the two widest axes."""
 
     cuts: Cuts
     lo: np.ndarray
     hi: np.ndarray
     n: np.ndarray
     ids: np.ndarray
+    by: dict[int, np.ndarray]
+    side: np.ndarray
+
+    def others(self, x: int) -> np.ndarray:
+        """Points of each tile that a query of class ``x`` may meet."""
+        return self.n - self.by[x] if x in self.by else self.n
+
+    def fine(self, tile: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
+        """Cell of each row inside its coarse tile, ``parts`` a side; rows outside the tile's box fall into its nearest cell."""
+        k = np.minimum(np.searchsorted(self.ids, tile), len(self.ids) - 1)
+        known = self.ids[k] == tile
+        side = np.where(known, self.side[k] * parts, 1)
+        out = np.zeros(len(tile), np.int64)
+        for axis in self.cuts.order[:2]:
+            low, high = self.lo[k, axis], self.hi[k, axis]
+            span = np.where(high > low, high - low, 1.0)
+            out = out * MAX_SIDE + np.clip(np.floor((at[:, axis] - low) / span * side), 0, side - 1).astype(np.int64)
+        return out
 
 
 def _percentiles(c: str, n: int):
@@ -108,13 +135,18 @@ def tile_points(points: DataFrame, coords: Sequence[str], bounds: Sequence[tuple
             table = {int(r["_s"]): _thin(r["c"], min(fine, pieces[int(r["_s"])])) for r in rows if pieces[int(r["_s"])] > 1}
             cuts = Cuts(order, [*cuts.levels, table], [*cuts.widths, fine + 1])
     tagged = _tag(points, coords, cuts, "_tile")
-    stats = tagged.groupBy("_tile").agg(
+    stats = tagged.groupBy("_tile", "_x").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, (a, _) in enumerate(bounds)],
-        *[F.max(b).alias(f"hi{i}") for i, (_, b) in enumerate(bounds)]).orderBy("_tile").toPandas()
+        *[F.max(b).alias(f"hi{i}") for i, (_, b) in enumerate(bounds)]).toPandas()
     d = len(bounds)
-    return tagged, Tiling(cuts, stats[[f"lo{i}" for i in range(d)]].to_numpy(float),
-                          stats[[f"hi{i}" for i in range(d)]].to_numpy(float),
-                          stats["n"].to_numpy(np.int64), stats["_tile"].to_numpy(np.int64))
+    if stats["_x"].nunique() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} values to exclude by")
+    whole = stats.groupby("_tile").agg({"n": "sum"} | {f"lo{i}": "min" for i in range(d)} | {f"hi{i}": "max" for i in range(d)}).sort_index()
+    by = {int(x): g.set_index("_tile")["n"].reindex(whole.index, fill_value=0).to_numpy(np.int64) for x, g in stats.groupby("_x")}
+    n = whole["n"].to_numpy(np.int64)
+    side = np.ceil(n / rows_per_tile) ** (1 / min(2, d)) if d else np.ones(len(n))
+    return tagged, Tiling(cuts, whole[[f"lo{i}" for i in range(d)]].to_numpy(float), whole[[f"hi{i}" for i in range(d)]].to_numpy(float),
+                          n, whole.index.to_numpy(np.int64), by, np.minimum(np.ceil(side - 1e-9).astype(np.int64), MAX_SIDE // 2))
 
 
 def _box_distances(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,24 +245,30 @@ def located(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, point_key: str,
-             coords: Sequence[str], payload: Sequence[str] = (), max_distance: float | None = None,
-             segments: Sequence[str] | None = None, rows_per_tile: int = ROWS_PER_TILE,
-             rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    """The k nearest points of every query: query_key, distances, neighbours (keys) and one array
-    per numeric payload column, all nearest first; ties go to the lower key (J7).
+class Met(NamedTuple):
+    """Both sides of a tiled join: rows that may meet share a block. ``_groups`` is the number of blocks of a query row."""
 
-    ``coords`` are Euclidean columns of both sides. With ``segments`` = (x1, y1, x2, y2) the
-    points are segments and ``coords`` the two axes of the queries (J3). Queries with no
-    neighbour within ``max_distance`` are left out, and so are rows of either side with a NULL or
-    NaN coordinate.
-    """
+    left: DataFrame
+    right: DataFrame
+    axes: list[str]
+    shape: list[str]
+    merged: bool
+
+    def solved(self, solve, schema: str) -> DataFrame:
+        return (self.left.groupBy("_qt", "_qs", "_group").cogroup(self.right.groupBy("_rt", "_rs", "_rg")).applyInPandas(solve, schema))
+
+
+def met(queries: DataFrame, points: DataFrame, k: int | None, *, query_key: str, point_key: str, coords: Sequence[str], payload: Sequence[str] = (),
+        max_distance: float | None = None, segments: Sequence[str] | None = None, exclude: str | None = None,
+        rows_per_tile: int = ROWS_PER_TILE, rows_per_group: int = ROWS_PER_GROUP) -> Met:
+    """Blocks in which every query row meets all points that may be among its ``k`` nearest (all within ``max_distance`` if None)."""
     spark = queries.sparkSession
     coords, payload = list(coords), list(payload)
     shape = list(segments or coords)
     max_d2 = np.inf if max_distance is None else float(max_distance) ** 2
-    q = cut_lineage(queries.select(F.col(query_key).alias("_q"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coords)]))
-    p = points.select(F.col(point_key).alias("_p"), *[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(shape)],
+    x = F.coalesce(F.col(exclude).cast("int"), F.lit(-1)).alias("_x") if exclude else F.lit(-1).alias("_x")
+    q = cut_lineage(queries.select(F.col(query_key).alias("_q"), x, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coords)]))
+    p = points.select(F.col(point_key).alias("_p"), x, *[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(shape)],
                       *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(payload)])
     axes = [f"_c{i}" for i in range(len(coords))]
     shape = [f"_s{i}" for i in range(len(shape))]
@@ -245,43 +283,133 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
         bounds = [(a, a) for a in axes]
     p, tiles = tile_points(cut_lineage(p), axes, bounds, rows_per_tile)
     q = _tag(q, axes, tiles.cuts, "_tile")
-    salts_p = np.maximum(1, -(-tiles.n // rows_per_group))
-    reach = min(k, int(tiles.n.sum()))
-
-    # One row per query tile: its box and how many ways its rows are split.
-    boxes = q.groupBy("_tile").agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, a in enumerate(axes)],
+    d, two = len(axes), bool(len(tiles.side)) and int(tiles.side.max()) > 1
+    # without ``exclude`` nobody is kept out: the class -1 of both sides is told apart by a query class of -2
+    own = (lambda c: c) if exclude else (lambda c: -2)
+
+    def reach(counts: np.ndarray) -> int:
+        return int(counts.sum()) if k is None else min(k, int(counts.sum()))
+
+    def lists(rows: pd.DataFrame, lo2, hi2, n2_of, names, salts2) -> list[tuple]:
+        """Block rows of query tiles: (query tile, class, salts, group, groups, point tile, salt, salts)."""
+        out = []
+        lo, hi = rows[[f"lo{i}" for i in range(d)]].to_numpy(), rows[[f"hi{i}" for i in range(d)]].to_numpy()
+        for r, (tile, c, n) in enumerate(zip(rows["_tile"], rows["_x"], rows["n"])):
+            n2 = n2_of(own(int(c)))
+            some = np.flatnonzero(n2 > 0)
+            if not len(some):
+                continue
+            keep, _ = _candidates(lo[r], hi[r], lo2[some], hi2[some], n2[some], reach(n2), max_d2)
+            group, size, salts, mine = 0, 0, max(1, -(-int(n) // rows_per_tile)), []
+            for t in some[keep]:
+                part = n2[t] / salts2[t]
+                for s in range(salts2[t]):
+                    if size and size + part > rows_per_group:
+                        group, size = group + 1, 0
+                    size += part
+                    mine.append((tile, c, salts, group, names[t], s, salts2[t]))
+            out += [(*m[:4], group + 1, *m[4:]) for m in mine]
+        return out
+
+    columns = ["_qt", "_qx", "_salts", "_group", "_groups", "_tile", "_ps", "_psalts"]
+    block_schema = "_qt long, _qx int, _salts int, _group int, _groups int, _tile long, _ps int, _psalts int"
+
+    def box(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, a in enumerate(axes)],
                                    *[F.max(a).alias(f"hi{i}") for i, a in enumerate(axes)])
-    d = len(axes)
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            lo, hi = pdf[[f"lo{i}" for i in range(d)]].to_numpy(), pdf[[f"hi{i}" for i in range(d)]].to_numpy()
-            for r in range(len(pdf)):
-                keep, _ = _candidates(lo[r], hi[r], tiles.lo, tiles.hi, tiles.n, reach, max_d2)
-                group, size = 0, 0
-                salts = max(1, -(-int(pdf["n"].iloc[r]) // rows_per_tile))
-                for t in keep:
-                    part = tiles.n[t] / salts_p[t]
-                    for s in range(salts_p[t]):
-                        if size and size + part > rows_per_group:
-                            group, size = group + 1, 0
-                        size += part
-                        out.append((pdf["_tile"].iloc[r], salts, group, tiles.ids[t], s, salts_p[t]))
-            yield pd.DataFrame(out, columns=["_qt", "_salts", "_group", "_tile", "_ps", "_psalts"])
-
-    pairs = cut_lineage(boxes.repartition("_tile").mapInPandas(
-        match, "_qt long, _salts int, _group int, _tile long, _ps int, _psalts int"))
+    if not two:
+        salts_p = np.maximum(1, -(-tiles.n // rows_per_group))
+
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame(lists(pdf, tiles.lo, tiles.hi, tiles.others, tiles.ids, salts_p), columns=columns)
+
+        pairs = box(q, ["_tile", "_x"]).repartition("_tile").mapInPandas(match, block_schema)
+    else:
+        # point cells of half the side: the nearest ones then bound the k-th distance more tightly
+        q, p = _fine(q, axes, tiles, 1), _fine(p, axes, tiles, 2)
+        coarse = box(q, ["_coarse", "_x"])
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                lo, hi = pdf[[f"lo{i}" for i in range(d)]].to_numpy(), pdf[[f"hi{i}" for i in range(d)]].to_numpy()
+                out = []
+                for r, (tile, c) in enumerate(zip(pdf["_coarse"], pdf["_x"])):
+                    n2 = tiles.others(own(int(c)))
+                    keep, _ = _candidates(lo[r], hi[r], tiles.lo, tiles.hi, n2, reach(n2), max_d2)
+                    out += [(tile, c, tiles.ids[t]) for t in keep if n2[t] > 0]
+                yield pd.DataFrame(out, columns=["_coarse", "_x", "_there"])
+
+        near = coarse.repartition("_coarse").mapInPandas(meet, "_coarse long, _x int, _there long")
+        # fine tiles of points: bounds and counts by class, as many as the points need; they are never gathered
+        cells = p.groupBy("_coarse", "_tile", "_x").agg(
+            F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, (a, _) in enumerate(bounds)], *[F.max(b).alias(f"hi{i}") for i, (_, b) in enumerate(bounds)])
+        cells = cells.groupBy("_coarse", "_tile").agg(
+            F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_x", "n"))).alias("_by"),  # MAX_CLASSES entries
+            *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)])
+        there = near.join(cells.withColumnRenamed("_coarse", "_there"), "_there").select(
+            "_coarse", F.col("_x").alias("_cx"), "_tile", (F.col("n") - (F.coalesce(F.try_element_at("_by", F.col("_x")), F.lit(0)) if exclude else F.lit(0))).alias("n2"), "n",
+            *[f"lo{i}" for i in range(d)], *[f"hi{i}" for i in range(d)])
+
+        def fine_match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame([], columns=columns)
+            n2 = b["n2"].to_numpy(np.int64)
+            salts = np.maximum(1, -(-b["n"].to_numpy(np.int64) // rows_per_group))
+            found = lists(a, b[[f"lo{i}" for i in range(d)]].to_numpy(), b[[f"hi{i}" for i in range(d)]].to_numpy(), lambda _: n2, b["_tile"].to_numpy(), salts)
+            return pd.DataFrame(found, columns=columns)
+
+        pairs = (box(q, ["_coarse", "_tile", "_x"]).groupBy("_coarse", "_x").cogroup(there.groupBy("_coarse", "_cx")).applyInPandas(fine_match, block_schema))
+    pairs = cut_lineage(pairs)
     shape_of = pairs.agg(F.max("_group").alias("g"), F.sum("_salts").alias("n")).first()
-    merged = (shape_of["g"] or 0) > 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, min(4 * width, int(shape_of["n"] or 1)))  # the solve is heavy per row: keep small tasks
     fan = pairs.withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    left = q.withColumnRenamed("_tile", "_qt").join(pairs.select("_qt", "_salts", "_group").distinct(), "_qt").withColumn(
-        "_qs", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int")).select("_qt", "_qs", "_group", "_q", *axes)
-    right = p.join(fan, "_tile").where(F.pmod(F.xxhash64("_p"), F.col("_psalts")) == F.col("_ps")).select(
-        F.col("_qt").alias("_rt"), F.col("_qs").alias("_rs"), F.col("_group").alias("_rg"), "_p", *shape,
-        *[f"_v{i}" for i in range(len(payload))])
+    tag = F.concat_ws(":", "_qt", "_qx").alias("_qt")  # a block is one class of one tile
+    heads = pairs.select("_qt", F.col("_qx").alias("_x"), "_salts", "_group", "_groups").distinct()
+    left = q.withColumnRenamed("_tile", "_qt").join(heads, ["_qt", "_x"]).withColumnRenamed("_x", "_qx").withColumn(
+        "_qs", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int")).select(tag, "_qs", "_group", "_groups", "_q", *axes)
+    right = p.join(fan, "_tile").where(F.pmod(F.xxhash64("_p"), F.col("_psalts")) == F.col("_ps"))
+    if exclude:
+        right = right.where(F.col("_x") != F.col("_qx"))
+    right = right.select(F.concat_ws(":", "_qt", "_qx").alias("_rt"), F.col("_qs").alias("_rs"), F.col("_group").alias("_rg"), "_p", *shape,
+                         *[f"_v{i}" for i in range(len(payload))])
+    return Met(left.repartition(parts, "_qt", "_qs", "_group"), right.repartition(parts, "_rt", "_rs", "_rg"), axes, shape, (shape_of["g"] or 0) > 0)
+
+
+def _fine(df: DataFrame, coords: Sequence[str], tiles: Tiling, parts: int) -> DataFrame:
+    """``_tile`` becomes ``_coarse``; the new ``_tile`` numbers the cell in it, too."""
+    schema = T.StructType(df.schema.fields + [T.StructField("_coarse", T.LongType())])
+    cols = list(coords)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["_coarse"] = pdf["_tile"]
+            cell = tiles.fine(pdf["_tile"].to_numpy(np.int64), pdf[cols].to_numpy(float), parts)
+            pdf["_tile"] = pdf["_tile"] * (MAX_SIDE * MAX_SIDE) + cell
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, point_key: str,
+             coords: Sequence[str], payload: Sequence[str] = (), max_distance: float | None = None,
+             segments: Sequence[str] | None = None, exclude: str | None = None, rows_per_tile: int = ROWS_PER_TILE,
+             rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """The k nearest points of every query: query_key, distances, neighbours (keys) and one array
+    per numeric payload column, all nearest first; ties go to the lower key (J7).
+
+    ``coords`` are Euclidean columns of both sides. With ``segments`` = (x1, y1, x2, y2) the
+    points are segments and ``coords`` the two axes of the queries (J3). Queries with no
+    neighbour within ``max_distance`` are left out, and so are rows of either side with a NULL or
+    NaN coordinate. With ``exclude``, only points of another value of that column count.
+    """
+    payload = list(payload)
+    max_d2 = np.inf if max_distance is None else float(max_distance) ** 2
+    blocks = met(queries, points, k, query_key=query_key, point_key=point_key, coords=coords, payload=payload, max_distance=max_distance,
+                 segments=segments, exclude=exclude, rows_per_tile=rows_per_tile, rows_per_group=rows_per_group)
+    axes, shape = blocks.axes, blocks.shape
     q_type = queries.schema[query_key].dataType.simpleString()
     p_type = points.schema[point_key].dataType.simpleString()
     out_schema = f"_q {q_type}, distances array<double>, neighbours array<{p_type}>" + "".join(f", _v{i} array<double>" for i in range(len(payload)))
@@ -300,12 +428,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
         data = {"_q": a["_q"].to_numpy()[rows] if len(a) else []} | {c: pd.Series(v, dtype=object) for c, v in lists.items()}
         return pd.DataFrame(data)
 
-    left = left.repartition(parts, "_qt", "_qs", "_group")
-    right = right.repartition(parts, "_rt", "_rs", "_rg")
-    found = (left.groupBy("_qt", "_qs", "_group").cogroup(right.groupBy("_rt", "_rs", "_rg"))
-             .applyInPandas(solve, out_schema))
+    found = blocks.solved(solve, out_schema)
     names = ["distances", "neighbours"] + [f"_v{i}" for i in range(len(payload))]
-    if merged:
+    if blocks.merged:
         # every query has one bounded row per group: join the arrays, keep the k nearest
         zipped = found.select("_q", F.arrays_zip(*names).alias("_z")).groupBy("_q").agg(F.flatten(F.collect_list("_z")).alias("_z"))
         best = zipped.withColumn("_z", F.slice(F.array_sort("_z"), 1, k))
@@ -313,6 +438,87 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_key: str, p
     return found.select(F.col("_q").alias(query_key), "distances", "neighbours", *[F.col(f"_v{i}").alias(c) for i, c in enumerate(payload)])
 
 
+RANGES = 256
+
+
+def kernel_quantiles(queries: DataFrame, points: DataFrame, value: str, alpha: float, *, bandwidth: float, cutoff: float, query_key: str, point_key: str,
+                     coords: Sequence[str], rows_per_tile: int = ROWS_PER_TILE, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """query_key, q: the smallest ``value`` at which the kernel weights of the points, in order of value, reach the share ``alpha``.
+
+    Weights are exp(-d^2 / 2 h^2) up to ``cutoff`` bandwidths h and nothing beyond. A query whose points all lie in one block is settled there. The
+    others add up their weights per range of values over their blocks first, and then list single values of the one range in
+    which the share is reached. Queries without a point in reach are left out.
+    """
+    h2, max_d2 = 2.0 * bandwidth * bandwidth, (cutoff * bandwidth) ** 2
+    cuts = np.zeros(0)
+    blocks = met(queries, points, None, query_key=query_key, point_key=point_key, coords=coords, payload=[value], max_distance=cutoff * bandwidth,
+                 rows_per_tile=rows_per_tile, rows_per_group=rows_per_group)
+    axes, shape = blocks.axes, blocks.shape
+    q_type = queries.schema[query_key].dataType.simpleString()
+    if blocks.merged:
+        points_at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+        row = points.agg(F.percentile_approx(F.col(value).cast("double"), points_at, F.lit(20 * RANGES))).first()
+        cuts = np.unique(np.array(row[0] or [], float))
+
+    def weighed(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query rows, values of candidate points ascending, weights) block by block."""
+        q, order = a[axes].to_numpy(float), np.argsort(b["_v0"].to_numpy(float), kind="stable")
+        p, v = b[shape].to_numpy(float)[order], b["_v0"].to_numpy(float)[order]
+        leaves = [np.sort(r) for r in _halve(p, np.arange(len(p)), LEAF)]
+        lo, hi = np.array([p[r].min(axis=0) for r in leaves]), np.array([p[r].max(axis=0) for r in leaves])
+        for rows in _halve(q, np.arange(len(q)), BLOCK):
+            near, _ = _box_distances(q[rows].min(axis=0), q[rows].max(axis=0), lo, hi)
+            some = np.flatnonzero(near <= max_d2)
+            if len(some):
+                cand = np.sort(np.concatenate([leaves[i] for i in some]))
+                d2 = _point_d2(q[rows], p[cand])
+                yield rows, v[cand], np.where(d2 <= max_d2, np.exp(-d2 / h2), 0.0)
+
+    def settle(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            keys, alone = a["_q"].to_numpy(), (a["_groups"].to_numpy() == 1).all()
+            for rows, v, w in weighed(a, b):
+                if alone:
+                    cum = np.cumsum(w, axis=1)
+                    total = cum[:, -1]
+                    at = np.minimum((cum / np.where(total > 0, total, 1.0)[:, None] < alpha).sum(axis=1), len(v) - 1)
+                    out.append(pd.DataFrame({"_q": keys[rows], "r": -1, "w": total, "q": v[at]})[total > 0])
+                else:
+                    part = np.add.reduceat(w, np.unique(np.searchsorted(cuts, v, side="left"), return_index=True)[1], axis=1)
+                    r = np.unique(np.searchsorted(cuts, v, side="left"))
+                    t, j = np.nonzero(part)
+                    out.append(pd.DataFrame({"_q": keys[rows][t], "r": r[j], "w": part[t, j], "q": np.nan}))
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "r": [], "w": [], "q": []})
+
+    made = blocks.solved(settle, f"_q {q_type}, r int, w double, q double")
+    if not blocks.merged:
+        return made.select(F.col("_q").alias(query_key), "q")
+    made = cut_lineage(made)
+    sums = made.where("r >= 0").groupBy("_q", "r").agg(F.sum("w").alias("w"))
+    below = W.partitionBy("_q").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)  # RANGES rows a query
+    cum = sums.withColumns({"cum": F.sum("w").over(below), "tot": F.sum("w").over(W.partitionBy("_q"))})
+    mark = cum.where(F.col("cum") / F.col("tot") >= F.lit(alpha)).groupBy("_q").agg(
+        F.min_by(F.struct("r", (F.col("cum") - F.col("w")).alias("before"), "tot"), "r").alias("m"))
+    left = blocks.left.where("_groups > 1").join(mark.select("_q", F.col("m.r").alias("_range")), "_q")
+
+    def detail(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            keys, want = a["_q"].to_numpy(), a["_range"].to_numpy()
+            for rows, v, w in weighed(a, b):
+                t, j = np.nonzero((w > 0) & (np.searchsorted(cuts, v, side="left")[None, :] == want[rows][:, None]))
+                out.append(pd.DataFrame({"_q": keys[rows][t], "v": v[j], "w": w[t, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "v": [], "w": []})
+
+    single = blocks._replace(left=left).solved(detail, f"_q {q_type}, v double, w double").groupBy("_q", "v").agg(F.sum("w").alias("w"))
+    inside = single.join(mark.select("_q", "m.before", "m.tot"), "_q").withColumn(
+        "share", (F.col("before") + F.sum("w").over(W.partitionBy("_q").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))) / F.col("tot"))
+    # where rounding keeps the last value just below the share, it is that value
+    split = inside.groupBy("_q").agg(F.coalesce(F.min(F.when(F.col("share") >= F.lit(alpha), F.col("v"))), F.max("v")).alias("q"))
+    return made.where("r < 0").select("_q", "q").unionByName(split).withColumnRenamed("_q", query_key)
+
+
 def within_radius(points: DataFrame, queries: DataFrame, radius: float, *, point_key: str, coords: Sequence[str]) -> DataFrame:
     """Points within ``radius`` of any query (J8): a nearest-query search with a cut-off."""
     q = queries.select(*coords).distinct().withColumn("_id", F.xxhash64(*coords))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from groundsieve.functions.numeric import bin_index
 from groundsieve.functions.ordered import quantiles
 from groundsieve.operators import calibration as cal
-from groundsieve.operators.quality import exact_sample
 from groundsieve.plans import inputs
 from groundsieve.plans.inputs import check_sql
 from groundsieve.plans.keys import cdf_sql, quantile_sql
@@ -142,21 +141,24 @@ def q9_weighted_quantile(spark, sf):
     return rounded(cal.weighted_quantile(rows, ["regime_code"], "score", "w", 0.8), "q")
 
 
-FEATS = """(latitude_deg - 36) as f1, (longitude_deg - 139.5e0) as f2, depth_from_surface / 15 as f3, cast(regime_code as double) / 2 as f4"""
+Z_OF = lambda c: f"({c} - (select avg({c}) from fx_pred where role = 'cal')) / ((select stddev_pop({c}) from fx_pred where role = 'cal') + 1e-9)"
+FEATS = ", ".join(f"{Z_OF(c)} as f{i}" for i, c in enumerate(("latitude_deg", "longitude_deg", "depth_from_surface", "regime_code"), 1))
 
 
 @query("q10_locally_weighted_interval", check_sql("""
-select row_key, round(coalesce(min(s) filter (cum / tot >= 0.9e0), max(s)), 6) as q from (
-  select row_key, s, sum(w) over (partition by row_key order by s, cal_key) as cum, sum(w) over (partition by row_key) as tot from (
-    select t.row_key, c.row_key as cal_key, c.s, exp(-(pow(c.f1 - t.f1, 2) + pow(c.f2 - t.f2, 2) + pow(c.f3 - t.f3, 2) + pow(c.f4 - t.f4, 2)) / 0.5e0) as w
-    from c cross join t)) group by row_key""", f"""
-c as (select row_key, abs(y_true - y_pred) / y_std as s, {FEATS} from fx_pred where role = 'cal'),
-t as (select row_key, {FEATS} from fx_pred where role = 'test' order by md5('3:' || cast(row_key as varchar)), row_key limit 100)"""))
+select t.row_key, round(coalesce(q, (select max(s) from c)), 6) as q from t left join (
+  select row_key, coalesce(min(s) filter (cum / tot >= 0.9e0), max(s)) as q from (
+    select row_key, s, sum(w) over (partition by row_key order by s, cal_key) as cum, sum(w) over (partition by row_key) as tot from (
+      select row_key, cal_key, s, exp(-d2 / (2 * 0.1e0 * 0.1e0)) as w from (
+        select t.row_key, c.row_key as cal_key, c.s, (t.f1 - c.f1) * (t.f1 - c.f1) + (t.f2 - c.f2) * (t.f2 - c.f2) + (t.f3 - c.f3) * (t.f3 - c.f3) + (t.f4 - c.f4) * (t.f4 - c.f4) as d2
+        from t join c on c.regime_code = t.regime_code and c.g1 between t.g1 - 1 and t.g1 + 1 and abs(c.f2 - t.f2) <= 0.4e0 and abs(c.f3 - t.f3) <= 0.4e0) where d2 <= 0.4e0 * 0.4e0)) group by row_key) using (row_key)""", f"""
+feats as (select *, cast(floor(f1 / 0.4e0) as int) as g1 from (select row_key, role, regime_code, abs(y_true - y_pred) / y_std as s, {FEATS} from fx_pred)),
+c as (select * from feats where role = 'cal'), t as (select * from feats where role = 'test')"""))
 def q10_locally_weighted_interval(spark, sf):
-    cols = {"f1": F.col("latitude_deg") - 36, "f2": F.col("longitude_deg") - 139.5, "f3": F.col("depth_from_surface") / 15,
-            "f4": F.col("regime_code").cast("double") / 2}
-    tests = exact_sample(_test(spark, sf), 100, "row_key", 3).withColumns(cols)
-    out = cal.locally_weighted_radii(_cal(spark, sf).withColumns(cols), tests, list(cols), 0.9, 0.5, "row_key", max_tests=100)
+    """Radius of every test row. Two regimes are more than the kernel's reach apart, which the check's join uses."""
+    cols = {"f1": F.col("latitude_deg"), "f2": F.col("longitude_deg"), "f3": F.col("depth_from_surface"), "f4": F.col("regime_code").cast("double")}
+    rows = cal.standardised(inputs.predictions(spark, sf), inputs.predictions(spark, sf).where("role = 'cal'"), cols)
+    out = cal.locally_weighted_radii(cal.with_score(rows.where("role = 'cal'")), rows.where("role = 'test'"), list(cols), 0.9, "row_key")
     return rounded(out, "q")
 
 

@@ -81,3 +81,31 @@ def test_std_must_be_positive(spark):
 def test_alpha_is_checked(spark):
     with pytest.raises(ValueError):
         cal.conformal_radii(spark.range(3).withColumn("score", F.lit(1.0)), [1.0])
+
+
+@pytest.mark.parametrize("held", [10, 1_000_000])
+def test_selection_by_strata_and_refinement(skewed, monkeypatch, held):
+    """Strata and their marginal equal numpy, whether brackets are read at once or refined first."""
+    monkeypatch.setattr(od, "HELD", held)
+    monkeypatch.setattr(od, "SKETCH", 64)
+    df, pdf = skewed
+    rows = df.withColumn("side", F.col("k") % 2)
+    got = {(r["side"], r["stratum"], r["alpha"]): (r["n_cal"], r["q"]) for r in od.order_statistics(rows, ["side"], "v", [0.3, 0.9], rollup="g").collect()}
+    for side, part in pdf.groupby(pdf["k"] % 2):
+        for name, sub in [("*", part), *((str(g), s) for g, s in part.groupby("g"))]:
+            for a in (0.3, 0.9):
+                k = min(max(int(np.ceil((len(sub) + 1) * a)), 1), len(sub))
+                assert got.pop((side, name, a)) == (len(sub), np.sort(sub["v"].to_numpy())[k - 1])
+    assert not got
+
+
+def test_no_raw_rows_are_shuffled_by_group(spark, skewed):
+    """Without automatic broadcasts, rows still meet their group's cuts by broadcast, and move by group and range."""
+    df, _ = skewed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = od.running_totals(od.value_counts(df, ["g"], "v"), ["g"], "v", ["n"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan

@@ -167,3 +167,54 @@ def test_halo_of_several_cells_keeps_every_row(spark):
     b = wide.first()
     want = rows.where(F.col("latitude_deg").between(b.lat_min, b.lat_max)).count()
     assert grids.halo_rows(rows, wide).count() == want > 150
+
+
+@pytest.mark.parametrize("max_tiles, rows_per_tile, rows_per_group", [(16, 20, 60), (65_536, 40, 100)])
+def test_two_levels_and_exclusion_equal_brute_force(spark, clustered, monkeypatch, max_tiles, rows_per_tile, rows_per_group):
+    """With few coarse tiles, fine ones are cut; every query meets the other folds only."""
+    monkeypatch.setattr(nearest, "MAX_TILES", max_tiles)
+    _, p = clustered
+    fold = np.arange(len(p)) % 3
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(p)) * 3, "x": p[:, 0], "y": p[:, 1], "v": p[:, 0] * 2, "fold": fold}))
+    got = nearest.knn_join(df, df, 5, query_key="k", point_key="k", coords=["x", "y"], payload=["v"], exclude="fold",
+                           rows_per_tile=rows_per_tile, rows_per_group=rows_per_group).toPandas().set_index("k")
+    assert len(got) == len(p)
+    for f in range(3):
+        q, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        keys, dist = brute(p[q], p[rest], rest * 3, 5)
+        sub = got.loc[q * 3]
+        np.testing.assert_array_equal(np.stack(sub["neighbours"].to_numpy()), keys)
+        np.testing.assert_allclose(np.stack(sub["distances"].to_numpy()), dist)
+
+
+def test_copies_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Block rows a row, where a coarse tile has 250 and where it has 2,000 rows."""
+    monkeypatch.setattr(nearest, "MAX_TILES", 32)
+    rng = np.random.default_rng(2)
+    copies = []
+    for n in (4_000, 32_000):
+        df = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "x": rng.random(n), "y": rng.random(n)}))
+        blocks = nearest.met(df, df, 5, query_key="k", point_key="k", coords=["x", "y"], rows_per_tile=50)
+        copies.append(blocks.right.count() / n)
+    assert max(copies) < 20 and copies[1] < 1.25 * copies[0]
+
+
+@pytest.mark.parametrize("rows_per_tile, rows_per_group, max_tiles", [(4000, 200000, 65_536), (40, 30, 65_536), (20, 25, 16)])
+def test_kernel_quantiles_equal_brute_force(spark, clustered, monkeypatch, rows_per_tile, rows_per_group, max_tiles):
+    """One block a query or many: the weighted quantile of every query with a point in reach."""
+    monkeypatch.setattr(nearest, "MAX_TILES", max_tiles)
+    q, p = clustered
+    v = np.round(np.random.default_rng(8).random(len(p)), 2)
+    qd = spark.createDataFrame(pd.DataFrame({"qk": np.arange(len(q)), "x": q[:, 0], "y": q[:, 1]}))
+    pt = spark.createDataFrame(pd.DataFrame({"pk": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "v": v}))
+    got = nearest.kernel_quantiles(qd, pt, "v", 0.8, bandwidth=1.0, cutoff=3.0, query_key="qk", point_key="pk", coords=["x", "y"],
+                                   rows_per_tile=rows_per_tile, rows_per_group=rows_per_group).toPandas().set_index("qk")["q"]
+    want = {}
+    for i, at in enumerate(q):
+        d2 = ((p - at) ** 2).sum(axis=1)
+        near = np.flatnonzero(d2 <= 9.0)
+        if len(near):
+            near = near[np.argsort(v[near], kind="stable")]
+            cum = np.cumsum(np.exp(-d2[near] / 2))
+            want[i] = v[near][np.argmax(cum / cum[-1] >= 0.8)]
+    assert got.to_dict() == want

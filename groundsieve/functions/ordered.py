@@ -96,16 +96,18 @@ def index_of(cuts: Column | str, v: Column, most: int) -> Column:
 
 def running_totals(df: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str], *,
                    tiebreak: str | None = None, descending: bool = False,
-                   ranges: int | None = None, many_groups: bool = False) -> DataFrame:
+                   ranges: int | None = None, many_groups: bool = False, settle: bool = True) -> DataFrame:
     """Add ``cum_<m>`` (up to and including the row) and ``tot_<m>`` (whole group) per measure.
 
     Rows must be unique in ``groups + value`` (see :func:`value_counts`), or a numeric
     ``tiebreak`` must order equal values; ties are then spread over ranges of the tiebreak.
     Values are numbers. Cuts and range totals are broadcast behind a check, so rows are shuffled once, by group and range.
+    ``settle`` writes ``df`` once, as it is read three times: for the cuts, the range totals and the result; leave it out for a plain scan.
     ``many_groups`` is for more than ``MAX_GROUPS`` of them: cuts then meet rows by a join on the group.
     """
     spark, n = df.sparkSession, ranges or range_count(df.sparkSession)
     g = list(groups)
+    df = cut_lineage(df) if settle and not many_groups else df
     base = df.withColumn("__v", -F.col(value) if descending else F.col(value))
     if not g:
         base = base.withColumn(_ALL, F.lit(0))
@@ -153,7 +155,7 @@ def row_numbers(df: DataFrame, groups: Sequence[str], value: str, tiebreak: str,
                 descending: bool = False, name: str = "rn", total: str | None = None) -> DataFrame:
     """Exact 1-based position of every row by ``value`` then ``tiebreak``, per group."""
     out = running_totals(df.withColumn("__unit", F.lit(1).cast("long")), groups, value, ["__unit"],
-                         tiebreak=tiebreak, descending=descending)
+                         tiebreak=tiebreak, descending=descending, settle=False)
     out = out.withColumnRenamed("cum___unit", name).drop("__unit")
     return out.withColumnRenamed("tot___unit", total) if total else out.drop("tot___unit")
 

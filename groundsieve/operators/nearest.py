@@ -7,11 +7,12 @@ whatever the data size; it is the only thing broadcast. For each tile of queries
 * an upper bound on the k-th distance: the nearest tiles that together hold k points,
 * the candidate tiles: those not farther than that bound, or than a given radius.
 
-Where such a coarse tile has more than ``rows_per_tile`` rows, a grid over its box cuts it into fine ones. Their table grows with
-the data and stays a DataFrame: fine tiles are matched to fine tiles in tasks of their own, one per coarse tile of queries, among
-the fine tiles of its coarse candidates. So the copies of a row do not grow with the number of rows.
+A grid over the box of such a coarse tile cuts it into blocks of about ``rows_per_tile`` rows (one, where the tile table is large enough) and each
+block into ``UNITS`` x ``UNITS`` cells. Their table grows with the data and stays a DataFrame: cells of queries are matched to cells of points in
+tasks of their own, one per coarse tile of queries, among the cells of its coarse candidates. The k-th distance is so bounded by the
+size of a cell, and a block takes the union of its cells' candidates: a row has few copies, and not more where there are more rows.
 
-Query and candidate rows then meet by equi-join on the pair of tiles. Crowded tiles are split by a
+Query and candidate rows then meet by equi-join on block and cell. Crowded blocks are split by a
 hash of the row key, and long candidate lists into several groups whose partial results are
 merged, so no task sees an unbounded group. Inside a task numpy compares small blocks.
 
@@ -37,6 +38,7 @@ LEAF = 64
 BLOCK = 32
 MAX_CLASSES = 64
 MAX_SIDE = 1 << 10  # cells of a coarse tile along an axis
+UNITS = 4  # cells of a block along an axis
 
 
 class Cuts(NamedTuple):
@@ -146,7 +148,7 @@ def tile_points(points: DataFrame, coords: Sequence[str], bounds: Sequence[tuple
     n = whole["n"].to_numpy(np.int64)
     side = np.ceil(n / rows_per_tile) ** (1 / min(2, d)) if d else np.ones(len(n))
     return tagged, Tiling(cuts, whole[[f"lo{i}" for i in range(d)]].to_numpy(float), whole[[f"hi{i}" for i in range(d)]].to_numpy(float),
-                          n, whole.index.to_numpy(np.int64), by, np.minimum(np.ceil(side - 1e-9).astype(np.int64), MAX_SIDE // 2))
+                          n, whole.index.to_numpy(np.int64), by, np.minimum(np.ceil(side - 1e-9).astype(np.int64), MAX_SIDE // UNITS))
 
 
 def _box_distances(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +257,7 @@ class Met(NamedTuple):
     merged: bool
 
     def solved(self, solve, schema: str) -> DataFrame:
-        return (self.left.groupBy("_qt", "_qs", "_group").cogroup(self.right.groupBy("_rt", "_rs", "_rg")).applyInPandas(solve, schema))
+        return (self.left.groupBy("_qt", "_qx", "_qs", "_group").cogroup(self.right.groupBy("_rt", "_rx", "_rs", "_rg")).applyInPandas(solve, schema))
 
 
 def met(queries: DataFrame, points: DataFrame, k: int | None, *, query_key: str, point_key: str, coords: Sequence[str], payload: Sequence[str] = (),
@@ -283,25 +285,23 @@ def met(queries: DataFrame, points: DataFrame, k: int | None, *, query_key: str,
         bounds = [(a, a) for a in axes]
     p, tiles = tile_points(cut_lineage(p), axes, bounds, rows_per_tile)
     q = _tag(q, axes, tiles.cuts, "_tile")
-    d, two = len(axes), bool(len(tiles.side)) and int(tiles.side.max()) > 1
+    d = len(axes)
     # without ``exclude`` nobody is kept out: the class -1 of both sides is told apart by a query class of -2
     own = (lambda c: c) if exclude else (lambda c: -2)
 
     def reach(counts: np.ndarray) -> int:
         return int(counts.sum()) if k is None else min(k, int(counts.sum()))
 
-    def lists(rows: pd.DataFrame, lo2, hi2, n2_of, names, salts2) -> list[tuple]:
-        """Block rows of query tiles: (query tile, class, salts, group, groups, point tile, salt, salts)."""
-        out = []
-        lo, hi = rows[[f"lo{i}" for i in range(d)]].to_numpy(), rows[[f"hi{i}" for i in range(d)]].to_numpy()
-        for r, (tile, c, n) in enumerate(zip(rows["_tile"], rows["_x"], rows["n"])):
-            n2 = n2_of(own(int(c)))
-            some = np.flatnonzero(n2 > 0)
-            if not len(some):
-                continue
-            keep, _ = _candidates(lo[r], hi[r], lo2[some], hi2[some], n2[some], reach(n2), max_d2)
-            group, size, salts, mine = 0, 0, max(1, -(-int(n) // rows_per_tile)), []
-            for t in some[keep]:
+    def lists(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+        """Rows (query block, class, salts, group, groups, point cell, salt, salts) of the query cells ``a``, of one class, and the point cells ``b``."""
+        bounds_of = lambda f: (f[[f"lo{i}" for i in range(d)]].to_numpy(float), f[[f"hi{i}" for i in range(d)]].to_numpy(float))
+        (lo, hi), (lo2, hi2), n2 = bounds_of(a), bounds_of(b), b["n2"].to_numpy(np.int64)
+        salts2, names, enough, out = np.maximum(1, -(-b["n"].to_numpy(np.int64) // rows_per_group)), b["_tile"].to_numpy(), reach(n2), []
+        for (tile, c), cells in a.groupby(["_tile", "_x"]).indices.items():
+            keep = np.unique(np.concatenate([_candidates(lo[r], hi[r], lo2, hi2, n2, enough, max_d2)[0] for r in cells]))
+            group, size, mine = 0, 0, []
+            salts = max(1, -(-int(a["n"].to_numpy()[cells].sum()) // rows_per_tile))
+            for t in keep:
                 part = n2[t] / salts2[t]
                 for s in range(salts2[t]):
                     if size and size + part > rows_per_group:
@@ -318,76 +318,61 @@ def met(queries: DataFrame, points: DataFrame, k: int | None, *, query_key: str,
         return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, a in enumerate(axes)],
                                    *[F.max(a).alias(f"hi{i}") for i, a in enumerate(axes)])
 
-    if not two:
-        salts_p = np.maximum(1, -(-tiles.n // rows_per_group))
-
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame(lists(pdf, tiles.lo, tiles.hi, tiles.others, tiles.ids, salts_p), columns=columns)
+    q, p = _fine(q, axes, tiles, 1, unit=True), _fine(p, axes, tiles, UNITS)
 
-        pairs = box(q, ["_tile", "_x"]).repartition("_tile").mapInPandas(match, block_schema)
-    else:
-        # point cells of half the side: the nearest ones then bound the k-th distance more tightly
-        q, p = _fine(q, axes, tiles, 1), _fine(p, axes, tiles, 2)
-        coarse = box(q, ["_coarse", "_x"])
-
-        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                lo, hi = pdf[[f"lo{i}" for i in range(d)]].to_numpy(), pdf[[f"hi{i}" for i in range(d)]].to_numpy()
-                out = []
-                for r, (tile, c) in enumerate(zip(pdf["_coarse"], pdf["_x"])):
-                    n2 = tiles.others(own(int(c)))
-                    keep, _ = _candidates(lo[r], hi[r], tiles.lo, tiles.hi, n2, reach(n2), max_d2)
-                    out += [(tile, c, tiles.ids[t]) for t in keep if n2[t] > 0]
-                yield pd.DataFrame(out, columns=["_coarse", "_x", "_there"])
-
-        near = coarse.repartition("_coarse").mapInPandas(meet, "_coarse long, _x int, _there long")
-        # fine tiles of points: bounds and counts by class, as many as the points need; they are never gathered
-        cells = p.groupBy("_coarse", "_tile", "_x").agg(
-            F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, (a, _) in enumerate(bounds)], *[F.max(b).alias(f"hi{i}") for i, (_, b) in enumerate(bounds)])
-        cells = cells.groupBy("_coarse", "_tile").agg(
-            F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_x", "n"))).alias("_by"),  # MAX_CLASSES entries
-            *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)])
-        there = near.join(cells.withColumnRenamed("_coarse", "_there"), "_there").select(
-            "_coarse", F.col("_x").alias("_cx"), "_tile", (F.col("n") - (F.coalesce(F.try_element_at("_by", F.col("_x")), F.lit(0)) if exclude else F.lit(0))).alias("n2"), "n",
-            *[f"lo{i}" for i in range(d)], *[f"hi{i}" for i in range(d)])
-
-        def fine_match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame([], columns=columns)
-            n2 = b["n2"].to_numpy(np.int64)
-            salts = np.maximum(1, -(-b["n"].to_numpy(np.int64) // rows_per_group))
-            found = lists(a, b[[f"lo{i}" for i in range(d)]].to_numpy(), b[[f"hi{i}" for i in range(d)]].to_numpy(), lambda _: n2, b["_tile"].to_numpy(), salts)
-            return pd.DataFrame(found, columns=columns)
-
-        pairs = (box(q, ["_coarse", "_tile", "_x"]).groupBy("_coarse", "_x").cogroup(there.groupBy("_coarse", "_cx")).applyInPandas(fine_match, block_schema))
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lo, hi = pdf[[f"lo{i}" for i in range(d)]].to_numpy(), pdf[[f"hi{i}" for i in range(d)]].to_numpy()
+            out = []
+            for r, (tile, c) in enumerate(zip(pdf["_coarse"], pdf["_x"])):
+                n2 = tiles.others(own(int(c)))
+                keep, _ = _candidates(lo[r], hi[r], tiles.lo, tiles.hi, n2, reach(n2), max_d2)
+                out += [(tile, c, tiles.ids[t]) for t in keep if n2[t] > 0]
+            yield pd.DataFrame(out, columns=["_coarse", "_x", "_there"])
+
+    near = box(q, ["_coarse", "_x"]).repartition("_coarse").mapInPandas(meet, "_coarse long, _x int, _there long")
+    # cells of points: bounds and counts by class, as many as the points need; they are never gathered
+    cells = p.groupBy("_coarse", "_tile", "_x").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo{i}") for i, (a, _) in enumerate(bounds)], *[F.max(b).alias(f"hi{i}") for i, (_, b) in enumerate(bounds)])
+    cells = cells.groupBy("_coarse", "_tile").agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_x", "n"))).alias("_by"),  # MAX_CLASSES entries
+        *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)])
+    own_n = F.coalesce(F.try_element_at("_by", F.col("_x")), F.lit(0)) if exclude else F.lit(0)
+    there = near.join(cells.withColumnRenamed("_coarse", "_there"), "_there").select(
+        "_coarse", F.col("_x").alias("_cx"), "_tile", (F.col("n") - own_n).alias("n2"), "n", *[f"lo{i}" for i in range(d)], *[f"hi{i}" for i in range(d)]).where("n2 > 0")
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(lists(a, b) if len(a) and len(b) else [], columns=columns)
+
+    pairs = box(q, ["_coarse", "_tile", "_unit", "_x"]).groupBy("_coarse", "_x").cogroup(there.groupBy("_coarse", "_cx")).applyInPandas(match, block_schema)
     pairs = cut_lineage(pairs)
     shape_of = pairs.agg(F.max("_group").alias("g"), F.sum("_salts").alias("n")).first()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, min(4 * width, int(shape_of["n"] or 1)))  # the solve is heavy per row: keep small tasks
     fan = pairs.withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    tag = F.concat_ws(":", "_qt", "_qx").alias("_qt")  # a block is one class of one tile
     heads = pairs.select("_qt", F.col("_qx").alias("_x"), "_salts", "_group", "_groups").distinct()
     left = q.withColumnRenamed("_tile", "_qt").join(heads, ["_qt", "_x"]).withColumnRenamed("_x", "_qx").withColumn(
-        "_qs", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int")).select(tag, "_qs", "_group", "_groups", "_q", *axes)
+        "_qs", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int")).select("_qt", "_qx", "_qs", "_group", "_groups", "_q", *axes)
     right = p.join(fan, "_tile").where(F.pmod(F.xxhash64("_p"), F.col("_psalts")) == F.col("_ps"))
     if exclude:
         right = right.where(F.col("_x") != F.col("_qx"))
-    right = right.select(F.concat_ws(":", "_qt", "_qx").alias("_rt"), F.col("_qs").alias("_rs"), F.col("_group").alias("_rg"), "_p", *shape,
+    right = right.select(F.col("_qt").alias("_rt"), F.col("_qx").alias("_rx"), F.col("_qs").alias("_rs"), F.col("_group").alias("_rg"), "_p", *shape,
                          *[f"_v{i}" for i in range(len(payload))])
-    return Met(left.repartition(parts, "_qt", "_qs", "_group"), right.repartition(parts, "_rt", "_rs", "_rg"), axes, shape, (shape_of["g"] or 0) > 0)
+    return Met(left.repartition(parts, "_qt", "_qx", "_qs", "_group"), right.repartition(parts, "_rt", "_rx", "_rs", "_rg"), axes, shape, (shape_of["g"] or 0) > 0)
 
 
-def _fine(df: DataFrame, coords: Sequence[str], tiles: Tiling, parts: int) -> DataFrame:
-    """``_tile`` becomes ``_coarse``; the new ``_tile`` numbers the cell in it, too."""
-    schema = T.StructType(df.schema.fields + [T.StructField("_coarse", T.LongType())])
+def _fine(df: DataFrame, coords: Sequence[str], tiles: Tiling, parts: int, unit: bool = False) -> DataFrame:
+    """``_tile`` becomes ``_coarse``; the new ``_tile`` numbers the block or cell in it, too, and ``_unit`` the cell."""
+    schema = T.StructType(df.schema.fields + [T.StructField("_coarse", T.LongType())] + [T.StructField("_unit", T.LongType())] * unit)
     cols = list(coords)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["_coarse"] = pdf["_tile"]
-            cell = tiles.fine(pdf["_tile"].to_numpy(np.int64), pdf[cols].to_numpy(float), parts)
-            pdf["_tile"] = pdf["_tile"] * (MAX_SIDE * MAX_SIDE) + cell
+            at, coarse = pdf[cols].to_numpy(float), pdf["_tile"].to_numpy(np.int64)
+            pdf["_coarse"] = coarse
+            pdf["_tile"] = coarse * (MAX_SIDE * MAX_SIDE) + tiles.fine(coarse, at, parts)
+            if unit:
+                pdf["_unit"] = tiles.fine(coarse, at, UNITS)
             yield pdf
 
     return df.mapInPandas(run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundsieve.functions.ordered import row_numbers, running_totals, value_counts
 from groundsieve.operators.small import checked_broadcast
+from groundsieve.session import cut_lineage
 
 # Threshold labels on N.
 LABELS = {"lt5": ("below", 5.0), "lt10": ("below", 10.0), "lt15": ("below", 15.0), "ge30": ("above", 30.0)}
@@ -91,7 +92,7 @@ def top_k_precision(df: DataFrame, by: Sequence[str], fractions: Sequence[float]
                  F.when(F.col("cum_n") >= k[n], F.col("cum_n"))).alias(n) for n in names])
     edge = edge.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}.v").alias("v"), F.col(f"{n}.above").alias("above"),
                                                         F.col(f"{n}.need").alias("need"), F.col(f"{n}._size").alias("_size")) for n in names])))
-    tied = df.select(*by, F.col(p).alias("v"), key, "y").join(checked_broadcast(edge), [*by, "v"])
+    tied = cut_lineage(df.select(*by, F.col(p).alias("v"), key, "y").join(checked_broadcast(edge), [*by, "v"]))
     ranked = row_numbers(tied, [*by, "name"], key, key)
     out = ranked.groupBy(*by, "name").agg(F.max("_size").alias("_size"), (F.max("above") + F.sum(F.when(F.col("rn") <= F.col("need"), F.col("y")).otherwise(0))).alias("hits"))
     return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("hits") / F.col("_size"))).alias(n) for n in names])

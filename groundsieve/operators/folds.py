@@ -87,6 +87,54 @@ def contiguous_folds(cells: DataFrame, k: int, seed: int = 42, iterations: int |
     return _nearest_centre(pts, centres).select(*CELL, "mesh_code", "n_rows", "fold")
 
 
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the hash of the parts: 48 bits of their md5."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 12), 16, 10)
+    return (digits.cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def restarted_folds(cells: DataFrame, k: int, seed: int = 42, starts: int = 10, y: str = "lat_mid", x: str = "lon_mid") -> DataFrame:
+    """Compact folds by k-means to a fixed point, the best of several starts (K2): the cells with ``fold``.
+
+    ``cells`` has its positions ``y`` and ``x`` (midpoints of the cell or means of its data). Every start draws its centres by the k-means++
+    rule, the next one with a probability in proportion to the squared distance from those before, as a race of hashed
+    exponentials. All starts move together: a step is one aggregate over the cell table, of a row a start and fold, until no
+    centre moves. The start with the least sum of squares wins; all ties go to the lower number.
+    """
+    if k < 2:
+        raise ValueError(f"need at least 2 folds, got {k}")
+    spark = cells.sparkSession
+    pts = cut_lineage(cells.select(*CELL, "mesh_code", "n_rows", F.col(y).alias("_y"), F.col(x).alias("_x"),
+                                   F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("_start")))
+
+    def placed(centres: dict[int, list[tuple[int, float, float]]]) -> DataFrame:
+        local = spark.createDataFrame(list(centres.items()), "_start int, _c array<struct<fold:int,y:double,x:double>>")
+        near = F.array_min(F.transform("_c", lambda c: F.struct(
+            F.round((F.col("_y") - c["y"]) * (F.col("_y") - c["y"]) + (F.col("_x") - c["x"]) * (F.col("_x") - c["x"]), 9).alias("d2"), c["fold"].alias("fold"))))
+        return pts.join(F.broadcast(local), "_start").withColumn("_near", near).select(*pts.columns, "_near.d2", "_near.fold")
+
+    centres: dict[int, list[tuple[int, float, float]]] = {}
+    for j in range(k):
+        draw = uniform(F.lit(seed), F.col("_start"), F.lit(j), F.col("mesh_code"))
+        race = draw if j == 0 else F.when(F.col("d2") > 0, -F.log(draw) / F.col("d2"))
+        frame = pts if j == 0 else placed(centres)
+        for r in frame.groupBy("_start").agg(F.min_by(F.struct("_y", "_x"), F.struct(race.isNull(), race, F.col("mesh_code"))).alias("c")).collect():
+            centres.setdefault(r["_start"], []).append((j, r["c"]["_y"], r["c"]["_x"]))
+    for _ in range(MAX_LLOYD_STEPS):
+        now = placed(centres)
+        moved: dict[int, list[tuple[int, float, float]]] = {}
+        inertia: dict[int, float] = {}
+        sums = now.groupBy("_start", "fold").agg(F.round(F.avg("_y"), 12).alias("y"), F.round(F.avg("_x"), 12).alias("x"), F.sum("d2").alias("s")).collect()
+        for r in sorted(sums, key=lambda r: (r["_start"], r["fold"])):
+            moved.setdefault(r["_start"], []).append((r["fold"], r["y"], r["x"]))
+            inertia[r["_start"]] = inertia.get(r["_start"], 0.0) + r["s"]
+        if moved == centres:
+            best = min(inertia, key=lambda i: (round(inertia[i], 6), i)) if inertia else 0
+            return now.where(F.col("_start") == best).select(*CELL, "mesh_code", "n_rows", "fold")
+        centres = moved
+    raise ValueError(f"cells still move after {MAX_LLOYD_STEPS} steps")
+
+
 def _nearest_centre(pts: DataFrame, centres: DataFrame) -> DataFrame:
     held = pts.withColumn("_c", centres.scalar())  # one row: the k centres
     scored = F.transform("_c", lambda c: F.struct(

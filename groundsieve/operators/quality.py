@@ -90,6 +90,12 @@ def exact_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
+def fraction_sample(df: DataFrame, fraction: float, key: str, seed: int) -> DataFrame:
+    """Every row with the same chance, reproducible and without a shuffle: hashes below the fraction."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10)
+    return df.where((digits.cast("double") + 0.5) / F.lit(float(1 << 48)) < F.lit(float(fraction)))
+
+
 def tempered_budgets(counts: DataFrame, group: str, total: int) -> DataFrame:
     """Per-group budgets proportional to sqrt(count), clamped to the group size; what is missing
     to ``total`` goes to the largest group as far as it has rows (F7). Columns: group, n, budget."""

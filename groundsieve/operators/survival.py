@@ -102,6 +102,67 @@ def survival_at(df: DataFrame, hazard: DataFrame, risk: str, times: Sequence[flo
     return out.withColumns({f"surv_{t:g}": F.exp(-F.col("_h")[i] * F.col(risk)) for i, t in enumerate(times)}).drop("_h")
 
 
+def censoring_curve(df: DataFrame, time: str = "surv_time", event: str = "surv_event") -> DataFrame:
+    """Kaplan-Meier curve of the censoring: time, g_before, g_at for every distinct time.
+
+    At a tie events come before censorings, so who is censored is at risk with those that remain. Where all of them are
+    censored at the last time the curve is left as it was before: nobody is seen beyond it.
+    """
+    is_event = (F.col(event) == 1).cast("long")
+    per = df.groupBy(time).agg(F.count(F.lit(1)).alias("n"), F.sum(is_event).alias("d"))
+    sets = running_totals(per, [], time, ["n"], descending=True)
+    left = F.col("cum_n") - F.col("d")
+    share = F.when(left > F.col("n") - F.col("d"), F.log(1 - (F.col("n") - F.col("d")) / left)).otherwise(0.0)
+    logs = running_totals(sets.select(time, share.alias("l")), [], time, ["l"])
+    return logs.select(time, F.exp(F.col("cum_l") - F.col("l")).alias("g_before"), F.exp("cum_l").alias("g_at"))
+
+
+def _at_times(curve: DataFrame, times: Sequence[float], time: str) -> list[Column]:
+    """The curve's value at each given time."""
+    row = curve.agg(*[F.coalesce(F.min(F.when(F.col(time) <= t, F.col("g_at"))), F.lit(1.0)).alias(f"g{i}") for i, t in enumerate(times)]).first()
+    return [F.lit(float(row[f"g{i}"])) for i in range(len(times))]
+
+
+def time_dependent_auc(df: DataFrame, risk: str, times: Sequence[float], time: str = "surv_time", event: str = "surv_event") -> DataFrame:
+    """Cumulative/dynamic AUC with inverse-probability-of-censoring weights (M15): t, n_cases, n_controls, auc; NULL without either.
+
+    A case has its event by t and weighs 1 / G just before it; a control is seen beyond t. Equal risks are summed before they are ranked.
+    """
+    rows = df.select(time, event, F.col(risk).alias("_k")).join(censoring_curve(df, time, event), time)
+    items = [F.struct(F.lit(float(t)).alias("t"), ((F.col(event) == 1) & (F.col(time) <= t)).alias("case"), (F.col(time) > t).cast("long").alias("ctrl")) for t in times]
+    flat = rows.select("_k", "g_before", F.inline(F.array(*items))).where(F.col("case") | (F.col("ctrl") > 0))
+    cells = flat.groupBy("t", "_k").agg(F.sum(F.when(F.col("case"), 1 / F.col("g_before")).otherwise(0.0)).alias("w"),
+                                        F.sum(F.col("case").cast("long")).alias("cases"), F.sum("ctrl").alias("ctrl"))
+    ranked = running_totals(cells, ["t"], "_k", ["ctrl", "w"])
+    pairs = F.max("tot_w") * F.max("tot_ctrl")
+    return ranked.groupBy("t").agg(F.sum("cases").alias("n_cases"), F.max("tot_ctrl").alias("n_controls"), F.when(
+        pairs > 0, F.sum(F.col("w") * (F.col("cum_ctrl") - F.col("ctrl") / 2)) / pairs).alias("auc"))
+
+
+def brier_over_time(df: DataFrame, hazard: DataFrame, risk: str, times: Sequence[float], time: str = "surv_time", event: str = "surv_event") -> DataFrame:
+    """Censoring-weighted Brier score of S(t | x) at every given time (M15): t, n, brier. Rows censored before t weigh 0."""
+    curve = censoring_curve(df, time, event)
+    g = _at_times(curve, times, time)
+    rows = survival_at(df, hazard, risk, times, time).join(curve, time)
+    miss = []
+    for t, at in zip(times, g):
+        s = F.col(f"surv_{t:g}")
+        early = (F.col(event) == 1) & (F.col(time) <= t)
+        miss.append(F.when(early, s * s / F.col("g_before")).when(F.col(time) > t, (1 - s) * (1 - s) / at).otherwise(0.0))
+    wide = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"_b{i}") for i, m in enumerate(miss)])
+    return wide.select("n", F.inline(F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(f"_b{i}").alias("brier")) for i, t in enumerate(times)])))
+
+
+def integrated_brier(scores: DataFrame) -> DataFrame:
+    """Mean of the score over its times by the trapezoid rule (M15): t_from, t_to, ibs. One row a time meets in one row."""
+    s = scores.agg(F.sort_array(F.collect_list(F.struct("t", "brier"))).alias("s"))
+    steps = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1),
+                       lambda a, b: (b["t"] - a["t"]) * (a["brier"] + b["brier"]) / 2)
+    span = F.element_at("s", -1)["t"] - F.element_at("s", 1)["t"]
+    return s.where(F.size("s") > 1).select(F.element_at("s", 1)["t"].alias("t_from"), F.element_at("s", -1)["t"].alias("t_to"),
+                                           (F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / span).alias("ibs"))
+
+
 def proportionality(df: DataFrame, risk: str, columns: Sequence[str], time: str = "surv_time", event: str = "surv_event") -> DataFrame:
     """Correlation of Schoenfeld residuals with the rank of the event time, per covariate."""
     sets = risk_sets(df, risk, {f"m{i}": F.col(c) for i, c in enumerate(columns)}, time, event).where("d > 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundsieve.functions.mesh import with_bounds
 from groundsieve.operators import folds, regions
 from groundsieve.plans import inputs
 from groundsieve.plans.flagship import FOLDS_CTE, cell_folds
@@ -19,25 +20,48 @@ def k1_balanced_folds(spark, sf):
     return cell_folds(spark, sf).select("mesh_row", "mesh_col", "n_rows", "fold")
 
 
-def _lloyd_cte(steps: int) -> str:
-    parts = ["""mids as (select mesh_row, mesh_col, n_rows, mesh_code, 0.5e0 * (mesh_row / 12e0 + (mesh_row + 1) / 12e0) as y,
-  0.5e0 * (mesh_col / 8e0 + 100 + (mesh_col + 1) / 8e0 + 100) as x from cells)""",
-             "c0 as (select cast(i - 1 as int) as fold, y, x from mids join ordered using (mesh_row, mesh_col) where i <= 3)"]
-    for s in range(steps + 1):
-        parts.append(f"""a{s} as (select mesh_row, mesh_col, n_rows, y, x, fold from (
-  select m.*, c.fold, row_number() over (partition by m.mesh_row, m.mesh_col order by round((m.y - c.y) * (m.y - c.y) + (m.x - c.x) * (m.x - c.x), 9), c.fold) as rn
-  from mids m cross join c{s} c) where rn = 1)""")
-        parts.append(f"c{s + 1} as (select fold, avg(y) as y, avg(x) as x from a{s} group by fold)")
+CELLS_CTE = FOLDS_CTE[:FOLDS_CTE.index("packed as (")].rstrip().rstrip(",")
+
+
+def _restart_cte(y: str, x: str, steps: int = 40, starts: int = 10) -> str:
+    """Ten k-means++ starts and ``steps`` Lloyd steps of each, unrolled; more steps change nothing once no centre moves."""
+    u = lambda j: f"(cast('0x' || substr(md5(concat_ws(':', '42', s, '{j}', mesh_code)), 1, 12) as bigint) + 0.5e0) / 281474976710656e0"
+    near = lambda frame, centres: (f"select p.s, p.mesh_row, p.mesh_col, p.mesh_code, p.n_rows, p.y, p.x, min(d) as d2, cast(arg_min(fold, d + fold * 1e-12) as int) as fold from ("
+                                   f"select p.*, c.fold, round((p.y - c.y) * (p.y - c.y) + (p.x - c.x) * (p.x - c.x), 9) as d from {frame} p join {centres} c using (s)) p group by all")
+    parts = [f"k2_pts as materialized (select {y} as y, {x} as x, mesh_row, mesh_col, mesh_code, n_rows, s from k2_cells cross join range({starts}) r(s))",
+             f"k2_c0 as materialized (select s, 0 as fold, arg_min(y, r) as y, arg_min(x, r) as x from (select *, {u(0)} as r from k2_pts) group by s)"]
+    for j in (1, 2):
+        parts.append(f"k2_c{j} as materialized (select * from k2_c{j - 1} union all select s, {j}, arg_min(y, r), arg_min(x, r) from ("
+                     f"select *, -ln({u(j)}) / d2 as r from ({near('k2_pts', f'k2_c{j - 1}')}) where d2 > 0) group by s)")
+    last = "k2_c2"
+    for i in range(steps):
+        parts.append(f"k2_m{i} as materialized (select s, fold, round(avg(y), 12) as y, round(avg(x), 12) as x from ({near('k2_pts', last)}) group by s, fold)")
+        last = f"k2_m{i}"
+    parts.append(f"k2_end as materialized ({near('k2_pts', last)})")
+    parts.append("k2_best as (select * from k2_end where s = (select arg_min(s, t + s * 1e-9) from (select s, round(sum(d2), 6) as t from k2_end group by s)))")
     return ",\n".join(parts)
 
 
-CELLS_CTE = FOLDS_CTE[:FOLDS_CTE.index("packed as (")].rstrip().rstrip(",")
+K2_SQL = "select mesh_row, mesh_col, n_rows, fold from k2_best"
 
 
-@query("k2_contiguous_folds", check_sql("select mesh_row, mesh_col, n_rows, fold from a5", CELLS_CTE, _lloyd_cte(5)))
+@query("k2_contiguous_folds", check_sql(K2_SQL, CELLS_CTE, "k2_cells as (select *, 0.5e0 * (mesh_row / 12e0 + (mesh_row + 1) / 12e0) as lat_mid, 0.5e0 * (mesh_col / 8e0 + 100 + (mesh_col + 1) / 8e0 + 100) as lon_mid from cells)",
+                                        _restart_cte("lat_mid", "lon_mid")))
 def k2_contiguous_folds(spark, sf):
-    cells = folds.cell_counts(inputs.measurements(spark, sf))
-    return folds.contiguous_folds(cells, 3, iterations=5).select("mesh_row", "mesh_col", "n_rows", "fold")
+    """Cell midpoints, ten starts, until no centre moves."""
+    cells = with_bounds(folds.cell_counts(inputs.measurements(spark, sf)))
+    return folds.restarted_folds(cells, 3).select("mesh_row", "mesh_col", "n_rows", "fold")
+
+
+@query("k2_data_mean_folds", check_sql(K2_SQL, CELLS_CTE, """
+k2_cells as (select cells.*, lat, lon from cells join (select mesh_row, mesh_col, round(avg(latitude_deg), 9) as lat, round(avg(longitude_deg), 9) as lon
+  from fx_raw group by mesh_row, mesh_col) using (mesh_row, mesh_col))""", _restart_cte("lat", "lon")))
+def k2_data_mean_folds(spark, sf):
+    """The same over the mean position of each cell's rows."""
+    rows = inputs.measurements(spark, sf)
+    means = rows.groupBy(*folds.CELL).agg(F.round(F.avg("latitude_deg"), 9).alias("lat"), F.round(F.avg("longitude_deg"), 9).alias("lon"))
+    cells = folds.cell_counts(rows).join(means, folds.CELL)
+    return folds.restarted_folds(cells, 3, y="lat", x="lon").select("mesh_row", "mesh_col", "n_rows", "fold")
 
 
 USABLE_CTE = """

@@ -247,9 +247,10 @@ def f6_exact_sample(spark, sf):
     return quality.exact_sample(inputs.measurements(spark, sf).select("row_key", "n_value"), 500, "row_key", 7)
 
 
-@query("f6_fraction_sample")
+@query("f6_fraction_sample", check_sql("""
+select row_key, n_value from fx_raw where (cast('0x' || substr(md5(concat_ws(':', '7', row_key)), 1, 12) as bigint) + 0.5e0) / 281474976710656e0 < 0.1e0"""))
 def f6_fraction_sample(spark, sf):
-    return inputs.measurements(spark, sf).select("row_key", "n_value").sample(fraction=0.1, seed=7)
+    return quality.fraction_sample(inputs.measurements(spark, sf).select("row_key", "n_value"), 0.1, "row_key", 7)
 
 
 @query("f7_stratified_sample", check_sql("""

@@ -65,6 +65,47 @@ def m15_within_30m_scores(spark, sf):
     return rounded(out.select("brier", "auc"), "brier", "auc")
 
 
+HORIZONS = (5.0, 10.0, 15.0, 20.0, 25.0, 30.0)
+CENSOR_CTE = """
+fx_cens as (select surv_time, n - d as c, sum(n) over (order by surv_time desc) - d as at_risk from (
+  select surv_time, count(*) as n, sum(case when surv_event = 1 then 1 else 0 end) as d from fx_risk group by surv_time)),
+fx_g as (select surv_time, exp(sum(l) over (order by surv_time) - l) as g_before, exp(sum(l) over (order by surv_time)) as g_at from (
+  select surv_time, case when at_risk > c then ln(1 - c / cast(at_risk as double)) else 0e0 end as l from fx_cens)),
+fx_when as (select unnest([5e0, 10e0, 15e0, 20e0, 25e0, 30e0]) as t)"""
+
+
+@query("m15_time_dependent_auc", check_sql("""
+select t, cast(n_cases as bigint) as n_cases, cast(tc as bigint) as n_controls, round(sum_w / (tw * tc), 6) as auc from (
+  select t, sum(cases) as n_cases, any_value(tc) as tc, any_value(tw) as tw, sum(w * (below + ctrl / 2e0)) as sum_w from (
+    select *, coalesce(sum(ctrl) over (partition by t order by risk rows between unbounded preceding and 1 preceding), 0) as below, sum(ctrl) over (partition by t) as tc, sum(w) over (partition by t) as tw from (
+      select t, risk, sum(case when surv_event = 1 and surv_time <= t then 1 / g_before else 0e0 end) as w, sum(case when surv_event = 1 and surv_time <= t then 1 else 0 end) as cases,
+        sum(case when surv_time > t then 1 else 0 end) as ctrl from fx_risk join fx_g using (surv_time) cross join fx_when group by t, risk)) group by t)""",
+    ENDPOINTS_CTE, SURVIVAL_CTE, RISK_CTE, CENSOR_CTE))
+def m15_time_dependent_auc(spark, sf):
+    return rounded(sv.time_dependent_auc(survival_rows(spark, sf), "risk", HORIZONS), "auc")
+
+
+BRIER_CTE = """
+fx_bs as (select t, count(*) as n, avg(case when surv_event = 1 and surv_time <= t then s * s / g_before when surv_time > t then (1 - s) * (1 - s) / gt else 0e0 end) as brier from (
+  select *, exp(-coalesce((select max(cumulative) from fx_base where fx_base.surv_time <= t), 0e0) * risk) as s, coalesce((select min(g_at) from fx_g where fx_g.surv_time <= t), 1e0) as gt
+  from fx_risk join fx_g using (surv_time) cross join fx_when) group by t)"""
+
+
+@query("m15_brier_over_time", check_sql("select n, t, round(brier, 6) as brier from fx_bs", ENDPOINTS_CTE, SURVIVAL_CTE, RISK_CTE, HAZARD_CTE, CENSOR_CTE, BRIER_CTE))
+def m15_brier_over_time(spark, sf):
+    rows = survival_rows(spark, sf)
+    return rounded(sv.brier_over_time(rows, sv.baseline_hazard(rows, "risk"), "risk", HORIZONS), "brier")
+
+
+@query("m15_integrated_brier", check_sql("""
+select min(t) as t_from, max(u) as t_to, round(sum((u - t) * (brier + next) / 2) / (max(u) - min(t)), 6) as ibs from (
+  select t, brier, lead(t) over (order by t) as u, lead(brier) over (order by t) as next from fx_bs) where u is not null""",
+    ENDPOINTS_CTE, SURVIVAL_CTE, RISK_CTE, HAZARD_CTE, CENSOR_CTE, BRIER_CTE))
+def m15_integrated_brier(spark, sf):
+    rows = survival_rows(spark, sf)
+    return rounded(sv.integrated_brier(sv.brier_over_time(rows, sv.baseline_hazard(rows, "risk"), "risk", HORIZONS)), "ibs")
+
+
 @query("m17_proportional_hazards_test", check_sql("""
 select (select count(*) from fx_risk where surv_event = 1) as n_events, covariate, round(corr(v - m, rk), 6) as correlation from (
   select unnest(['river_distance_km', 'absolute_elevation']) as covariate, unnest([river_distance_km, absolute_elevation]) as v, unnest([m1, m2]) as m, rk
@@ -113,7 +154,7 @@ def m14_forest_survival(spark, sf):
     features = lambda df: learn.assemble(df, learn.BOREHOLE, extra=["interval_mid"])
 
     def run(i: int):
-        model = sv.forest_survival(rows.where(F.col("fold") != i), features, width=4.0, trees=10, depth=5)
-        return sv.forest_survival_at(model, rows.where(F.col("fold") == i), features, ["latitude_deg", "longitude_deg"], 30.0, width=4.0)
+        model = sv.forest_survival(rows.where(F.col("fold") != i), features)
+        return sv.forest_survival_at(model, rows.where(F.col("fold") == i), features, ["latitude_deg", "longitude_deg"], 30.0)
 
     return rounded(learn.each_fold(3, run), "survival")

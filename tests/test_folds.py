@@ -1,5 +1,7 @@
 """Fold guarantees."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def test_buffer_that_empties_a_fold_is_an_error(spark):
     rows = tiny.select("mesh_row", "mesh_col", "fold")
     with pytest.raises(ValueError, match="no train cell"):
         folds.buffered_train(rows, tiny, 3, 2)
+
+
+def test_restarted_folds_are_a_fixed_point_and_the_best_start(spark):
+    """Nothing moves in one more step; no single start does better; ties in position share a fold."""
+    rng = np.random.default_rng(6)
+    pos = np.vstack([c + rng.normal(size=(40, 2)) * 0.4 for c in ((0, 0), (3, 0), (0, 3), (3.5, 3.5))]).round(3)
+    pos[5] = pos[6]
+    pdf = pd.DataFrame({"mesh_row": np.arange(len(pos)), "mesh_col": 0, "mesh_code": np.arange(len(pos)), "n_rows": 1, "a": pos[:, 0], "b": pos[:, 1]})
+    cells = spark.createDataFrame(pdf)
+
+    def inertia(fold):
+        centres = np.array([pos[fold == k].mean(axis=0) for k in range(4)])
+        d2 = ((pos[:, None] - centres[None]) ** 2).sum(-1)
+        assert (d2.argmin(axis=1) == fold).all()
+        return d2.min(axis=1).sum()
+
+    fold = lambda **kw: folds.restarted_folds(cells, 4, y="a", x="b", **kw).toPandas().sort_values("mesh_row")["fold"].to_numpy()
+    best = fold()
+    assert best[5] == best[6]
+    assert inertia(best) <= min(inertia(fold(seed=s, starts=1)) for s in range(3)) + 1e-6

@@ -2,8 +2,8 @@
 
 A multinomial logistic regression over sparse word uni- and bigrams names a paragraph's licence family. It is fitted with
 Spark's own estimator on notices of the known families, on parts of them, and on a bounded sample of the corpus's own
-paragraphs as ``none``. ``unknown`` is calibrated: on parts of notices left out of the fit, the accepted probability is set
-so that all but ``MISSED`` of them pass, and on ordinary lines left out, the floor is set that none of them passes; a
+paragraphs as ``none``. A line of which ``PIECE`` of the words stand in one notice is not taken as ``none``: it may be a
+piece of a notice. ``unknown`` is calibrated: on parts of notices left out of the fit, the accepted probability is set so that all but ``MISSED`` of them pass, and on ordinary lines left out, the floor is set that none of them passes; a
 paragraph above the floor but below the accepted probability is ``unknown``. A named family also has to be
 confirmed by its templates: the share of a template's words found in the paragraph must reach ``CONFIRM``.
 
@@ -18,7 +18,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NONE, UNKNOWN = "none", "unknown"
-SAMPLE, MISSED, CONFIRM = 2_000, 0.05, 0.5
+SAMPLE, MISSED, CONFIRM, PIECE = 2_000, 0.05, 0.5, 0.8
 #: Short public notices by licence family.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.",
@@ -99,7 +99,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = F.array(*[F.lit(w) for w in sorted({"license", "licence", "licensed", "copyright", "redistribution", "permission"})])
     share = min(1.0, 2.0 * sample / max(1, docs.count()))
     some = lines(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share).select("doc_id", "text"))
-    plain = some.where(~F.arrays_overlap(words(F.col("line")), known)).orderBy(F.xxhash64("line"), "line").limit(sample).select(
+    # nor may a line count as plain whose words are nearly all a notice's: it may be a piece of one
+    own = F.array(*[F.array(*[F.lit(w) for w in sorted(set(_plain(n)))]) for f in sorted(NOTICES) for n in NOTICES[f]])
+    said = F.array_distinct(words(F.col("line")))
+    piece = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, said)))) >= F.lit(PIECE) * F.size(said)
+    plain = some.where(~F.arrays_overlap(words(F.col("line")), known) & ~piece).orderBy(F.xxhash64("line"), "line").limit(sample).select(
         F.lit(NONE).alias("family"), "line", (F.pmod(F.xxhash64("line"), F.lit(3)) == 0).alias("held_out"))
     classes = [NONE, *sorted(NOTICES)]
     index = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])

@@ -121,3 +121,13 @@ def test_queries_on_odd_rows(spark, odd, tmp_path, name):
         for (k, t), (_, u) in zip(texts, texts[1:] + texts[:1]):
             after.setdefault(k, []).append(hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest())
         assert all(r.edited_sha256 in after[(r.doc_id is None, -(r.doc_id or 0))] for r in rows if r.doc_id != 4)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_a_piece_of_a_notice_does_not_raise_the_floor(spark, size):
+    """The line has no cue word, so a small sample holds it; it is found as unknown whatever the table's size."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+    said = "All rights reserved."
+    want = sum(line == said for r in docs.where(docs.text.contains(said)).collect() for line in r.text.split("\n"))
+    found = licenses.scan(docs, licenses.train(docs), ["doc_id"]).where("family = 'unknown'").count()
+    assert found >= want > 0

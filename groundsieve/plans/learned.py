@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from groundsieve.functions import geo, numeric
 from groundsieve.functions.mesh import with_mesh
 from groundsieve.functions.ordered import order_statistics
-from groundsieve.operators import calibration as cal, errors, folds, kriging, learn, profiles as pr, thresholds as th
+from groundsieve.operators import calibration as cal, errors, folds, kriging, learn, profiles as pr, quality, thresholds as th
 from groundsieve.plans import inputs
 from groundsieve.plans.flagship import cell_folds
 from groundsieve.plans.keys import qcut_edges
@@ -24,9 +24,10 @@ COLS = ["row_key", "latitude_deg", "longitude_deg", "depth_from_surface", "absol
 
 
 def feature_rows(spark, sf):
-    """Feature vectors of all rows, spread evenly: a small input file is a single scan task."""
+    """Feature vectors of all rows with complete covariates, spread evenly: a small input file is a single scan task."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return learn.assemble(inputs.predictions(spark, sf).select(*COLS).repartition(n, "row_key")).withColumn("y_true", F.col("n_value"))
+    rows = quality.require_complete(inputs.predictions(spark, sf).select(*COLS), [*learn.NUMERIC, "regime_code"])
+    return learn.assemble(rows.repartition(n, "row_key")).withColumn("y_true", F.col("n_value"))
 
 
 def fold_layout(rows, k: int = 3):
@@ -36,11 +37,6 @@ def fold_layout(rows, k: int = 3):
     return out.withColumn("role", role).drop("_own", "_role")
 
 
-def one_fold(spark, sf):
-    """Roles of fold 0 only: a single fit, for protocols that split its rows further."""
-    return fold_layout(feature_rows(spark, sf), 1).persist()
-
-
 def all_folds(spark, sf):
     return fold_layout(feature_rows(spark, sf), FOLDS).persist()
 
@@ -191,7 +187,8 @@ def borehole_rows(spark, sf):
     ep = pr.survival_table(pr.endpoints(inputs.measurements(spark, sf)))
     ep = with_mesh(ep).withColumn("fold", ((F.col("mesh_row") + 2 * F.col("mesh_col")) % 3).cast("int"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return learn.assemble(cut_lineage(ep.withColumn("hole", F.xxhash64(*pr.LOC))).repartition(n, "hole"), learn.BOREHOLE)
+    rows = quality.require_complete(cut_lineage(ep.withColumn("hole", F.xxhash64(*pr.LOC))), [*learn.BOREHOLE, "regime_code"])
+    return learn.assemble(rows.repartition(n, "hole"), learn.BOREHOLE)
 
 
 ENDPOINTS = ("depth_to_first_n30", "soft_thickness_lt5_0_to_10m", "mean_n_upper_10m", "min_n_upper_10m")

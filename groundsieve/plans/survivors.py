@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundsieve.operators import learn, pairs, profiles as pr, survival as sv, thresholds as th
+from groundsieve.operators import learn, pairs, profiles as pr, quality, survival as sv, thresholds as th
 from groundsieve.plans import inputs
 from groundsieve.plans.inputs import check_sql
 from groundsieve.plans.learned import borehole_rows
@@ -124,6 +124,7 @@ def m12_cox(spark, sf):
     from groundsieve.session import cut_lineage
 
     rows = cut_lineage(with_mesh(survival_rows(spark, sf)).withColumn("fold", (F.col("mesh_row") + 2 * F.col("mesh_col")) % 3))
+    rows = quality.require_complete(rows, sv.COVARIATES)
 
     def run(i: int):
         train, test = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)

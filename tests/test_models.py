@@ -51,7 +51,7 @@ def test_cox_is_the_penalised_maximum(spark):
 def test_boosting_beats_the_mean_and_quantiles_are_ordered(spark, small):
     from groundsieve.plans import learned
 
-    rows = learned.one_fold(spark, small)
+    rows = learned.fold_layout(learned.feature_rows(spark, small), 1).persist()
     test = learn.cross_predict(rows, 1, lambda: learn.boosted("n_value", 5, 2)).where("role = 'test'")
     r = F.col("n_value") - F.col("y_pred")
     got = test.agg(F.sqrt(F.avg(r * r)).alias("rmse"), F.stddev_pop("n_value").alias("sd")).first()
@@ -59,3 +59,16 @@ def test_boosting_beats_the_mean_and_quantiles_are_ordered(spark, small):
     q = learn.boosted_quantiles(rows, "n_value", {"lo": 0.1, "hi": 0.9}, stages=1, fit=F.col("role") == "fit").where("role = 'test'")
     c = q.agg(F.avg((F.col("n_value").between(F.col("lo"), F.col("hi"))).cast("double")).alias("c")).first()["c"]
     assert 0.6 < c <= 1.0
+
+
+def test_fits_refuse_tables_with_many_gaps(spark, small, monkeypatch):
+    """More than a fifth of the rows without a covariate stops the feature frame; fewer are dropped."""
+    from groundsieve.plans import inputs, learned
+
+    whole = inputs.predictions(spark, small)
+    gap = lambda m: lambda *_: whole.withColumn("coast_distance_km", F.when(F.col("row_key") % 100 >= m, F.col("coast_distance_km")))
+    monkeypatch.setattr(inputs, "predictions", gap(40))
+    with pytest.raises(ValueError):
+        learned.feature_rows(spark, small)
+    monkeypatch.setattr(inputs, "predictions", gap(5))
+    assert learned.feature_rows(spark, small).count() == whole.where("row_key % 100 >= 5").count()

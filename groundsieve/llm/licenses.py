@@ -103,7 +103,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     own = F.array(*[F.array(*[F.lit(w) for w in sorted(set(_plain(n)))]) for f in sorted(NOTICES) for n in NOTICES[f]])
     said = F.array_distinct(words(F.col("line")))
     piece = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, said)))) >= F.lit(PIECE) * F.size(said)
-    plain = some.where(~F.arrays_overlap(words(F.col("line")), known) & ~piece).orderBy(F.xxhash64("line"), "line").limit(sample).select(
+    plain = some.where(~F.arrays_overlap(words(F.col("line")), known)).orderBy(F.xxhash64("line"), "line").limit(sample).where(~piece).select(
         F.lit(NONE).alias("family"), "line", (F.pmod(F.xxhash64("line"), F.lit(3)) == 0).alias("held_out"))
     classes = [NONE, *sorted(NOTICES)]
     index = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])

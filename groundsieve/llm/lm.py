@@ -7,95 +7,234 @@ spells a word byte by byte with a byte model of its own: restaurants for context
 byte, those share the empty context, and that one a uniform base. Every table of the word restaurant sends one spelling to the
 byte restaurants, so any word, seen or not, has a probability after any other and all of them add up to 1.
 
+Word pairs are kept in blocks: words fall into slices by hash, a block holds the pairs of one slice of first words and one of
+second words, so a frequent word is spread over as many blocks as there are slices. Pairs are shuffled once, with the rows that hold
+them; a block is written once and seated and scored where it is, from the files of its two slices. Out of a block come sums by
+word and sums by document. Pairs of two words that each make up more than a ``SHARE``-th of all tokens (at most SHARE x SHARE
+pairs) send only their counts; their probabilities are broadcast and looked up while the documents are read again.
+
 Seating is sampled by Gibbs sweeps. In each, every dish's tables are drawn anew from the Chinese-restaurant process given
 its parent's probabilities and the restaurants' totals of the sweep before; ``SAMPLES`` states after ``BURN_IN`` sweeps are
-kept and their predictive probabilities averaged. The first sweep seats one table a word pair. A pair met once has one table
-whatever the draw, so only pairs met more often are drawn. Discounts come from counts of counts. Every distinct word and word
-pair is a row of a table; only the spelling's byte contexts, at most 2^18 restaurants, the words with over a thousandth of all
-pairs, and ``HOT`` frequent pairs are held in memory.
+kept and their predictive probabilities averaged. The first sweep seats one table a word pair. Draws repeat by seed and block, so
+scoring draws a state's tables again instead of storing them. Discounts come from counts of counts. Every distinct word and word
+pair is kept; only the spelling's byte contexts, at most 2^18 restaurants, and a block with its slices are held in memory.
 
 Null texts count as empty: one end token. Held-out rows are scored and never counted. Without training rows the words'
 probability is their spelling's. Repeated rows count and score each. An empty table gives an empty table.
 """
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.common import written
+from groundsieve.llm.common import shared_folder, written
+from groundsieve.llm.token_files import qualified
 
 END = b"\n"  # the end token: no word holds white space
-BURN_IN, SAMPLES, HOT, STRENGTH = 1, 2, 1 << 17, 1.0
-_FLUSH = 500_000
+BURN_IN, SAMPLES, SHARE, STRENGTH = 1, 2, 1000, 1.0
+BLOCK, _FLUSH = 2_000_000, 1_000_000  # tokens a block holds, about; tokens that a task gathers
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII white-space bytes only
 
 
-def pairs_of(text: str | None) -> Counter:
-    """Counts of (word before, word); the end token stands before the first word and after the last."""
-    found = words(text)
-    return Counter(zip([END, *found], [*found, END]))
+def slice_of(word: bytes, slices: int) -> int:
+    return zlib.crc32(word) % slices
+
+
+class Table(NamedTuple):
+    """A written table in one folder a slice."""
+
+    rows: DataFrame
+    uri: str
+
+
+def written_by_slice(df: DataFrame) -> Table:
+    spark, at = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.partitionBy("slice").parquet(at)
+    return Table(spark.read.schema(df.schema).parquet(at), qualified(spark, at))
+
 
+def read_slice(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
+    """``columns`` of one slice by id, read in a task."""
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    at = f"{path}/slice={number}"
+    if files.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
+        return [np.empty(0) for _ in columns]
+    t = pyarrow.parquet.read_table(at, filesystem=files, columns=["id", *columns], partitioning=None)
+    order = np.argsort(t["id"].to_numpy())  # ids run from 0 without gaps
+    return [t[c].to_numpy(zero_copy_only=False)[order] for c in columns]
 
-def pair_counts(docs: DataFrame, held_out: str) -> DataFrame:
-    """(prev, word, c): counts in rows that are not held out; pairs of held-out rows only have c = 0."""
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers below 2^32 as byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def word_table(docs: DataFrame, held_out: str, slices: int) -> Table:
+    """(slice, id, word, c, other): every word's number in its slice and its counts in training and in other rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        train, other = Counter(), set()
+        seen = (Counter(), Counter())
 
         def flush():
-            rows = [*((u, w, n) for (u, w), n in train.items()), *((u, w, 0) for u, w in other if (u, w) not in train)]
-            train.clear()
-            other.clear()
-            return pd.DataFrame(rows, columns=["prev", "word", "c"])
-
+            found = list(seen[0].keys() | seen[1].keys())
+            made = pd.DataFrame({"slice": [slice_of(w, slices) for w in found], "word": found,
+                                 "c": [seen[0][w] for w in found], "other": [seen[1][w] for w in found]})
+            seen[0].clear()
+            seen[1].clear()
+            return made
+
+        n = 0
         for b in batches:
             for t, out in zip(b.text, b[held_out]):
-                if out:
-                    other.update(pairs_of(t))
-                else:
-                    train.update(pairs_of(t))
-                if len(train) + len(other) > _FLUSH:
+                found = words(t)
+                side = seen[bool(out)]
+                side.update(found)
+                side[END] += 1
+                n += len(found) + 1
+                if n > _FLUSH:
                     yield flush()
+                    n = 0
         yield flush()
 
-    partial = docs.select("text", held_out).mapInPandas(count, "prev binary, word binary, c long")
-    return written(partial.groupBy("prev", "word").agg(F.sum("c").alias("c")))
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, at = None, 0
+        for b in batches:
+            ids = np.empty(len(b), np.int64)
+            s = b["slice"].to_numpy()
+            for k in range(len(b)):
+                if s[k] != current:
+                    current, at = s[k], 0
+                ids[k] = at
+                at += 1
+            yield b.assign(id=ids)[["slice", "id", "word", "c", "other"]]
 
+    partial = docs.select("text", held_out).mapInPandas(count, "slice int, word binary, c long, other long")
+    total = partial.groupBy("slice", "word").agg(F.sum("c").alias("c"), F.sum("other").alias("other"))
+    ordered = total.repartition(slices, "slice").sortWithinPartitions("slice", "word")
+    return written_by_slice(ordered.mapInPandas(number, "slice int, id long, word binary, c long, other long"))
 
-def vocabulary(pairs: DataFrame) -> DataFrame:
-    """Of every word: c, its count; as_word and as_prev, its pairs with c > 0 by either side, of which once_word and once_prev
-    with c = 1; pairs, the larger number of its pairs with any c."""
 
-    def side(name: str) -> DataFrame:
-        return pairs.groupBy(F.col(name).alias("word")).agg(
-            F.sum("c").alias(f"c_{name}"), F.count(F.when(F.col("c") > 0, 1)).alias(f"as_{name}"),
-            F.count(F.when(F.col("c") == 1, 1)).alias(f"once_{name}"), F.count(F.lit(1)).alias(f"all_{name}"))
+PAYLOAD = "block int, firsts binary, seconds binary, prev binary, word binary, doc binary, docs binary, often_prev binary, often_word binary, often_c binary"
 
-    # every word stands before another, and the end token before a text's first, so both sides have the same words and counts
-    both = side("word").join(side("prev"), "word")
-    return written(both.select("word", F.col("c_word").alias("c"), "as_word", "as_prev", "once_word", "once_prev", F.greatest("all_word", "all_prev").alias("pairs")))
 
+def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) -> DataFrame:
+    """Pairs of some texts that fall into one block: its words on either side, and each occurrence's two words and text. Pairs of
+    two ``often`` words come with their count in training alone. ``docs`` has row, text and ``held_out``."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(often))
 
-def meet(rows: DataFrame, side: str, table: DataFrame, values: list[str], least: int) -> DataFrame:
-    """``values`` of the word in column ``side`` of each pair; words with ``least`` or more pairs come from a broadcast.
+    def side(ids: np.ndarray, more: np.ndarray, spelled: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        used, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
+        return b" ".join([spelled[k] for k in used]), at[: len(ids)], at[len(ids):]
 
-    Pairs that found their word there get a key of their own in the second join: no word holds a blank.
-    """
-    slim = lambda at, v: table.where(at).select(F.col("word").alias(f"_{v}"), F.struct(*values).alias(v))
-    out = rows.join(F.broadcast(slim(F.col("pairs") >= least, "hot")), F.col(side) == F.col("_hot"), "left")
-    key = F.when(F.col("hot").isNull(), F.col(side)).otherwise(F.concat("prev", F.lit(b" "), "word"))
-    out = out.join(slim(F.col("pairs") < least, "cold"), key == F.col("_cold"), "left")
-    found = F.coalesce("hot", "cold")
-    return out.select(*[rows[c] for c in rows.columns], *[found[v].alias(f"{side}_{v}") for v in values])
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, lengths, rows, n = [], [], [], 0
+
+        def flush():
+            local = defaultdict()
+            local.default_factory = local.__len__
+            # the end token stands before the first word and after the last, so texts follow each other by it
+            ids = np.fromiter(map(local.__getitem__, chain([END], chain.from_iterable(texts))), np.int64, n + 1)
+            spelled, frequent = list(local), shared.value
+            slice_at = np.array([slice_of(w, slices) for w in spelled], np.int64)
+            often_at = np.array([w in frequent for w in spelled])
+            prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows)), lengths)
+            row = np.array(rows, np.int64)  # twice the row number, plus one for held-out rows
+            both = often_at[prev] & often_at[word]
+            key, at = np.unique(prev[both] * len(spelled) + word[both], return_inverse=True)
+            often_c = np.bincount(at, (row[doc[both]] & 1) == 0, len(key))
+            often_prev, often_word = key // len(spelled), key % len(spelled)
+            prev, word, doc = prev[~both], word[~both], doc[~both]
+            block, often_block = slice_at[prev] * slices + slice_at[word], slice_at[often_prev] * slices + slice_at[often_word]
+            order, often_order = np.argsort(block, kind="stable"), np.argsort(often_block, kind="stable")
+            prev, word, doc, block = prev[order], word[order], doc[order], block[order]
+            made = []
+            for k in np.union1d(block, often_block):
+                a, z = np.searchsorted(block, [k, k + 1])
+                o = often_order[slice(*np.searchsorted(often_block[often_order], [k, k + 1]))]
+                firsts, p, op = side(prev[a:z], often_prev[o], spelled)
+                seconds, w, ow = side(word[a:z], often_word[o], spelled)
+                used, d = np.unique(doc[a:z], return_inverse=True)
+                made.append((int(k), firsts, seconds, pack(p), pack(w), pack(np.diff(d, prepend=0)), row[used].astype("<i8").tobytes(),
+                             pack(op), pack(ow), pack(often_c[o])))
+            texts.clear()
+            lengths.clear()
+            rows.clear()
+            return pd.DataFrame(made, columns=[c.split()[0] for c in PAYLOAD.split(", ")])
+
+        for b in batches:
+            for r, t, out in zip(b.row, b.text, b[held_out]):
+                found = words(t)
+                found.append(END)
+                texts.append(found)
+                lengths.append(len(found))
+                rows.append(2 * int(r) + bool(out))
+                n += len(found)
+                if n > _FLUSH:
+                    yield flush()
+                    n = 0
+        if rows:
+            yield flush()
+
+    return docs.select("row", "text", held_out).mapInPandas(cut, PAYLOAD)
+
+
+BLOCKS = "block int, prev binary, word binary, c binary, held binary, doc binary, docs binary"
+
+
+def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
+    """One row a block: its pairs by word numbers with their counts in training, how many occurrences each has, and their texts."""
+    uri = table.uri
+
+    def merged(block: int, rows: list) -> tuple:
+        at = [{w: k for k, w in enumerate(read_slice(uri, s, ["word"])[0])} for s in divmod(block, slices)]
+        keys, docs, often, often_c = [], [], [], []
+        for r in rows:
+            first, second = (np.array([known[w] for w in text.split(b" ")], np.int64) for known, text in zip(at, (r.firsts, r.seconds)))
+            keys.append(first[unpack(r.prev)] << 32 | second[unpack(r.word)])
+            docs.append(np.frombuffer(r.docs, "<i8")[np.cumsum(unpack(r.doc))])
+            often.append(first[unpack(r.often_prev)] << 32 | second[unpack(r.often_word)])
+            often_c.append(unpack(r.often_c))
+        key, doc, more, more_c = (np.concatenate(x) for x in (keys, docs, often, often_c))
+        pairs, where = np.unique(np.concatenate([key, more]), return_inverse=True)
+        c = np.bincount(where, np.concatenate([(doc & 1) == 0, more_c]), len(pairs))
+        where = where[: len(key)]
+        doc = doc[np.argsort(where, kind="stable")] >> 1
+        used, d = np.unique(doc, return_inverse=True)
+        return (block, pack(np.diff(pairs >> 32, prepend=0)), pack(pairs & 0xFFFFFFFF), pack(c),
+                pack(np.bincount(where, minlength=len(pairs))), pack(d), used.astype("<i8").tobytes())
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, block, rows = [c.split()[0] for c in BLOCKS.split(", ")], None, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if rows and r.block != block:
+                    yield pd.DataFrame([merged(block, rows)], columns=columns)
+                    rows = []
+                block = int(r.block)
+                rows.append(r)
+        if rows:
+            yield pd.DataFrame([merged(block, rows)], columns=columns)
+
+    return written(pieces.repartition(slices * slices, "block").sortWithinPartitions("block").mapInPandas(gather, BLOCKS))
 
 
 def seated(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -216,9 +355,8 @@ def sweep(counts: DataFrame, state: State, d: float, seed: int) -> DataFrame:
     return counts.select("word", "n").where("n > 0").mapInPandas(draw, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def probabilities(counts: DataFrame, state: State, d: float, customers: float, seed: int) -> tuple[DataFrame, float]:
-    """``counts`` with lp, the natural log of each word's probability without context, and base, its spelling's share of it;
-    and the probability of a new table."""
+def probabilities(counts: DataFrame, state: State, d: float, customers: float, seed: int) -> "Level":
+    """The words' tables and spellings, written by slice."""
     shared = counts.sparkSession.sparkContext.broadcast(state)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,28 +369,28 @@ def probabilities(counts: DataFrame, state: State, d: float, customers: float, s
             t = seated(b.n.to_numpy(np.int64), (STRENGTH + d * state.tables) * np.exp(log_base), d, _rng(seed, spelled))
             yield b.assign(t=t.astype(np.int64), spelt=log_base)
 
-    drawn = written(counts.mapInPandas(draw, "word binary, c long, pairs long, n long, tables long, t long, spelt double"))
-    new = STRENGTH + d * (drawn.agg(F.sum("t")).first()[0] or 0)  # of this very draw, so that all probabilities add up to 1
-    # in logs, for spellings whose probability is too small for a double
-    lp = F.when(F.col("n") > 0, F.log(F.col("n") - d * F.col("t") + new * F.exp("spelt"))).otherwise(math.log(new) + F.col("spelt"))
-    return drawn.select("word", "c", "pairs", "n", "tables", (lp - math.log(STRENGTH + customers)).alias("lp"),
-                        (new / (STRENGTH + customers) * F.exp("spelt")).alias("base")), new / (STRENGTH + customers)
+    drawn = written_by_slice(counts.mapInPandas(draw, "slice int, id long, word binary, c long, n long, tables long, t long, spelt double").drop("word"))
+    sums = drawn.rows.agg(F.sum("t").alias("t"), F.sum(F.when(F.col("c") > 0, F.exp("spelt"))).alias("spelt")).first()
+    new = STRENGTH + d * (sums.t or 0)  # of this very draw, so that all probabilities add up to 1
+    return Level(drawn.uri, d, new, STRENGTH + customers, max(new / (STRENGTH + customers) * (1 - (sums.spelt or 0.0)), 1e-300))
 
 
-def seat_pairs(met: DataFrame, d: float, name: str, seed: int) -> DataFrame:
-    """Draw the tables of every pair into column ``name``: ``met`` has word_lp and prev_tables of the sweep before."""
-    kept = [c for c in met.columns if c not in ("word_lp", "prev_tables")]
+class Level(NamedTuple):
+    """A state of the word restaurant, in slices, and the probability without context of any word that training lacks."""
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            weight = (STRENGTH + d * b.prev_tables.to_numpy(float)) * np.exp(b.word_lp.to_numpy(float))
-            t = seated(b.c.to_numpy(np.int64), weight, d, _rng(seed, [u + b" " + w for u, w in zip(b.prev, b.word)]))
-            yield b[kept].assign(**{name: t.astype(np.int64)})
+    uri: str
+    d: float
+    new: float
+    customers: float
+    unknown: float
 
-    schema = "prev binary, word binary, c long" + "".join(f", {c} long" for c in [*kept[3:], name])
-    return written(met.mapInPandas(draw, schema))
+    def of(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of a slice: count in training, tables they hand on as contexts, log probability without context."""
+        c, n, tables, t, spelt = read_slice(self.uri, number, ["c", "n", "tables", "t", "spelt"])
+        lp = np.full(len(c), math.log(self.new)) + spelt  # in logs, for spellings whose probability is too small for a double
+        seen = np.flatnonzero(n > 0)
+        lp[seen] = np.log(n[seen] - self.d * t[seen] + self.new * np.exp(spelt[seen]))
+        return c, tables, lp - math.log(self.customers)
 
 
 def counts_of_counts(table: DataFrame, c: str) -> float:
@@ -260,29 +398,83 @@ def counts_of_counts(table: DataFrame, c: str) -> float:
     return discount(few.get(1, 0), few.get(2, 0))
 
 
-class Sample(NamedTuple):
-    """A retained state: its word table (word, c, pairs, n, tables, lp, base), the column with its pairs' tables, and the
-    probability without context of any word that training lacks."""
+def pairs_in(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(unpack(row.prev)), unpack(row.word), unpack(row.c)
 
-    table: DataFrame
-    column: str
-    unknown: float
 
+def draw_tables(block: int, c: np.ndarray, tables: np.ndarray, lp: np.ndarray, d: float, seed: int) -> np.ndarray:
+    """Tables of a block's pairs; ``tables`` and ``lp`` are their first and second words' in the state before."""
+    return seated(c, (STRENGTH + d * tables) * np.exp(lp), d, np.random.default_rng([seed, block]))
 
-def fit(pairs: DataFrame, words_: DataFrame, total: int, least: int, seed: int = 11) -> tuple[list[Sample], DataFrame, float]:
-    """Retained states, the pairs with their tables in each, and the pair restaurants' discount."""
-    d2, d1 = counts_of_counts(pairs, "c"), counts_of_counts(words_, "as_word")
-    many, table, state, byte_tables, kept = pairs.where("c > 1"), None, State(None, 0.0), None, []
+
+def seat(kept: DataFrame, table: Table, slices: int, before: Level | None, d: float, seed: int) -> tuple[Table, float]:
+    """(slice, id, word, c, n, tables): the customers that every word gets from the pairs it ends, and the tables of those it
+    begins; and the pairs' discount by their counts of counts. Without a state before, one table a pair."""
+    uri = table.uri
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                prev, word, c = pairs_in(r)
+                first, second = divmod(int(r.block), slices)
+                if before is None:
+                    t = np.minimum(c, 1)
+                else:
+                    t = draw_tables(int(r.block), c, before.of(first)[1][prev], before.of(second)[2][word], d, seed)
+                made = []
+                for number, side, ids in ((first, 0, prev), (second, 1, word)):
+                    n = np.bincount(ids, t)
+                    used = np.flatnonzero(n)
+                    made.append((number, side, pack(np.diff(used, prepend=0)), pack(n[used]), int((c == 1).sum()), int((c == 2).sum())))
+                yield pd.DataFrame(made, columns=["slice", "side", "ids", "n", "ones", "twos"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done():
+            spelled, c = read_slice(uri, current, ["word", "c"])
+            for a in range(0, len(c), 1 << 16):
+                z = min(a + (1 << 16), len(c))
+                yield pd.DataFrame({"slice": current, "id": np.arange(a, z), "word": spelled[a:z], "c": c[a:z], "n": total[1][a:z], "tables": total[0][a:z]})
+
+        current, total = None, None
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.slice != current:
+                    if current is not None:
+                        yield from done()
+                    current = int(r.slice)
+                    total = np.zeros((2, len(read_slice(uri, current, ["c"])[0])), np.int64)
+                ids = np.cumsum(unpack(r.ids))
+                total[r.side][ids] += unpack(r.n)
+        if current is not None:
+            yield from done()
+
+    made = kept.select("block", "prev", "word", "c").mapInPandas(sums, "slice int, side int, ids binary, n binary, ones long, twos long")
+    if before is None:
+        made = written(made)
+        few = made.where("side = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+        d = discount(few.ones or 0, few.twos or 0)
+    split = made.select("slice", "side", "ids", "n").repartition(slices, "slice").sortWithinPartitions("slice")
+    return written_by_slice(split.mapInPandas(add, "slice int, id long, word binary, c long, n long, tables long")), d
+
+
+class Fit(NamedTuple):
+    """All states, which of them are kept, the pair restaurants' discount and the seed of the draws."""
+
+    levels: list[Level]
+    kept: list[int]
+    d: float
+    seed: int
+
+
+def fit(kept: DataFrame, table: Table, slices: int, total: int, seed: int = 11) -> Fit:
+    levels, state, byte_tables, d1, d2 = [], State(None, 0.0), None, 0.5, 0.5
     rng = np.random.default_rng(seed)
-    counts = words_.select("word", "c", "pairs", F.col("as_word").alias("n"), F.col("as_prev").alias("tables"))
-    for k in range(BURN_IN + SAMPLES if total else 1):
-        if k:
-            met = meet(meet(many, "word", table, ["lp"], least), "prev", table, ["tables"], least)
-            many = seat_pairs(met, d2, f"t{k}", seed + 100 + k)
-            drawn = {side: many.groupBy(F.col(side).alias("word")).agg(F.sum(f"t{k}").alias(f"t_{side}")) for side in ("word", "prev")}
-            counts = written(words_.join(drawn["word"], "word", "left").join(drawn["prev"], "word", "left").select(
-                "word", "c", "pairs", (F.col("once_word") + F.coalesce("t_word", F.lit(0))).alias("n"),
-                (F.col("once_prev") + F.coalesce("t_prev", F.lit(0))).alias("tables")))
+    rounds = BURN_IN + SAMPLES if total else 1
+    for k in range(rounds):
+        counted, d2 = seat(kept, table, slices, levels[-1] if k else None, d2, seed + 100 + k)
+        counts = counted.rows
+        if not k:
+            d1 = counts_of_counts(counts, "n")
         customers = float(counts.agg(F.sum("n")).first()[0] or 0)
         if total:
             cells = sweep(counts, state, d1, seed + k).toPandas().sort_values("cell")  # at most 2^26 cells, whatever the corpus
@@ -290,98 +482,118 @@ def fit(pairs: DataFrame, words_: DataFrame, total: int, least: int, seed: int =
             cells = cells[cells.cell >= 0]
             model, byte_tables = seat_bytes(cells.cell.to_numpy(np.int64).astype(np.uint32), cells.n.to_numpy(), state.model, byte_tables, rng)
             state = State(model, word_tables)
-        table, fresh = probabilities(counts, state, d1, customers, seed + 200 + k)
-        if k >= BURN_IN or not total:
-            spelt = table.where("c > 0").agg(F.sum("base")).first()[0] or 0.0
-            kept.append(Sample(table, f"t{k}", max(fresh - spelt, 1e-300)))
-    few = pairs.where("c < 2" if total else "true").withColumns({s.column: F.col("c") for s in kept})
-    return kept, few.unionByName(many) if total else few, d2
-
-
-def pair_probabilities(seats: DataFrame, samples: list[Sample], d: float, denominator: int, least: int) -> DataFrame:
-    """(prev, word, c, known, base, lp, open) of every pair: whether training has the word, and log10 of the add-one count's and
-    of the model's probability after ``prev``, averaged over the states; ``open`` gives an unknown word its spelling's."""
-    table = samples[0].table.select("word", "c", "pairs", F.col("lp").alias("lp0"), F.col("tables").alias("tables0"))
-    for i, s in enumerate(samples[1:], 1):
-        table = table.join(s.table.select("word", F.col("lp").alias(f"lp{i}"), F.col("tables").alias(f"tables{i}")), "word")
-    table = written(table)
-    n = range(len(samples))
-    met = meet(meet(seats, "word", table, ["c", *[f"lp{i}" for i in n]], least), "prev", table, ["c", *[f"tables{i}" for i in n]], least)
-    share = STRENGTH + F.col("prev_c")
-    back = [(STRENGTH + d * F.col(f"prev_tables{i}")) / share for i in n]
-    add = lambda cols: sum(cols[1:], cols[0])
-
-    def mean_log(logs):
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        return (top + F.log(add([F.exp(x - top) for x in logs])) - math.log(len(logs))) / math.log(10)
-
-    spelled = mean_log([F.log(back[i]) + F.col(f"word_lp{i}") for i in n])
-    seen = F.log10(add([(F.col("c") - d * F.col(s.column)) / share + back[i] * F.exp(f"word_lp{i}") for i, s in enumerate(samples)]) / len(samples))
-    unknown = mean_log([F.log(back[i]) + math.log(s.unknown) for i, s in enumerate(samples)])
-    known = F.col("word_c") > 0
-    open_ = F.when(F.col("c") > 0, seen).otherwise(spelled)
-    return written(met.select("prev", "word", "c", known.cast("int").alias("known"), F.log10((F.col("word_c") + 1) / F.lit(float(denominator))).alias("base"),
-                              F.when(known, open_).otherwise(unknown).alias("lp"), open_.alias("open")))
-
-
-def _frequent(table: DataFrame) -> pd.DataFrame:
-    """At most ``HOT`` of the most frequent pairs."""
-    octaves = {r.o: r.n for r in table.where("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("o")).agg(F.count("*").alias("n")).collect()}
-    least, room = 0, HOT
-    for o in sorted(octaves, reverse=True):
-        room -= octaves[o]
-        if room < 0:
-            least = o + 1
-            break
-    return table.where(F.col("c") >= 2**least).toPandas()
-
-
-def scored(docs: DataFrame, held_out: str) -> DataFrame:
-    """doc_id, ``held_out``, n_tokens, n_known, train_tokens, base_score, score, open_score of every row of ``docs``.
+        levels.append(probabilities(counts, state, d1, customers, seed + 200 + k))
+    return Fit(levels, list(range(BURN_IN, rounds)) if total else [0], d2, seed)
 
-    ``docs`` has doc_id, text and ``held_out``. In ``score`` a word that training lacks counts as one more type, as in the base
-    score: its probability is that of meeting any such word. ``open_score`` gives it the probability of its spelling.
-    """
-    pairs = pair_counts(docs, held_out)
-    words_ = vocabulary(pairs)
-    whole = words_.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    total, kinds = int(whole.n or 0), int(whole.v or 0)
-    least = pairs.count() // 1000 + 1  # at most 2,000 words have so many pairs
-    samples, seats, d = fit(pairs, words_, total, least)
-    table = pair_probabilities(seats, samples, d, total + 1 * (kinds + 1), least)
-    frequent = {(bytes(r.prev), bytes(r.word)): (r.base, r.lp, r.known) for r in _frequent(table).itertuples(index=False)}
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+class Logs(NamedTuple):
+    """Of pairs: whether training has the second word, and log10 of the add-one count's and of the model's probability after the
+    first, averaged over the states; ``open`` gives an unknown word its spelling's."""
+
+    known: np.ndarray
+    base: np.ndarray
+    lp: np.ndarray
+    open: np.ndarray
+
+
+def pair_logs(block: int, prev: np.ndarray, word: np.ndarray, c: np.ndarray, fitted: Fit, slices: int, denominator: int) -> Logs:
+    first, second = divmod(block, slices)
+    wanted = sorted({j for k in fitted.kept for j in (max(k - 1, 0), k)})
+    at = {j: (fitted.levels[j].of(first)[:2], fitted.levels[j].of(second)) for j in wanted}
+    ((context, _), (count, *_)), seen, spelled, unknown = at[wanted[0]], 0.0, [], []
+    share = STRENGTH + context[prev]
+    for k in fitted.kept:
+        (_, tables), (_, _, lp) = at[k]
+        t = np.minimum(c, 1)
+        if k:
+            (_, tables_before), (_, _, lp_before) = at[k - 1]
+            t = draw_tables(block, c, tables_before[prev], lp_before[word], fitted.d, fitted.seed + 100 + k)
+        back = (STRENGTH + fitted.d * tables[prev]) / share
+        seen = seen + (c - fitted.d * t) / share + back * np.exp(lp[word])
+        spelled.append(np.log(back) + lp[word])
+        unknown.append(np.log(back) + math.log(fitted.levels[k].unknown))
+    mean = lambda logs: (np.logaddexp.reduce(logs) - math.log(len(logs))) / math.log(10)
+    known = count[word] > 0
+    open_ = np.where(c > 0, np.log10(np.maximum(seen, 1e-300) / len(fitted.kept)), mean(spelled))
+    return Logs(known.astype(float), np.log10((count[word] + 1) / denominator), np.where(known, open_, mean(unknown)), open_)
+
+
+SUMS = "known double, base double, lp double, open double"
+
+
+def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, often: list[tuple[int, int]]) -> DataFrame:
+    """Sums by row over the pairs of each block; and, with row -1, the logs of each pair of ``often`` words, by their places."""
+    place = {at: k for k, at in enumerate(often)}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for b in batches:
-            tail_row, tail_pair, tail_k, sums = [], [], [], []
-            for row, text in zip(b.row, b.text):
-                found, base, lp, seen = pairs_of(text), 0.0, 0.0, 0
-                for pair, k in found.items():
-                    hit = known.get(pair)
-                    if hit is None:
-                        tail_row.append(row)
-                        tail_pair.append(pair)
-                        tail_k.append(k)
-                    else:
-                        base, lp, seen = base + k * hit[0], lp + k * hit[1], seen + k * hit[2]
-                sums.append((found.total(), seen, base, lp))
-            done = pd.DataFrame(sums, columns=["k", "known", "base", "lp"])
-            done = done.assign(row=b.row.to_numpy(), doc_id=b.doc_id.to_numpy(object, na_value=None), held=b[held_out].to_numpy(), prev=None, word=None)
-            yield done[["row", "doc_id", "held", "prev", "word", "k", "known", "base", "lp"]]
-            tail = pd.DataFrame({"row": tail_row, "doc_id": None, "held": False, "prev": [u for u, _ in tail_pair], "word": [w for _, w in tail_pair], "k": tail_k})
-            yield tail.assign(known=0, base=0.0, lp=0.0)
-
-    schema = "row long, doc_id string, held boolean, prev binary, word binary, k long, known long, base double, lp double"
+            for r in b.itertuples(index=False):
+                prev, word, c = pairs_in(r)
+                first, second = divmod(int(r.block), slices)
+                logs = pair_logs(int(r.block), prev, word, c, fitted, slices, denominator)
+                held, doc, rows = unpack(r.held), unpack(r.doc), np.frombuffer(r.docs, "<i8")
+                yield pd.DataFrame({"row": rows, "a": -1, "b": -1, **{f: np.bincount(doc, np.repeat(getattr(logs, f), held), len(rows)) for f in Logs._fields}})
+                bare = np.flatnonzero(held == 0)  # only pairs of two often words come without texts
+                yield pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()],
+                                    **{f: getattr(logs, f)[bare] for f in Logs._fields}})
+
+    return written(kept.mapInPandas(score, f"row long, a int, b int, {SUMS}"))
+
+
+class Prepared(NamedTuple):
+    table: Table
+    kept: DataFrame
+    slices: int
+    often: list  # rows (slice, id, word)
+    total: int
+    kinds: int
+
+
+def prepared(numbered: DataFrame, held_out: str, share: int = SHARE, block: int = BLOCK) -> Prepared:
+    """Words and blocks of ``numbered``: row, text and ``held_out``."""
+    size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, math.ceil(math.sqrt(size / 6 / block)))
+    table = word_table(numbered, held_out, slices)
+    whole = table.rows.agg(F.sum("c").alias("c"), F.sum("other").alias("other"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    total, other = int(whole.c or 0), int(whole.other or 0)
+    often = table.rows.where((F.col("c") + F.col("other")) * share > total + other).select("slice", "id", "word").collect()  # fewer than ``share`` words
+    pieces = payloads(numbered, held_out, slices, [bytes(r.word) for r in often])
+    return Prepared(table, blocks(pieces, table, slices), slices, often, total, int(whole.v or 0))
+
+
+def scored(docs: DataFrame, held_out: str, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """doc_id, ``held_out``, n_tokens, n_known, train_tokens, base_score, score, open_score of every row of ``docs``.
+
+    ``docs`` has doc_id, text and ``held_out``; other columns are not read. In ``score`` a word that training lacks counts as one
+    more type, as in the base score: its probability is that of meeting any such word. ``open_score`` gives it the probability of
+    its spelling.
+    """
     # ids go through pandas as text: a null must not turn the others into doubles
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text", held_out)
-    made = written(numbered.mapInPandas(score, schema))
-    tails = made.where("word is not null").select("row", "prev", "word", "k").join(table, ["prev", "word"])
-    heads = made.where("word is null")
-    sums = tails.groupBy("row").agg(*[F.sum(F.col("k") * F.col(c)).alias(f"tail_{c}") for c in ("known", "base", "lp", "open")])
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return heads.join(sums, "row", "left").select(
-        F.col("doc_id").cast("long"), F.col("held").alias(held_out), F.col("k").alias("n_tokens"), plus("known", "tail_known").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), plus("base", "tail_base").alias("base_score"), plus("lp", "tail_lp").alias("score"),
-        plus("lp", "tail_open").alias("open_score"))
+    made = prepared(numbered, held_out, share, block)
+    fitted = fit(made.kept, made.table, made.slices, made.total)
+    sums = block_scores(made.kept, fitted, made.slices, made.total + 1 * (made.kinds + 1), [(r["slice"], r.id) for r in made.often])
+    pairs = sums.where("row < 0").toPandas()  # fewer than share x share
+    key = pairs.a.to_numpy(np.int64) * len(made.often) + pairs.b.to_numpy(np.int64)
+    order = np.argsort(key)
+    lookup = ({bytes(r.word): k for k, r in enumerate(made.often)}, key[order], pairs[list(Logs._fields)].to_numpy()[order])
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, keys, values = shared.value
+        for b in batches:
+            texts = [[*words(t), END] for t in b.text]
+            lengths = [len(t) for t in texts]
+            at = np.array([place.get(w, -1) for w in chain([END], chain.from_iterable(texts))], np.int64)
+            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+            found = np.searchsorted(keys, at[both] * len(place) + at[both + 1])
+            doc = np.repeat(np.arange(len(texts)), lengths)[both]
+            part = {f: np.bincount(doc, values[found, k], len(texts)) for k, f in enumerate(Logs._fields)} if len(both) else dict.fromkeys(Logs._fields, 0.0)
+            yield pd.DataFrame({"row": b.row.to_numpy(), "doc_id": b.doc_id.to_numpy(object, na_value=None), "held": b[held_out].to_numpy(), "k": lengths, **part})
+
+    found = numbered.mapInPandas(heads, f"row long, doc_id string, held boolean, k long, {SUMS}")
+    parts = found.unionByName(sums.where("row >= 0").drop("a", "b"), allowMissingColumns=True)
+    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("k").alias("k"), *[F.sum(f).alias(f) for f in Logs._fields])
+    return total.select(
+        F.col("doc_id").cast("long"), F.col("held").alias(held_out), F.col("k").alias("n_tokens"), F.round("known").cast("long").alias("n_known"),
+        F.lit(made.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"), F.col("open").alias("open_score"))

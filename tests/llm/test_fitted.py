@@ -64,10 +64,12 @@ def test_language(put, odd):
     assert language.with_language(put([(1, "abc", None, None, 3)]), nothing, F.col("text")).first().language.lang_pred == "und"
 
 
-def test_lm_against_a_count(put, odd):
+@pytest.mark.parametrize("share, block", [(lm.SHARE, lm.BLOCK), (20, 10_000), (1, 3_000)])
+def test_lm_against_a_count(put, odd, share, block):
+    """Whatever the block's size and the words held in memory: all, some, none."""
     rows = odd + [(k, prose(k, 50), "en", "a", 0) for k in range(20, 60)]
     docs = put(rows).select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    got = lm.scored(docs, "held_out").collect()
+    got = lm.scored(docs, "held_out", share, block).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     tokens = lambda t: [*lm.words(t), lm.END]
     c = Counter(w for d, t, *_ in rows if not held(d) for w in tokens(t))
@@ -118,6 +120,13 @@ def test_lm_scores_depend_on_word_order(put):
     assert got[100].score > got[101].score + 5
 
 
+def test_lm_scores_do_not_depend_on_the_words_held_in_memory(put, odd):
+    docs = put(odd + [(k, prose(k, 50), "en", "a", 0) for k in range(20, 60)]).select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    runs = [sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.open_score, 6)) for r in lm.scored(docs, "held_out", share, 20_000).collect())
+            for share in (1, 30, 1 << 40)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_lm_context_probabilities_add_up(put):
     """After a context, the seen words and that of meeting any word training lacks add up to 1."""
     texts = ["a b c a b", "b c c a", "c a b b", "a a b c"] * 5
@@ -125,8 +134,9 @@ def test_lm_context_probabilities_add_up(put):
     held = [f"b {w}" for w in ("a", "b", "c", "zzz")] + ["b"]
     docs = put([(k, t, "en", "a", 0) for k, t in enumerate(texts)] + [(100 + k, t, "en", "a", 0) for k, t in enumerate(held)])
     docs = docs.select("doc_id", "text", (F.col("doc_id") >= 100).alias("held_out"))
-    pairs = lm.pair_counts(docs, "held_out")
-    words = lm.vocabulary(pairs)
-    samples, seats, d = lm.fit(pairs, words, 1, 1000)
-    p = {(bytes(r.prev), bytes(r.word)): 10**r.lp for r in lm.pair_probabilities(seats, samples, d, 1, 1000).collect()}
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text", "held_out")
+    made = lm.prepared(numbered, "held_out", share=1 << 40)  # all words are often met, so that all pairs are listed
+    fitted = lm.fit(made.kept, made.table, made.slices, made.total)
+    rows = lm.block_scores(made.kept, fitted, made.slices, 1, [(r["slice"], r.id) for r in made.often]).where("row < 0").collect()
+    p = {(bytes(made.often[r.a].word), bytes(made.often[r.b].word)): 10**r.lp for r in rows}
     assert math.isclose(sum(p[b"b", w] for w in (b"a", b"b", b"c", b"zzz", lm.END)), 1.0, rel_tol=1e-6)

@@ -11,7 +11,7 @@ Word pairs are kept in blocks: words fall into slices by hash, a block holds the
 second words, so a frequent word is spread over as many blocks as there are slices. Pairs are shuffled once, with the rows that hold
 them; a block is written once and seated and scored where it is, from the files of its two slices. Out of a block come sums by
 word and sums by document. Pairs of two words that each make up more than a ``SHARE``-th of all tokens (at most SHARE x SHARE
-pairs) send only their counts; their probabilities are broadcast and looked up while the documents are read again.
+pairs) send only their counts; their occurrences stay together by task, and their probabilities are broadcast and looked up there.
 
 Seating is sampled by Gibbs sweeps. In each, every dish's tables are drawn anew from the Chinese-restaurant process given
 its parent's probabilities and the restaurants' totals of the sweep before; ``SAMPLES`` states after ``BURN_IN`` sweeps are
@@ -43,7 +43,7 @@ from groundsieve.llm.token_files import qualified
 
 END = b"\n"  # the end token: no word holds white space
 BURN_IN, SAMPLES, SHARE, STRENGTH = 1, 2, 1000, 1.0
-BLOCK, _FLUSH = 2_000_000, 1_000_000  # tokens a block holds, about; tokens that a task gathers
+BLOCK, _FLUSH = 1_200_000, 600_000  # tokens a block holds, about; tokens that a task gathers
 
 
 def words(text: str | None) -> list[bytes]:
@@ -133,13 +133,15 @@ def word_table(docs: DataFrame, held_out: str, slices: int) -> Table:
     return written_by_slice(ordered.mapInPandas(number, "slice int, id long, word binary, c long, other long"))
 
 
+NONE = pack(np.empty(0))
 PAYLOAD = "block int, firsts binary, seconds binary, prev binary, word binary, doc binary, docs binary, often_prev binary, often_word binary, often_c binary"
 
 
 def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) -> DataFrame:
     """Pairs of some texts that fall into one block: its words on either side, and each occurrence's two words and text. Pairs of
-    two ``often`` words come with their count in training alone. ``docs`` has row, text and ``held_out``."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(often))
+    two ``often`` words come with their count in training alone; where they occur is in rows of a negative block, by the words'
+    places in ``often``. ``docs`` has row, text and ``held_out``."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(often)})
 
     def side(ids: np.ndarray, more: np.ndarray, spelled: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
         used, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
@@ -153,20 +155,22 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
             local.default_factory = local.__len__
             # the end token stands before the first word and after the last, so texts follow each other by it
             ids = np.fromiter(map(local.__getitem__, chain([END], chain.from_iterable(texts))), np.int64, n + 1)
-            spelled, frequent = list(local), shared.value
+            spelled, place = list(local), shared.value
             slice_at = np.array([slice_of(w, slices) for w in spelled], np.int64)
-            often_at = np.array([w in frequent for w in spelled])
+            often_at = np.array([place.get(w, -1) for w in spelled], np.int64)
             prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows)), lengths)
             row = np.array(rows, np.int64)  # twice the row number, plus one for held-out rows
-            both = often_at[prev] & often_at[word]
+            both = (often_at[prev] >= 0) & (often_at[word] >= 0)
             key, at = np.unique(prev[both] * len(spelled) + word[both], return_inverse=True)
             often_c = np.bincount(at, (row[doc[both]] & 1) == 0, len(key))
             often_prev, often_word = key // len(spelled), key % len(spelled)
+            used, d = np.unique(doc[both], return_inverse=True)
+            made = [(-1 - int(row[0]) // 2 % slices**2, b"", b"", pack(often_at[prev[both]]), pack(often_at[word[both]]), pack(np.diff(d, prepend=0)),
+                     row[used].astype("<i8").tobytes(), NONE, NONE, NONE)]
             prev, word, doc = prev[~both], word[~both], doc[~both]
             block, often_block = slice_at[prev] * slices + slice_at[word], slice_at[often_prev] * slices + slice_at[often_word]
             order, often_order = np.argsort(block, kind="stable"), np.argsort(often_block, kind="stable")
             prev, word, doc, block = prev[order], word[order], doc[order], block[order]
-            made = []
             for k in np.union1d(block, often_block):
                 a, z = np.searchsorted(block, [k, k + 1])
                 o = often_order[slice(*np.searchsorted(often_block[often_order], [k, k + 1]))]
@@ -201,7 +205,10 @@ BLOCKS = "block int, prev binary, word binary, c binary, held binary, doc binary
 
 
 def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
-    """One row a block: its pairs by word numbers with their counts in training, how many occurrences each has, and their texts."""
+    """One row a block: its pairs by word numbers with their counts in training, how many occurrences each has, and their texts.
+
+    Rows of negative blocks stay as they are, one a piece: the two words and the text of each occurrence.
+    """
     uri = table.uri
 
     def merged(block: int, rows: list) -> tuple:
@@ -213,19 +220,28 @@ def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
             docs.append(np.frombuffer(r.docs, "<i8")[np.cumsum(unpack(r.doc))])
             often.append(first[unpack(r.often_prev)] << 32 | second[unpack(r.often_word)])
             often_c.append(unpack(r.often_c))
-        key, doc, more, more_c = (np.concatenate(x) for x in (keys, docs, often, often_c))
-        pairs, where = np.unique(np.concatenate([key, more]), return_inverse=True)
-        c = np.bincount(where, np.concatenate([(doc & 1) == 0, more_c]), len(pairs))
-        where = where[: len(key)]
-        doc = doc[np.argsort(where, kind="stable")] >> 1
-        used, d = np.unique(doc, return_inverse=True)
-        return (block, pack(np.diff(pairs >> 32, prepend=0)), pack(pairs & 0xFFFFFFFF), pack(c),
-                pack(np.bincount(where, minlength=len(pairs))), pack(d), used.astype("<i8").tobytes())
+        at = None
+        more, more_c = np.concatenate(often), np.concatenate(often_c)
+        key = np.concatenate([*keys, more])
+        doc = np.concatenate([*docs, np.full(len(more), -1)])
+        keys = docs = None
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs, real = key[starts], doc >= 0
+        c = np.add.reduceat(real & (doc & 1 == 0), starts, dtype=np.int64)
+        held = np.add.reduceat(real, starts, dtype=np.int64)
+        np.add.at(c, np.searchsorted(pairs, more), more_c)
+        used, d = np.unique(doc[real] >> 1, return_inverse=True)
+        return (block, pack(np.diff(pairs >> 32, prepend=0)), pack(pairs & 0xFFFFFFFF), pack(c), pack(held), pack(d), used.astype("<i8").tobytes())
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, block, rows = [c.split()[0] for c in BLOCKS.split(", ")], None, []
         for b in batches:
             for r in b.itertuples(index=False):
+                if r.block < 0:
+                    yield pd.DataFrame([(r.block, r.prev, r.word, NONE, NONE, r.doc, (np.frombuffer(r.docs, "<i8") >> 1).tobytes())], columns=columns)
+                    continue
                 if rows and r.block != block:
                     yield pd.DataFrame([merged(block, rows)], columns=columns)
                     rows = []
@@ -448,7 +464,7 @@ def seat(kept: DataFrame, table: Table, slices: int, before: Level | None, d: fl
         if current is not None:
             yield from done()
 
-    made = kept.select("block", "prev", "word", "c").mapInPandas(sums, "slice int, side int, ids binary, n binary, ones long, twos long")
+    made = kept.where("block >= 0").select("block", "prev", "word", "c").mapInPandas(sums, "slice int, side int, ids binary, n binary, ones long, twos long")
     if before is None:
         made = written(made)
         few = made.where("side = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
@@ -518,7 +534,7 @@ def pair_logs(block: int, prev: np.ndarray, word: np.ndarray, c: np.ndarray, fit
     return Logs(known.astype(float), np.log10((count[word] + 1) / denominator), np.where(known, open_, mean(unknown)), open_)
 
 
-SUMS = "known double, base double, lp double, open double"
+SUMS = "k long, known double, base double, lp double, open double"
 
 
 def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, often: list[tuple[int, int]]) -> DataFrame:
@@ -532,12 +548,12 @@ def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, of
                 first, second = divmod(int(r.block), slices)
                 logs = pair_logs(int(r.block), prev, word, c, fitted, slices, denominator)
                 held, doc, rows = unpack(r.held), unpack(r.doc), np.frombuffer(r.docs, "<i8")
-                yield pd.DataFrame({"row": rows, "a": -1, "b": -1, **{f: np.bincount(doc, np.repeat(getattr(logs, f), held), len(rows)) for f in Logs._fields}})
+                yield pd.DataFrame({"row": rows, "a": -1, "b": -1, "k": np.bincount(doc, minlength=len(rows)), **{f: np.bincount(doc, np.repeat(getattr(logs, f), held), len(rows)) for f in Logs._fields}})
                 bare = np.flatnonzero(held == 0)  # only pairs of two often words come without texts
-                yield pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()],
+                yield pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()], "k": 0,
                                     **{f: getattr(logs, f)[bare] for f in Logs._fields}})
 
-    return written(kept.mapInPandas(score, f"row long, a int, b int, {SUMS}"))
+    return written(kept.where("block >= 0").mapInPandas(score, f"row long, a int, b int, {SUMS}"))
 
 
 class Prepared(NamedTuple):
@@ -576,24 +592,22 @@ def scored(docs: DataFrame, held_out: str, share: int = SHARE, block: int = BLOC
     pairs = sums.where("row < 0").toPandas()  # fewer than share x share
     key = pairs.a.to_numpy(np.int64) * len(made.often) + pairs.b.to_numpy(np.int64)
     order = np.argsort(key)
-    lookup = ({bytes(r.word): k for k, r in enumerate(made.often)}, key[order], pairs[list(Logs._fields)].to_numpy()[order])
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], pairs[list(Logs._fields)].to_numpy()[order]))
+    n_often = len(made.often)
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, keys, values = shared.value
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values = shared.value
         for b in batches:
-            texts = [[*words(t), END] for t in b.text]
-            lengths = [len(t) for t in texts]
-            at = np.array([place.get(w, -1) for w in chain([END], chain.from_iterable(texts))], np.int64)
-            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-            found = np.searchsorted(keys, at[both] * len(place) + at[both + 1])
-            doc = np.repeat(np.arange(len(texts)), lengths)[both]
-            part = {f: np.bincount(doc, values[found, k], len(texts)) for k, f in enumerate(Logs._fields)} if len(both) else dict.fromkeys(Logs._fields, 0.0)
-            yield pd.DataFrame({"row": b.row.to_numpy(), "doc_id": b.doc_id.to_numpy(object, na_value=None), "held": b[held_out].to_numpy(), "k": lengths, **part})
-
-    found = numbered.mapInPandas(heads, f"row long, doc_id string, held boolean, k long, {SUMS}")
-    parts = found.unionByName(sums.where("row >= 0").drop("a", "b"), allowMissingColumns=True)
-    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("k").alias("k"), *[F.sum(f).alias(f) for f in Logs._fields])
+            for r in b.itertuples(index=False):
+                found = np.searchsorted(keys, unpack(r.prev) * n_often + unpack(r.word))
+                doc, rows = np.cumsum(unpack(r.doc)), np.frombuffer(r.docs, "<i8")
+                part = {f: np.bincount(doc, values[found, k], len(rows)) for k, f in enumerate(Logs._fields)} if len(rows) else {}
+                yield pd.DataFrame({"row": rows, "k": np.bincount(doc, minlength=len(rows)), **part}, columns=["row", "k", *Logs._fields])
+
+    found = made.kept.where("block < 0").mapInPandas(look_up, f"row long, {SUMS}")
+    parts = found.unionByName(sums.where("row >= 0").drop("a", "b"))
+    parts = parts.unionByName(numbered.select("row", "doc_id", F.col(held_out).alias("held")), allowMissingColumns=True)
+    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), *[F.sum(f).alias(f) for f in ("k", *Logs._fields)])
     return total.select(
         F.col("doc_id").cast("long"), F.col("held").alias(held_out), F.col("k").alias("n_tokens"), F.round("known").cast("long").alias("n_known"),
         F.lit(made.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"), F.col("open").alias("open_score"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.numeric import bin_index, DEPTH_EDGES
-from groundsieve.functions.ordered import quantiles, row_numbers
+from groundsieve.functions.ordered import quantiles
 
 LOC = ["latitude_deg", "longitude_deg"]
 UPPER_DEPTH_M = 10.0
@@ -15,11 +16,27 @@ STIFF_N = 30.0
 SOFT_N = 5.0
 STIFF_WITHIN_M = 30.0
 BAND_M = 0.5
+PROFILE_BAND_M = 5.0
 
 
 def profile_order(df: DataFrame, depth: str = "depth_from_surface", key: str = "row_key") -> DataFrame:
-    """Rows with their position ``seq`` in the profile, shallowest first, ties by key (A1)."""
-    return row_numbers(df, LOC, depth, key, name="seq", total="n_in_profile")
+    """Rows with their position ``seq`` in the profile, shallowest first, ties by key (A1).
+
+    Boreholes grow in number with the data, so nothing is kept per borehole on the driver: rows are
+    ranked inside bands of depth, after the counts of the bands above. No depth (NaN, then NULL) is last.
+    """
+    d = F.col(depth).cast("double")
+    last = F.lit(2**63 - 1)
+    rows = df.withColumn("_band", F.when(d.isNull() | F.isnan(d), last).otherwise(F.floor(d / PROFILE_BAND_M)))
+    sizes = rows.groupBy(*LOC, "_band").agg(F.count(F.lit(1)).alias("_n"))
+    hole = W.partitionBy(*LOC)
+    above = hole.orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in LOC], F.col("_band").alias("__band"),
+                         F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"), F.sum("_n").over(hole).alias("n_in_profile"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*LOC, "_band"]])
+    inside = W.partitionBy(*LOC, "_band").orderBy(F.col(depth).asc_nulls_last(), F.col(key).asc_nulls_last())
+    out = rows.withColumn("_at", F.row_number().over(inside)).join(sizes, same)
+    return out.select(*df.columns, (F.col("_above") + F.col("_at")).alias("seq"), "n_in_profile")
 
 
 def first_crossing(threshold: float, mode: str = "above", depth: str = "depth_from_surface", n: str = "n_value") -> Column:

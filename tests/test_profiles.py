@@ -72,3 +72,15 @@ def test_soft_thickness_of_a_crowded_borehole(spark):
         ok = (z >= 0) & (z <= 10) & (n < 5)
         want = (z[1:] - z[:-1])[ok[1:] & ok[:-1]].sum()
         assert got.get(lat, 0.0) == pytest.approx(want)
+
+
+def test_profile_order_holds_nothing_per_borehole_on_the_driver(spark, monkeypatch):
+    """More boreholes than a bounded list may name; readings without a depth come last."""
+    from groundsieve.functions import ordered
+
+    monkeypatch.setattr(ordered, "MAX_GROUPS", 3)
+    nan = float("nan")
+    rows = [(36.0 + h, 139.0, d, h * 100 + j) for h in range(8) for j, d in enumerate([7.0, 0.2, None, 7.0, nan, 31.5])]
+    df = spark.createDataFrame(rows, "latitude_deg double, longitude_deg double, depth_from_surface double, row_key long")
+    got = {r["row_key"]: (r["seq"], r["n_in_profile"]) for r in pr.profile_order(df).collect()}
+    assert got == {h * 100 + j: (seq, 6) for h in range(8) for j, seq in enumerate([2, 1, 6, 3, 5, 4])}

@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.functions.ordered import running_totals
+from groundsieve.operators import trees as tree_fits
 
 PENALTY = 0.01
+FOREST_SUBSET = 4  # of 14 features
 COVARIATES = ("latitude_deg", "longitude_deg", "regime_code", "river_distance_km", "coast_distance_km", "absolute_elevation")
 
 
@@ -187,16 +187,20 @@ def hazard_rows(df: DataFrame, width: float, horizon: Column) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("interval")).withColumn("interval_mid", (F.col("interval") + 0.5) * width)
 
 
-def forest_survival(train: DataFrame, features, width: float = 2.0, trees: int = 20, depth: int = 6, seed: int = 42):
-    """Discrete-time hazard forest (M14); ``features`` adds the vector incl. interval_mid."""
-    rows = hazard_rows(train, width, F.col("surv_time"))
+def forest_survival(rows: DataFrame, k: int, features, width: float = 2.0, trees: int = 20, depth: int = 6, seed: int = 42) -> dict[int, list]:
+    """Discrete-time hazard forests (M14), one of the complement of every fold 0..k-1, fitted in the same passes;
+    ``features`` adds the vector incl. interval_mid."""
+    rows = features(hazard_rows(rows, width, F.col("surv_time")))
     last = F.ceil(F.col("surv_time") / width).cast("int") - 1
-    rows = rows.withColumn("_y", F.when((F.col("surv_event") == 1) & (F.col("interval") >= last), 1.0).otherwise(0.0))
-    return RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(features(rows))
-
-
-def forest_survival_at(model, df: DataFrame, features, key: Sequence[str], depth_m: float, width: float = 2.0) -> DataFrame:
-    """S(depth) = exp(sum log(1 - h)) over the intervals above it."""
-    rows = model.transform(features(hazard_rows(df, width, F.lit(depth_m))))
-    h = F.least(vector_to_array("probability")[1], F.lit(1 - 1e-9))
-    return rows.groupBy(*key).agg(F.exp(F.sum(F.log(1 - h))).alias("survival"))
+    y = F.when((F.col("surv_event") == 1) & (F.col("interval") >= last), 1.0).otherwise(0.0)
+    # a share of hazards: variance splits as Gini does; a classifier's nodes try the root of the number of features
+    spec = tree_fits.Spec("forest", trees, depth, seed=seed, subset=FOREST_SUBSET)
+    found = tree_fits.fit(rows, [tree_fits.Group(F.col("fold") != i, [y], [spec]) for i in range(k)])
+    return dict(enumerate(found))
+
+
+def forest_survival_at(models: dict[int, list], df: DataFrame, features, key: Sequence[str], depth_m: float, width: float = 2.0) -> DataFrame:
+    """S(depth) = exp(sum log(1 - h)) over the intervals above it (M14), by the model of each row's fold."""
+    rows = features(hazard_rows(df, width, F.lit(depth_m)))
+    h = F.least(tree_fits.outputs(models, by=F.col("fold"))[0], F.lit(1 - 1e-9))
+    return rows.withColumn("_h", h).groupBy(*key).agg(F.exp(F.sum(F.log(1 - F.col("_h")))).alias("survival"))

@@ -153,9 +153,5 @@ def m13_weibull_aft(spark, sf):
 def m14_forest_survival(spark, sf):
     rows = borehole_rows(spark, sf).drop("features").persist()
     features = lambda df: learn.assemble(df, learn.BOREHOLE, extra=["interval_mid"])
-
-    def run(i: int):
-        model = sv.forest_survival(rows.where(F.col("fold") != i), features)
-        return sv.forest_survival_at(model, rows.where(F.col("fold") == i), features, ["latitude_deg", "longitude_deg"], 30.0)
-
-    return rounded(learn.each_fold(3, run), "survival")
+    models = sv.forest_survival(rows, 3, features)
+    return rounded(sv.forest_survival_at(models, rows, features, ["latitude_deg", "longitude_deg"], 30.0), "survival")

@@ -218,3 +218,20 @@ def test_kernel_quantiles_equal_brute_force(spark, clustered, monkeypatch, rows_
             cum = np.cumsum(np.exp(-d2[near] / 2))
             want[i] = v[near][np.argmax(cum / cum[-1] >= 0.8)]
     assert got.to_dict() == want
+
+
+def test_lag_sums_leave_out_leaves_that_are_too_far():
+    """Against all pairs, among themselves and between two tiles; leaves beyond the reach cost nothing."""
+    rng = np.random.default_rng(0)
+    a, b = rng.random((700, 3)) * [180, 150, 10], rng.random((900, 3)) * [180, 150, 10] + [60, 0, 0]
+    for x, y in ((a, b), (a, None)):
+        other = x if y is None else y
+        d = np.sqrt(((x[:, None, :2] - other[None, :, :2]) ** 2).sum(axis=2))
+        e, take = (x[:, None, 2] - other[None, :, 2]) ** 2, d < 100
+        if y is None:
+            take &= np.triu(np.ones_like(take), 1)
+        lag = np.floor(d[take] / 5).astype(int)
+        n, total = pairs._lag_sums(x, y, 100.0, 5.0)
+        assert (n == np.bincount(lag, minlength=20)).all() and np.allclose(total, np.bincount(lag, e[take], 20))
+    n, _ = pairs._lag_sums(a, a + [10_000, 0, 0], 100.0, 5.0)
+    assert not n.any()

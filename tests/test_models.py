@@ -72,3 +72,18 @@ def test_fits_refuse_tables_with_many_gaps(spark, small, monkeypatch):
         learned.feature_rows(spark, small)
     monkeypatch.setattr(inputs, "predictions", gap(5))
     assert learned.feature_rows(spark, small).count() == whole.where("row_key % 100 >= 5").count()
+
+
+def test_local_update_of_all_folds_is_that_of_each(spark):
+    """One search that leaves out the own fold, split into several groups of candidates; neighbours are not shuffled to the solve."""
+    rng = np.random.default_rng(8)
+    n = 240
+    p = pd.DataFrame({"k": np.arange(n), "fold": np.arange(n) % 3, "x": rng.random(n) * 9, "y": rng.random(n) * 9, "y_true": rng.normal(size=n), "y_pred": 0.0, "y_std": 1.0})
+    df = spark.createDataFrame(p)
+    args = dict(key="k", point_key="k", coords=["x", "y"], radius=3.0, max_points=6)
+    got = kriging.residual_update(df, df, exclude="fold", **args).toPandas().set_index("k").sort_index()
+    each = [kriging.residual_update(df.where(F.col("fold") == i), df.where(F.col("fold") != i), **args).toPandas() for i in range(3)]
+    want = pd.concat(each).set_index("k").sort_index()
+    assert len(got) == n and np.allclose(got["mean"], want["mean"]) and np.allclose(got["std"], want["std"])
+    near = kriging.local_kriging(df, df, 6, key="k", point_key="k", coords=["x", "y"], value="y_true", exclude="fold")
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.llm.bpe import Cache
@@ -85,12 +86,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         of = Features()
         for b in batches:
             made = [of(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "label": b.label, "index": [i.astype(np.int32) for i, _ in made],
-                                "value": [v.astype(np.float32) for _, v in made]})
+            yield pd.DataFrame({"place": [_hash(str(k)) - (1 << 63) for k in b.doc_id], "doc_id": b.doc_id, "label": b.label,
+                                "index": [i.astype(np.int32) for i, _ in made], "value": [v.astype(np.float32) for _, v in made]})
 
-    rows = texts.mapInPandas(features, "doc_id long, label int, index array<int>, value array<float>").toPandas()
-    order = sorted(range(len(rows)), key=lambda k: (_hash(str(rows.doc_id[k])), rows.doc_id[k], rows.label[k]))
-    return fit_ftrl([(rows["index"][k], rows["value"][k], int(rows.label[k])) for k in order])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for b in batches for row in zip(b["index"], b["value"], b["label"].tolist())]
+        yield pd.DataFrame({"weights": [zstandard.compress(fit_ftrl(rows).tobytes())]})
+
+    # one task sees the at most ``most`` rows: features of that many texts are too much beside the driver's own memory
+    rows = texts.mapInPandas(features, "place long, doc_id long, label int, index array<int>, value array<float>")
+    found = rows.repartition(1).sortWithinPartitions("place", "doc_id", "label").mapInPandas(fit, "weights binary").first()
+    return np.frombuffer(zstandard.decompress(found.weights), np.float32) if found else fit_ftrl([])
 
 
 def with_score(df: DataFrame, weights: np.ndarray, text: Column, name: str = "score") -> DataFrame:

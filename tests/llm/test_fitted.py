@@ -140,3 +140,21 @@ def test_lm_context_probabilities_add_up(put):
     rows = lm.block_scores(made.kept, fitted, made.slices, 1, [(r["slice"], r.id) for r in made.often]).where("row < 0").collect()
     p = {(bytes(made.often[r.a].word), bytes(made.often[r.b].word)): 10**r.lp for r in rows}
     assert math.isclose(sum(p[b"b", w] for w in (b"a", b"b", b"c", b"zzz", lm.END)), 1.0, rel_tol=1e-6)
+
+
+def test_quality_features_stay_off_the_driver(put, monkeypatch):
+    """Trained in one task over the bounded sample, in the order of the id hash, without its features on the driver."""
+    docs = put([(k, prose(k, 30), "en", "a", 0) for k in range(40)])
+    labels = put([(k, k % 2) for k in range(40)], "doc_id long, quality int", "labels")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("rows of features were collected")
+
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    got = quality.train(docs, labels)
+    usable = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    of = quality.Features()
+    rows = [(i, v.astype(np.float32), k % 2) for k in sorted(usable, key=lambda k: quality._hash(str(k))) for i, v in [of(texts[k])]]
+    want = quality.fit_ftrl(rows)
+    assert np.count_nonzero(want) > 20 and np.array_equal(got, want)

@@ -10,7 +10,8 @@ byte restaurants, so any word, seen or not, has a probability after any other an
 Word pairs are kept in blocks: words fall into slices by hash, a block holds the pairs of one slice of first words and one of
 second words, so a frequent word is spread over as many blocks as there are slices. Pairs are shuffled once, with the rows that hold
 them; a block is written once and seated and scored where it is, from the files of its two slices. Out of a block come sums by
-word and sums by document. Pairs of two words that each make up more than a ``SHARE``-th of all tokens (at most SHARE x SHARE
+word and sums by document, packed into one row a range of documents: ``CHUNKS`` ranges a slice, so that rows stay few and long at any
+size, and a range is added up in one task. Pairs of two words that each make up more than a ``SHARE``-th of all tokens (at most SHARE x SHARE
 pairs) send only their counts; their occurrences stay together by task, and their probabilities are broadcast and looked up there.
 
 Seating is sampled by Gibbs sweeps. In each, every dish's tables are drawn anew from the Chinese-restaurant process given
@@ -27,11 +28,13 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 import xxhash
@@ -43,15 +46,33 @@ from groundsieve.llm.token_files import qualified
 
 END = b"\n"  # the end token: no word holds white space
 BURN_IN, SAMPLES, SHARE, STRENGTH = 1, 2, 1000, 1.0
-BLOCK, _FLUSH = 1_200_000, 600_000  # tokens a block holds, about; tokens that a task gathers
+BLOCK, _FLUSH, _WORDS = 1_200_000, 900_000, 500_000  # tokens a block holds, about; tokens, and distinct words, that a task gathers
+CHUNKS, _PARTS = 4, 500_000  # ranges of documents a slice; partial sums that a task gathers before it adds them up
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII white-space bytes only
 
 
-def slice_of(word: bytes, slices: int) -> int:
-    return zlib.crc32(word) % slices
+def slices_of(found: list[bytes], slices: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % slices
+
+
+def joined(found: list[bytes]) -> pa.Array:
+    """Words, each with a blank behind it, so that the bytes of some of them are their words joined."""
+    data = b" ".join(found) + b" "
+    offsets = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def split(data: bytes) -> pa.Array:
+    """The words of a joined text."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = raw == 32
+    ends = np.append(np.flatnonzero(blank), len(raw))
+    offsets = np.append(0, ends - np.arange(len(ends))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~blank].tobytes())])
 
 
 class Table(NamedTuple):
@@ -78,16 +99,35 @@ def read_slice(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
     return [t[c].to_numpy(zero_copy_only=False)[order] for c in columns]
 
 
+def numbers(uri: str, number: int, found: pa.Array) -> np.ndarray:
+    """Ids of words of one slice."""
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    t = pyarrow.parquet.read_table(f"{path}/slice={number}", filesystem=files, columns=["id", "word"], partitioning=None)
+    at = pa.compute.index_in(found, value_set=t["word"].combine_chunks())
+    if at.null_count:
+        raise ValueError(f"a word of slice {number} is not in its table")
+    return t["id"].to_numpy()[at.to_numpy()]
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers below 2^32 as byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _ZSTD.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    planes = np.frombuffer(_UNZSTD.decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def pack_wide(values: np.ndarray) -> bytes:
+    """64-bit integers or doubles as byte planes, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_wide(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_UNZSTD.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def word_table(docs: DataFrame, held_out: str, slices: int) -> Table:
     """(slice, id, word, c, other): every word's number in its slice and its counts in training and in other rows."""
 
@@ -96,23 +136,19 @@ def word_table(docs: DataFrame, held_out: str, slices: int) -> Table:
 
         def flush():
             found = list(seen[0].keys() | seen[1].keys())
-            made = pd.DataFrame({"slice": [slice_of(w, slices) for w in found], "word": found,
-                                 "c": [seen[0][w] for w in found], "other": [seen[1][w] for w in found]})
+            made = pd.DataFrame({"slice": slices_of(found, slices), "word": found,
+                                 **{name: np.fromiter(map(side.get, found, repeat(0)), np.int64, len(found)) for name, side in zip(("c", "other"), seen)}})
             seen[0].clear()
             seen[1].clear()
             return made
 
-        n = 0
         for b in batches:
             for t, out in zip(b.text, b[held_out]):
-                found = words(t)
                 side = seen[bool(out)]
-                side.update(found)
+                side.update(words(t))
                 side[END] += 1
-                n += len(found) + 1
-                if n > _FLUSH:
+                if len(seen[0]) + len(seen[1]) > _WORDS:
                     yield flush()
-                    n = 0
         yield flush()
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +179,17 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
     places in ``often``. ``docs`` has row, text and ``held_out``."""
     shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(often)})
 
-    def side(ids: np.ndarray, more: np.ndarray, spelled: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    def side(ids: np.ndarray, more: np.ndarray, spelled: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
         used, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
-        return b" ".join([spelled[k] for k in used]), at[: len(ids)], at[len(ids):]
+        _, ends, data = spelled.take(pa.array(used)).buffers()
+        return data[: int(np.frombuffer(ends, np.int32)[len(used)]) - 1].to_pybytes(), at[: len(ids)], at[len(ids):]
+
+    def texts_of(doc: np.ndarray, row: np.ndarray) -> tuple[bytes, bytes]:
+        """Steps from text to text of ascending occurrences, and the texts' rows."""
+        first = np.diff(doc, prepend=-1) > 0
+        steps = first.astype(np.int64)
+        steps[:1] = 0
+        return pack(steps), row[doc[first]].astype("<i8").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, lengths, rows, n = [], [], [], 0
@@ -156,29 +200,36 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
             # the end token stands before the first word and after the last, so texts follow each other by it
             ids = np.fromiter(map(local.__getitem__, chain([END], chain.from_iterable(texts))), np.int64, n + 1)
             spelled, place = list(local), shared.value
-            slice_at = np.array([slice_of(w, slices) for w in spelled], np.int64)
-            often_at = np.array([place.get(w, -1) for w in spelled], np.int64)
+            slice_at, often_at = slices_of(spelled, slices), np.full(len(spelled), -1)
+            for w, k in place.items():
+                if w in local:
+                    often_at[local[w]] = k
+            spelled = joined(spelled)
             prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows)), lengths)
             row = np.array(rows, np.int64)  # twice the row number, plus one for held-out rows
             both = (often_at[prev] >= 0) & (often_at[word] >= 0)
-            key, at = np.unique(prev[both] * len(spelled) + word[both], return_inverse=True)
-            often_c = np.bincount(at, (row[doc[both]] & 1) == 0, len(key))
-            often_prev, often_word = key // len(spelled), key % len(spelled)
-            used, d = np.unique(doc[both], return_inverse=True)
-            made = [(-1 - int(row[0]) // 2 % slices**2, b"", b"", pack(often_at[prev[both]]), pack(often_at[word[both]]), pack(np.diff(d, prepend=0)),
-                     row[used].astype("<i8").tobytes(), NONE, NONE, NONE)]
+            wide = max(1, len(place))  # fewer than ``share`` words: a count for each pair of them fits
+            key = often_at[prev[both]] * wide + often_at[word[both]]
+            met, counted = np.bincount(key, minlength=wide**2), np.bincount(key[(row[doc[both]] & 1) == 0], minlength=wide**2)
+            key = np.flatnonzero(met)
+            often_c, local_at = counted[key], np.zeros(wide, np.int64)
+            local_at[often_at[often_at >= 0]] = np.flatnonzero(often_at >= 0)
+            often_prev, often_word = local_at[key // wide], local_at[key % wide]
+            made = [(-1 - int(row[0]) // 2 % slices**2, b"", b"", pack(often_at[prev[both]]), pack(often_at[word[both]]), *texts_of(doc[both], row),
+                     NONE, NONE, NONE)]
             prev, word, doc = prev[~both], word[~both], doc[~both]
-            block, often_block = slice_at[prev] * slices + slice_at[word], slice_at[often_prev] * slices + slice_at[often_word]
+            narrow = np.uint16 if slices <= 256 else np.int64  # short keys are sorted in linear time
+            block, often_block = ((slice_at[p] * slices + slice_at[w]).astype(narrow) for p, w in ((prev, word), (often_prev, often_word)))
             order, often_order = np.argsort(block, kind="stable"), np.argsort(often_block, kind="stable")
             prev, word, doc, block = prev[order], word[order], doc[order], block[order]
-            for k in np.union1d(block, often_block):
-                a, z = np.searchsorted(block, [k, k + 1])
-                o = often_order[slice(*np.searchsorted(often_block[often_order], [k, k + 1]))]
+            often_block = often_block[often_order]
+            blocks = np.union1d(block, often_block)
+            cuts, often_cuts = (zip(np.searchsorted(of, blocks), np.searchsorted(of, blocks, "right")) for of in (block, often_block))
+            for k, (a, z), (often_a, often_z) in zip(blocks, cuts, often_cuts):
+                o = often_order[often_a:often_z]
                 firsts, p, op = side(prev[a:z], often_prev[o], spelled)
                 seconds, w, ow = side(word[a:z], often_word[o], spelled)
-                used, d = np.unique(doc[a:z], return_inverse=True)
-                made.append((int(k), firsts, seconds, pack(p), pack(w), pack(np.diff(d, prepend=0)), row[used].astype("<i8").tobytes(),
-                             pack(op), pack(ow), pack(often_c[o])))
+                made.append((int(k), firsts, seconds, pack(p), pack(w), *texts_of(doc[a:z], row), pack(op), pack(ow), pack(often_c[o])))
             texts.clear()
             lengths.clear()
             rows.clear()
@@ -212,12 +263,16 @@ def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
     uri = table.uri
 
     def merged(block: int, rows: list) -> tuple:
-        at = [{w: k for k, w in enumerate(read_slice(uri, s, ["word"])[0])} for s in divmod(block, slices)]
-        keys, docs, often, often_c = [], [], [], []
-        for r in rows:
-            first, second = (np.array([known[w] for w in text.split(b" ")], np.int64) for known, text in zip(at, (r.firsts, r.seconds)))
+        at = []  # the word numbers of each piece, by side
+        for s, texts in zip(divmod(block, slices), zip(*((r.firsts, r.seconds) for r in rows))):
+            ends = np.cumsum([text.count(b" ") + 1 for text in texts])
+            at.append(np.split(numbers(uri, s, split(b" ".join(texts))), ends[:-1]))
+        keys, docs, used, often, often_c, n = [], [], [], [], [], 0
+        for r, first, second in zip(rows, *at):
             keys.append(first[unpack(r.prev)] << 32 | second[unpack(r.word)])
-            docs.append(np.frombuffer(r.docs, "<i8")[np.cumsum(unpack(r.doc))])
+            used.append(np.frombuffer(r.docs, "<i8"))  # a text is in one piece only
+            docs.append(n + np.cumsum(unpack(r.doc)))
+            n += len(used[-1])
             often.append(first[unpack(r.often_prev)] << 32 | second[unpack(r.often_word)])
             often_c.append(unpack(r.often_c))
         at = None
@@ -225,15 +280,14 @@ def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
         key = np.concatenate([*keys, more])
         doc = np.concatenate([*docs, np.full(len(more), -1)])
         keys = docs = None
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        order = np.argsort(key)
+        key, doc, used = key[order], doc[order], np.concatenate(used)
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         pairs, real = key[starts], doc >= 0
-        c = np.add.reduceat(real & (doc & 1 == 0), starts, dtype=np.int64)
+        c = np.add.reduceat(real & np.append(used & 1 == 0, False)[doc], starts, dtype=np.int64)
         held = np.add.reduceat(real, starts, dtype=np.int64)
         np.add.at(c, np.searchsorted(pairs, more), more_c)
-        used, d = np.unique(doc[real] >> 1, return_inverse=True)
-        return (block, pack(np.diff(pairs >> 32, prepend=0)), pack(pairs & 0xFFFFFFFF), pack(c), pack(held), pack(d), used.astype("<i8").tobytes())
+        return (block, pack(np.diff(pairs >> 32, prepend=0)), pack(pairs & 0xFFFFFFFF), pack(c), pack(held), pack(doc[real]), (used >> 1).tobytes())
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, block, rows = [c.split()[0] for c in BLOCKS.split(", ")], None, []
@@ -535,11 +589,24 @@ def pair_logs(block: int, prev: np.ndarray, word: np.ndarray, c: np.ndarray, fit
 
 
 SUMS = "k long, known double, base double, lp double, open double"
+PACKED = ["rows", "ks", "knowns", "bases", "lps", "opens"]
+
+
+def packed_sums(rows: np.ndarray, k: np.ndarray, known: np.ndarray, *logs: np.ndarray) -> tuple:
+    return (pack_wide(np.diff(rows, prepend=0)), pack(k), pack(known), *map(pack_wide, logs))
+
+
+def unpacked_sums(r) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, and one line each for k and the fields of ``Logs``."""
+    logs = [unpack_wide(data, "<f8") for data in (r.bases, r.lps, r.opens)]
+    return np.cumsum(unpack_wide(r.rows, "<i8")), np.stack([unpack(r.ks).astype(float), unpack(r.knowns).astype(float), *logs])
 
 
 def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, often: list[tuple[int, int]]) -> DataFrame:
-    """Sums by row over the pairs of each block; and, with row -1, the logs of each pair of ``often`` words, by their places."""
+    """Sums by row over the pairs of each block, packed by chunk (the row's number modulo the number of chunks), which stands in
+    ``row``; and, with row -1, the logs of each pair of ``often`` words, by their places."""
     place = {at: k for k, at in enumerate(often)}
+    chunks = CHUNKS * slices
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -548,12 +615,53 @@ def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, of
                 first, second = divmod(int(r.block), slices)
                 logs = pair_logs(int(r.block), prev, word, c, fitted, slices, denominator)
                 held, doc, rows = unpack(r.held), unpack(r.doc), np.frombuffer(r.docs, "<i8")
-                yield pd.DataFrame({"row": rows, "a": -1, "b": -1, "k": np.bincount(doc, minlength=len(rows)), **{f: np.bincount(doc, np.repeat(getattr(logs, f), held), len(rows)) for f in Logs._fields}})
+                sums = [np.bincount(doc, minlength=len(rows)), *(np.bincount(doc, np.repeat(of, held), len(rows)) for of in logs)]
+                chunk = rows % chunks
+                order = np.lexsort([rows, chunk])
+                ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
+                made = [(k, *packed_sums(rows[at], *(of[at] for of in sums))) for k in range(chunks) if len(at := order[ends[k]: ends[k + 1]])]
+                yield pd.DataFrame(made, columns=["row", *PACKED]).reindex(columns=columns)
                 bare = np.flatnonzero(held == 0)  # only pairs of two often words come without texts
-                yield pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()], "k": 0,
-                                    **{f: getattr(logs, f)[bare] for f in Logs._fields}})
+                listed = pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()], "k": 0,
+                                       **{f: getattr(logs, f)[bare] for f in Logs._fields}})
+                yield listed.reindex(columns=columns)
+
+    schema = f"row long, a int, b int, {SUMS}, {', '.join(f'{c} binary' for c in PACKED)}"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return written(kept.where("block >= 0").mapInPandas(score, schema))
+
 
-    return written(kept.where("block >= 0").mapInPandas(score, f"row long, a int, b int, {SUMS}"))
+def added(sums: DataFrame, slices: int) -> DataFrame:
+    """Each row's sums over all blocks: a chunk in one task, ``_PARTS`` partial sums at a time."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gathered, n, least, current = [], 0, _PARTS, None
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            rows, at = np.unique(np.concatenate([r for r, _ in gathered]), return_inverse=True)
+            return rows, np.stack([np.bincount(at, np.concatenate(of), len(rows)) for of in zip(*(v for _, v in gathered))])
+
+        def done() -> pd.DataFrame:
+            rows, (k, *logs) = merged()
+            return pd.DataFrame({"row": rows, "k": k.astype(np.int64), **dict(zip(Logs._fields, logs))})
+
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.row != current:
+                    if gathered:
+                        yield done()
+                    gathered, n, least, current = [], 0, _PARTS, r.row
+                gathered.append(unpacked_sums(r))
+                n += len(gathered[-1][0])
+                if n > least:
+                    gathered = [merged()]
+                    n = len(gathered[0][0])
+                    least = n + _PARTS
+        if gathered:
+            yield done()
+
+    chunked = sums.where("row >= 0").select("row", *PACKED).repartition(CHUNKS * slices, "row").sortWithinPartitions("row")
+    return chunked.mapInPandas(add, f"row long, {SUMS}")
 
 
 class Prepared(NamedTuple):
@@ -589,7 +697,7 @@ def scored(docs: DataFrame, held_out: str, share: int = SHARE, block: int = BLOC
     made = prepared(numbered, held_out, share, block)
     fitted = fit(made.kept, made.table, made.slices, made.total)
     sums = block_scores(made.kept, fitted, made.slices, made.total + 1 * (made.kinds + 1), [(r["slice"], r.id) for r in made.often])
-    pairs = sums.where("row < 0").toPandas()  # fewer than share x share
+    pairs = sums.where("row < 0").select("a", "b", *Logs._fields).toPandas()  # fewer than share x share
     key = pairs.a.to_numpy(np.int64) * len(made.often) + pairs.b.to_numpy(np.int64)
     order = np.argsort(key)
     shared = docs.sparkSession.sparkContext.broadcast((key[order], pairs[list(Logs._fields)].to_numpy()[order]))
@@ -605,7 +713,7 @@ def scored(docs: DataFrame, held_out: str, share: int = SHARE, block: int = BLOC
                 yield pd.DataFrame({"row": rows, "k": np.bincount(doc, minlength=len(rows)), **part}, columns=["row", "k", *Logs._fields])
 
     found = made.kept.where("block < 0").mapInPandas(look_up, f"row long, {SUMS}")
-    parts = found.unionByName(sums.where("row >= 0").drop("a", "b"))
+    parts = found.unionByName(added(sums, made.slices))
     parts = parts.unionByName(numbered.select("row", "doc_id", F.col(held_out).alias("held")), allowMissingColumns=True)
     total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), *[F.sum(f).alias(f) for f in ("k", *Logs._fields)])
     return total.select(

@@ -158,3 +158,12 @@ def test_quality_features_stay_off_the_driver(put, monkeypatch):
     rows = [(i, v.astype(np.float32), k % 2) for k in sorted(usable, key=lambda k: quality._hash(str(k))) for i, v in [of(texts[k])]]
     want = quality.fit_ftrl(rows)
     assert np.count_nonzero(want) > 20 and np.array_equal(got, want)
+
+
+def test_lm_partial_sums_are_packed(put):
+    """A block gives one row a range of texts, not one a text."""
+    docs = put([(k, prose(k, 4), "en", "a", 0) for k in range(500)]).select(F.monotonically_increasing_id().alias("row"), "text", F.lit(False).alias("held_out"))
+    made = lm.prepared(docs, "held_out", share=1)
+    sums = lm.block_scores(made.kept, lm.fit(made.kept, made.table, made.slices, made.total), made.slices, 1, [])
+    assert sums.where("row >= 0").count() <= lm.CHUNKS * made.slices**3
+    assert sorted((r.row, r.k) for r in lm.added(sums, made.slices).collect()) == sorted((r.row, len(lm.words(r.text)) + 1) for r in docs.collect())

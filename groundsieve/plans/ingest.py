@@ -182,8 +182,9 @@ def s11_provenance_rollup(spark, sf):
 
 def dirty(spark, sf):
     """Measurements with quality-control boundary cases mixed in by row key."""
-    k = F.col("row_key") % 997
-    m = inputs.measurements(spark, sf)
+    k = F.col("k")
+    # a generated column is not put back into every comparison and check, each of which would round the price of its row again
+    m = inputs.measurements(spark, sf).select("*", F.explode(F.array(F.col("row_key") % 997)).alias("k"))
     return m.select(
         "row_key", F.when(k == 1, None).when(k == 2, 20.0).when(k == 3, 50.0).otherwise(F.col("latitude_deg")).alias("latitude_deg"),
         F.when(k == 4, 120.0).when(k == 5, float("nan")).otherwise(F.col("longitude_deg")).alias("longitude_deg"),

@@ -1,5 +1,7 @@
 """Blocked spatial joins against brute force."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -235,3 +237,30 @@ def test_lag_sums_leave_out_leaves_that_are_too_far():
         assert (n == np.bincount(lag, minlength=20)).all() and np.allclose(total, np.bincount(lag, e[take], 20))
     n, _ = pairs._lag_sums(a, a + [10_000, 0, 0], 100.0, 5.0)
     assert not n.any()
+
+
+def test_kernel_quantiles_write_no_sums(spark, monkeypatch, tmp_path):
+    """What a search leaves in the shared folders follows its rows, however many points a query weighs."""
+    n = 1_000
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "x": rng.random(n), "y": rng.random(n), "v": rng.random(n)}))
+    nearest.cut_lineage(df)
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for at in (kept, tmp_path) for f in at.rglob("*") if f.is_file())
+    monkeypatch.setattr(nearest, "shared_folder", lambda _: f"{tmp_path}/points", raising=False)
+    before = size()
+    out = nearest.kernel_quantiles(df, df, "v", 0.8, bandwidth=0.3, cutoff=5.0, query_key="k", point_key="k", coords=["x", "y"], rows_per_tile=100, rows_per_group=200)
+    assert out.count() == n
+    assert size() - before < 500 * n
+
+
+def test_kernel_quantiles_list_few_values_at_a_time(spark, clustered, monkeypatch):
+    """Equal values, which no cuts tell apart, are listed for a few queries at a time."""
+    q, p = clustered
+    qd = spark.createDataFrame(pd.DataFrame({"qk": np.arange(len(q)), "x": q[:, 0], "y": q[:, 1]}))
+    pt = spark.createDataFrame(pd.DataFrame({"pk": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "v": np.where(np.arange(len(p)) % 10 > 0, 1.0, 2.0)}))
+    wanted = dict(bandwidth=1.0, cutoff=3.0, query_key="qk", point_key="pk", coords=["x", "y"])
+    want = nearest.kernel_quantiles(qd, pt, "v", 0.9, **wanted).toPandas().set_index("qk")["q"].to_dict()
+    monkeypatch.setattr(nearest, "LISTED", 50, raising=False)
+    got = nearest.kernel_quantiles(qd, pt, "v", 0.9, **wanted, rows_per_tile=20, rows_per_group=25).toPandas().set_index("qk")["q"].to_dict()
+    assert got == want and set(got.values()) == {1.0, 2.0}

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from groundsieve.functions.ordered import row_numbers, running_totals, value_counts
+from groundsieve.functions.ordered import MAX_GROUPS, row_numbers, running_totals, value_counts
 from groundsieve.operators.small import checked_broadcast
 from groundsieve.session import cut_lineage
 
@@ -112,12 +112,30 @@ def net_benefit(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], p
 
 
 def reliability_equal_mass(df: DataFrame, by: Sequence[str], key: str, bins: int = 10, p: str = "p") -> DataFrame:
-    """Rank slices with edges floor(i * n / bins), ties by key."""
-    r = row_numbers(df.select(*by, key, p, "y"), by, p, key, total="_n")
-    slot = F.lit(0)
-    for i in range(1, bins):
-        slot = slot + (F.floor(F.lit(i) * F.col("_n") / bins) <= F.col("rn") - 1).cast("int")
-    return r.groupBy(*by, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col("y").cast("double")).alias("observed"))
+    """Rank slices with edges floor(i * n / bins), ties by key.
+
+    Scores are counted by value; only rows of the values that an edge cuts, ``bins`` - 1 of them at most, are ranked by key.
+    """
+    def slot(rank):
+        return sum([(F.floor(F.lit(i) * F.col("tot_n") / bins) <= rank).cast("int") for i in range(1, bins)], F.lit(0))
+
+    y = F.col("y").cast("double")
+    counts = value_counts(df, by, p, {"pos": y, "known": y.isNotNull().cast("long")}, complete=True)
+    above = F.col("cum_n") - F.col("n")
+    counts = cut_lineage(running_totals(counts, by, p, ["n"]).withColumns({"_above": above, "_first": slot(above), "bin": slot(F.col("cum_n") - 1)}))
+    columns = [*by, "bin", "n", p, "pos", "known"]
+    whole = counts.where("_first = bin").select(*columns)
+    cut_before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.where("_first < bin").select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(p).alias("_cut"), "tot_n", (F.col("_above") - cut_before).alias("_shift"))
+    same = F.col(p).eqNullSafe(F.col("_cut"))
+    for i, c in enumerate(by):
+        same = same & (F.col(c) == F.col(f"_g{i}"))
+    tied = cut_lineage(df.select(*by, key, p, y.alias("pos")).join(checked_broadcast(cut, bins * MAX_GROUPS), same).select(*by, key, p, "pos", "tot_n", "_shift"))
+    ranked = row_numbers(tied, by, p, key)
+    parts = ranked.select(*by, slot(F.col("rn") - 1 + F.col("_shift")).alias("bin"), F.lit(1).cast("long").alias("n"), p, "pos", F.col("pos").isNotNull().cast("long").alias("known"))
+    scored = F.sum(F.when(F.col(p).isNotNull(), F.col("n")))
+    return whole.unionByName(parts.select(*columns)).groupBy(*by, "bin").agg(
+        F.sum("n").alias("n"), (F.sum(F.col(p) * F.col("n")) / scored).alias("mean_p"), (F.sum("pos") / F.sum("known")).alias("observed"))
 
 
 def class_weights(df: DataFrame, by: Sequence[str], rare: float = 0.2) -> DataFrame:

@@ -5,10 +5,12 @@ import os
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from groundsieve.functions import legend, numeric
+from groundsieve.functions.ordered import row_numbers
 from groundsieve.operators import errors, quality, thresholds as th
 from groundsieve.sources import layers, measurements
 
@@ -123,3 +125,24 @@ def test_legend_text_is_stripped_of_unicode_blanks(spark):
                                 legend.regime_code(F.lit("　"), F.lit("　"), F.lit("　"), F.lit(" ")).alias("blank"),
                                 legend.regime_code(F.lit(None).cast("string"), F.lit(""), F.lit(""), F.lit("")).alias("none")).first()
     assert got.wide == got.plain and got.blank == got.none
+
+
+@pytest.mark.parametrize("n, values", [(1000, 40), (1000, 3), (7, 2), (300, 300)])
+def test_equal_mass_slices_rank_only_the_values_that_an_edge_cuts(spark, monkeypatch, n, values):
+    ranked = []
+
+    def spied(df, *args, **kwargs):
+        ranked.append(df.count())
+        return row_numbers(df, *args, **kwargs)
+
+    monkeypatch.setattr(th, "row_numbers", spied)
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"k": rng.permutation(n), "g": np.arange(n) % 2, "p": rng.integers(0, values, n) / values, "y": rng.integers(0, 2, n)})
+    got = th.reliability_equal_mass(spark.createDataFrame(pdf), ["g"], "k").toPandas().set_index(["g", "bin"]).sort_index()
+    pdf = pdf.sort_values(["g", "p", "k"])
+    pdf["rn"], size = pdf.groupby("g").cumcount(), pdf.groupby("g")["k"].transform("size")
+    pdf["bin"] = sum((i * size // 10 <= pdf["rn"]).astype(int) for i in range(1, 10))
+    want = pdf.groupby(["g", "bin"]).agg(n=("k", "size"), mean_p=("p", "mean"), observed=("y", "mean"))
+    assert got.index.equals(want.index.set_levels(got.index.levels[1], level=1)) and (got["n"] == want["n"]).all()
+    np.testing.assert_allclose(got[["mean_p", "observed"]].to_numpy(), want[["mean_p", "observed"]].to_numpy())
+    assert values < 40 or max(ranked) < 0.6 * n

@@ -28,7 +28,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from contextlib import contextmanager
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +40,7 @@ import pyarrow.fs
 import pyarrow.parquet
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundsieve.llm.common import shared_folder, written
 from groundsieve.llm.token_files import qualified
@@ -47,6 +48,7 @@ from groundsieve.llm.token_files import qualified
 END = b"\n"  # the end token: no word holds white space
 BURN_IN, SAMPLES, SHARE, STRENGTH = 1, 2, 1000, 1.0
 BLOCK, _FLUSH, _WORDS = 1_200_000, 900_000, 500_000  # tokens a block holds, about; tokens, and distinct words, that a task gathers
+_TEXTS = 500  # texts that go to a task's Python at a time
 CHUNKS, _PARTS = 4, 500_000  # ranges of documents a slice; partial sums that a task gathers before it adds them up
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -192,20 +194,26 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
         return pack(steps), row[doc[first]].astype("<i8").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, lengths, rows, n = [], [], [], 0
-
-        def flush():
+        def fresh() -> defaultdict:
+            """Words by number; the end token is 0."""
             local = defaultdict()
             local.default_factory = local.__len__
+            local[END]
+            return local
+
+        texts, lengths, rows, n, local = [], [], [], 0, fresh()
+
+        def flush():
             # the end token stands before the first word and after the last, so texts follow each other by it
-            ids = np.fromiter(map(local.__getitem__, chain([END], chain.from_iterable(texts))), np.int64, n + 1)
+            ids = np.concatenate([np.zeros(1, np.int32), *texts])
+            texts.clear()
             spelled, place = list(local), shared.value
             slice_at, often_at = slices_of(spelled, slices), np.full(len(spelled), -1)
             for w, k in place.items():
                 if w in local:
                     often_at[local[w]] = k
             spelled = joined(spelled)
-            prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows)), lengths)
+            prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
             row = np.array(rows, np.int64)  # twice the row number, plus one for held-out rows
             both = (often_at[prev] >= 0) & (often_at[word] >= 0)
             wide = max(1, len(place))  # fewer than ``share`` words: a count for each pair of them fits
@@ -230,7 +238,6 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
                 firsts, p, op = side(prev[a:z], often_prev[o], spelled)
                 seconds, w, ow = side(word[a:z], often_word[o], spelled)
                 made.append((int(k), firsts, seconds, pack(p), pack(w), *texts_of(doc[a:z], row), pack(op), pack(ow), pack(often_c[o])))
-            texts.clear()
             lengths.clear()
             rows.clear()
             return pd.DataFrame(made, columns=[c.split()[0] for c in PAYLOAD.split(", ")])
@@ -239,13 +246,13 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
             for r, t, out in zip(b.row, b.text, b[held_out]):
                 found = words(t)
                 found.append(END)
-                texts.append(found)
+                texts.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)))  # numbers take less memory than words
                 lengths.append(len(found))
                 rows.append(2 * int(r) + bool(out))
                 n += len(found)
                 if n > _FLUSH:
                     yield flush()
-                    n = 0
+                    n, local = 0, fresh()
         if rows:
             yield flush()
 
@@ -468,6 +475,20 @@ def counts_of_counts(table: DataFrame, c: str) -> float:
     return discount(few.get(1, 0), few.get(2, 0))
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 1) -> Iterator[None]:
+    """For jobs that read long rows. A block is megabytes long, so a task holds one at a time and not all those of its files at once."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {name: spark.conf.get(name) for name in sizes}
+    try:
+        for name, size in sizes.items():
+            spark.conf.set(name, size)
+        yield
+    finally:
+        for name, size in before.items():
+            spark.conf.set(name, size)
+
+
 def pairs_in(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(unpack(row.prev)), unpack(row.word), unpack(row.c)
 
@@ -519,12 +540,13 @@ def seat(kept: DataFrame, table: Table, slices: int, before: Level | None, d: fl
             yield from done()
 
     made = kept.where("block >= 0").select("block", "prev", "word", "c").mapInPandas(sums, "slice int, side int, ids binary, n binary, ones long, twos long")
-    if before is None:
-        made = written(made)
-        few = made.where("side = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
-        d = discount(few.ones or 0, few.twos or 0)
-    split = made.select("slice", "side", "ids", "n").repartition(slices, "slice").sortWithinPartitions("slice")
-    return written_by_slice(split.mapInPandas(add, "slice int, id long, word binary, c long, n long, tables long")), d
+    with few_rows_a_batch(kept.sparkSession):
+        if before is None:
+            made = written(made)
+            few = made.where("side = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+            d = discount(few.ones or 0, few.twos or 0)
+        split = made.select("slice", "side", "ids", "n").repartition(slices, "slice").sortWithinPartitions("slice")
+        return written_by_slice(split.mapInPandas(add, "slice int, id long, word binary, c long, n long, tables long")), d
 
 
 class Fit(NamedTuple):
@@ -628,7 +650,8 @@ def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, of
 
     schema = f"row long, a int, b int, {SUMS}, {', '.join(f'{c} binary' for c in PACKED)}"
     columns = [c.split()[0] for c in schema.split(", ")]
-    return written(kept.where("block >= 0").mapInPandas(score, schema))
+    with few_rows_a_batch(kept.sparkSession):
+        return written(kept.where("block >= 0").mapInPandas(score, schema))
 
 
 def added(sums: DataFrame, slices: int) -> DataFrame:
@@ -677,12 +700,15 @@ def prepared(numbered: DataFrame, held_out: str, share: int = SHARE, block: int
     """Words and blocks of ``numbered``: row, text and ``held_out``."""
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(math.sqrt(size / 6 / block)))
-    table = word_table(numbered, held_out, slices)
+    with few_rows_a_batch(numbered.sparkSession, _TEXTS):
+        table = word_table(numbered, held_out, slices)
     whole = table.rows.agg(F.sum("c").alias("c"), F.sum("other").alias("other"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, other = int(whole.c or 0), int(whole.other or 0)
     often = table.rows.where((F.col("c") + F.col("other")) * share > total + other).select("slice", "id", "word").collect()  # fewer than ``share`` words
     pieces = payloads(numbered, held_out, slices, [bytes(r.word) for r in often])
-    return Prepared(table, blocks(pieces, table, slices), slices, often, total, int(whole.v or 0))
+    with few_rows_a_batch(numbered.sparkSession, _TEXTS):
+        kept = blocks(pieces, table, slices)
+    return Prepared(table, kept, slices, often, total, int(whole.v or 0))
 
 
 def scored(docs: DataFrame, held_out: str, share: int = SHARE, block: int = BLOCK) -> DataFrame:

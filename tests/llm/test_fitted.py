@@ -167,3 +167,14 @@ def test_lm_partial_sums_are_packed(put):
     sums = lm.block_scores(made.kept, lm.fit(made.kept, made.table, made.slices, made.total), made.slices, 1, [])
     assert sums.where("row >= 0").count() <= lm.CHUNKS * made.slices**3
     assert sorted((r.row, r.k) for r in lm.added(sums, made.slices).collect()) == sorted((r.row, len(lm.words(r.text)) + 1) for r in docs.collect())
+
+
+def test_lm_tasks_hold_one_block_at_a_time(put, monkeypatch):
+    """Blocks go to Python one by one where they are read; other jobs keep the session's batches."""
+    docs = put([(k, prose(k, 4), "en", "a", 0) for k in range(50)]).select(F.monotonically_increasing_id().alias("row"), "text", F.lit(False).alias("held_out"))
+    spark, name, seen = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, written = spark.conf.get(name), lm.written
+    made = lm.prepared(docs, "held_out")
+    monkeypatch.setattr(lm, "written", lambda df: seen.append(spark.conf.get(name)) or written(df))
+    lm.block_scores(made.kept, lm.fit(made.kept, made.table, made.slices, made.total), made.slices, 1, [(r["slice"], r.id) for r in made.often])
+    assert seen == ["1", "1"] and spark.conf.get(name) == before != "1"

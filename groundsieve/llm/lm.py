@@ -26,10 +26,8 @@ probability is their spelling's. Repeated rows count and score each. An empty ta
 
 import math
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -47,25 +45,44 @@ from groundsieve.llm.token_files import qualified
 
 END = b"\n"  # the end token: no word holds white space
 BURN_IN, SAMPLES, SHARE, STRENGTH = 1, 2, 1000, 1.0
-BLOCK, _FLUSH, _WORDS = 1_200_000, 900_000, 500_000  # tokens a block holds, about; tokens, and distinct words, that a task gathers
+BLOCK, _FLUSH, _GATHERED = 1_200_000, 900_000, 20 << 20  # tokens a block holds, about; tokens, and bytes of words to count, that a task gathers
 _TEXTS = 500  # texts that go to a task's Python at a time
 CHUNKS, _PARTS = 4, 500_000  # ranges of documents a slice; partial sums that a task gathers before it adds them up
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+def give_back() -> None:
+    """What Arrow has freed goes back to the system: workers live on through all jobs, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
 def words(text: str | None) -> list[bytes]:
+    """Of one text; ``tokens`` cuts many by the same rule."""
     return (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII white-space bytes only
 
 
-def slices_of(found: list[bytes], slices: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % slices
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as ``words`` has them, and how many each text has."""
+    cut = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    real = pa.compute.not_equal(pa.compute.binary_length(cut.values), 0)  # white space at a text's ends leaves empty words
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return cut.values.filter(real).cast(pa.binary()), np.diff(before[cut.offsets.to_numpy()])
 
 
-def joined(found: list[bytes]) -> pa.Array:
+def joined(found: pa.Array) -> pa.Array:
     """Words, each with a blank behind it, so that the bytes of some of them are their words joined."""
-    data = b" ".join(found) + b" "
-    offsets = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.compute.binary_join_element_wise(found, pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary()))
+
+
+def text_of(spelled: pa.Array) -> pa.Buffer:
+    """The bytes of joined words, the last blank too."""
+    _, ends, data = spelled.buffers()
+    return data[: int(np.frombuffer(ends, np.int32)[len(spelled)])] if len(spelled) else pa.py_buffer(b"")
+
+
+def slices_of(spelled: pa.Array, slices: int) -> np.ndarray:
+    """Of joined words; as ``crc32`` has it in Spark."""
+    return np.fromiter(map(zlib.crc32, text_of(spelled).to_pybytes().split(b" ")[:-1]), np.int64, len(spelled)) % slices
 
 
 def split(data: bytes) -> pa.Array:
@@ -90,21 +107,27 @@ def written_by_slice(df: DataFrame) -> Table:
     return Table(spark.read.schema(df.schema).parquet(at), qualified(spark, at))
 
 
-def read_slice(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
+def slice_rows(uri: str, number: int, columns: list[str]) -> list[pa.Array]:
     """``columns`` of one slice by id, read in a task."""
     files, path = pyarrow.fs.FileSystem.from_uri(uri)
     at = f"{path}/slice={number}"
     if files.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
-        return [np.empty(0) for _ in columns]
-    t = pyarrow.parquet.read_table(at, filesystem=files, columns=["id", *columns], partitioning=None)
-    order = np.argsort(t["id"].to_numpy())  # ids run from 0 without gaps
-    return [t[c].to_numpy(zero_copy_only=False)[order] for c in columns]
+        return [pa.array([], pa.int64()) for _ in columns]
+    t = pyarrow.parquet.read_table(at, filesystem=files, columns=["id", *columns], partitioning=None, use_threads=False)
+    ids = t["id"].to_numpy()  # they run from 0 without gaps
+    if (np.diff(ids) < 0).any():
+        t = t.take(np.argsort(ids))
+    return [t[c].combine_chunks() for c in columns]
+
+
+def read_slice(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in slice_rows(uri, number, columns)]
 
 
 def numbers(uri: str, number: int, found: pa.Array) -> np.ndarray:
     """Ids of words of one slice."""
     files, path = pyarrow.fs.FileSystem.from_uri(uri)
-    t = pyarrow.parquet.read_table(f"{path}/slice={number}", filesystem=files, columns=["id", "word"], partitioning=None)
+    t = pyarrow.parquet.read_table(f"{path}/slice={number}", filesystem=files, columns=["id", "word"], partitioning=None, use_threads=False)
     at = pa.compute.index_in(found, value_set=t["word"].combine_chunks())
     if at.null_count:
         raise ValueError(f"a word of slice {number} is not in its table")
@@ -113,7 +136,7 @@ def numbers(uri: str, number: int, found: pa.Array) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """Integers below 2^32 as byte planes, compressed."""
-    return _ZSTD.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _ZSTD.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())  # copied first: ``tobytes`` of a turned array is slow
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -123,7 +146,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def pack_wide(values: np.ndarray) -> bytes:
     """64-bit integers or doubles as byte planes, compressed."""
-    return _ZSTD.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _ZSTD.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_wide(data: bytes, kind: str) -> np.ndarray:
@@ -133,42 +156,49 @@ def unpack_wide(data: bytes, kind: str) -> np.ndarray:
 def word_table(docs: DataFrame, held_out: str, slices: int) -> Table:
     """(slice, id, word, c, other): every word's number in its slice and its counts in training and in other rows."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = (Counter(), Counter())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, texts = [], np.zeros(2, np.int64)  # words of a batch with their counts in training texts and in others; texts
 
-        def flush():
-            found = list(seen[0].keys() | seen[1].keys())
-            made = pd.DataFrame({"slice": slices_of(found, slices), "word": found,
-                                 **{name: np.fromiter(map(side.get, found, repeat(0)), np.int64, len(found)) for name, side in zip(("c", "other"), seen)}})
-            seen[0].clear()
-            seen[1].clear()
-            return made
+        def flush() -> pa.RecordBatch:
+            coded = pa.concat_arrays([w for w, *_ in gathered]).dictionary_encode()
+            sums = [np.bincount(coded.indices.to_numpy(), np.concatenate(of), len(coded.dictionary)) for of in zip(*(n for _, *n in gathered))]
+            made = [pa.array(np.append(n, ends).astype(np.int64)) for n, ends in zip(sums, texts)]
+            gathered.clear()
+            texts[:] = 0
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())]), *made], ["word", "c", "other"])
 
         for b in batches:
-            for t, out in zip(b.text, b[held_out]):
-                side = seen[bool(out)]
-                side.update(words(t))
-                side[END] += 1
-                if len(seen[0]) + len(seen[1]) > _WORDS:
-                    yield flush()
-        yield flush()
+            out = pa.compute.fill_null(b[held_out], False).to_numpy(zero_copy_only=False)
+            found, length = tokens(b["text"])
+            coded, aside = found.dictionary_encode(), np.repeat(out, length)
+            at, kinds = coded.indices.to_numpy(), len(coded.dictionary)
+            gathered.append((coded.dictionary, *(np.bincount(at[of], minlength=kinds).astype(np.int32) for of in (~aside, aside))))
+            texts += np.bincount(out, minlength=2)
+            found = coded = at = aside = None
+            if sum(w.nbytes for w, *_ in gathered) > _GATHERED:
+                yield flush()
+                give_back()
+        if gathered:
+            yield flush()
+            give_back()
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, at = None, 0
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at = -1, 0
         for b in batches:
-            ids = np.empty(len(b), np.int64)
+            if not len(b):
+                continue
             s = b["slice"].to_numpy()
-            for k in range(len(b)):
-                if s[k] != current:
-                    current, at = s[k], 0
-                ids[k] = at
-                at += 1
-            yield b.assign(id=ids)[["slice", "id", "word", "c", "other"]]
+            ids, new = np.arange(at, at + len(b)), np.flatnonzero(np.diff(s, prepend=current))
+            for k, z in zip(new, [*new[1:], len(b)]):
+                ids[k:z] = np.arange(z - k)
+            current, at = s[-1], ids[-1] + 1
+            yield pa.RecordBatch.from_arrays([b["slice"], pa.array(ids), b["word"], b["c"], b["other"]], ["slice", "id", "word", "c", "other"])
 
-    partial = docs.select("text", held_out).mapInPandas(count, "slice int, word binary, c long, other long")
-    total = partial.groupBy("slice", "word").agg(F.sum("c").alias("c"), F.sum("other").alias("other"))
-    ordered = total.repartition(slices, "slice").sortWithinPartitions("slice", "word")
-    return written_by_slice(ordered.mapInPandas(number, "slice int, id long, word binary, c long, other long"))
+    partial = docs.select("text", held_out).mapInArrow(count, "word binary, c long, other long")
+    total = partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("other").alias("other"))
+    by_slice = total.select((F.crc32("word") % slices).cast("int").alias("slice"), "word", "c", "other")
+    ordered = by_slice.repartition(slices, "slice").sortWithinPartitions("slice", "word")
+    return written_by_slice(ordered.mapInArrow(number, "slice int, id long, word binary, c long, other long"))
 
 
 NONE = pack(np.empty(0))
@@ -179,12 +209,16 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
     """Pairs of some texts that fall into one block: its words on either side, and each occurrence's two words and text. Pairs of
     two ``often`` words come with their count in training alone; where they occur is in rows of a negative block, by the words'
     places in ``often``. ``docs`` has row, text and ``held_out``."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(often)})
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    columns = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in PAYLOAD.split(", ")])
 
-    def side(ids: np.ndarray, more: np.ndarray, spelled: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
-        used, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
-        _, ends, data = spelled.take(pa.array(used)).buffers()
-        return data[: int(np.frombuffer(ends, np.int32)[len(used)]) - 1].to_pybytes(), at[: len(ids)], at[len(ids):]
+    def side(ids: np.ndarray, more: np.ndarray, spelled: pa.Array, a: int, z: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words that occur, joined, and their places there; their numbers are those of one slice, from ``a`` to ``z``."""
+        met = np.zeros(z - a, bool)
+        met[ids - a] = True
+        met[more - a] = True
+        at = np.cumsum(met) - 1
+        return text_of(spelled.take(pa.array(np.flatnonzero(met) + a)))[:-1].to_pybytes(), at[ids - a], at[more - a]
 
     def texts_of(doc: np.ndarray, row: np.ndarray) -> tuple[bytes, bytes]:
         """Steps from text to text of ascending occurrences, and the texts' rows."""
@@ -193,31 +227,34 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
         steps[:1] = 0
         return pack(steps), row[doc[first]].astype("<i8").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def fresh() -> defaultdict:
-            """Words by number; the end token is 0."""
-            local = defaultdict()
-            local.default_factory = local.__len__
-            local[END]
-            return local
-
-        texts, lengths, rows, n, local = [], [], [], 0, fresh()
-
-        def flush():
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, lengths, rows, n = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            coded = pa.chunked_array(texts, pa.binary()).combine_chunks().dictionary_encode()
+            row, length = np.concatenate(rows), np.concatenate(lengths)  # a row: twice its number, plus one if it is held out
+            for gathered in (texts, lengths, rows):
+                gathered.clear()
+            end, place = pa.array([END], pa.binary()), shared.value
+            found = pa.concat_arrays([end, coded.dictionary])
+            spelled = joined(found)
+            slice_at = slices_of(spelled, slices)
+            often_at = pa.compute.fill_null(pa.compute.index_in(found, value_set=pa.array(place, pa.binary())), -1).to_numpy()
+            # words are numbered slice by slice
+            by_slice = np.argsort(slice_at, kind="stable")
+            spelled, slice_at, often_at = spelled.take(pa.array(by_slice)), slice_at[by_slice], often_at[by_slice]
+            slice_ends = np.searchsorted(slice_at, np.arange(slices + 1))
+            new = np.empty(len(by_slice), np.int32)
+            new[by_slice] = np.arange(len(by_slice), dtype=np.int32)
             # the end token stands before the first word and after the last, so texts follow each other by it
-            ids = np.concatenate([np.zeros(1, np.int32), *texts])
-            texts.clear()
-            spelled, place = list(local), shared.value
-            slice_at, often_at = slices_of(spelled, slices), np.full(len(spelled), -1)
-            for w, k in place.items():
-                if w in local:
-                    often_at[local[w]] = k
-            spelled = joined(spelled)
-            prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-            row = np.array(rows, np.int64)  # twice the row number, plus one for held-out rows
+            is_word = np.ones(len(coded) + len(row) + 1, bool)
+            is_word[0], is_word[np.cumsum(length + 1)] = False, False
+            ids = np.full(len(is_word), new[0])
+            ids[is_word] = new[coded.indices.to_numpy() + 1]
+            prev, word, doc = ids[:-1], ids[1:], np.repeat(np.arange(len(row), dtype=np.int32), length + 1)
             both = (often_at[prev] >= 0) & (often_at[word] >= 0)
             wide = max(1, len(place))  # fewer than ``share`` words: a count for each pair of them fits
-            key = often_at[prev[both]] * wide + often_at[word[both]]
+            key = often_at[prev[both]].astype(np.int64) * wide + often_at[word[both]]
             met, counted = np.bincount(key, minlength=wide**2), np.bincount(key[(row[doc[both]] & 1) == 0], minlength=wide**2)
             key = np.flatnonzero(met)
             often_c, local_at = counted[key], np.zeros(wide, np.int64)
@@ -226,37 +263,45 @@ def payloads(docs: DataFrame, held_out: str, slices: int, often: list[bytes]) ->
             made = [(-1 - int(row[0]) // 2 % slices**2, b"", b"", pack(often_at[prev[both]]), pack(often_at[word[both]]), *texts_of(doc[both], row),
                      NONE, NONE, NONE)]
             prev, word, doc = prev[~both], word[~both], doc[~both]
-            narrow = np.uint16 if slices <= 256 else np.int64  # short keys are sorted in linear time
-            block, often_block = ((slice_at[p] * slices + slice_at[w]).astype(narrow) for p, w in ((prev, word), (often_prev, often_word)))
+            slice_at = slice_at.astype(np.uint16 if slices <= 256 else np.int64)  # short keys are sorted in linear time
+            block, often_block = (slice_at[p] * slices + slice_at[w] for p, w in ((prev, word), (often_prev, often_word)))
             order, often_order = np.argsort(block, kind="stable"), np.argsort(often_block, kind="stable")
             prev, word, doc, block = prev[order], word[order], doc[order], block[order]
             often_block = often_block[often_order]
             blocks = np.union1d(block, often_block)
             cuts, often_cuts = (zip(np.searchsorted(of, blocks), np.searchsorted(of, blocks, "right")) for of in (block, often_block))
-            for k, (a, z), (often_a, often_z) in zip(blocks, cuts, often_cuts):
+            for k, (a, z), (often_a, often_z) in zip(blocks.tolist(), cuts, often_cuts):
                 o = often_order[often_a:often_z]
-                firsts, p, op = side(prev[a:z], often_prev[o], spelled)
-                seconds, w, ow = side(word[a:z], often_word[o], spelled)
-                made.append((int(k), firsts, seconds, pack(p), pack(w), *texts_of(doc[a:z], row), pack(op), pack(ow), pack(often_c[o])))
-            lengths.clear()
-            rows.clear()
-            return pd.DataFrame(made, columns=[c.split()[0] for c in PAYLOAD.split(", ")])
+                first, second = divmod(k, slices)
+                firsts, p, op = side(prev[a:z], often_prev[o], spelled, *slice_ends[first: first + 2])
+                seconds, w, ow = side(word[a:z], often_word[o], spelled, *slice_ends[second: second + 2])
+                made.append((k, firsts, seconds, pack(p), pack(w), *texts_of(doc[a:z], row), pack(op), pack(ow), pack(often_c[o])))
+            return pa.RecordBatch.from_arrays([pa.array(of, kind) for of, kind in zip(zip(*made), columns.types)], schema=columns)
 
         for b in batches:
-            for r, t, out in zip(b.row, b.text, b[held_out]):
-                found = words(t)
-                found.append(END)
-                texts.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)))  # numbers take less memory than words
-                lengths.append(len(found))
-                rows.append(2 * int(r) + bool(out))
-                n += len(found)
+            if not len(b):
+                continue
+            found, length = tokens(b["text"])
+            out = pa.compute.fill_null(b[held_out], False).to_numpy(zero_copy_only=False)
+            row, a = 2 * b["row"].to_numpy() + out, 0
+            starts = np.append(0, np.cumsum(length))
+            ends = starts + np.arange(len(starts))  # tokens before each text
+            while a < len(b):
+                z = min(len(b), int(np.searchsorted(ends[1:] - ends[a] + n, _FLUSH, "right")) + 1)  # the first text that fills the rest, or all
+                texts.append(found.slice(starts[a], starts[z] - starts[a]))
+                lengths.append(length[a:z])
+                rows.append(row[a:z])
+                n += int(ends[z] - ends[a])
+                a = z
                 if n > _FLUSH:
                     yield flush()
-                    n, local = 0, fresh()
-        if rows:
+                    give_back()
+                    n = 0
+        if n:
             yield flush()
+            give_back()
 
-    return docs.select("row", "text", held_out).mapInPandas(cut, PAYLOAD)
+    return docs.select("row", "text", held_out).mapInArrow(cut, PAYLOAD)
 
 
 BLOCKS = "block int, prev binary, word binary, c binary, held binary, doc binary, docs binary"
@@ -278,19 +323,22 @@ def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
         for r, first, second in zip(rows, *at):
             keys.append(first[unpack(r.prev)] << 32 | second[unpack(r.word)])
             used.append(np.frombuffer(r.docs, "<i8"))  # a text is in one piece only
-            docs.append(n + np.cumsum(unpack(r.doc)))
+            docs.append((n + np.cumsum(unpack(r.doc))).astype(np.int32))
             n += len(used[-1])
             often.append(first[unpack(r.often_prev)] << 32 | second[unpack(r.often_word)])
             often_c.append(unpack(r.often_c))
         at = None
         more, more_c = np.concatenate(often), np.concatenate(often_c)
         key = np.concatenate([*keys, more])
-        doc = np.concatenate([*docs, np.full(len(more), -1)])
-        keys = docs = None
+        keys = None
+        doc = np.concatenate([*docs, np.full(len(more), -1, np.int32)])
+        docs = None
         order = np.argsort(key)
         key, doc, used = key[order], doc[order], np.concatenate(used)
+        order = None
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         pairs, real = key[starts], doc >= 0
+        key = None
         c = np.add.reduceat(real & np.append(used & 1 == 0, False)[doc], starts, dtype=np.int64)
         held = np.add.reduceat(real, starts, dtype=np.int64)
         np.add.at(c, np.searchsorted(pairs, more), more_c)
@@ -305,11 +353,13 @@ def blocks(pieces: DataFrame, table: Table, slices: int) -> DataFrame:
                     continue
                 if rows and r.block != block:
                     yield pd.DataFrame([merged(block, rows)], columns=columns)
+                    give_back()
                     rows = []
                 block = int(r.block)
                 rows.append(r)
         if rows:
             yield pd.DataFrame([merged(block, rows)], columns=columns)
+            give_back()
 
     return written(pieces.repartition(slices * slices, "block").sortWithinPartitions("block").mapInPandas(gather, BLOCKS))
 
@@ -346,9 +396,10 @@ class Bytes(NamedTuple):
     parent: np.ndarray  # [last byte, symbol]
 
 
-def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(spelled: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all symbols of the words, each ended by a blank, and where every word begins."""
-    s = np.frombuffer(b"   " + b" ".join(spelled) + b" ", np.uint8).astype(np.uint32)
+    spelled = joined(spelled if isinstance(spelled, pa.Array) else pa.array(spelled, pa.binary()))
+    s = np.frombuffer(b"   " + text_of(spelled).to_pybytes(), np.uint8).astype(np.uint32)
     sym, b1 = s[3:], s[2:-1]
     b2 = np.where(b1 == 32, 32, s[1:-2])  # contexts stop at the word's start
     b3 = np.where(b2 == 32, 32, s[:-3])
@@ -358,7 +409,7 @@ def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return cell, starts
 
 
-def spelling(model: Bytes | None, spelled: list[bytes]) -> np.ndarray:
+def spelling(model: Bytes | None, spelled: list[bytes] | pa.Array) -> np.ndarray:
     """Natural log probability of each word's spelling."""
     cell, starts = grams(spelled)
     if model is None:
@@ -408,45 +459,53 @@ class State(NamedTuple):
     tables: float
 
 
-def _rng(seed: int, batch: list[bytes]) -> np.random.Generator:
-    return np.random.default_rng([seed, xxhash.xxh32_intdigest(batch[0] + b" " + batch[-1]) if batch else 0])
+def _rng(seed: int, batch: pa.Array) -> np.random.Generator:
+    return np.random.default_rng([seed, xxhash.xxh32_intdigest(batch[0].as_py() + b" " + batch[-1].as_py())])
 
 
-def sweep(counts: DataFrame, state: State, d: float, seed: int) -> DataFrame:
-    """(cell, n): draw every word's tables, then add up the cells of their spellings; cell -1 carries the number of tables."""
-    shared = counts.sparkSession.sparkContext.broadcast(state)
+def sweep(counts: DataFrame, state: State, before: "Level | None", d: float, seed: int) -> DataFrame:
+    """(cell, n): draw every word's tables, then add up the cells of their spellings; cell -1 carries the number of tables.
+    ``state`` and ``before``, which has its spellings' log probabilities, are those of the sweep before."""
+    tables = state.tables
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = shared.value
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, spelt_there = None, None
         for b in batches:
             if not len(b):
                 continue
-            spelled = list(b.word)
-            weight = (STRENGTH + d * state.tables) * np.exp(spelling(state.model, spelled))
-            t = seated(b.n.to_numpy(np.int64), weight, d, _rng(seed, spelled))
-            cell, starts = grams(spelled)
-            n = np.repeat(t, np.diff(np.append(starts, len(cell))))
-            found, at = np.unique(cell, return_inverse=True)
-            yield pd.DataFrame({"cell": np.append(found.astype(np.int64), -1), "n": np.append(np.bincount(at, n, len(found)), t.sum())})
-
-    return counts.select("word", "n").where("n > 0").mapInPandas(draw, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+            if before is None:
+                spelt = spelling(None, b["word"])
+            else:
+                number, ids, spelt = b["slice"].to_numpy(), b["id"].to_numpy(), np.empty(len(b))
+                for k in np.unique(number):
+                    if k != current:
+                        current, (spelt_there,) = k, read_slice(before.uri, k, ["spelt"])
+                    spelt[number == k] = spelt_there[ids[number == k]]
+            t = seated(b["n"].to_numpy(), (STRENGTH + d * tables) * np.exp(spelt), d, _rng(seed, b["word"]))
+            cell, starts = grams(b["word"])
+            coded = pa.array(cell).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), np.repeat(t, np.diff(np.append(starts, len(cell)))), len(coded.dictionary))
+            found = coded.dictionary.to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n, t.sum()))], ["cell", "n"])
+
+    return counts.select("slice", "id", "word", "n").where("n > 0").mapInArrow(draw, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counts: DataFrame, state: State, d: float, customers: float, seed: int) -> "Level":
     """The words' tables and spellings, written by slice."""
     shared = counts.sparkSession.sparkContext.broadcast(state)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.value
         for b in batches:
             if not len(b):
                 continue
-            spelled = list(b.word)
-            log_base = spelling(state.model, spelled)
-            t = seated(b.n.to_numpy(np.int64), (STRENGTH + d * state.tables) * np.exp(log_base), d, _rng(seed, spelled))
-            yield b.assign(t=t.astype(np.int64), spelt=log_base)
+            log_base = spelling(state.model, b["word"])
+            t = seated(b["n"].to_numpy(), (STRENGTH + d * state.tables) * np.exp(log_base), d, _rng(seed, b["word"]))
+            kept = ["slice", "id", "c", "n", "tables"]
+            yield pa.RecordBatch.from_arrays([*(b[name] for name in kept), pa.array(t.astype(np.int64)), pa.array(log_base)], [*kept, "t", "spelt"])
 
-    drawn = written_by_slice(counts.mapInPandas(draw, "slice int, id long, word binary, c long, n long, tables long, t long, spelt double").drop("word"))
+    drawn = written_by_slice(counts.mapInArrow(draw, "slice int, id long, c long, n long, tables long, t long, spelt double"))
     sums = drawn.rows.agg(F.sum("t").alias("t"), F.sum(F.when(F.col("c") > 0, F.exp("spelt"))).alias("spelt")).first()
     new = STRENGTH + d * (sums.t or 0)  # of this very draw, so that all probabilities add up to 1
     return Level(drawn.uri, d, new, STRENGTH + customers, max(new / (STRENGTH + customers) * (1 - (sums.spelt or 0.0)), 1e-300))
@@ -518,24 +577,25 @@ def seat(kept: DataFrame, table: Table, slices: int, before: Level | None, d: fl
                     used = np.flatnonzero(n)
                     made.append((number, side, pack(np.diff(used, prepend=0)), pack(n[used]), int((c == 1).sum()), int((c == 2).sum())))
                 yield pd.DataFrame(made, columns=["slice", "side", "ids", "n", "ones", "twos"])
+                give_back()
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done():
-            spelled, c = read_slice(uri, current, ["word", "c"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            spelled, c = slice_rows(uri, current, ["word", "c"])
             for a in range(0, len(c), 1 << 16):
                 z = min(a + (1 << 16), len(c))
-                yield pd.DataFrame({"slice": current, "id": np.arange(a, z), "word": spelled[a:z], "c": c[a:z], "n": total[1][a:z], "tables": total[0][a:z]})
+                made = {"slice": np.full(z - a, current, np.int32), "id": np.arange(a, z), "word": spelled[a:z], "c": c[a:z], "n": total[1][a:z], "tables": total[0][a:z]}
+                yield pa.RecordBatch.from_pydict(made)
 
         current, total = None, None
         for b in batches:
-            for r in b.itertuples(index=False):
-                if r.slice != current:
+            for number, side, ids, n in zip(*(b[name].to_pylist() for name in ("slice", "side", "ids", "n"))):
+                if number != current:
                     if current is not None:
                         yield from done()
-                    current = int(r.slice)
+                    current = number
                     total = np.zeros((2, len(read_slice(uri, current, ["c"])[0])), np.int64)
-                ids = np.cumsum(unpack(r.ids))
-                total[r.side][ids] += unpack(r.n)
+                total[side][np.cumsum(unpack(ids))] += unpack(n)
         if current is not None:
             yield from done()
 
@@ -546,7 +606,7 @@ def seat(kept: DataFrame, table: Table, slices: int, before: Level | None, d: fl
             few = made.where("side = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
             d = discount(few.ones or 0, few.twos or 0)
         split = made.select("slice", "side", "ids", "n").repartition(slices, "slice").sortWithinPartitions("slice")
-        return written_by_slice(split.mapInPandas(add, "slice int, id long, word binary, c long, n long, tables long")), d
+        return written_by_slice(split.mapInArrow(add, "slice int, id long, word binary, c long, n long, tables long")), d
 
 
 class Fit(NamedTuple):
@@ -569,7 +629,7 @@ def fit(kept: DataFrame, table: Table, slices: int, total: int, seed: int = 11)
             d1 = counts_of_counts(counts, "n")
         customers = float(counts.agg(F.sum("n")).first()[0] or 0)
         if total:
-            cells = sweep(counts, state, d1, seed + k).toPandas().sort_values("cell")  # at most 2^26 cells, whatever the corpus
+            cells = sweep(counts, state, levels[-1] if k else None, d1, seed + k).toPandas().sort_values("cell")  # at most 2^26 cells, whatever the corpus
             word_tables = float(cells.n[cells.cell < 0].sum())
             cells = cells[cells.cell >= 0]
             model, byte_tables = seat_bytes(cells.cell.to_numpy(np.int64).astype(np.uint32), cells.n.to_numpy(), state.model, byte_tables, rng)
@@ -647,6 +707,7 @@ def block_scores(kept: DataFrame, fitted: Fit, slices: int, denominator: int, of
                 listed = pd.DataFrame({"row": -1, "a": [place[first, k] for k in prev[bare].tolist()], "b": [place[second, k] for k in word[bare].tolist()], "k": 0,
                                        **{f: getattr(logs, f)[bare] for f in Logs._fields}})
                 yield listed.reindex(columns=columns)
+                give_back()
 
     schema = f"row long, a int, b int, {SUMS}, {', '.join(f'{c} binary' for c in PACKED)}"
     columns = [c.split()[0] for c in schema.split(", ")]

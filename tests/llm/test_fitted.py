@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,34 @@ def test_lm_tasks_hold_one_block_at_a_time(put, monkeypatch):
     monkeypatch.setattr(lm, "written", lambda df: seen.append(spark.conf.get(name)) or written(df))
     lm.block_scores(made.kept, lm.fit(made.kept, made.table, made.slices, made.total), made.slices, 1, [(r["slice"], r.id) for r in made.often])
     assert seen == ["1", "1"] and spark.conf.get(name) == before != "1"
+
+
+def test_lm_tokens_of_a_batch_are_those_of_each_text():
+    """Words are cut, lower-cased and counted by Arrow for many texts at once, by the same rule as for one."""
+    texts = ["", None, "  a\x0bB \t\n\x0c\rc  ", "\u00dcn\u00ef \u00c9\x85x\u2003y\x00z\x1cq K\u0130", " ", "one", "\ta", "A B  C\n"]
+    for chosen in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array(texts)[:0]):
+        found, length = lm.tokens(chosen)
+        assert found.to_pylist() == [w for t in chosen.to_pylist() for w in lm.words(t)]
+        assert length.tolist() == [len(lm.words(t)) for t in chosen.to_pylist()]
+
+
+def test_lm_words_pass_through_tasks_as_arrow(put):
+    """Jobs over texts and over all distinct words make no Python object a word."""
+    docs = put([(k, prose(k, 20), "en", "a", 0) for k in range(30)]).select(F.monotonically_increasing_id().alias("row"), "text", F.lit(False).alias("held_out"))
+    made = lm.prepared(docs, "held_out")
+    counted, d = lm.seat(made.kept, made.table, made.slices, None, 0.5, 1)
+    for df in (lm.payloads(docs, "held_out", made.slices, []), lm.sweep(counted.rows, lm.State(None, 0.0), None, d, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_lm_sweep_takes_spellings_from_the_state_before(put):
+    """A sweep over the tables of a state finds the same cells whether spellings are read from that state or worked out."""
+    docs = put([(k, prose(k, 20), "en", "a", 0) for k in range(30)]).select(F.monotonically_increasing_id().alias("row"), "text", F.lit(False).alias("held_out"))
+    made = lm.prepared(docs, "held_out", block=100)
+    assert made.slices > 1
+    counted, d = lm.seat(made.kept, made.table, made.slices, None, 0.5, 1)
+    state = lm.State(None, 3.0)
+    level = lm.probabilities(counted.rows, state, d, 1.0, 2)
+    read, direct = (sorted((r.cell, r.n) for r in lm.sweep(counted.rows, state, before, d, 3).collect()) for before in (level, None))
+    assert len(read) > 20 and read == direct

@@ -264,3 +264,30 @@ def test_kernel_quantiles_list_few_values_at_a_time(spark, clustered, monkeypatc
     monkeypatch.setattr(nearest, "LISTED", 50, raising=False)
     got = nearest.kernel_quantiles(qd, pt, "v", 0.9, **wanted, rows_per_tile=20, rows_per_group=25).toPandas().set_index("qk")["q"].to_dict()
     assert got == want and set(got.values()) == {1.0, 2.0}
+
+
+def test_kernel_weights_are_exact_and_cheap():
+    """Twelve digits of exp(-d^2 / 2) inside the cut-off, a point at the cut-off included; far less work than a distance and an exponential a pair."""
+    from time import perf_counter
+
+    rng = np.random.default_rng(3)
+    q, p = rng.random((64, 4)) + 1000, rng.random((2048, 4)) * 6 + 997
+    p[0], p[1] = q[0], q[0] + [4, 0, 0, 0]
+    weights = nearest._kernel(4.0)
+
+    def plain():
+        d2 = nearest._point_d2(q, p)
+        return np.where(d2 <= 16.0, np.exp(-d2 / 2), 0.0)
+
+    want, got = plain(), weights(q, p)
+    assert want[0, 1] > 0 and (want == 0).any()
+    np.testing.assert_allclose(got, want, rtol=1e-11)
+    took = []
+    for run in (plain, lambda: weights(q, p)):
+        each = []
+        for _ in range(15):
+            t = perf_counter()
+            run()
+            each.append(perf_counter() - t)
+        took.append(min(each))
+    assert took[1] < 0.75 * took[0]

@@ -291,3 +291,42 @@ def test_kernel_weights_are_exact_and_cheap():
             each.append(perf_counter() - t)
         took.append(min(each))
     assert took[1] < 0.75 * took[0]
+
+
+def test_lag_sums_of_trees_equal_brute_force_at_edges():
+    """Rows that lie exactly on lag edges, a crowded place, one row, and far boxes: counts are equal, squares to rounding."""
+    rng = np.random.default_rng(6)
+
+    def rows(n, side, shift=0.0):
+        out = np.c_[rng.random((n, 2)) * side + [shift, 0], rng.normal(size=n) * 10 + 1e4]
+        out[: n // 5, :2] = np.round(out[: n // 5, :2] / 5) * 5
+        return out
+
+    for a, b in ((rows(1, 1), rows(700, 150)), (rows(900, 60), rows(1000, 60, 30)), (rows(600, 0), rows(600, 300)), (rows(500, 10), rows(500, 10, 140))):
+        for other in (None, b):
+            p, q = a, a if other is None else b
+            d = np.sqrt((p[:, None, 0] - q[None, :, 0]) ** 2 + (p[:, None, 1] - q[None, :, 1]) ** 2)
+            ok = (d < 100) & (np.arange(len(p))[:, None] < np.arange(len(q)) if other is None else True)
+            lag = (d[ok] / 5).astype(int)
+            n, total = pairs._lag_sums(a, other, 100.0, 5.0)
+            np.testing.assert_array_equal(n, np.bincount(lag, minlength=20)[:20])
+            np.testing.assert_allclose(total, np.bincount(lag, ((p[:, None, 2] - q[None, :, 2]) ** 2)[ok], 20)[:20], rtol=1e-9, atol=1e-6)
+
+
+def test_lag_pairs_copy_no_points(spark):
+    """A point is shuffled once, however many tiles it meets, and work grows more slowly than the pairs."""
+    rows = spark.range(4000).selectExpr("id", "(id * 7919 % 4001) / 40.0 as x", "(id * 104729 % 4001) / 40.0 as y", "id % 13 as v")
+    out = pairs.lag_pairs(rows, "id", "x", "y", "v", rows_per_part=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Join" not in plan and "FlatMapGroupsInPandas" not in plan
+    n = {r.lag: r.n_pairs for r in out.collect()}
+    assert sum(n.values()) > 7_000_000
+    rng, compared = np.random.default_rng(2), []
+    leaves = pairs._leaf_pairs
+    try:
+        pairs._leaf_pairs = lambda a, b, i, *more: compared.append(len(i) * pairs.LEAF**2) or leaves(a, b, i, *more)
+        a, b = (np.c_[rng.random((8000, 2)) * 8 + [x, 0], rng.random(8000)] for x in (0, 40))
+        pairs._lag_sums(a, b, 100.0, 5.0)
+    finally:
+        pairs._leaf_pairs = leaves
+    assert 0 < sum(compared) < 0.3 * 8000 * 8000

@@ -87,3 +87,21 @@ def test_local_update_of_all_folds_is_that_of_each(spark):
     assert len(got) == n and np.allclose(got["mean"], want["mean"]) and np.allclose(got["std"], want["std"])
     near = kriging.local_kriging(df, df, 6, key="k", point_key="k", coords=["x", "y"], value="y_true", exclude="fold")
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]
+
+
+def test_isotonic_curves_of_all_groups_equal_one_fit_each(spark):
+    """One pass for every group gives what a fit of its own gives, between and beyond the scores it has seen."""
+    from groundsieve.operators import learn
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "h": "a", "p": np.round(rng.random(3000), 3)})
+    pdf["y"] = (rng.random(3000) < pdf.p ** (1 + pdf.g)).astype(int)
+    pdf.loc[pdf.g == 2, "p"] = 0.25  # one score only
+    df = spark.createDataFrame(pdf)
+    new = spark.createDataFrame(pd.DataFrame({"i": np.arange(900), "g": np.arange(900) % 3, "h": "a", "p": rng.random(900) * 1.2 - 0.1}))
+    got = learn.recalibrated(new, learn.isotonic_curves(df, ["g", "h"], "p", "y"), ["g", "h"], "p", "q").toPandas().set_index("i").q
+    for g in range(3):
+        want = learn.apply_isotonic(learn.isotonic(df.where(F.col("g") == g), "p", "y"), new.where(F.col("g") == g), "p", "q").toPandas().set_index("i").q
+        np.testing.assert_allclose(got.loc[want.index], want, atol=1e-12)
+    with pytest.raises(Exception, match="no rows to calibrate"):
+        learn.recalibrated(new, learn.isotonic_curves(df.where("g > 0"), ["g", "h"], "p", "y"), ["g", "h"], "p", "q").collect()
